@@ -218,9 +218,12 @@ def bmi_from_height_weight(height_cm, weight_kg) -> Column:
 
 
 def bmi_display_band(bmi, six_band: bool = False) -> Column:
-    """Dashboard wording (4-band, or 6-band on the details form)."""
+    """Dashboard wording; empty text unless the value is a positive number."""
     x = _col(bmi)
+    missing = x.isNull() | F.isnan(x) | (x <= 0)
     if six_band:
-        return F.when(x.isNull() | (x <= 0), "").otherwise(bmi_clinical_category(x))
-    return (F.when(x.isNull(), "").when(x < 18.5, "Underweight").when(x < 25, "Normal").when(x < 30, "Overweight")
-            .otherwise("Obese"))
+        return (F.when(missing, "-").when(x < 18.5, "Underweight").when(x < 25, "Normal weight")
+                .when(x < 30, "Overweight").when(x < 35, "Obesity (Class I)").when(x < 40, "Obesity (Class II)")
+                .otherwise("Obesity (Class III)"))
+    return (F.when(missing, "").when(x < 18.5, "Underweight").when(x < 25, "Normal").when(x < 30, "Overweight")
+            .otherwise("Obesity"))

@@ -158,8 +158,6 @@ def sql_queries() -> dict[str, str]:
     q["risk_group_distribution"] = _clean_feat(
         "SELECT Risk_Factor_Group, Age_Group, CAST(count(*) AS BIGINT) AS n, "
         "round(avg(Risk_Score), 4) AS avg_risk_score FROM featg GROUP BY ALL")
-    q["top_symptoms"] = _clean_feat(f"WITH {TOP_SYM_CTE} SELECT symptom, n, rank FROM top_sym".replace(
-        "WITH ", "", 1).join(["", ""]) if False else "SELECT 1")  # replaced below
     q["top_symptoms"] = with_views(
         f"WITH {clean_ctes('patients_raw')},{feature_ctes()},{TOP_SYM_CTE}\nSELECT symptom, n, rank FROM top_sym",
         "patients_raw")
@@ -179,4 +177,7 @@ def sql_queries() -> dict[str, str]:
         f"WITH {clean_ctes('patients_raw')},{feature_ctes()},{PROFILE_CTE}\n"
         "SELECT *, CAST(Repeated_Symptom_Pattern + Recurring_Demographic_Pattern AS INTEGER) "
         "AS Historical_Pattern_Score FROM prof2", "patients_raw")
+    from .oracle_scoring import sql_queries as _scoring
+
+    q.update(_scoring())
     return q
