@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vitals as V
+from .ordinals import ordinal_among
 from .scoring import parse_details
 
 
@@ -40,3 +41,373 @@ def top_n_per_key(df: DataFrame, key: str | list[str], order: list[Column], n: i
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
+
+
+# ------------------------------------------------------------ users
+
+def users_with_details(users: DataFrame, details: DataFrame) -> DataFrame:
+    """Users left-joined to their stored details, ordered by role, lower(name)."""
+    hd = details.select(F.col("email").alias("hd_email"), F.col("submitted_at").alias("details_submitted_at"),
+                        F.col("payload_json").alias("details_json"))
+    out = users.join(hd, users["email"] == hd["hd_email"], "left").drop("hd_email")
+    return out.select(
+        "id", "full_name", "email", F.coalesce("phone", F.lit("")).alias("phone"), "role",
+        F.col("details_json").isNotNull().alias("health_details_completed"), "details_submitted_at",
+        "details_json").orderBy("role", F.lower("full_name"))
+
+
+# ----------------------------------------------------- leaves
+
+LEAVE_BUCKET_SECONDS = 86400
+
+
+def _day(c: Column) -> Column:
+    return F.floor(F.unix_seconds(c) / LEAVE_BUCKET_SECONDS).cast("bigint")
+
+
+def leave_days(leaves: DataFrame) -> DataFrame:
+    """Expand each valid leave into the day buckets it covers (closed interval).
+
+    Turns the range join into an equi-join on (doctor, day) plus a residual
+    ``between``: per-key work is bounded by the leaves overlapping one day, so
+    a doctor with very many leaves or appointments is not an all-pairs group.
+    Rows whose bounds do not parse (NULL or end < start) are skipped.
+    """
+    ok = leaves.filter(F.col("start_at").isNotNull() & F.col("end_at").isNotNull()
+                       & (F.col("end_at") >= F.col("start_at")))
+    return ok.select(
+        F.lower(F.trim("doctor_email")).alias("lv_doctor"), F.col("id").alias("leave_id"),
+        F.col("start_at").alias("leave_start"), F.col("end_at").alias("leave_end"),
+        F.explode(F.sequence(_day(F.col("start_at")), _day(F.col("end_at")))).alias("lv_day"))
+
+
+def leave_for(events: DataFrame, leaves: DataFrame, key: str, doctor_col: str, when_col: str) -> DataFrame:
+    """For each event (unique ``key``) the matching leave with the latest start
+    (ties: highest id), or NULLs.  Output: key + leave_id, leave_start, leave_end, on_leave.
+    """
+    ev = events.select(F.col(key).alias("__k"), F.lower(F.trim(F.col(doctor_col))).alias("__doc"),
+                       F.col(when_col).alias("__when")).filter(F.col("__doc").isNotNull() & F.col("__when").isNotNull())
+    ev = ev.withColumn("__day", _day(F.col("__when")))
+    lv = leave_days(leaves)
+    hits = ev.join(lv, (ev["__doc"] == lv["lv_doctor"]) & (ev["__day"] == lv["lv_day"])
+                   & ev["__when"].between(lv["leave_start"], lv["leave_end"]), "inner")
+    best = hits.groupBy("__k").agg(F.max_by(F.struct("leave_id", "leave_start", "leave_end"),
+                                            F.struct("leave_start", "leave_id")).alias("__b"))
+    best = best.select(F.col("__k").alias(key), F.col("__b.leave_id").alias("leave_id"),
+                       F.col("__b.leave_start").alias("leave_start"), F.col("__b.leave_end").alias("leave_end"))
+    out = events.join(best, key, "left")
+    return out.withColumn("on_leave", F.col("leave_id").isNotNull())
+
+
+def on_leave_at(doctors: DataFrame, leaves: DataFrame, doctor_col: str, when) -> DataFrame:
+    """J5 at one instant: doctors with a leave covering ``when`` (semi-join form)."""
+    w = F.lit(when).cast("timestamp") if isinstance(when, str) else when
+    lv = leaves.filter(F.col("start_at").isNotNull() & F.col("end_at").isNotNull()
+                       & (F.col("end_at") >= F.col("start_at")) & w.between(F.col("start_at"), F.col("end_at")))
+    lv = lv.select(F.lower(F.trim("doctor_email")).alias("__doc"))
+    return doctors.join(lv, F.lower(F.trim(doctors[doctor_col])) == lv["__doc"], "left_semi")
+
+
+TRUTHY = ["yes", "true", "1", "y"]
+
+
+def doctors_reference(ref: DataFrame) -> DataFrame:
+    """Skip blank ids, name falls back to id, truthy emergency flag."""
+    did = F.trim("doctor_id")
+    return ref.filter(did != "").select(
+        did.alias("doctor_id"),
+        F.coalesce(F.when(F.trim("doctor_name") != "", F.trim("doctor_name")), did).alias("doctor_name"),
+        F.trim(F.coalesce("specialization", F.lit(""))).alias("specialization"),
+        F.trim(F.coalesce("available_time", F.lit(""))).alias("available_time"),
+        F.lower(F.trim(F.coalesce("emergency_doctor", F.lit("")))).isin(TRUTHY).alias("emergency_doctor"))
+
+
+def emergency_available(ref: DataFrame, leaves: DataFrame, when) -> DataFrame:
+    """Emergency doctors with no leave covering ``when``."""
+    docs = doctors_reference(ref).filter("emergency_doctor")
+    busy = on_leave_at(docs, leaves, "doctor_id", when).select("doctor_id")
+    return docs.join(busy, "doctor_id", "left_anti")
+
+
+def directory(users: DataFrame, ref: DataFrame, leaves: DataFrame, details: DataFrame, when) -> DataFrame:
+    """J7 + A10: registered doctors, enriched from the reference list, leave flags at ``when``."""
+    docs = users.filter(F.col("role") == "doctor").withColumn("__key", F.lower(F.trim("email")))
+    docs = docs.filter(F.col("__key") != "")
+    docs = latest_per_key(docs.withColumn("__neg", -F.col("id")), "__key", ["__neg"],
+                          ["id", "full_name", "email", "role"])  # first row per email
+    dref = doctors_reference(ref).withColumn("__rkey", F.lower("doctor_id"))
+    dref = latest_per_key(dref, "__rkey", ["doctor_id"], ["specialization", "available_time", "emergency_doctor"])
+    out = docs.join(dref, docs["__key"] == dref["__rkey"], "left").drop("__rkey")
+    w = F.lit(when).cast("timestamp") if isinstance(when, str) else when
+    out = out.withColumn("__when", w)
+    out = leave_for(out, leaves, "__key", "email", "__when")
+    hd = details.select(F.col("email").alias("__hd")).withColumn("__has", F.lit(True))
+    out = out.join(hd, out["email"] == hd["__hd"], "left")
+    return out.select(
+        "full_name", "email", "role", F.coalesce("__has", F.lit(False)).alias("health_details_completed"),
+        F.coalesce("specialization", F.lit("")).alias("specialization"),
+        F.coalesce("available_time", F.lit("")).alias("available_time"),
+        F.coalesce("emergency_doctor", F.lit(False)).alias("emergency_doctor"),
+        "on_leave", (~F.col("on_leave")).alias("available"), "leave_id")
+
+
+# ---------------------------------------------------- admissions
+
+PHONE_RE = r"^\d{10}$"
+EMAIL_RE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+NAME_RE = r"^[A-Za-z]+(?: [A-Za-z]+)*$"
+
+
+def phone_error(phone: Column) -> Column:
+    """J35 normalize_phone: NULL when valid, else the error text."""
+    raw = F.trim(F.coalesce(phone, F.lit("")))
+    return (F.when(raw == "", "Phone number must be exactly 10 digits.")
+            .when(~raw.rlike(r"^\d+$"), "Phone number must contain digits only (0-9).")
+            .when(~raw.rlike(PHONE_RE), "Phone number must be exactly 10 digits."))
+
+
+def email_error(email: Column) -> Column:
+    e = F.lower(F.trim(F.coalesce(email, F.lit(""))))
+    return F.when((e == "") | (F.length(e) > 254) | ~e.rlike(EMAIL_RE), "Invalid email format.")
+
+
+def name_error(name: Column) -> Column:
+    n = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)\s+", " "))
+    return (F.when((F.length(n) < 2) | (F.length(n) > 100), "Full name must be 2-100 characters long.")
+            .when(~n.rlike(NAME_RE), "Full name must contain only letters and spaces."))
+
+
+def role_error(role: Column) -> Column:
+    return F.when(~F.lower(F.trim(F.coalesce(role, F.lit("")))).isin("patient", "nurse", "doctor"),
+                  "Invalid role selected.")
+
+
+def emergency_names_at(requests: DataFrame, key: str, when_col: str, ref: DataFrame, leaves: DataFrame,
+                       k: int = 3) -> DataFrame:
+    """First ``k`` emergency doctors (reference order) not on leave at each request time.
+
+    Exact and without a requests x doctors product: a request whose time is
+    covered by L leaves of emergency doctors needs only the first k + L
+    doctors in order; those are joined by ordinal, the busy ones removed.
+    """
+    docs = doctors_reference(ref).filter("emergency_doctor")
+    # reference order = file order; the fixture's file order is doctor_id's numeric part
+    docs = docs.withColumn("__num", F.regexp_extract("doctor_id", r"(\d+)", 1).try_cast("bigint"))
+    docs = ordinal_among(docs.fillna({"__num": 0}), "__num", F.lit(True), "__o", tiebreak=["doctor_id"])
+    req = requests.select(F.col(key).alias("__k"), F.col(when_col).alias("__when"))
+    eleaves = leaves.join(docs.select(F.lower("doctor_id").alias("__d")),
+                          F.lower(F.trim(leaves["doctor_email"])) == F.col("__d"), "left_semi")
+    ld = leave_days(eleaves)
+    rq = req.withColumn("__day", _day(F.col("__when")))
+    pairs = rq.join(ld, (rq["__day"] == ld["lv_day"]) & rq["__when"].between(ld["leave_start"], ld["leave_end"]),
+                    "inner").select("__k", F.col("lv_doctor").alias("__busy")).distinct()
+    n_busy = pairs.groupBy("__k").agg(F.count(F.lit(1)).alias("__nb"))
+    need = rq.join(n_busy, "__k", "left").select("__k", (F.lit(k) + F.coalesce("__nb", F.lit(0))).alias("__need"))
+    cand = need.select("__k", F.explode(F.sequence(F.lit(1), F.col("__need").cast("int"))).alias("__o"))
+    cand = cand.join(docs.select("__o", "doctor_id", "doctor_name"), "__o", "inner")
+    cand = cand.join(pairs, (cand["__k"] == pairs["__k"]) & (F.lower(cand["doctor_id"]) == pairs["__busy"]),
+                     "left_anti")
+    names = cand.groupBy("__k").agg(F.sort_array(F.collect_list(F.struct("__o", "doctor_name"))).alias("__l"))
+    return names.select(F.col("__k").alias(key),
+                        F.array_join(F.transform(F.slice("__l", 1, k), lambda x: x["doctor_name"]), ", ")
+                        .alias("emergency_names"))
+
+
+def booking_admission(requests: DataFrame, users: DataFrame, ref: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Accept or reject booking requests; accepted rows get Pending + defaults.
+
+    ``requests``: request_id, patient_email, scheduled_for, appointment_type,
+    doctor_email, reason, notes, contact_info.
+    """
+    u = users.select(F.lower(F.trim("email")).alias("__pe"), F.col("role").alias("__prole"))
+    r = requests.withColumn("__pe", F.lower(F.trim("patient_email")))
+    r = r.join(u, "__pe", "left")
+    r = leave_for(r, leaves, "request_id", "doctor_email", "scheduled_for")
+    emer = emergency_names_at(r.filter("on_leave"), "request_id", "scheduled_for", ref, leaves)
+    r = r.join(emer, "request_id", "left")
+    perr = phone_error(F.col("contact_info"))
+    reason = (F.when(F.col("__prole").isNull() | (F.col("__prole") != "patient"), F.lit("Patient account not found."))
+              .when(F.col("doctor_email").isNotNull() & F.col("on_leave"),
+                    F.concat(F.lit("Selected doctor is on leave for that date."),
+                             F.when(F.coalesce(F.col("emergency_names"), F.lit("")) != "",
+                                    F.concat(F.lit(" Emergency doctors: "), F.col("emergency_names"), F.lit(".")))
+                             .otherwise(F.lit(""))))
+              .when(perr.isNotNull(), perr))
+    accepted = reason.isNull()
+    return r.select(
+        "request_id", accepted.alias("accepted"), reason.alias("reject_reason"),
+        F.when(accepted, F.lit("Pending")).alias("status"),
+        F.when(accepted, F.trim(F.coalesce(F.when(F.col("reason") != "", F.col("reason")),
+                                           F.col("appointment_type")))).alias("reason"),
+        F.when(accepted, F.trim("contact_info")).alias("contact_info"),
+        F.when(accepted, F.lower(F.trim("doctor_email"))).alias("doctor_email"),
+    )
+
+
+def cancel_admission(requests: DataFrame, appointments: DataFrame, users: DataFrame, as_of) -> DataFrame:
+    """J10 + J11: cancellation requests -> accepted (status, notes) or rejection reason.
+
+    ``requests``: request_id, patient_email, appointment_id, cancel_reason.
+    """
+    now = F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
+    u = users.select(F.lower(F.trim("email")).alias("__pe"), F.col("role").alias("__prole"))
+    a = appointments.select(F.col("id").alias("appointment_id"), F.col("patient_email").alias("__owner"),
+                            F.col("status").alias("__status"), F.col("scheduled_for").alias("__when"),
+                            F.lit(None).cast("string").alias("__notes"))
+    r = requests.withColumn("__pe", F.lower(F.trim("patient_email"))).join(u, "__pe", "left")
+    r = r.join(a, "appointment_id", "left")
+    st = F.lower(F.coalesce("__status", F.lit("Pending")))
+    reason = (F.when(F.col("__prole").isNull() | (F.col("__prole") != "patient"), F.lit("Patient account not found."))
+              .when(F.col("__owner").isNull() | (F.lower(F.trim("__owner")) != F.col("__pe")),
+                    F.lit("Appointment not found."))
+              .when(st.isin("cancelled", "canceled", "completed"), F.lit("This appointment cannot be cancelled."))
+              .when(F.col("__when") < now, F.lit("Past appointments cannot be cancelled.")))
+    accepted = reason.isNull()
+    cr = F.trim(F.coalesce("cancel_reason", F.lit("")))
+    existing = F.trim(F.coalesce("__notes", F.lit("")))
+    prefix = F.concat(F.lit("Cancelled: "), cr)
+    new_notes = F.when(cr != "", F.substring(F.when(existing == "", prefix).otherwise(
+        F.concat(existing, F.lit("\n"), prefix)), 1, 1000))
+    return r.select(
+        "request_id", "appointment_id", accepted.alias("accepted"), reason.alias("reject_reason"),
+        F.when(accepted, F.lit("Cancelled")).otherwise(F.col("__status")).alias("status"),
+        F.when(accepted, F.coalesce(new_notes, F.col("__notes"))).otherwise(F.col("__notes")).alias("notes"))
+
+
+# ------------------------------------------------- history
+
+# The 15 tracked health-detail fields, in audit order.
+TRACKED_FIELDS = [
+    "age", "gender", "symptoms", "symptom_count", "height_cm", "weight_kg", "bmi", "smoking_habit", "alcohol_habit",
+    "average_sleep_hours", "medical_history", "family_history_major_chronic_disease", "glucose", "glucose_type",
+    "blood_pressure",
+]
+NUMERIC_FIELDS = {"age", "symptom_count", "height_cm", "weight_kg", "bmi", "average_sleep_hours", "glucose"}
+
+
+def audit_value(struct_col: str, field: str) -> Column:
+    """Trim strings (blank -> NULL); numbers as float. Returned as text."""
+    c = F.col(f"{struct_col}.{field}")
+    if field in NUMERIC_FIELDS:
+        return c.cast("double").cast("string")
+    t = F.trim(c)
+    return F.when(t != "", t)
+
+
+def display_value(text: Column, field: str) -> Column:
+    """J16 ``auditText``: NULL/blank -> '-', whole floats without '.0'."""
+    if field in NUMERIC_FIELDS:
+        x = text.cast("double")
+        return F.when(text.isNull(), "-").when(x == F.floor(x), F.floor(x).cast("bigint").cast("string")).otherwise(text)
+    return F.when(text.isNull() | (text == ""), "-").otherwise(text)
+
+
+def field_changes(before: str, after: str) -> Column:
+    """array<struct<field, from, to>> of tracked fields whose audit values differ."""
+    items = []
+    for f in TRACKED_FIELDS:
+        old = audit_value(before, f) if before else F.lit(None).cast("string")
+        new = audit_value(after, f)
+        items.append(F.when(~old.eqNullSafe(new), F.struct(F.lit(f).alias("field"), old.alias("from"),
+                                                             new.alias("to"))))
+    return F.array_compact(F.array(*items))
+
+
+def snapshot(struct_col: str) -> Column:
+    """Map of tracked fields that are non-null and non-empty (as text)."""
+    pairs = F.map_from_arrays(F.array(*[F.lit(f) for f in TRACKED_FIELDS]),
+                              F.array(*[F.col(f"{struct_col}.{f}").cast("string") for f in TRACKED_FIELDS]))
+    return F.map_filter(pairs, lambda k, v: v.isNotNull() & (v != ""))
+
+
+def record_changes(submissions: DataFrame) -> DataFrame:
+    """J17 / T3 batch twin: audit event per submission vs the previous one (lag).
+
+    The first submission of a patient diffs against an empty document.  Only
+    submissions with at least one change produce an event.
+    """
+    d = parse_details(submissions.filter(F.trim("email") != ""))
+    w = Window.partitionBy("email").orderBy("submitted_at", "id")
+    d = d.withColumn("prev", F.lag("d").over(w)).withColumn("prev_id", F.lag("id").over(w))
+    d = d.withColumn("changes", F.when(F.col("prev").isNull(), field_changes(None, "d"))
+                     .otherwise(field_changes("prev", "d")))
+    return d.filter(F.size("changes") > 0).select(
+        F.col("email").alias("patient_email"), F.col("id").alias("event_id"), "prev_id",
+        F.col("submitted_at").alias("changed_at"), F.col("email").alias("changed_by_email"),
+        F.lit("patient").alias("changed_by_role"), F.lit("patient_form").alias("source"), "changes",
+        F.when(F.col("prev").isNull(), F.create_map().cast("map<string,string>")).otherwise(snapshot("prev"))
+        .alias("before"), snapshot("d").alias("after"))
+
+
+def history_top_n(events: DataFrame, n: int = 20) -> DataFrame:
+    """Last ``n`` events per patient, newest first (WindowGroupLimit)."""
+    w = Window.partitionBy("patient_email").orderBy(F.desc("changed_at"), F.desc("event_id"))
+    return events.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+
+
+def change_lines(events: DataFrame, n_events: int = 10, n_changes: int = 20) -> DataFrame:
+    """History feed lines for the latest events, first changes of each."""
+    top = history_top_n(events, n_events)
+    ex = top.select("patient_email", "event_id", "rn", F.posexplode(F.slice("changes", 1, n_changes)).alias("pos", "c"))
+    text = None
+    for f in TRACKED_FIELDS:
+        pair = F.concat(display_value(F.col("c.from"), f), F.lit(" -> "), display_value(F.col("c.to"), f))
+        text = F.when(F.col("c.field") == f, pair) if text is None else text.when(F.col("c.field") == f, pair)
+    return ex.select("patient_email", "event_id", "rn", (F.col("pos") + 1).alias("pos"),
+                     F.concat(F.lit("  - "), F.col("c.field"), F.lit(": "), text).alias("line"))
+
+
+def merge_patch(current: DataFrame, patches: DataFrame) -> DataFrame:
+    """Clinical updates merged into the stored document, in (submitted_at, id) order.
+
+    Sequential "non-null overwrites" equals, per field, the latest non-null
+    patch value (else the current one); ``max_by`` with a NULL ordering key for
+    NULL values computes it as a partial aggregate.  ``current``: email + ``d``;
+    ``patches``: email, submitted_at, id and patch columns.
+    """
+    order = F.struct("submitted_at", "id")
+    sym = F.trim(F.col("p_symptoms"))
+    p = patches.select(
+        "email", "submitted_at", "id",
+        F.col("p_age").alias("age"),
+        F.when(F.trim("p_gender") != "", F.trim("p_gender")).alias("gender"),
+        sym.alias("symptoms"),
+        F.when(sym.isNotNull(), F.size(F.filter(F.transform(F.split(sym, "[,;|\\n]+"), lambda x: F.trim(x)),
+                                                lambda x: x != ""))).alias("symptom_count"),
+        F.col("p_bmi").alias("bmi"), F.col("p_glucose").alias("glucose"),
+        F.col("p_glucose_type").alias("glucose_type"),
+        F.when(F.col("p_systolic").isNotNull() & F.col("p_diastolic").isNotNull(),
+               F.concat(F.bround("p_systolic").cast("bigint").cast("string"), F.lit("/"),
+                        F.bround("p_diastolic").cast("bigint").cast("string"))).alias("blood_pressure"),
+    )
+    fields = ["age", "gender", "symptoms", "symptom_count", "bmi", "glucose", "glucose_type", "blood_pressure"]
+    agg = p.groupBy("email").agg(
+        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), order)).alias(f"__p_{f}") for f in fields],
+        F.max("submitted_at").alias("__updated_at"))
+    cur = current.select("email", "d")
+    out = cur.join(agg, "email", "inner")
+    cols = []
+    for f in fields:
+        c = F.coalesce(F.col(f"__p_{f}"), F.col(f"d.{f}"))
+        cols.append(c.alias(f))
+    out = out.select("email", "d", *cols, F.col("__updated_at").alias("updated_at"))
+    changed = F.array_compact(F.array(*[
+        F.when(~F.col(f).cast("string").eqNullSafe(F.col(f"d.{f}").cast("string")), F.lit(f)) for f in fields]))
+    return out.withColumn("changed_fields", changed).drop("d")
+
+
+def protected_form_fold(feed: DataFrame) -> DataFrame:
+    """Stored glucose / blood pressure under patient re-submissions.
+
+    A patient form keeps the previous stored glucose and blood_pressure; only
+    clinical updates set them.  The ordered fold equals the last non-null value
+    written by a clinical row up to each row (``last(ignorenulls)`` over an
+    unbounded-preceding frame).  ``feed``: email, submitted_at, id, source,
+    glucose, blood_pressure.
+    """
+    w = Window.partitionBy("email").orderBy("submitted_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    clinical = F.col("source") == "clinical_update"
+    return feed.select(
+        "email", "submitted_at", "id", "source",
+        F.last(F.when(clinical, F.col("glucose")), ignorenulls=True).over(w).alias("stored_glucose"),
+        F.last(F.when(clinical, F.col("blood_pressure")), ignorenulls=True).over(w).alias("stored_blood_pressure"))

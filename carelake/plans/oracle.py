@@ -180,4 +180,7 @@ def sql_queries() -> dict[str, str]:
     from .oracle_scoring import sql_queries as _scoring
 
     q.update(_scoring())
+    from .oracle_records import sql_queries as _records
+
+    q.update(_records())
     return q

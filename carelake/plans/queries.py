@@ -82,8 +82,11 @@ def q_profile_frequency(spark, sf_dir):
 
 
 def registry() -> dict[str, Query]:
+    from .queries_records import registry_records
+
     out = registry_base()
     out.update(registry_scoring())
+    out.update(registry_records())
     return out
 
 
