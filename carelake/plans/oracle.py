@@ -183,4 +183,7 @@ def sql_queries() -> dict[str, str]:
     from .oracle_records import sql_queries as _records
 
     q.update(_records())
+    from .oracle_model import sql_queries as _model
+
+    q.update(_model())
     return q

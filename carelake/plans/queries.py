@@ -87,6 +87,9 @@ def registry() -> dict[str, Query]:
     out = registry_base()
     out.update(registry_scoring())
     out.update(registry_records())
+    from .queries_model import registry_model
+
+    out.update(registry_model())
     return out
 
 
