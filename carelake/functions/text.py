@@ -110,9 +110,13 @@ def symptom_tokens(c) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+# The whitespace Python's str.strip() removes (Latin-1 part).
+STRIP_CHARS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
+
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: drop leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()`` (Latin-1 whitespace) as a native BTRIM, no regex."""
+    return F.btrim(_col(c), F.lit(STRIP_CHARS))
 
 
 def quick_tokens(c) -> Column:

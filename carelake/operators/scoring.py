@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keywords as K
 from ..functions import vitals as V
-from ..functions.text import GENDER_CODES, split_symptoms, standardize_gender, standardize_symptoms
+from ..functions.text import GENDER_CODES, split_symptoms, standardize_gender, standardize_symptoms, symptom_tokens
 
 # Rank of the combined risk groups (model vs clinical).
 RISK_RANK = {"Low": 0, "Moderate": 1, "High": 2, "Critical": 3}
@@ -178,9 +178,10 @@ _DASH = "-"
 def nurse_triage(inputs: DataFrame, ref: dict[str, DataFrame] | None) -> DataFrame:
     """N1-N9 over a table of inputs (vitals may be NULL)."""
     d = K.add_quick_risk(inputs, F.col("symptoms").cast("string"), "nq_")
-    d = d.withColumn("n_tokens", K.nurse_tokens("symptoms"))
+    d = d.withColumn("n_tokens", symptom_tokens("symptoms"))
+    d = d.withColumn("n_joined", K.joined_tokens(F.col("n_tokens")))
     toks = F.col("n_tokens")
-    has = lambda p: K.symptom_has(toks, p)
+    has = lambda p: K.symptom_has(F.col("n_joined"), p)
     age, s, dia, g, b = (F.col(c) for c in ("age", "systolic_bp", "diastolic_bp", "glucose", "bmi"))
     errors = F.array_compact(F.array(
         F.when((age <= 0) | (age > 120), F.lit(f"Invalid age (must be 1{_DASH}120).")),
