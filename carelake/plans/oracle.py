@@ -186,4 +186,8 @@ def sql_queries() -> dict[str, str]:
     from .oracle_model import sql_queries as _model
 
     q.update(_model())
+    # streaming twins must equal their batch twins
+    q["stream_rate_limit"] = q["rate_limit_breaches"]
+    q["stream_latest_details"] = q["latest_details"]
+    q["stream_audit_events"] = q["record_changes"]
     return q

@@ -90,6 +90,9 @@ def registry() -> dict[str, Query]:
     from .queries_model import registry_model
 
     out.update(registry_model())
+    from .queries_stream import registry_stream
+
+    out.update(registry_stream())
     return out
 
 

@@ -129,7 +129,12 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return submissions_from(read_table(spark, sf_dir, "events"))
+
+
+def submissions_from(events: DataFrame) -> DataFrame:
+    """Submission feed rows from event rows (batch or streaming)."""
+    e = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     eid, uid = F.col("event_id"), F.col("user_id")
     s = lambda c: c.cast("string")
     payload = F.concat(
@@ -192,7 +197,12 @@ def doctors_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts")
+    return access_log_from(read_table(spark, sf_dir, "events"))
+
+
+def access_log_from(events: DataFrame) -> DataFrame:
+    """Access-log rows from event rows (batch or streaming)."""
+    e = events.select("event_id", "event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     return e.select(
         "event_id",
         F.col("event_type").alias("scope"),

@@ -28,3 +28,55 @@ def rate_limit_batch(log: DataFrame, window_seconds: int = 300, limit: int = 20,
     w = (Window.partitionBy(*keys, "__blk").orderBy("__sec").rangeBetween(-w_us, 0))
     counted = both.withColumn("hits", F.count(F.lit(1)).over(w)).filter("__own")
     return counted.withColumn("breach", F.col("hits") > limit).drop("__sec", "__blk", "__own")
+
+
+# ---------------------------------------------------------------- streaming
+
+RATE_OUTPUT_SCHEMA = "event_id BIGINT, scope STRING, ip STRING, ts TIMESTAMP, hits BIGINT, breach BOOLEAN"
+RATE_STATE_SCHEMA = "stamps ARRAY<BIGINT>"
+
+
+def _rate_limit_fn(window_seconds: int, limit: int):
+    import numpy as np
+    import pandas as pd
+
+    w_us = window_seconds * 1_000_000
+
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        prev = list(state.get[0]) if state.exists else []
+        batch = pd.concat(list(pdfs), ignore_index=True)
+        if batch.empty:
+            return
+        us = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        order = np.lexsort((batch["event_id"].to_numpy(), us))
+        batch, us = batch.iloc[order].reset_index(drop=True), us[order]
+        prev_sorted = np.sort(np.array(prev, dtype="int64"))
+        lo = us - w_us
+        # arrivals inside [t - window, t]: earlier batches (state) + this batch up to the hit
+        from_prev = len(prev_sorted) - np.searchsorted(prev_sorted, lo, side="left")
+        from_batch = np.arange(1, len(us) + 1) - np.searchsorted(us, lo, side="left")
+        hits = (from_prev + from_batch).astype("int64")
+        ordered = np.concatenate([prev_sorted, us])
+        newest = int(ordered.max())
+        keep = np.sort(ordered[ordered >= newest - w_us])
+        state.update((keep.tolist(),))
+        # drop the key's state once the watermark passes its last hit + window
+        state.setTimeoutTimestamp(int(newest // 1000) + window_seconds * 1000)
+        batch["hits"] = hits
+        batch["breach"] = batch["hits"] > limit
+        yield batch[["event_id", "scope", "ip", "ts", "hits", "breach"]]
+
+    return fn
+
+
+def rate_limit_stream(log: DataFrame, window_seconds: int = 300, limit: int = 20,
+                      watermark: str = "10 minutes") -> DataFrame:
+    """T1 streaming: per (scope, ip) state holds only the hits inside the window
+    (bounded by limit + burst), expired by an event-time timeout.  Hits arriving
+    later than the watermark are dropped (our late-data policy)."""
+    fn = _rate_limit_fn(window_seconds, limit)
+    return (log.withWatermark("ts", watermark).groupBy("scope", "ip")
+            .applyInPandasWithState(fn, RATE_OUTPUT_SCHEMA, RATE_STATE_SCHEMA, "append", "EventTimeTimeout"))
