@@ -186,6 +186,9 @@ def sql_queries() -> dict[str, str]:
     from .oracle_model import sql_queries as _model
 
     q.update(_model())
+    from .oracle_extra import sql_queries as _extra
+
+    q.update(_extra())
     # streaming twins must equal their batch twins
     q["stream_rate_limit"] = q["rate_limit_breaches"]
     q["stream_latest_details"] = q["latest_details"]

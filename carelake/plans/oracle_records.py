@@ -90,13 +90,15 @@ GROUP BY {key}"""
 
 DASH_CTE = f"""
 dash AS (
-  SELECT a.id, a.patient_email, a.scheduled_for, coalesce(a.status, 'Pending') AS status, a.doctor_email,
+  SELECT a.id, a.patient_email, coalesce(u.full_name, a.patient_email) AS patient_name, a.scheduled_for,
+         coalesce(a.status, 'Pending') AS status, a.doctor_email,
          p.risk_level AS predicted_risk_level, t.level AS triage_level, coalesce(t.show_on_top, false) AS show_on_top,
          CASE WHEN a.scheduled_for >= {AS_OF} AND coalesce(a.status, 'Pending') IN ('Pending', 'Confirmed')
               THEN 'upcoming' ELSE 'past' END AS bucket,
          CASE coalesce(t.level, '') WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'Low' THEN 3
               WHEN 'Needs vitals' THEN 4 ELSE 9 END AS level_rank
-  FROM appointments a LEFT JOIN prisk p ON p.email = a.patient_email LEFT JOIN t_nt t ON t.email = a.patient_email),
+  FROM appointments a LEFT JOIN prisk p ON p.email = a.patient_email LEFT JOIN t_nt t ON t.email = a.patient_email
+  LEFT JOIN users u ON u.email = a.patient_email),
 up AS (SELECT * FROM dash WHERE bucket = 'upcoming' AND doctor_email IS NOT NULL AND doctor_email <> '')"""
 
 

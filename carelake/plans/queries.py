@@ -93,6 +93,9 @@ def registry() -> dict[str, Query]:
     from .queries_stream import registry_stream
 
     out.update(registry_stream())
+    from .queries_extra import registry_extra
+
+    out.update(registry_extra())
     return out
 
 
