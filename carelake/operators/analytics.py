@@ -90,30 +90,27 @@ def risk_share(kpis: DataFrame) -> DataFrame:
 def doctor_insights(appts: DataFrame, as_of, past: bool = False) -> DataFrame:
     """A3: first 5 high-risk, first 5 today (list order), 6 most recent, per doctor.
 
-    One pass: three row_numbers over the same doctor partitioning (one
-    shuffle), rows kept when they fall in any list, then one row per list.
+    Each list is ``row_number() <= k`` directly over its rows, which Spark plans
+    as a WindowGroupLimit (each map task forwards at most k rows per doctor),
+    so a doctor with a large share of appointments is not ranked in one task.
+    The shared input should be materialised by the caller when it is costly.
     """
     d = appts.filter(F.col("doctor_email").isNotNull() & (F.col("doctor_email") != "")).withColumn(
         "doctor_email", F.lower("doctor_email"))
     is_high = normalize_risk_label("predicted_risk_level") == "high"
     is_today = in_past_window(F.col("scheduled_for"), "today", as_of) if past else in_forward_window(
         F.col("scheduled_for"), "today", as_of)
-    d = d.withColumn("__high", is_high).withColumn("__today", is_today)
     order = [F.desc("scheduled_for"), F.desc("id")] if past else [F.asc("scheduled_for"), F.asc("id")]
     recent_key = F.col("scheduled_for") if past else F.coalesce(F.col("created_at"), F.col("scheduled_for"))
     w = Window.partitionBy("doctor_email")
-    d = (d.withColumn("__rn_high", F.row_number().over(w.orderBy(F.desc("__high"), *order)))
-         .withColumn("__rn_today", F.row_number().over(w.orderBy(F.desc("__today"), *order)))
-         .withColumn("__rn_recent", F.row_number().over(w.orderBy(recent_key.desc(), F.desc("id")))))
-    lists = F.array_compact(F.array(
-        F.when(F.col("__high") & (F.col("__rn_high") <= 5), F.struct(F.lit("high").alias("list"),
-                                                                      F.col("__rn_high").alias("rn"))),
-        F.when(F.col("__today") & (F.col("__rn_today") <= 5), F.struct(F.lit("today").alias("list"),
-                                                                        F.col("__rn_today").alias("rn"))),
-        F.when(F.col("__rn_recent") <= 6, F.struct(F.lit("recent").alias("list"), F.col("__rn_recent").alias("rn")))))
-    out = d.select("doctor_email", "id", "patient_email", "scheduled_for", F.explode(lists).alias("l"))
-    return out.select("doctor_email", F.col("l.list").alias("list"), F.col("l.rn").alias("rn"), "id",
-                      "patient_email", "scheduled_for")
+    cols = ["doctor_email", "list", "rn", "id", "patient_email", "scheduled_for"]
+
+    def top(frame, name, k, ordering):
+        r = frame.withColumn("rn", F.row_number().over(w.orderBy(*ordering))).filter(F.col("rn") <= k)
+        return r.withColumn("list", F.lit(name)).select(*cols)
+
+    return (top(d.filter(is_high), "high", 5, order).unionByName(top(d.filter(is_today), "today", 5, order))
+            .unionByName(top(d, "recent", 6, [recent_key.desc(), F.desc("id")])))
 
 
 def window_counts(appts: DataFrame, as_of) -> DataFrame:

@@ -35,3 +35,22 @@ def ordinal_among(df: DataFrame, order_col: str, cond: Column, out: str, partiti
     joined = local.join(offsets, on=parts + [blk], how="inner")
     return joined.withColumn(out, F.when(F.col(flag) == 1, F.col("__ord_off") + F.col("__ord_local"))).drop(
         flag, blk, "__ord_local", "__ord_off")
+
+
+def previous_in_key(df: DataFrame, key: str, ts_col: str, id_col: str, cols: list[str],
+                    block_seconds: int = 3600) -> DataFrame:
+    """Distributed ``lag``: attach ``prev_<c>`` (the key's previous row in
+    (ts, id) order) without a window partitioned by the key alone.
+
+    Rows get a per-key ordinal from ``ordinal_among`` over time blocks (work per
+    task bounded by one key's rows in one block), then each row is joined to
+    the row with ordinal - 1: the join key (key, ordinal) is unique per row, so
+    a key holding a large share of all rows does not concentrate in one task.
+    """
+    d = df.withColumn("__us", F.unix_micros(F.col(ts_col)))
+    d = ordinal_among(d, "__us", F.lit(True), "__ord", partition_cols=[key], block=block_seconds * 1_000_000,
+                      tiebreak=[id_col]).drop("__us")
+    prev = d.select(F.col(key).alias("__pk"), (F.col("__ord") + 1).alias("__pord"),
+                    *[F.col(c).alias(f"prev_{c}") for c in cols])
+    out = d.join(prev, (d[key] == prev["__pk"]) & (d["__ord"] == prev["__pord"]), "left")
+    return out.drop("__pk", "__pord")

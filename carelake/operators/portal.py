@@ -71,7 +71,8 @@ def leave_check(checks: DataFrame, ref: DataFrame, leaves: DataFrame, key: str,
     r = r.join(names, key, "left")
     msg = F.when(F.col("on_leave"), "Doctor is on leave for the selected date.").otherwise("Doctor is available.")
     return r.select(key, "on_leave", "leave_id", "leave_start", "leave_end",
-                    F.coalesce("emergency_names", F.lit("")).alias("emergency_doctors"), msg.alias("message"))
+                    F.coalesce("emergency_names", F.lit("")).alias("emergency_doctors"), "emergency_available",
+                    F.array_join("busy_emergency", ", ").alias("busy_emergency"), msg.alias("message"))
 
 
 def leaves_newest_first(leaves: DataFrame) -> DataFrame:

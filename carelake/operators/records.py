@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vitals as V
-from .ordinals import ordinal_among
+from .ordinals import ordinal_among, previous_in_key
 from .scoring import parse_details
 
 
@@ -208,9 +208,15 @@ def emergency_names_at(requests: DataFrame, key: str, when_col: str, ref: DataFr
     cand = cand.join(pairs, (cand["__k"] == pairs["__k"]) & (F.lower(cand["doctor_id"]) == pairs["__busy"]),
                      "left_anti")
     names = cand.groupBy("__k").agg(F.sort_array(F.collect_list(F.struct("__o", "doctor_name"))).alias("__l"))
-    return names.select(F.col("__k").alias(key),
-                        F.array_join(F.transform(F.slice("__l", 1, k), lambda x: x["doctor_name"]), ", ")
-                        .alias("emergency_names"))
+    busy_list = pairs.groupBy("__k").agg(F.array_sort(F.collect_set("__busy")).alias("busy_emergency"))
+    total = F.broadcast(docs.agg(F.count(F.lit(1)).alias("__tot")))  # one row
+    out = rq.select("__k").join(names, "__k", "left").join(busy_list, "__k", "left").crossJoin(total)
+    return out.select(
+        F.col("__k").alias(key),
+        F.coalesce(F.array_join(F.transform(F.slice("__l", 1, k), lambda x: x["doctor_name"]), ", "), F.lit(""))
+        .alias("emergency_names"),
+        F.coalesce("busy_emergency", F.array().cast("array<string>")).alias("busy_emergency"),
+        (F.col("__tot") - F.coalesce(F.size("busy_emergency"), F.lit(0))).cast("bigint").alias("emergency_available"))
 
 
 def booking_admission(requests: DataFrame, users: DataFrame, ref: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -324,11 +330,12 @@ def record_changes(submissions: DataFrame) -> DataFrame:
     """J17 / T3 batch twin: audit event per submission vs the previous one (lag).
 
     The first submission of a patient diffs against an empty document.  Only
-    submissions with at least one change produce an event.
+    submissions with at least one change produce an event.  The previous
+    version comes from ``previous_in_key`` (skew-safe distributed lag).
     """
     d = parse_details(submissions.filter(F.trim("email") != ""))
-    w = Window.partitionBy("email").orderBy("submitted_at", "id")
-    d = d.withColumn("prev", F.lag("d").over(w)).withColumn("prev_id", F.lag("id").over(w))
+    # distributed lag (see ordinals.previous_in_key): no window per patient
+    d = previous_in_key(d, "email", "submitted_at", "id", ["d", "id"]).withColumnRenamed("prev_d", "prev")
     d = d.withColumn("changes", F.when(F.col("prev").isNull(), field_changes(None, "d"))
                      .otherwise(field_changes("prev", "d")))
     return d.filter(F.size("changes") > 0).select(

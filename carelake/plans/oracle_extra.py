@@ -53,12 +53,16 @@ busy AS (SELECT DISTINCT c.id, l.doc FROM c JOIN vleaves l ON c.scheduled_for BE
 cand AS (SELECT c.id, d.doctor_name, d.o, row_number() OVER (PARTITION BY c.id ORDER BY d.o) AS rn
          FROM c CROSS JOIN (SELECT * FROM docs WHERE emergency) d
          WHERE NOT EXISTS (SELECT 1 FROM busy x WHERE x.id = c.id AND x.doc = lower(d.doctor_id))),
-names AS (SELECT id, string_agg(doctor_name, ', ' ORDER BY o) AS nm FROM cand WHERE rn <= 3 GROUP BY id)
+names AS (SELECT id, string_agg(doctor_name, ', ' ORDER BY o) AS nm FROM cand WHERE rn <= 3 GROUP BY id),
+bl AS (SELECT id, array_to_string(list_sort(list(doc)), ', ') AS busy, count(*) AS nb FROM busy GROUP BY id)
 SELECT c.id, b.leave_id IS NOT NULL AS on_leave, b.leave_id, b.leave_start, b.leave_end,
        coalesce(n.nm, '') AS emergency_doctors,
+       (SELECT count(*) FROM docs WHERE emergency) - coalesce(bl.nb, 0) AS emergency_available,
+       coalesce(bl.busy, '') AS busy_emergency,
        CASE WHEN b.leave_id IS NOT NULL THEN 'Doctor is on leave for the selected date.'
             ELSE 'Doctor is available.' END AS message
-FROM c LEFT JOIN b ON b.k = c.id LEFT JOIN names n ON n.id = c.id""", "appointments", "doctors_ref", "doctor_leaves")
+FROM c LEFT JOIN b ON b.k = c.id LEFT JOIN names n ON n.id = c.id LEFT JOIN bl ON bl.id = c.id""",
+        "appointments", "doctors_ref", "doctor_leaves")
     q["doctor_leaves_list"] = with_views(
         "SELECT id, doctor_email, start_at, end_at, row_number() OVER (PARTITION BY doctor_email "
         "ORDER BY start_at DESC, id DESC) AS rank_in_doctor FROM doctor_leaves", "doctor_leaves")

@@ -198,7 +198,11 @@ def q_risk_share(spark, sf):
 
 
 def q_doctor_insights(spark, sf):
-    return AN.doctor_insights(_upcoming(spark, sf), AS_OF)
+    # the scored upcoming list feeds three top-k lists: materialise it once in
+    # the shared checkpoint folder instead of scoring it three times
+    up = _upcoming(spark, sf).select("id", "patient_email", "scheduled_for", "doctor_email", "predicted_risk_level",
+                                     "created_at").checkpoint(eager=True)
+    return AN.doctor_insights(up, AS_OF)
 
 
 def q_date_window_counts(spark, sf):
