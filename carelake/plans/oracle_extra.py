@@ -144,4 +144,14 @@ FROM f WINDOW w AS (PARTITION BY email ORDER BY submitted_at, id ROWS BETWEEN UN
         f"WITH {clean_ctes('patients_raw')},{feature_ctes()},{TOP_PAIR_CTE}\n"
         f"SELECT 'PAIR_' || {S.safe('first_symptom')} || '_' || {S.safe('second_symptom')} AS column_name, "
         "first_symptom, second_symptom FROM top_pair", "patients_raw")
+    q["stream_scoring"] = with_views(
+        f"WITH {OS.patient_risk_prefix(per_submission=True)}\n"
+        "SELECT email, sub_id AS id, sub_at AS submitted_at, risk_level, risk_source, risk_booking_priority "
+        "FROM prisk", "submissions", "patients_raw")
+    q["feature_report"] = with_views(
+        f"WITH {clean_ctes('patients_raw')},{feature_ctes()},{TOP_PAIR_CTE},"
+        + __import__("carelake.plans.oracle", fromlist=["TOP_SYM_CTE"]).TOP_SYM_CTE.lstrip()
+        + "\nSELECT (SELECT count(*) FROM clean) AS input_rows, (SELECT count(*) FROM featg) AS output_rows, "
+        "CAST(40 + (SELECT count(*) FROM top_sym) + (SELECT count(*) FROM top_pair) AS INTEGER) AS total_columns",
+        "patients_raw")
     return q

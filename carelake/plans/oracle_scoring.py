@@ -198,7 +198,7 @@ def details_inputs_cte(nurse: bool) -> str:
     return f"""
 det AS (SELECT email, id, submitted_at, payload_json, {DETAILS_COLS} FROM latest),
 din AS (
-  SELECT email, d_symptoms, {age} AS age, coalesce(nullif(d_gender, ''), 'Other') AS gender,
+  SELECT email, id AS sub_id, submitted_at AS sub_at, d_symptoms, {age} AS age, coalesce(nullif(d_gender, ''), 'Other') AS gender,
          coalesce(d_symptoms, '') AS symptoms, d_glucose AS glucose, {gt} AS glucose_type,
          {s} AS systolic_bp, {d} AS diastolic_bp, d_bmi AS bmi
   FROM det)"""
@@ -313,12 +313,13 @@ NURSE_SELECT = (
     f"clin_group AS clinical_risk_group, {_j('notes')} AS notes")
 
 
-def patient_risk_ctes() -> str:
+def patient_risk_ctes(key: str = "email") -> str:
+    keys = "email, sub_id, sub_at" if key != "email" else "email"
     return f"""
 pr AS (
-  SELECT fin2.*, {qk_level_sql()} FROM fin2 LEFT JOIN qk USING (email)),
+  SELECT fin2.*, {qk_level_sql()} FROM fin2 LEFT JOIN qk USING ({key})),
 pr2 AS (
-  SELECT email, d_symptoms,
+  SELECT {keys}, d_symptoms,
     (age IS NOT NULL AND bmi IS NOT NULL AND glucose IS NOT NULL AND systolic_bp IS NOT NULL AND symptoms <> '')
       AS complete,
     CASE WHEN age IS NOT NULL AND symptoms <> '' THEN q_level END AS quick,
@@ -326,7 +327,7 @@ pr2 AS (
          ELSE 'Low' END AS norm, final_booking
   FROM pr),
 prisk AS (
-  SELECT email, d_symptoms,
+  SELECT {keys}, d_symptoms,
     CASE WHEN complete THEN CASE WHEN quick = 'High' AND norm <> 'High' THEN 'High' ELSE norm END
          WHEN quick IS NOT NULL THEN quick END AS risk_level,
     CASE WHEN complete THEN 'model' WHEN quick IS NOT NULL THEN 'quick' END AS risk_source,
@@ -343,10 +344,17 @@ def qk_level_sql() -> str:
     return "qk.q_level"
 
 
-def patient_risk_prefix() -> str:
-    """WITH body (no WITH keyword) computing ``prisk`` from submissions."""
-    return (f"{_ref_prefix()},{LATEST_CTE},{details_inputs_cte(False)},{live_ctes('din', 'email', True)},"
-            f"{rule_model_cte()},{quick_ctes('din', 'symptoms', 'email')},{patient_risk_ctes()}")
+def patient_risk_prefix(per_submission: bool = False) -> str:
+    """WITH body (no WITH keyword) computing ``prisk`` from submissions: the
+    latest document per patient, or every submission (T4 stream twin)."""
+    if per_submission:
+        src = ("latest AS (SELECT email, id, submitted_at, payload_json FROM submissions "
+               "WHERE trim(email) <> '')")
+        key = "sub_id"
+    else:
+        src, key = LATEST_CTE, "email"
+    return (f"{_ref_prefix()},{src},{details_inputs_cte(False)},{live_ctes('din', key, True)},"
+            f"{rule_model_cte()},{quick_ctes('din', 'symptoms', key)},{patient_risk_ctes(key)}")
 
 
 def sql_queries() -> dict[str, str]:
