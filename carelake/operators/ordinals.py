@@ -54,3 +54,33 @@ def previous_in_key(df: DataFrame, key: str, ts_col: str, id_col: str, cols: lis
                     *[F.col(c).alias(f"prev_{c}") for c in cols])
     out = d.join(prev, (d[key] == prev["__pk"]) & (d["__ord"] == prev["__pord"]), "left")
     return out.drop("__pk", "__pord")
+
+
+def last_non_null_in_key(df: DataFrame, key: str, ts_col: str, id_col: str, values: dict[str, Column],
+                         block_seconds: int = 3600) -> DataFrame:
+    """Distributed ``last(value, ignorenulls) OVER (PARTITION BY key ORDER BY ts, id
+    ROWS UNBOUNDED PRECEDING)`` for each named value expression.
+
+    Inside each (key, time block) a running last-non-null is computed; the
+    carry from earlier blocks comes from a per-(key, block) table of each
+    block's last non-null value (``max_by`` with a NULL ordering key for NULL
+    values), folded over blocks -- one row per key and block, never one task
+    per key.
+    """
+    blk = "__lnn_blk"
+    order = F.struct(F.col(ts_col), F.col(id_col))
+    d = df.withColumn(blk, F.floor(F.unix_seconds(F.col(ts_col)) / block_seconds))
+    for name, expr in values.items():
+        d = d.withColumn(f"__v_{name}", expr)
+    per_block = d.groupBy(key, blk).agg(*[
+        F.max_by(F.col(f"__v_{n}"), F.when(F.col(f"__v_{n}").isNotNull(), order)).alias(f"__b_{n}")
+        for n in values])
+    w_prev = Window.partitionBy(key).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_block.select(key, blk, *[F.last(f"__b_{n}", ignorenulls=True).over(w_prev).alias(f"__c_{n}")
+                                         for n in values])
+    w_in = Window.partitionBy(key, blk).orderBy(ts_col, id_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.select("*", *[F.last(f"__v_{n}", ignorenulls=True).over(w_in).alias(f"__l_{n}") for n in values])
+    out = local.join(carry, [key, blk], "inner")
+    for n in values:
+        out = out.withColumn(n, F.coalesce(F.col(f"__l_{n}"), F.col(f"__c_{n}")))
+    return out.drop(blk, *[f"__{p}_{n}" for p in ("v", "l", "c") for n in values])

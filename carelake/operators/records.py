@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vitals as V
-from .ordinals import ordinal_among, previous_in_key
+from .ordinals import last_non_null_in_key, ordinal_among, previous_in_key
 from .scoring import parse_details
 
 
@@ -408,13 +408,13 @@ def protected_form_fold(feed: DataFrame) -> DataFrame:
 
     A patient form keeps the previous stored glucose and blood_pressure; only
     clinical updates set them.  The ordered fold equals the last non-null value
-    written by a clinical row up to each row (``last(ignorenulls)`` over an
-    unbounded-preceding frame).  ``feed``: email, submitted_at, id, source,
-    glucose, blood_pressure.
+    written by a clinical row up to each row, computed with the blocked
+    carry-forward of ``ordinals.last_non_null_in_key`` (no window per patient).
+    ``feed``: email, submitted_at, id, source, glucose, blood_pressure.
     """
-    w = Window.partitionBy("email").orderBy("submitted_at", "id").rowsBetween(Window.unboundedPreceding, 0)
     clinical = F.col("source") == "clinical_update"
-    return feed.select(
-        "email", "submitted_at", "id", "source",
-        F.last(F.when(clinical, F.col("glucose")), ignorenulls=True).over(w).alias("stored_glucose"),
-        F.last(F.when(clinical, F.col("blood_pressure")), ignorenulls=True).over(w).alias("stored_blood_pressure"))
+    out = last_non_null_in_key(
+        feed, "email", "submitted_at", "id",
+        {"stored_glucose": F.when(clinical, F.col("glucose")),
+         "stored_blood_pressure": F.when(clinical, F.col("blood_pressure"))})
+    return out.select("email", "submitted_at", "id", "source", "stored_glucose", "stored_blood_pressure")

@@ -37,18 +37,11 @@ def _pair_fn(key, pdfs, state):
     if batch.empty:
         return
     batch = batch.sort_values(["submitted_at", "id"], kind="stable").reset_index(drop=True)
-    if state.exists:
-        last_id, _, last_json = state.get
-    else:
-        last_id, last_json = None, None
-    prev_ids, prev_docs = [], []
-    for _, row in batch.iterrows():
-        prev_ids.append(last_id)
-        prev_docs.append(last_json)
-        last_id, last_json = int(row["id"]), row["payload_json"]
-    state.update((last_id, batch["submitted_at"].iloc[-1], last_json))
-    batch["prev_id"] = pd.array(prev_ids, dtype="Int64")
-    batch["prev_json"] = prev_docs
+    last_id, last_json = (state.get[0], state.get[2]) if state.exists else (None, None)
+    # previous document = state for the first row, the row before for the rest
+    batch["prev_id"] = pd.array([last_id] + batch["id"].iloc[:-1].tolist(), dtype="Int64")
+    batch["prev_json"] = [last_json] + batch["payload_json"].iloc[:-1].tolist()
+    state.update((int(batch["id"].iloc[-1]), batch["submitted_at"].iloc[-1], batch["payload_json"].iloc[-1]))
     yield batch[["email", "id", "submitted_at", "payload_json", "prev_id", "prev_json"]]
 
 
