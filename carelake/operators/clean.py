@@ -67,18 +67,18 @@ def clean_patients(raw: DataFrame, order_col: str = "seq", approx: bool = False,
         df = df.withColumn("Disease", normalize_text("Disease"))
     stats = F.broadcast(global_stats(df, approx))  # one row
     df = df.crossJoin(stats)
-    for c in IMPUTED_COLUMNS:
-        if c in df.columns:
-            df = df.withColumn(c, F.coalesce(F.col(c), F.col(f"__med_{c}")))
-    if "Age" in df.columns:
-        df = df.withColumn("Age", F.bround("Age").cast("int"))
+    fills = {c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in IMPUTED_COLUMNS if c in df.columns}
+    if "Age" in fills:
+        fills["Age"] = F.bround(fills["Age"]).cast("int")
     if "Gender" in df.columns:
-        df = df.withColumn("Gender", standardize_gender("Gender"))
+        fills["Gender"] = standardize_gender("Gender")
     if "Symptoms" in df.columns:
-        df = df.withColumn("Symptoms", standardize_symptoms("Symptoms"))
-        df = df.withColumn("Symptom_Count", count_symptoms("Symptoms"))
+        fills["Symptoms"] = standardize_symptoms("Symptoms")
     if "Disease" in df.columns:
-        df = df.withColumn("Disease", F.coalesce("Disease", "__mode_Disease", F.lit("Unknown")))
+        fills["Disease"] = F.coalesce("Disease", "__mode_Disease", F.lit("Unknown"))
+    df = df.withColumns(fills)
+    if "Symptoms" in df.columns:
+        df = df.withColumn("Symptom_Count", count_symptoms("Symptoms"))
     if "Patient_ID" in df.columns:
         df = ordinal_among(df, order_col, F.col("Patient_ID").isNull(), "__new_id")
         df = df.withColumn("Patient_ID", F.bround(

@@ -65,9 +65,10 @@ def live_features(inputs: DataFrame, ref: dict[str, DataFrame] | None) -> DataFr
         V.score_of(V.BP_SCORE, F.col("bp.legacy_category")).alias("f_bp_severity"),
         V.clinical_risk(F.col("bp"), F.col("glu"), F.col("bmia"), F.col("f_symptom_count")).alias("clinical"),
     )
-    d = d.withColumn("f_symptom_severity", V.score_of(V.SYMPTOM_SCORE, "f_symptom_load_group"))
-    d = d.withColumn("f_vital_severity", (F.col("f_bmi_severity") + F.col("f_glucose_severity")
-                                          + F.col("f_bp_severity")).cast("int"))
+    d = d.withColumns({
+        "f_symptom_severity": V.score_of(V.SYMPTOM_SCORE, "f_symptom_load_group"),
+        "f_vital_severity": (F.col("f_bmi_severity") + F.col("f_glucose_severity") + F.col("f_bp_severity"))
+        .cast("int")})
     d = d.withColumn("f_overall_severity", (F.col("f_vital_severity") + F.col("f_symptom_severity")).cast("int"))
     if ref is not None:
         s, a, g = ref["symptom"], ref["age"], ref["gender"]
@@ -76,14 +77,13 @@ def live_features(inputs: DataFrame, ref: dict[str, DataFrame] | None) -> DataFr
                    "left").drop("ref_age_group", "ref_symptoms")
         d = d.join(g, (d["std_gender"] == g["ref_gender"]) & (d["std_symptoms"] == g["ref_symptoms"]),
                    "left").drop("ref_gender", "ref_symptoms")
-        for c in ("ref_symptom_freq", "ref_age_freq", "ref_gender_freq"):
-            d = d.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
+        d = d.withColumns({c: F.coalesce(F.col(c), F.lit(0))
+                           for c in ("ref_symptom_freq", "ref_age_freq", "ref_gender_freq")})
     else:
-        for c in ("ref_symptom_freq", "ref_age_freq", "ref_gender_freq"):
-            d = d.withColumn(c, F.lit(0))
-    d = d.withColumn("f_repeated_pattern", (F.col("ref_symptom_freq") >= 3).cast("int"))
-    d = d.withColumn("f_recurring_pattern",
-                     ((F.col("ref_age_freq") >= 2) | (F.col("ref_gender_freq") >= 2)).cast("int"))
+        d = d.withColumns({c: F.lit(0) for c in ("ref_symptom_freq", "ref_age_freq", "ref_gender_freq")})
+    d = d.withColumns({
+        "f_repeated_pattern": (F.col("ref_symptom_freq") >= 3).cast("int"),
+        "f_recurring_pattern": ((F.col("ref_age_freq") >= 2) | (F.col("ref_gender_freq") >= 2)).cast("int")})
     return d.withColumn("f_historical_score", (F.col("f_repeated_pattern") + F.col("f_recurring_pattern")).cast("int"))
 
 
@@ -179,7 +179,7 @@ def nurse_triage(inputs: DataFrame, ref: dict[str, DataFrame] | None) -> DataFra
     """N1-N9 over a table of inputs (vitals may be NULL)."""
     d = K.add_quick_risk(inputs, F.col("symptoms").cast("string"), "nq_")
     d = d.withColumn("n_tokens", symptom_tokens("symptoms"))
-    d = d.withColumn("n_joined", K.joined_tokens(F.col("n_tokens")))
+    d = d.withColumn("n_joined", K.joined_tokens(F.col("n_tokens")))  # tokens computed once, then joined
     toks = F.col("n_tokens")
     has = lambda p: K.symptom_has(F.col("n_joined"), p)
     age, s, dia, g, b = (F.col(c) for c in ("age", "systolic_bp", "diastolic_bp", "glucose", "bmi"))
@@ -283,12 +283,12 @@ def nurse_triage(inputs: DataFrame, ref: dict[str, DataFrame] | None) -> DataFra
         F.when(valid, F.col("f_historical_score")).alias("historical_pattern_score"),
         F.when(valid, notes).otherwise(F.array().cast("array<string>")).alias("notes"),
     )
-    return (res.withColumn("show_on_top", F.when(v, (F.size("emergency_alerts") > 0) | F.col("_urgent"))
-                           .otherwise(lv.isin("Critical", "High")))
-            .withColumn("appointment_recommendation", F.when(v, rec_valid).otherwise(rec_invalid))
-            .withColumn("priority", F.when(v, pri_valid).otherwise(pri_invalid))
-            .withColumn("nurse_comment", F.when(v, com_valid).otherwise(com_invalid))
-            .drop("_urgent"))
+    return res.withColumns({
+        "show_on_top": F.when(v, (F.size("emergency_alerts") > 0) | F.col("_urgent")).otherwise(
+            lv.isin("Critical", "High")),
+        "appointment_recommendation": F.when(v, rec_valid).otherwise(rec_invalid),
+        "priority": F.when(v, pri_valid).otherwise(pri_invalid),
+        "nurse_comment": F.when(v, com_valid).otherwise(com_invalid)}).drop("_urgent")
 
 
 # --------------------------------------------------- stored documents

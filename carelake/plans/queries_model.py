@@ -27,9 +27,13 @@ def q_class_weights(spark, sf):
 
 
 def q_confusion_matrix(spark, sf):
-    f, _ = _baseline_pairs(spark, sf)
-    labels = M.label_values(f, M.TARGET)
-    return M.confusion_matrix(f, M.TARGET, "baseline", labels)
+    # the (actual, predicted, n) table is k^2 rows: materialise it once, read the
+    # label list from it, and pivot it -- the feature pipeline runs one time
+    _, pairs = _baseline_pairs(spark, sf)
+    pairs = pairs.checkpoint(eager=True)
+    labels = M.label_values(pairs, "actual")
+    m = pairs.groupBy(F.col("actual").alias("Actual")).pivot("predicted", labels).agg(F.sum("n"))
+    return m.fillna(0, subset=labels).select("Actual", *[F.col(c).cast("bigint").alias(c) for c in labels])
 
 
 def q_metric_bundle(spark, sf):

@@ -25,27 +25,28 @@ def _details(spark, sf):
     return RC.health_details(VW.submissions(spark, sf))
 
 
-def patient_risk_table(spark, sf) -> DataFrame:
+def patient_risk_table(spark, sf, ref=None, details=None) -> DataFrame:
     """R14 once per patient (not per appointment)."""
-    r = SC.patient_risk(_details(spark, sf), _ref(spark, sf))
+    r = SC.patient_risk(details if details is not None else _details(spark, sf),
+                        ref if ref is not None else _ref(spark, sf))
     return r.select(F.col("email").alias("risk_email"), "risk_level", "risk_source", "risk_booking_priority",
                     F.col("submitted_at").alias("details_submitted_at"))
 
 
-def patient_triage_table(spark, sf) -> DataFrame:
+def patient_triage_table(spark, sf, ref=None, details=None) -> DataFrame:
     """N10 once per patient from the stored document."""
-    hd = _details(spark, sf)
+    hd = details if details is not None else _details(spark, sf)
     inp = SC.details_inputs(hd, nurse=True)
     t = SC.nurse_triage(inp.select("email", "age", "gender", "symptoms", "glucose", "glucose_type", "systolic_bp",
-                                   "diastolic_bp", "bmi"), _ref(spark, sf))
+                                   "diastolic_bp", "bmi"), ref if ref is not None else _ref(spark, sf))
     return t.select(F.col("email").alias("triage_email"), "triage_level", "show_on_top")
 
 
-def enriched_appointments(spark, sf) -> DataFrame:
+def enriched_appointments(spark, sf, ref=None, details=None) -> DataFrame:
     """Appointment + patient name + stored-document risk."""
     a = VW.appointments(spark, sf)
     u = VW.users(spark, sf).select(F.col("email").alias("u_email"), F.col("full_name").alias("u_name"))
-    r = patient_risk_table(spark, sf)
+    r = patient_risk_table(spark, sf, ref, details)
     d = a.join(u, a["patient_email"] == u["u_email"], "left").join(r, a["patient_email"] == r["risk_email"], "left")
     return d.select(
         "id", "patient_email", F.coalesce("u_name", "patient_email").alias("patient_name"), "scheduled_for",
@@ -60,8 +61,9 @@ def enriched_appointments(spark, sf) -> DataFrame:
 
 def dashboard_rows(spark, sf) -> DataFrame:
     """Enriched appointments + triage, bucketed at the fixed clock."""
-    e = enriched_appointments(spark, sf)
-    t = patient_triage_table(spark, sf)
+    ref, details = _ref(spark, sf), _details(spark, sf)  # one plan shared by risk and triage
+    e = enriched_appointments(spark, sf, ref, details)
+    t = patient_triage_table(spark, sf, ref, details)
     d = e.join(t, e["patient_email"] == t["triage_email"], "left").drop("triage_email")
     up = AN.upcoming_flag(F.col("scheduled_for"), F.col("status"), AS_OF)
     return d.withColumn("bucket", F.when(up, "upcoming").otherwise("past")).withColumn(
