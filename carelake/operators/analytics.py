@@ -158,3 +158,18 @@ def rank_newest_first(appts: DataFrame, key: str, out: str = "rank_in_key") -> D
     d = appts.withColumn("__neg_ts", -F.unix_seconds("scheduled_for")).withColumn("__neg_id", -F.col("id"))
     return ordinal_among(d, "__neg_ts", F.lit(True), out, partition_cols=[key], tiebreak=["__neg_id"]).drop(
         "__neg_ts", "__neg_id")
+
+
+def filtered_for_doctor(appts: DataFrame, as_of, risk: str = "all", window: str = "all",
+                        past: bool = False) -> DataFrame:
+    """A doctor's own rows (unassigned never shown), risk filter, date window,
+    ascending time (upcoming view) or descending (past view)."""
+    d = appts.filter(F.col("doctor_email").isNotNull() & (F.col("doctor_email") != "")).withColumn(
+        "doctor_email", F.lower("doctor_email"))
+    if risk != "all":
+        d = d.filter(normalize_risk_label("predicted_risk_level") == risk)
+    cond = in_past_window(F.col("scheduled_for"), window, as_of) if past else in_forward_window(
+        F.col("scheduled_for"), window, as_of)
+    d = d.filter(cond)
+    order = [F.desc("scheduled_for"), F.desc("id")] if past else [F.asc("scheduled_for"), F.asc("id")]
+    return d.orderBy("doctor_email", *order)

@@ -279,6 +279,10 @@ SELECT doctor_email, 'high' AS list, CAST(rn AS INTEGER) AS rn, id, patient_emai
 UNION ALL SELECT doctor_email, 'today', CAST(rn AS INTEGER), id, patient_email, scheduled_for FROM t WHERE rn <= 5
 UNION ALL SELECT doctor_email, 'recent', CAST(rn AS INTEGER), id, patient_email, scheduled_for FROM c WHERE rn <= 6""",
         *views_rt)
+    q["doctor_filtered"] = with_views(
+        RT + f"SELECT lower(doctor_email) AS doctor_email, id, patient_email, scheduled_for, predicted_risk_level "
+        f"FROM dash WHERE bucket = 'past' AND doctor_email IS NOT NULL AND doctor_email <> '' AND {nr} = 'high' "
+        f"AND {_past('scheduled_for', 30)}", *views_rt)
     wc = ", ".join(f"count(*) FILTER (WHERE {_fwd('scheduled_for', d)}) AS next_{k}, "
                    f"count(*) FILTER (WHERE {_past('scheduled_for', d)}) AS past_{k}"
                    for k, d in (("today", 1), ("7d", 7), ("30d", 30)))

@@ -207,6 +207,18 @@ def q_doctor_insights(spark, sf):
     return AN.doctor_insights(up, AS_OF)
 
 
+def q_doctor_filtered(spark, sf):
+    """A6 over the past view: high-risk rows of the last 30 days, newest first."""
+    # Filters on the derived risk label would be pushed down by substituting the
+    # whole scoring expression into scan predicates; the scored dashboard table
+    # is materialised first (shared checkpoint folder), then filtered.
+    d = dashboard_rows(spark, sf).select("id", "patient_email", "scheduled_for", "doctor_email",
+                                         "predicted_risk_level", "bucket").checkpoint(eager=True)
+    d = d.filter(F.col("bucket") == "past")
+    return AN.filtered_for_doctor(d, AS_OF, risk="high", window="30d", past=True).select(
+        "doctor_email", "id", "patient_email", "scheduled_for", "predicted_risk_level")
+
+
 def q_date_window_counts(spark, sf):
     return AN.window_counts(VW.appointments(spark, sf), AS_OF)
 
@@ -339,6 +351,7 @@ def registry_records():
         "risk_share": q_risk_share,
         "doctor_insights": q_doctor_insights,
         "date_window_counts": q_date_window_counts,
+        "doctor_filtered": q_doctor_filtered,
         "emergency_hours": q_emergency_hours,
         "registration_uniqueness": q_registration_uniqueness,
         "field_validation": q_field_validation,
