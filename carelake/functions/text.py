@@ -67,9 +67,33 @@ def split_trim(text: Column, pattern: str = SYMPTOM_SPLIT) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+SEP = "\x01"
+# Python's str.isspace() set: Unicode White_Space plus the \x1c-\x1f separators.
+PY_WS = "(?U)[\\s\\x1c-\\x1f]"
+
+
+def separated(text: Column, seps: str, ws: str = " ") -> Column:
+    """Split-strip-drop-empty as one string: parts joined by SEP, no lambdas.
+
+    ``seps`` is a character class body (e.g. ``,;|``); ``ws`` the characters a
+    part is stripped of.  Runs of separators (with surrounding whitespace)
+    become one SEP, leading/trailing ones vanish, so empty parts never appear.
+    """
+    edge = f"^(?:[{ws}{seps}])+|(?:[{ws}{seps}])+$"
+    inner = f"(?:[{ws}]*[{seps}]+[{ws}]*)+"
+    return F.regexp_replace(F.regexp_replace(text, edge, ""), inner, SEP)
+
+
+def sep_count(s: Column) -> Column:
+    """Number of parts of a ``separated`` string."""
+    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, SEP))).cast("int")
+
+
 def symptom_parts(c) -> Column:
     """Lower-cased, whitespace-normalised symptom parts of free text (may repeat)."""
-    return split_trim(normalize_text(c, True))
+    n = normalize_text(c, True)
+    s = separated(n, ",;|")
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, SEP))
 
 
 def standardize_symptoms(c) -> Column:
@@ -119,8 +143,20 @@ def strip_ws(c) -> Column:
     return F.btrim(_col(c), F.lit(STRIP_CHARS))
 
 
+def quick_parts(c) -> Column:
+    """Q1: parts split on , ; | newline, Python-stripped, joined by SEP (case kept)."""
+    return separated(F.coalesce(_col(c).cast("string"), F.lit("")), ",;|\\n", "\\s\\x1c-\\x1f\\x85\\xa0")
+
+
 def quick_tokens(c) -> Column:
     """Q1 + lower: tokens used by the keyword scan (split, strip, lower)."""
-    parts = F.transform(F.split(F.coalesce(_col(c), F.lit("")), SYMPTOM_SPLIT_NL),
-                        lambda x: F.lower(strip_ws(x)))
-    return F.filter(parts, lambda x: x != "")
+    s = F.lower(quick_parts(c))
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, SEP))
+
+
+def nurse_parts(c) -> Column:
+    """Q2: parts split on , ; | newline; inner whitespace runs -> one space; stripped; lower; SEP-joined."""
+    s = separated(F.coalesce(_col(c).cast("string"), F.lit("")), ",;|\\n", "\\s\\x1c-\\x1f\\x85\\xa0")
+    s = F.regexp_replace(s, r"(?U)[\s\x1c-\x1f]+", " ")
+    s = F.regexp_replace(F.regexp_replace(s, " ?\x01 ?", SEP), "^ | $", "")
+    return F.lower(s)

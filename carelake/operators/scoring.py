@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions import keywords as K
 from ..functions import vitals as V
-from ..functions.text import GENDER_CODES, split_symptoms, standardize_gender, standardize_symptoms, symptom_tokens
+from ..functions.text import (GENDER_CODES, SEP, nurse_parts, sep_count, split_symptoms, standardize_gender,
+                              standardize_symptoms)
 
 # Rank of the combined risk groups (model vs clinical).
 RISK_RANK = {"Low": 0, "Moderate": 1, "High": 2, "Critical": 3}
@@ -178,9 +179,8 @@ _DASH = "-"
 def nurse_triage(inputs: DataFrame, ref: dict[str, DataFrame] | None) -> DataFrame:
     """N1-N9 over a table of inputs (vitals may be NULL)."""
     d = K.add_quick_risk(inputs, F.col("symptoms").cast("string"), "nq_")
-    d = d.withColumn("n_tokens", symptom_tokens("symptoms"))
-    d = d.withColumn("n_joined", K.joined_tokens(F.col("n_tokens")))  # tokens computed once, then joined
-    toks = F.col("n_tokens")
+    d = d.withColumn("n_parts", nurse_parts("symptoms"))
+    d = d.withColumn("n_joined", F.concat(F.lit(SEP), F.col("n_parts"), F.lit(SEP)))  # no per-token lambdas
     has = lambda p: K.symptom_has(F.col("n_joined"), p)
     age, s, dia, g, b = (F.col(c) for c in ("age", "systolic_bp", "diastolic_bp", "glucose", "bmi"))
     errors = F.array_compact(F.array(
@@ -195,7 +195,7 @@ def nurse_triage(inputs: DataFrame, ref: dict[str, DataFrame] | None) -> DataFra
         F.when(b.isNull(), F.lit("BMI is missing.")),
         F.when((b <= 10) | (b > 60), F.lit(f"Invalid BMI (must be 10{_DASH}60).")),
     ))
-    n_sym = F.size(toks)
+    n_sym = sep_count(F.col("n_parts"))
     kw_high = F.col("nq_risk_level") == "High"
     sym_alerts = F.array_compact(F.array(
         F.when(has("unconscious") | has("unconsciousness"), F.lit("Critical condition: unconscious.")),
