@@ -60,3 +60,24 @@ def test_export_tables(spark, tmp_dir):
     df = spark.range(5).withColumn("x", F.col("id") * 2)
     out = FS.export_tables({"t1": df}, tmp_dir)
     assert os.path.isdir(out["t1"]) and spark.read.parquet(out["t1"]).count() == 5
+
+
+def test_appends(spark, tmp_dir):
+    """Submissions append (blank email dropped); J14: audit rows appended as JSON text."""
+    from carelake.operators import portal as P
+    from carelake.operators import records as RC
+
+    feed = spark.createDataFrame(
+        [(1, "a@x.com", "2024-01-01 00:00:00", '{"age": 30, "symptoms": "fever"}'),
+         (2, " ", "2024-01-02 00:00:00", '{"age": 31}'),
+         (3, "a@x.com", "2024-01-03 00:00:00", '{"age": 31, "symptoms": "fever"}')],
+        "id long, email string, submitted_at string, payload_json string").withColumn(
+        "submitted_at", F.col("submitted_at").cast("timestamp"))
+    P.append_submissions(feed, f"{tmp_dir}/subs")
+    P.append_submissions(feed.filter("id = 3"), f"{tmp_dir}/subs")
+    assert spark.read.parquet(f"{tmp_dir}/subs").count() == 3
+    events = RC.record_changes(feed)
+    P.append_history(events, f"{tmp_dir}/hist")
+    rows = {r.event_id: r for r in spark.read.parquet(f"{tmp_dir}/hist").collect()}
+    assert set(rows) == {1, 3}  # first submission diffs against {}, the third changes age
+    assert '"field":"age"' in rows[3].changes_json and '"age":"31"' in rows[3].after_json
