@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vitals as V
 from .ordinals import last_non_null_in_key, ordinal_among, previous_in_key
 from .scoring import parse_details
 

@@ -11,8 +11,8 @@ from ..operators import portal as P
 from ..operators import records as RC
 from ..operators import scoring as SC
 from ..sources import views as VW
-from .queries import _clean, _featured, _j
-from .queries_records import AS_OF, dashboard_rows, enriched_appointments
+from .queries import _clean, _featured
+from .queries_records import AS_OF, dashboard_rows
 
 
 def q_probability_bars(spark, sf):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keywords import normalize_risk_label
 from ..operators import accounts as AC
 from ..operators import analytics as AN
 from ..operators import records as RC
