@@ -65,9 +65,11 @@ def clean_patients(raw: DataFrame, order_col: str = "seq", approx: bool = False,
     df = coerce_numeric(raw)
     if "Disease" in df.columns:
         df = df.withColumn("Disease", normalize_text("Disease"))
-    stats = F.broadcast(global_stats(df, approx))  # one row
-    df = df.crossJoin(stats)
-    fills = {c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in IMPUTED_COLUMNS if c in df.columns}
+    # one aggregate row, used through scalar subqueries (Spark merges them into
+    # one aggregate pass and hands each value to the tasks as a literal)
+    stats = global_stats(df, approx)
+    scalar = {c: stats.select(c).scalar() for c in stats.columns}
+    fills = {c: F.coalesce(F.col(c), scalar[f"__med_{c}"]) for c in IMPUTED_COLUMNS if c in df.columns}
     if "Age" in fills:
         fills["Age"] = F.bround(fills["Age"]).cast("int")
     if "Gender" in df.columns:
@@ -75,14 +77,14 @@ def clean_patients(raw: DataFrame, order_col: str = "seq", approx: bool = False,
     if "Symptoms" in df.columns:
         fills["Symptoms"] = standardize_symptoms("Symptoms")
     if "Disease" in df.columns:
-        fills["Disease"] = F.coalesce("Disease", "__mode_Disease", F.lit("Unknown"))
+        fills["Disease"] = F.coalesce(F.col("Disease"), scalar["__mode_Disease"], F.lit("Unknown"))
     df = df.withColumns(fills)
     if "Symptoms" in df.columns:
         df = df.withColumn("Symptom_Count", count_symptoms("Symptoms"))
     if "Patient_ID" in df.columns:
         df = ordinal_among(df, order_col, F.col("Patient_ID").isNull(), "__new_id")
         df = df.withColumn("Patient_ID", F.bround(
-            F.coalesce(F.col("Patient_ID"), F.coalesce(F.col("__max_id"), F.lit(0.0)) + F.col("__new_id"))
+            F.coalesce(F.col("Patient_ID"), F.coalesce(scalar["__max_id"], F.lit(0.0)) + F.col("__new_id"))
         ).cast("bigint"))
     if "Gender" in df.columns:
         df = df.withColumn("Gender_Encoded", gender_code("Gender"))
@@ -95,10 +97,9 @@ def clean_patients(raw: DataFrame, order_col: str = "seq", approx: bool = False,
 
 def clean_report(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
     """Rows in, rows out, duplicates removed (duplicates only come from C13)."""
-    n_in = raw.agg(F.count(F.lit(1)).alias("input_rows"))
-    n_out = cleaned.agg(F.count(F.lit(1)).alias("output_rows"))
-    return n_in.crossJoin(n_out).select(
-        "input_rows", "output_rows", (F.col("input_rows") - F.col("output_rows")).alias("duplicates_removed"))
+    n_out = cleaned.agg(F.count(F.lit(1))).scalar()
+    return raw.agg(F.count(F.lit(1)).alias("input_rows")).select(
+        "input_rows", n_out.alias("output_rows"), (F.col("input_rows") - n_out).alias("duplicates_removed"))
 
 
 def null_profile(df: DataFrame) -> DataFrame:

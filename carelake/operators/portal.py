@@ -90,10 +90,10 @@ def leave_admission(requests: DataFrame, existing: DataFrame) -> DataFrame:
     r = requests.withColumn("reject_reason", reason)
     r = ordinal_among(r, "request_id", F.col("reject_reason").isNull(), "__n",
                       tiebreak=["doctor_email", "start_at", "end_at"])
-    top = F.broadcast(existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__max")))  # one row
-    return r.crossJoin(top).select(
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()  # next id base (J32)
+    return r.select(
         "request_id", F.col("reject_reason").isNull().alias("accepted"), "reject_reason",
-        F.when(F.col("reject_reason").isNull(), F.col("__max") + F.col("__n")).alias("new_leave_id"),
+        F.when(F.col("reject_reason").isNull(), top + F.col("__n")).alias("new_leave_id"),
         F.lower(F.trim("doctor_email")).alias("doctor_email"), "start_at", "end_at")
 
 

@@ -208,14 +208,14 @@ def emergency_names_at(requests: DataFrame, key: str, when_col: str, ref: DataFr
                      "left_anti")
     names = cand.groupBy("__k").agg(F.sort_array(F.collect_list(F.struct("__o", "doctor_name"))).alias("__l"))
     busy_list = pairs.groupBy("__k").agg(F.array_sort(F.collect_set("__busy")).alias("busy_emergency"))
-    total = F.broadcast(docs.agg(F.count(F.lit(1)).alias("__tot")))  # one row
-    out = rq.select("__k").join(names, "__k", "left").join(busy_list, "__k", "left").crossJoin(total)
+    total = docs.agg(F.count(F.lit(1))).scalar()  # roster size, one value
+    out = rq.select("__k").join(names, "__k", "left").join(busy_list, "__k", "left")
     return out.select(
         F.col("__k").alias(key),
         F.coalesce(F.array_join(F.transform(F.slice("__l", 1, k), lambda x: x["doctor_name"]), ", "), F.lit(""))
         .alias("emergency_names"),
         F.coalesce("busy_emergency", F.array().cast("array<string>")).alias("busy_emergency"),
-        (F.col("__tot") - F.coalesce(F.size("busy_emergency"), F.lit(0))).cast("bigint").alias("emergency_available"))
+        (total - F.coalesce(F.size("busy_emergency"), F.lit(0))).cast("bigint").alias("emergency_available"))
 
 
 def booking_admission(requests: DataFrame, users: DataFrame, ref: DataFrame, leaves: DataFrame) -> DataFrame:

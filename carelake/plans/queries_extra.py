@@ -116,11 +116,11 @@ def q_report_facts(spark, sf):
     f = _featured(spark, sf).withColumn("Risk_Level", M.derive_risk_level(F.col("Age"), F.col("Symptom_Count")))
     model_rows = f.dropna(subset=["Risk_Level", "Age", "Symptom_Count"])
     n = model_rows.groupBy("Risk_Level").agg(F.count(F.lit(1)).alias("n"))
-    test = n.agg(F.sum(F.bround(F.col("n") * 0.2)).cast("bigint").alias("test_rows"))
-    base = f.agg(F.count(F.lit(1)).alias("feature_rows")).crossJoin(
-        model_rows.agg(F.count(F.lit(1)).alias("model_rows"))).crossJoin(test)
-    return base.select("feature_rows", "model_rows", (F.col("feature_rows") - F.col("model_rows")).alias("dropped_rows"),
-                       "test_rows", (F.col("model_rows") - F.col("test_rows")).alias("train_rows"))
+    test = n.agg(F.sum(F.bround(F.col("n") * 0.2)).cast("bigint")).scalar()
+    kept = model_rows.agg(F.count(F.lit(1))).scalar()
+    return f.agg(F.count(F.lit(1)).alias("feature_rows")).select(
+        "feature_rows", kept.alias("model_rows"), (F.col("feature_rows") - kept).alias("dropped_rows"),
+        test.alias("test_rows"), (kept - test).alias("train_rows"))
 
 
 def q_form_symptom_counts(spark, sf):

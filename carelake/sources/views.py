@@ -157,10 +157,10 @@ def submissions_from(events: DataFrame) -> DataFrame:
 
 def appointments(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
-    # One-row aggregate: broadcast is bounded by construction.
-    n_sup = F.broadcast(read_table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("_n_sup")))
+    # scalar subquery: the supplier count is computed once and used as a value
+    n_sup = read_table(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
     ok = F.col("o_orderkey")
-    return o.crossJoin(n_sup).select(
+    return o.select(
         ok.alias("id"),
         F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@example.com")).alias("patient_email"),
         (F.col("o_orderdate") + F.make_dt_interval(hours=(ok % 24).cast("int"))).alias("scheduled_for"),
@@ -169,7 +169,7 @@ def appointments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ok % 4 == 0, F.lit("")).otherwise(F.col("o_orderpriority")).alias("reason"),
         F.when(ok % 2 == 0, "General checkup").otherwise("Follow-up").alias("appointment_type"),
         F.when(ok % 7 == 0, F.lit(None).cast("string")).otherwise(
-            F.concat(F.lit("s"), (ok % F.col("_n_sup")).cast("string"), F.lit("@example.com"))).alias("doctor_email"),
+            F.concat(F.lit("s"), (ok % n_sup).cast("string"), F.lit("@example.com"))).alias("doctor_email"),
     )
 
 
