@@ -28,19 +28,34 @@ RISK_RANK = {"Low": 0, "Moderate": 1, "High": 2, "Critical": 3}
 LIVE_INPUTS = ["age", "gender", "symptoms", "glucose", "glucose_type", "systolic_bp", "diastolic_bp", "bmi"]
 
 
-def reference_frequencies(featured: DataFrame) -> dict[str, DataFrame]:
-    """Profile counts of the reference feature table (grouped, pre-aggregated)."""
-    ref = featured.select(standardize_symptoms("Symptoms").alias("ref_symptoms"),
-                          F.col("Age_Group").alias("ref_age_group"), F.col("Gender").alias("ref_gender"))
-    n = F.count(F.lit(1)).cast("int")
-    return {
-        "symptom": ref.groupBy("ref_symptoms").agg(n.alias("ref_symptom_freq")),
-        "age": ref.groupBy("ref_age_group", "ref_symptoms").agg(n.alias("ref_age_freq")),
-        "gender": ref.groupBy("ref_gender", "ref_symptoms").agg(n.alias("ref_gender_freq")),
-    }
-
-
-def live_features(inputs: DataFrame, ref: dict[str, DataFrame] | None) -> DataFrame:
+# Label domains of the batch age groups (F11) and standardised genders.
+AGE_GROUPS = ["Child", "Young", "Adult", "Middle_Age", "Senior"]
+GENDERS = ["Female", "Male", "Other"]
+
+
+def reference_frequencies(featured: DataFrame) -> DataFrame:
+    """Profile counts of the reference feature table, all three granularities
+    in ONE grouped table keyed by the symptom profile.
+
+    Age group and gender have fixed label domains, so the (age group, profile)
+    and (gender, profile) counts are conditional counts of the same aggregate:
+    the feature table is read once, pre-aggregated map-side, and joined once.
+    """
+    ref = featured.select(standardize_symptoms("Symptoms").alias("ref_symptoms"), "Age_Group", "Gender")
+    aggs = [F.count(F.lit(1)).cast("int").alias("ref_symptom_freq")]
+    aggs += [F.count_if(F.col("Age_Group") == g).cast("int").alias(f"ref_age_{g}") for g in AGE_GROUPS]
+    aggs += [F.count_if(F.col("Gender") == g).cast("int").alias(f"ref_gender_{g}") for g in GENDERS]
+    return ref.groupBy("ref_symptoms").agg(*aggs)
+
+
+def _pick(label: Column, prefix: str, domain: list[str]) -> Column:
+    expr = None
+    for g in domain:
+        expr = F.when(label == g, F.col(f"{prefix}{g}")) if expr is None else expr.when(label == g, F.col(f"{prefix}{g}"))
+    return expr
+
+
+def live_features(inputs: DataFrame, ref: DataFrame | None) -> DataFrame:
     """Model feature row + clinical assessment for every input row."""
     d = inputs.select(
         "*",
@@ -71,14 +86,12 @@ def live_features(inputs: DataFrame, ref: dict[str, DataFrame] | None) -> DataFr
         .cast("int")})
     d = d.withColumn("f_overall_severity", (F.col("f_vital_severity") + F.col("f_symptom_severity")).cast("int"))
     if ref is not None:
-        s, a, g = ref["symptom"], ref["age"], ref["gender"]
-        d = d.join(s, d["std_symptoms"] == s["ref_symptoms"], "left").drop("ref_symptoms")
-        d = d.join(a, (d["f_age_group"] == a["ref_age_group"]) & (d["std_symptoms"] == a["ref_symptoms"]),
-                   "left").drop("ref_age_group", "ref_symptoms")
-        d = d.join(g, (d["std_gender"] == g["ref_gender"]) & (d["std_symptoms"] == g["ref_symptoms"]),
-                   "left").drop("ref_gender", "ref_symptoms")
-        d = d.withColumns({c: F.coalesce(F.col(c), F.lit(0))
-                           for c in ("ref_symptom_freq", "ref_age_freq", "ref_gender_freq")})
+        d = d.join(ref, d["std_symptoms"] == ref["ref_symptoms"], "left")
+        d = d.withColumns({
+            "ref_symptom_freq": F.coalesce(F.col("ref_symptom_freq"), F.lit(0)),
+            "ref_age_freq": F.coalesce(_pick(F.col("f_age_group"), "ref_age_", AGE_GROUPS), F.lit(0)),
+            "ref_gender_freq": F.coalesce(_pick(F.col("std_gender"), "ref_gender_", GENDERS), F.lit(0))})
+        d = d.drop("ref_symptoms", *[f"ref_age_{g}" for g in AGE_GROUPS], *[f"ref_gender_{g}" for g in GENDERS])
     else:
         d = d.withColumns({c: F.lit(0) for c in ("ref_symptom_freq", "ref_age_freq", "ref_gender_freq")})
     d = d.withColumns({
@@ -163,7 +176,7 @@ def keyword_override(df: DataFrame, symptoms: str = "symptoms") -> DataFrame:
     return d.drop(*[c for c in d.columns if c.startswith("kq_")])
 
 
-def score(inputs: DataFrame, ref: dict[str, DataFrame] | None, predictor: Predictor = rule_predictor,
+def score(inputs: DataFrame, ref: DataFrame | None, predictor: Predictor = rule_predictor,
           override: bool = True) -> DataFrame:
     """R12 core: live features -> model -> final group -> keyword override."""
     scored = combine_groups(predictor(model_frame(live_features(inputs, ref))))
@@ -175,7 +188,7 @@ def score(inputs: DataFrame, ref: dict[str, DataFrame] | None, predictor: Predic
 _DASH = "-"
 
 
-def nurse_triage(inputs: DataFrame, ref: dict[str, DataFrame] | None) -> DataFrame:
+def nurse_triage(inputs: DataFrame, ref: DataFrame | None) -> DataFrame:
     """N1-N9 over a table of inputs (vitals may be NULL)."""
     d = K.add_quick_risk(inputs, F.col("symptoms").cast("string"), "nq_")
     d = d.withColumn("n_tokens", symptom_tokens("symptoms"))
@@ -328,7 +341,7 @@ def details_inputs(df: DataFrame, d: str = "d", nurse: bool = False) -> DataFram
                      F.col(f"{d}.bmi").alias("bmi"))
 
 
-def patient_risk(details: DataFrame, ref: dict[str, DataFrame] | None, predictor: Predictor = rule_predictor,
+def patient_risk(details: DataFrame, ref: DataFrame | None, predictor: Predictor = rule_predictor,
                  d: str = "d") -> DataFrame:
     """3-level risk from a stored document (model path, quick path or none)."""
     inp = details_inputs(details, d)

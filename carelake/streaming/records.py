@@ -62,7 +62,7 @@ def audit_events_stream(subs: DataFrame) -> DataFrame:
         F.col("submitted_at").alias("changed_at"), "changes")
 
 
-def scoring_stream(subs: DataFrame, ref: dict[str, DataFrame]) -> DataFrame:
+def scoring_stream(subs: DataFrame, ref: DataFrame) -> DataFrame:
     """T4: every submission scored as it arrives (stateless + stream-static joins)."""
     d = SC.parse_details(subs.filter(F.trim("email") != ""))
     r = SC.patient_risk(d, ref)
