@@ -16,7 +16,8 @@ DEFAULT_BLOCK = 1 << 20
 
 
 def ordinal_among(df: DataFrame, order_col: str, cond: Column, out: str, partition_cols: list[str] | None = None,
-                  block: int = DEFAULT_BLOCK, tiebreak: list[str] | None = None) -> DataFrame:
+                  block: int = DEFAULT_BLOCK, tiebreak: list[str] | None = None,
+                  total_out: str | None = None) -> DataFrame:
     """Add ``out`` = 1-based rank of each row satisfying ``cond`` in ``order_col``
     order (within ``partition_cols`` if given); NULL for rows not satisfying it.
 
@@ -28,7 +29,11 @@ def ordinal_among(df: DataFrame, order_col: str, cond: Column, out: str, partiti
     d = df.withColumn(flag, F.when(cond, 1).otherwise(0)).withColumn(blk, F.floor(F.col(order_col) / block))
     counts = d.groupBy(*parts, blk).agg(F.sum(flag).alias("__ord_n"))
     w_off = Window.partitionBy(*parts).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*parts, blk, F.coalesce(F.sum("__ord_n").over(w_off), F.lit(0)).alias("__ord_off"))
+    extra = []
+    if total_out:  # rows satisfying cond in the whole partition, from the same block counts
+        extra = [F.sum("__ord_n").over(Window.partitionBy(*parts)).alias(total_out)]
+    offsets = counts.select(*parts, blk, F.coalesce(F.sum("__ord_n").over(w_off), F.lit(0)).alias("__ord_off"),
+                            *extra)
     order = [F.col(order_col)] + [F.col(c) for c in (tiebreak or [])]
     w_in = Window.partitionBy(*parts, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = d.withColumn("__ord_local", F.sum(flag).over(w_in))
