@@ -63,7 +63,7 @@ def q_model_evaluation(spark, sf):
 
 def q_model_scoring(spark, sf):
     """R8-R12 with the fitted logistic regression as predictor (rows-only check)."""
-    model, _, _ = _fitted(spark, sf)
+    model = M.fit_final(FE.feature_table(_clean(spark, sf)), max_iter=100)
     ref = SC.reference_frequencies(_featured(spark, sf))
     s = SC.score(VW.score_requests(spark, sf), ref, predictor=M.model_predictor(model))
     return s.select("request_id", "model_risk_group", F.col("clinical.risk_group").alias("clinical_risk_group"),
