@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import messages as MSG
 from .text import normalize_text
 
+G = MSG.GLUCOSE_ALERTS
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -115,10 +118,8 @@ def bp_assessment(systolic, diastolic) -> Column:
         pick("Low", "High", "High", "Prehypertension", "Prehypertension", "Normal").alias("legacy_category"),
         pick(F.lit(2), F.lit(4), F.lit(3), F.lit(2), F.lit(1), F.lit(0)).cast("int").alias("severity_points"),
         pick(F.lit(False), F.lit(True), F.lit(False), F.lit(False), F.lit(False), F.lit(False)).alias("urgent_flag"),
-        pick(_arr("Blood pressure is below 90/60 mmHg."), _arr("Blood pressure is above 180/120 mmHg."),
-             _arr("Blood pressure is in the Stage 2 hypertension range."),
-             _arr("Blood pressure is in the Stage 1 hypertension range."),
-             _arr("Blood pressure is elevated above normal."), _empty()).alias("medical_alerts"),
+        pick(*[_arr(MSG.BP_ALERTS[k]) for k in ("low", "severe", "stage2", "stage1", "elevated")], _empty())
+        .alias("medical_alerts"),
     )
 
 
@@ -153,10 +154,9 @@ def glucose_assessment(glucose, glucose_type) -> Column:
         pick("Low", "Low", "Normal", "Prediabetes", "High", "Normal", "Prediabetes", "High").alias("legacy_category"),
         pick(*[F.lit(v) for v in (4, 3, 0, 1, 3, 0, 1, 3)]).cast("int").alias("severity_points"),
         pick(*[F.lit(v) for v in (True, False, False, False, False, False, False, False)]).alias("urgent_flag"),
-        pick(_arr("Glucose is below 54 mg/dL."), _arr("Glucose is below 70 mg/dL."), _empty(),
-             _arr("Fasting glucose is in the prediabetes range."), _arr("Fasting glucose is in the diabetes range."),
-             _empty(), _arr("Random glucose is elevated but not by itself diagnostic for diabetes."),
-             _arr("Random glucose is in the diabetes range.")).alias("medical_alerts"),
+        pick(_arr(G["severe_low"]), _arr(G["low"]), _empty(), _arr(G["fasting_prediabetes"]),
+             _arr(G["fasting_diabetes"]), _empty(), _arr(G["random_elevated"]), _arr(G["random_diabetes"]))
+        .alias("medical_alerts"),
         F.when(valid, t).alias("glucose_type"),
         F.when(~valid | t.isNull(), F.lit(GLUCOSE_TYPE_ERROR)).alias("error"),
     )

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keywords as K
+from ..functions import messages as MSG
 from ..functions import vitals as V
 from ..functions.text import GENDER_CODES, split_symptoms, standardize_gender, standardize_symptoms, symptom_tokens
 
@@ -185,7 +186,8 @@ def score(inputs: DataFrame, ref: DataFrame | None, predictor: Predictor = rule_
 
 # ------------------------------------------------------------- nurse rules
 
-_DASH = "-"
+NV = MSG.NURSE_VALIDATION
+EA = MSG.EMERGENCY_ALERTS
 
 
 def nurse_triage(inputs: DataFrame, ref: DataFrame | None) -> DataFrame:
@@ -197,24 +199,22 @@ def nurse_triage(inputs: DataFrame, ref: DataFrame | None) -> DataFrame:
     has = lambda p: K.symptom_has(F.col("n_joined"), p)
     age, s, dia, g, b = (F.col(c) for c in ("age", "systolic_bp", "diastolic_bp", "glucose", "bmi"))
     errors = F.array_compact(F.array(
-        F.when((age <= 0) | (age > 120), F.lit(f"Invalid age (must be 1{_DASH}120).")),
-        F.when(s.isNull() | dia.isNull(), F.lit("Blood pressure is missing.")),
-        F.when(s.isNotNull() & dia.isNotNull() & ((s < 50) | (s > 250)), F.lit(f"Invalid systolic BP (must be 50{_DASH}250).")),
-        F.when(s.isNotNull() & dia.isNotNull() & ((dia < 30) | (dia > 150)),
-               F.lit(f"Invalid diastolic BP (must be 30{_DASH}150).")),
-        F.when(g.isNull(), F.lit("Glucose is missing.")),
-        F.when(g <= 0, F.lit("Invalid glucose (must be > 0).")),
-        F.when(g > 1200, F.lit("Invalid glucose (value too high).")),
-        F.when(b.isNull(), F.lit("BMI is missing.")),
-        F.when((b <= 10) | (b > 60), F.lit(f"Invalid BMI (must be 10{_DASH}60).")),
+        F.when((age <= 0) | (age > 120), F.lit(NV["age"])),
+        F.when(s.isNull() | dia.isNull(), F.lit(NV["bp_missing"])),
+        F.when(s.isNotNull() & dia.isNotNull() & ((s < 50) | (s > 250)), F.lit(NV["systolic"])),
+        F.when(s.isNotNull() & dia.isNotNull() & ((dia < 30) | (dia > 150)), F.lit(NV["diastolic"])),
+        F.when(g.isNull(), F.lit(NV["glucose_missing"])),
+        F.when(g <= 0, F.lit(NV["glucose_low"])),
+        F.when(g > 1200, F.lit(NV["glucose_high"])),
+        F.when(b.isNull(), F.lit(NV["bmi_missing"])),
+        F.when((b <= 10) | (b > 60), F.lit(NV["bmi"])),
     ))
     n_sym = F.size(toks)
     kw_high = F.col("nq_risk_level") == "High"
     sym_alerts = F.array_compact(F.array(
-        F.when(has("unconscious") | has("unconsciousness"), F.lit("Critical condition: unconscious.")),
-        F.when(has("chest pain") & has("shortness of breath"),
-               F.lit("Possible heart attack: chest pain + shortness of breath.")),
-        F.when(n_sym >= 5, F.lit("Severe symptom load (5+ symptoms).")),
+        F.when(has("unconscious") | has("unconsciousness"), F.lit(EA["unconscious"])),
+        F.when(has("chest pain") & has("shortness of breath"), F.lit(EA["heart"])),
+        F.when(n_sym >= 5, F.lit(EA["load"])),
     ))
     d = d.select("*", errors.alias("validation_errors"), n_sym.cast("int").alias("n_symptom_count"),
                  kw_high.alias("keyword_high"), sym_alerts.alias("symptom_alerts"),
@@ -226,9 +226,9 @@ def nurse_triage(inputs: DataFrame, ref: DataFrame | None) -> DataFrame:
     full = live_features(full_in, ref)
     bp_cat, glu_cat = F.col("bp.clinical_category"), F.col("glu.clinical_category")
     vital_alerts = F.array_compact(F.array(
-        F.when((s > 180) | (dia > 120), F.lit("Hypertensive crisis (BP > 180/120).")),
-        F.when(g < 54, F.lit("Severe hypoglycemia (glucose < 54 mg/dL).")),
-        F.when(g > 300, F.lit("Severe hyperglycemia (glucose > 300 mg/dL).")),
+        F.when((s > 180) | (dia > 120), F.lit(EA["crisis"])),
+        F.when(g < 54, F.lit(EA["hypo"])),
+        F.when(g > 300, F.lit(EA["hyper"])),
     ))
     alerts_valid = F.concat(F.col("symptom_alerts"), vital_alerts)
     lvl_valid = (F.when(F.size(alerts_valid) > 0, "Critical")
@@ -240,41 +240,36 @@ def nurse_triage(inputs: DataFrame, ref: DataFrame | None) -> DataFrame:
     level = F.when(valid, lvl_valid).otherwise(lvl_invalid)
     stage = bp_cat.isin("Stage 1 Hypertension", "Stage 2 Hypertension", "Severe Hypertension")
     tags_valid = F.array_sort(F.array_distinct(F.array_compact(F.array(
-        F.when(F.col("infection"), F.lit("Infection suspected")),
-        F.when(F.col("has_headache") & stage, F.lit("Hypertension-related")),
-        F.when(F.col("has_fatigue") & (glu_cat == "Diabetes Range"), F.lit("Diabetes-related")),
-        F.when(F.col("n_symptom_count") >= 4, F.lit("Multi-system issue")),
+        F.when(F.col("infection"), F.lit(MSG.TAGS["infection"])),
+        F.when(F.col("has_headache") & stage, F.lit(MSG.TAGS["hypertension"])),
+        F.when(F.col("has_fatigue") & (glu_cat == "Diabetes Range"), F.lit(MSG.TAGS["diabetes"])),
+        F.when(F.col("n_symptom_count") >= 4, F.lit(MSG.TAGS["multi"])),
     ))))
-    tags_invalid = F.array_compact(F.array(F.when(F.col("infection"), F.lit("Infection suspected"))))
+    tags_invalid = F.array_compact(F.array(F.when(F.col("infection"), F.lit(MSG.TAGS["infection"]))))
     lv = F.col("triage_level")
-    rec_valid = (F.when(lv == "Critical", f"Immediate (0{_DASH}10 mins)").when(lv == "High", "Within 1 hour")
-                 .when(lv == "Moderate", "Same day").otherwise("Normal booking"))
-    pri_valid = (F.when(lv == "Critical", "Immediate emergency review recommended")
-                 .when(lv == "High", "Urgent consultation").when(lv == "Moderate", "Priority follow-up")
-                 .otherwise("Normal booking"))
-    com_valid = (F.when(lv == "Critical", "Escalate immediately and follow emergency protocol.")
-                 .when(lv == "High", "Fast-track for urgent evaluation and document vitals + key symptoms.")
-                 .when(lv == "Moderate", "Schedule same-day review; monitor symptoms and recheck vitals if needed.")
-                 .otherwise("Proceed with normal workflow; provide standard precautions and follow-up guidance."))
-    rec_invalid = (F.when(lv == "Critical", f"Immediate (0{_DASH}10 mins)")
-                   .when(lv == "High", "Within 1 hour (vitals ASAP)").otherwise("Vitals required"))
-    pri_invalid = (F.when(lv == "Critical", "Immediate attention").when(lv == "High", "Urgent consultation (symptoms)")
-                   .otherwise("Vitals required"))
-    com_invalid = (F.when(lv == "Critical", "Escalate immediately and follow emergency protocol.")
-                   .when(lv == "High", "High-risk symptoms present. Capture vitals urgently and fast-track for review.")
-                   .otherwise("Complete vitals entry to enable full triage."))
+
+    def by_level(texts: dict, levels: tuple) -> Column:
+        expr = None
+        for k in levels:
+            expr = F.when(lv == k, texts[k]) if expr is None else expr.when(lv == k, texts[k])
+        return expr.otherwise(texts["other"])
+
+    rec_valid = by_level(MSG.RECOMMENDATION_VALID, ("Critical", "High", "Moderate"))
+    pri_valid = by_level(MSG.PRIORITY_VALID, ("Critical", "High", "Moderate"))
+    com_valid = by_level(MSG.COMMENT_VALID, ("Critical", "High", "Moderate"))
+    rec_invalid = by_level(MSG.RECOMMENDATION_INVALID, ("Critical", "High"))
+    pri_invalid = by_level(MSG.PRIORITY_INVALID, ("Critical", "High"))
+    com_invalid = by_level(MSG.COMMENT_INVALID, ("Critical", "High"))
+    sg = MSG.SUGGESTIONS_VALID
     sugg_valid = F.array_compact(F.array(
-        F.when(g < 70, F.lit("If confirmed low glucose, provide fast-acting carbohydrate per protocol and recheck.")),
-        F.when(F.col("has_fever"), F.lit("Supportive care and temperature monitoring per protocol.")),
-        F.when(stage, F.lit("Recheck BP after rest using correct cuff size and positioning.")),
+        F.when(g < 70, F.lit(sg["low_glucose"])),
+        F.when(F.col("has_fever"), F.lit(sg["fever"])),
+        F.when(stage, F.lit(sg["bp"])),
     ))
-    sugg_invalid = F.array(F.lit("Confirm vitals using correct equipment and technique."),
-                           F.lit("If the patient looks unwell or symptoms are worrying, escalate per clinic protocol."))
+    sugg_invalid = F.array(*[F.lit(x) for x in MSG.SUGGESTIONS_INVALID])
     notes = F.array_compact(F.array(
-        F.when(F.col("f_repeated_pattern") == 1,
-               F.lit("Recurring symptom pattern seen in the reference dataset (pattern match).")),
-        F.when(F.col("f_historical_score") >= 2,
-               F.lit("Reference patterns suggest a possible chronic trend (not a diagnosis).")),
+        F.when(F.col("f_repeated_pattern") == 1, F.lit(MSG.NOTES["repeated"])),
+        F.when(F.col("f_historical_score") >= 2, F.lit(MSG.NOTES["chronic"])),
     ))
     v = F.col("valid")
     res = full.select(
