@@ -93,3 +93,34 @@ NOTES = {
     "repeated": "Recurring symptom pattern seen in the reference dataset (pattern match).",
     "chronic": "Reference patterns suggest a possible chronic trend (not a diagnosis).",
 }
+
+# Account validation messages (J35), in check order.
+ACCOUNT_ERRORS = {
+    "phone_length": "Phone number must be exactly 10 digits.",
+    "phone_digits": "Phone number must contain digits only (0-9).",
+    "email": "Invalid email format.",
+    "name_length": "Full name must be 2-100 characters long.",
+    "name_chars": "Full name must contain only letters and spaces.",
+    "role": "Invalid role selected.",
+    "email_taken": "An account with this email already exists.",
+    "phone_taken": "An account with this phone number already exists.",
+}
+
+# Booking and cancellation outcomes.
+BOOKING_ERRORS = {
+    "no_patient": "Patient account not found.",
+    "doctor_on_leave": "Selected doctor is on leave for that date.",
+    "emergency_prefix": " Emergency doctors: ",
+    "no_appointment": "Appointment not found.",
+    "not_cancellable": "This appointment cannot be cancelled.",
+    "past": "Past appointments cannot be cancelled.",
+    "cancel_prefix": "Cancelled: ",
+}
+
+# Leave check and leave request messages.
+LEAVE_MESSAGES = {
+    "on_leave": "Doctor is on leave for the selected date.",
+    "available": "Doctor is available.",
+    "own_calendar": "Doctors can only update their own leave calendar.",
+    "end_before_start": "Leave end time must be after start time.",
+}

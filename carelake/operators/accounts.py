@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.messages import ACCOUNT_ERRORS
 from .ordinals import ordinal_among
 from .records import email_error, name_error, phone_error, role_error
 
@@ -79,9 +80,9 @@ def registration_uniqueness(batch: DataFrame, store: DataFrame, order_col: str =
     reason = F.coalesce(
         F.col("__fmt"),
         F.when(F.col("__se") | (F.col("__first_e") < F.col(order_col)),
-               F.lit("An account with this email already exists.")),
+               F.lit(ACCOUNT_ERRORS["email_taken"])),
         F.when(F.col("__sp") | (F.col("__first_p") < F.col(order_col)),
-               F.lit("An account with this phone number already exists.")))
+               F.lit(ACCOUNT_ERRORS["phone_taken"])))
     return b.select(order_col, F.col("__email").alias("email"), F.col("__phone").alias("phone"),
                     reason.isNull().alias("accepted"), reason.alias("reject_reason"))
 

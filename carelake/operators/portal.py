@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.messages import LEAVE_MESSAGES
 from .accounts import safe_role
 from .ordinals import ordinal_among
 from .records import emergency_names_at, leave_for, phone_error
@@ -69,7 +70,7 @@ def leave_check(checks: DataFrame, ref: DataFrame, leaves: DataFrame, key: str,
     r = leave_for(checks, leaves, key, doctor_col, when_col)
     names = emergency_names_at(r, key, when_col, ref, leaves)
     r = r.join(names, key, "left")
-    msg = F.when(F.col("on_leave"), "Doctor is on leave for the selected date.").otherwise("Doctor is available.")
+    msg = F.when(F.col("on_leave"), LEAVE_MESSAGES["on_leave"]).otherwise(LEAVE_MESSAGES["available"])
     return r.select(key, "on_leave", "leave_id", "leave_start", "leave_end",
                     F.coalesce("emergency_names", F.lit("")).alias("emergency_doctors"), "emergency_available",
                     F.array_join("busy_emergency", ", ").alias("busy_emergency"), msg.alias("message"))
@@ -85,8 +86,8 @@ def leaves_newest_first(leaves: DataFrame) -> DataFrame:
 def leave_admission(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """J25 (+ J32 ids): own calendar, end >= start; accepted rows get max(id)+n."""
     own = F.lower(F.trim("requester_email")) == F.lower(F.trim("doctor_email"))
-    reason = (F.when(~own, "Doctors can only update their own leave calendar.")
-              .when(F.col("end_at") < F.col("start_at"), "Leave end time must be after start time."))
+    reason = (F.when(~own, LEAVE_MESSAGES["own_calendar"])
+              .when(F.col("end_at") < F.col("start_at"), LEAVE_MESSAGES["end_before_start"]))
     r = requests.withColumn("reject_reason", reason)
     r = ordinal_among(r, "request_id", F.col("reject_reason").isNull(), "__n",
                       tiebreak=["doctor_email", "start_at", "end_at"])

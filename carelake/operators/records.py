@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.messages import ACCOUNT_ERRORS as AE
+from ..functions.messages import BOOKING_ERRORS as BE
 from .ordinals import last_non_null_in_key, ordinal_among, previous_in_key
 from .scoring import parse_details
 
@@ -160,25 +162,24 @@ NAME_RE = r"^[A-Za-z]+(?: [A-Za-z]+)*$"
 def phone_error(phone: Column) -> Column:
     """J35 normalize_phone: NULL when valid, else the error text."""
     raw = F.trim(F.coalesce(phone, F.lit("")))
-    return (F.when(raw == "", "Phone number must be exactly 10 digits.")
-            .when(~raw.rlike(r"^\d+$"), "Phone number must contain digits only (0-9).")
-            .when(~raw.rlike(PHONE_RE), "Phone number must be exactly 10 digits."))
+    return (F.when(raw == "", AE["phone_length"]).when(~raw.rlike(r"^\d+$"), AE["phone_digits"])
+            .when(~raw.rlike(PHONE_RE), AE["phone_length"]))
 
 
 def email_error(email: Column) -> Column:
     e = F.lower(F.trim(F.coalesce(email, F.lit(""))))
-    return F.when((e == "") | (F.length(e) > 254) | ~e.rlike(EMAIL_RE), "Invalid email format.")
+    return F.when((e == "") | (F.length(e) > 254) | ~e.rlike(EMAIL_RE), AE["email"])
 
 
 def name_error(name: Column) -> Column:
     n = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)\s+", " "))
-    return (F.when((F.length(n) < 2) | (F.length(n) > 100), "Full name must be 2-100 characters long.")
-            .when(~n.rlike(NAME_RE), "Full name must contain only letters and spaces."))
+    return (F.when((F.length(n) < 2) | (F.length(n) > 100), AE["name_length"])
+            .when(~n.rlike(NAME_RE), AE["name_chars"]))
 
 
 def role_error(role: Column) -> Column:
     return F.when(~F.lower(F.trim(F.coalesce(role, F.lit("")))).isin("patient", "nurse", "doctor"),
-                  "Invalid role selected.")
+                  AE["role"])
 
 
 def emergency_names_at(requests: DataFrame, key: str, when_col: str, ref: DataFrame, leaves: DataFrame,
@@ -231,11 +232,11 @@ def booking_admission(requests: DataFrame, users: DataFrame, ref: DataFrame, lea
     emer = emergency_names_at(r.filter("on_leave"), "request_id", "scheduled_for", ref, leaves)
     r = r.join(emer, "request_id", "left")
     perr = phone_error(F.col("contact_info"))
-    reason = (F.when(F.col("__prole").isNull() | (F.col("__prole") != "patient"), F.lit("Patient account not found."))
+    reason = (F.when(F.col("__prole").isNull() | (F.col("__prole") != "patient"), F.lit(BE["no_patient"]))
               .when(F.col("doctor_email").isNotNull() & F.col("on_leave"),
-                    F.concat(F.lit("Selected doctor is on leave for that date."),
+                    F.concat(F.lit(BE["doctor_on_leave"]),
                              F.when(F.coalesce(F.col("emergency_names"), F.lit("")) != "",
-                                    F.concat(F.lit(" Emergency doctors: "), F.col("emergency_names"), F.lit(".")))
+                                    F.concat(F.lit(BE["emergency_prefix"]), F.col("emergency_names"), F.lit(".")))
                              .otherwise(F.lit(""))))
               .when(perr.isNotNull(), perr))
     accepted = reason.isNull()
@@ -262,15 +263,15 @@ def cancel_admission(requests: DataFrame, appointments: DataFrame, users: DataFr
     r = requests.withColumn("__pe", F.lower(F.trim("patient_email"))).join(u, "__pe", "left")
     r = r.join(a, "appointment_id", "left")
     st = F.lower(F.coalesce("__status", F.lit("Pending")))
-    reason = (F.when(F.col("__prole").isNull() | (F.col("__prole") != "patient"), F.lit("Patient account not found."))
+    reason = (F.when(F.col("__prole").isNull() | (F.col("__prole") != "patient"), F.lit(BE["no_patient"]))
               .when(F.col("__owner").isNull() | (F.lower(F.trim("__owner")) != F.col("__pe")),
-                    F.lit("Appointment not found."))
-              .when(st.isin("cancelled", "canceled", "completed"), F.lit("This appointment cannot be cancelled."))
-              .when(F.col("__when") < now, F.lit("Past appointments cannot be cancelled.")))
+                    F.lit(BE["no_appointment"]))
+              .when(st.isin("cancelled", "canceled", "completed"), F.lit(BE["not_cancellable"]))
+              .when(F.col("__when") < now, F.lit(BE["past"])))
     accepted = reason.isNull()
     cr = F.trim(F.coalesce("cancel_reason", F.lit("")))
     existing = F.trim(F.coalesce("__notes", F.lit("")))
-    prefix = F.concat(F.lit("Cancelled: "), cr)
+    prefix = F.concat(F.lit(BE["cancel_prefix"]), cr)
     new_notes = F.when(cr != "", F.substring(F.when(existing == "", prefix).otherwise(
         F.concat(existing, F.lit("\n"), prefix)), 1, 1000))
     return r.select(
