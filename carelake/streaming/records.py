@@ -17,7 +17,7 @@ from ..operators import records as RC
 from ..operators import scoring as SC
 
 PAIR_SCHEMA = ("email STRING, id BIGINT, submitted_at TIMESTAMP, payload_json STRING, prev_id BIGINT, "
-               "prev_json STRING")
+               "prev_json STRING, late BOOLEAN")
 LAST_DOC_SCHEMA = "last_id BIGINT, last_ts TIMESTAMP, last_json STRING"
 
 
@@ -37,12 +37,23 @@ def _pair_fn(key, pdfs, state):
     if batch.empty:
         return
     batch = batch.sort_values(["submitted_at", "id"], kind="stable").reset_index(drop=True)
-    last_id, last_json = (state.get[0], state.get[2]) if state.exists else (None, None)
-    # previous document = state for the first row, the row before for the rest
-    batch["prev_id"] = pd.array([last_id] + batch["id"].iloc[:-1].tolist(), dtype="Int64")
-    batch["prev_json"] = [last_json] + batch["payload_json"].iloc[:-1].tolist()
-    state.update((int(batch["id"].iloc[-1]), batch["submitted_at"].iloc[-1], batch["payload_json"].iloc[-1]))
-    yield batch[["email", "id", "submitted_at", "payload_json", "prev_id", "prev_json"]]
+    if state.exists:
+        last_id, last_ts, last_json = state.get
+    else:
+        last_id, last_ts, last_json = None, None, None
+    # a submission older than the stored latest version arrived too late to be
+    # diffed in order: it goes to the late output and leaves the state alone
+    late = (batch["submitted_at"] < pd.Timestamp(last_ts)) if last_ts is not None else pd.Series(False, index=batch.index)
+    on_time = batch[~late].reset_index(drop=True)
+    out = [batch[late].assign(prev_id=pd.array([None] * int(late.sum()), dtype="Int64"), prev_json=None, late=True)]
+    if not on_time.empty:
+        on_time["prev_id"] = pd.array([last_id] + on_time["id"].iloc[:-1].tolist(), dtype="Int64")
+        on_time["prev_json"] = [last_json] + on_time["payload_json"].iloc[:-1].tolist()
+        on_time["late"] = False
+        state.update((int(on_time["id"].iloc[-1]), on_time["submitted_at"].iloc[-1], on_time["payload_json"].iloc[-1]))
+        out.append(on_time)
+    yield pd.concat(out, ignore_index=True)[["email", "id", "submitted_at", "payload_json", "prev_id", "prev_json",
+                                             "late"]]
 
 
 def consecutive_pairs_stream(subs: DataFrame) -> DataFrame:
@@ -51,9 +62,15 @@ def consecutive_pairs_stream(subs: DataFrame) -> DataFrame:
     return s.groupBy("email").applyInPandasWithState(_pair_fn, PAIR_SCHEMA, LAST_DOC_SCHEMA, "append", "NoTimeout")
 
 
+def late_submissions_stream(subs: DataFrame) -> DataFrame:
+    """T3 late sink: submissions older than the patient's already-processed latest version."""
+    return consecutive_pairs_stream(subs).filter("late").select("email", "id", "submitted_at", "payload_json")
+
+
 def audit_events_stream(subs: DataFrame) -> DataFrame:
-    """Audit event per changed submission (same diff as ``records.record_changes``)."""
-    p = consecutive_pairs_stream(subs)
+    """Audit event per changed submission (same diff as ``records.record_changes``);
+    late submissions are left out here and appear in ``late_submissions_stream``."""
+    p = consecutive_pairs_stream(subs).filter(~F.col("late"))
     p = SC.parse_details(p, "payload_json", "d")
     p = SC.parse_details(p, "prev_json", "prev")
     changes = F.when(F.col("prev_json").isNull(), RC.field_changes(None, "d")).otherwise(RC.field_changes("prev", "d"))

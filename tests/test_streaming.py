@@ -53,3 +53,29 @@ def test_latest_details_stream_update(spark, tmp_dir):
     q.awaitTermination()
     got = {r.email: r.id for r in spark.table("latest_test").collect()}
     assert got == {"a@x.com": 2, "b@x.com": 3}
+
+
+def test_audit_stream_routes_late_submissions(spark, tmp_dir):
+    from carelake.streaming.records import audit_events_stream, late_submissions_stream
+
+    schema = "id long, email string, submitted_at timestamp, payload_json string"
+    src = f"{tmp_dir}/feed"
+
+    def write(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+
+    def run(builder, out, ckpt):
+        q = (builder(spark.readStream.schema(schema).parquet(src)).writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    d1, d2, d3 = (dt.datetime(2024, 1, d) for d in (1, 5, 3))
+    write([(1, "a@x.com", d1, '{"age": 30}'), (2, "a@x.com", d2, '{"age": 31}')])
+    for b, name in ((audit_events_stream, "ev"), (late_submissions_stream, "late")):
+        run(b, f"{tmp_dir}/{name}", f"{tmp_dir}/{name}_ck")
+    write([(3, "a@x.com", d3, '{"age": 32}')])  # older than the stored version (day 5)
+    for b, name in ((audit_events_stream, "ev"), (late_submissions_stream, "late")):
+        run(b, f"{tmp_dir}/{name}", f"{tmp_dir}/{name}_ck")
+    ev = {r.event_id: r.prev_id for r in spark.read.parquet(f"{tmp_dir}/ev").collect()}
+    late = [r.id for r in spark.read.parquet(f"{tmp_dir}/late").collect()]
+    assert ev == {1: None, 2: 1} and late == [3]
