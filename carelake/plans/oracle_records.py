@@ -137,11 +137,33 @@ sub0 AS (
   SELECT *, lag(payload_json) OVER (PARTITION BY email ORDER BY submitted_at, id) AS prev_json,
          lag(id) OVER (PARTITION BY email ORDER BY submitted_at, id) AS prev_id
   FROM submissions WHERE trim(email) <> ''),
-ev0 AS (SELECT email AS patient_email, id AS event_id, prev_id, submitted_at AS changed_at,
+ev0 AS (SELECT email AS patient_email, id AS event_id, prev_id, submitted_at AS changed_at, payload_json, prev_json,
                list_filter({lst}, lambda c: c IS NOT NULL) AS ch FROM sub0),
 ev AS (SELECT * FROM ev0 WHERE len(ch) > 0)"""
 
 
+_SNAP_TYPES = {"age": "INTEGER", "symptom_count": "INTEGER", "height_cm": "DOUBLE", "weight_kg": "DOUBLE",
+               "bmi": "DOUBLE", "average_sleep_hours": "DOUBLE", "glucose": "DOUBLE"}
+
+
+def _snapshot_json(src: str) -> str:
+    """J19 snapshot as the JSON text Spark's to_json writes for a string map."""
+    items = []
+    for f in TRACKED_FIELDS:
+        if f in _SNAP_TYPES:
+            v = f"CAST(TRY_CAST(json_extract({src}, '$.{f}') AS {_SNAP_TYPES[f]}) AS VARCHAR)"
+        else:
+            v = f"json_extract_string({src}, '$.{f}')"
+        items.append(f"CASE WHEN {v} IS NOT NULL AND {v} <> '' THEN '\"{f}\":\"' || {v} || '\"' END")
+    return "('{' || array_to_string(list_filter([" + ", ".join(items) + "]::VARCHAR[], lambda x: x IS NOT NULL), ',') || '}')"
+
+
+def _changes_json() -> str:
+    item = ("'{\"field\":\"' || c.field || '\"' || CASE WHEN c.\"from\" IS NOT NULL THEN ',\"from\":\"' || c.\"from\" "
+            "|| '\"' ELSE '' END || CASE WHEN c.\"to\" IS NOT NULL THEN ',\"to\":\"' || c.\"to\" || '\"' ELSE '' END || '}'")
+    return f"('[' || array_to_string(list_transform(ch, lambda c: {item}), ',') || ']')"
+
+
 def sql_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     L = OS.LATEST_CTE
@@ -223,6 +245,12 @@ FROM dec""", "appointments", "users")
         f"WITH {ev} SELECT patient_email, event_id, prev_id, changed_at, "
         "array_to_string(list_transform(ch, lambda c: c.field), ', ') AS changed_fields, "
         "CAST(len(ch) AS INTEGER) AS n_changes FROM ev", "submissions")
+    q["history_rows"] = with_views(
+        f"WITH {ev} SELECT patient_email, event_id, changed_at, patient_email AS changed_by_email, "
+        "'patient' AS changed_by_role, 'patient_form' AS source, "
+        f"{_changes_json()} AS changes_json, CASE WHEN prev_json IS NULL THEN '{{}}' ELSE "
+        f"{_snapshot_json('prev_json')} END AS before_json, {_snapshot_json('payload_json')} AS after_json FROM ev",
+        "submissions")
     q["history_topn"] = with_views(
         f"WITH {ev}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY patient_email ORDER BY changed_at DESC, "
         "event_id DESC) AS INTEGER) AS rn FROM ev) SELECT patient_email, event_id, changed_at, rn, "
