@@ -65,10 +65,11 @@ def clean_patients(raw: DataFrame, order_col: str = "seq", approx: bool = False,
     df = coerce_numeric(raw)
     if "Disease" in df.columns:
         df = df.withColumn("Disease", normalize_text("Disease"))
-    # one aggregate row, used through scalar subqueries (Spark merges them into
-    # one aggregate pass and hands each value to the tasks as a literal)
+    # one aggregate row, used as a single struct-valued scalar subquery (computed
+    # once, each statistic read from it as a value in the tasks)
     stats = global_stats(df, approx)
-    scalar = {c: stats.select(c).scalar() for c in stats.columns}
+    one = stats.select(F.struct(*stats.columns).alias("s")).scalar()  # one subquery, one aggregate pass
+    scalar = {c: one[c] for c in stats.columns}
     fills = {c: F.coalesce(F.col(c), scalar[f"__med_{c}"]) for c in IMPUTED_COLUMNS if c in df.columns}
     if "Age" in fills:
         fills["Age"] = F.bround(fills["Age"]).cast("int")
