@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from carelake.llm.common import read_documents
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from carelake.llm.ngram_join import join_report
+
+    return join_report(read_documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from carelake.llm.exact import duplicate_report
 
