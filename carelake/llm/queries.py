@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from carelake.llm.common import read_documents
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from carelake.llm.packing import packing_report
+
+    return packing_report(read_documents(spark, sf_dir))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from carelake.llm.tokenfile import token_file_report
+
+    return token_file_report(spark, sf_dir)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from carelake.llm.ngram_join import join_report
 
