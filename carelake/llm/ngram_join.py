@@ -183,8 +183,9 @@ def similarity_groups(docs: DataFrame, percent: int = MIN_PERCENT, key: str = "d
         *[F.first(f"p{i}").alias(f"p{i}") for i in range(SKETCH_LONGS)]), "op3-classes")
     signs = some.select("node", F.explode("signs").alias("sign"))
     shared = signs.groupBy("sign").agg(F.min("node").alias("center"), F.max("node").alias("last"))
-    members = stored(signs.join(shared.where("center < last").select("sign", "center"), "sign").distinct(),
-                     "op3-members")
+    # Signatures are many more than their table's file size suggests: never broadcast them.
+    members = stored(signs.hint("merge").join(shared.where("center < last").select("sign", "center").hint("merge"),
+                                              "sign").distinct(), "op3-members")
     stars = members.where("node > center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     seen = _linked(first, classes, rows, percent, "op3-first")
