@@ -218,3 +218,60 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from carelake.sources.tables import table_path
 
     return spark.read.parquet(table_path(sf_dir, "documents"))
+
+
+FILTER_BITS_PER_KEY = 16
+MAX_FILTER_BITS = 1 << 29
+
+
+def bits_for(rows: int) -> int:
+    """Bits of a Bloom filter for ``rows`` keys: a power of two within fixed bounds."""
+    return min(MAX_FILTER_BITS, max(1 << 16, 1 << (max(1, rows) * FILTER_BITS_PER_KEY - 1).bit_length()))
+
+
+def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    low, high = hashes & U64(0xFFFFFFFF), hashes >> U64(32)
+    return [((low + U64(i) * high) & U64(bits - 1)).astype(np.int64) for i in range(3)]
+
+
+def perhaps_in(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test for membership in ``keys`` (one bigint column without nulls) that errs
+    only towards true: a Bloom filter of at most 64 MiB, broadcast.  It spares
+    rows a shuffle; the join behind it decides."""
+    bits = bits_for(keys.count())
+
+    def build(batches):
+        own = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            hashes = mix(np.asarray(batch.column(0)).view(U64))
+            for at in _places(hashes, bits):
+                np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        pieces = own.reshape(-1, min(len(own), 1 << 13))
+        used = np.flatnonzero(pieces.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()),
+                                          pa.array([pieces[i].tobytes() for i in used], pa.binary())], ["at", "own"])
+
+    def merge(batches):
+        whole: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(x, np.uint8)
+                whole[i] = whole[i] | x if i in whole else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(whole), pa.int32()),
+                                          pa.array([x.tobytes() for x in whole.values()], pa.binary())], ["at", "own"])
+
+    schema = "at int, own binary"
+    packed = np.zeros((-(-bits // (8 << 13)), min(bits // 8, 1 << 13)), np.uint8)
+    for row in keys.mapInArrow(build, schema).repartition("at").mapInArrow(merge, schema).toLocalIterator():
+        packed[row.at] = np.frombuffer(row.own, np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(packed.reshape(-1))
+
+    def probe(values: pa.Array) -> pa.Array:
+        hashes = mix(np.asarray(pc.fill_null(values, 0)).view(U64))
+        found = np.ones(len(hashes), bool)
+        for at in _places(hashes, bits):
+            found &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return pa.array(found & values.is_valid().to_numpy(zero_copy_only=False))
+
+    probe.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(probe, "boolean").asNondeterministic()
