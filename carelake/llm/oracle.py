@@ -13,5 +13,51 @@ FROM d WINDOW w AS (PARTITION BY h)
 """
 
 
+OP7 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS draw
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS most,
+         [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight,
+         row_number() OVER (ORDER BY source NULLS LAST) AS place
+  FROM d GROUP BY source
+), v AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+             - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s WINDOW o AS (ORDER BY most / weight, place)
+), l AS (
+  SELECT min_by(level, (most / weight, place)) AS level FROM v WHERE most / weight >= level
+), t AS (
+  SELECT source, source_size, least(most, coalesce((SELECT level FROM l), 0) * weight) AS target FROM s
+), u AS (
+  SELECT t.*, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t
+), r AS (
+  SELECT d.*, u.source_size, u.target, u.whole, u.target - u.whole * u.source_size AS rest,
+         left(draw, 3) AS block
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
+), b AS (
+  SELECT source, block, sum(size) AS words,
+         coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY block
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM r GROUP BY source, block
+), k AS (
+  SELECT r.source, r.block, r.draw, b.before
+         + coalesce(sum(sum(r.size)) OVER (PARTITION BY r.source, r.block ORDER BY r.draw
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(r.size) / 2.0 AS middle
+  FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source AND r.block = b.block
+  GROUP BY r.source, r.block, r.draw, b.before
+)
+SELECT r.doc_id, r.size::BIGINT AS size, r.source_size, r.target,
+       (r.size * (r.whole + CASE WHEN b.before + b.words <= r.rest THEN 1
+                                 WHEN b.before < r.rest AND k.middle <= r.rest THEN 1 ELSE 0 END))::BIGINT AS taken,
+       r.source
+FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source AND r.block = b.block
+       JOIN k ON r.source IS NOT DISTINCT FROM k.source AND r.draw = k.draw
+"""
+
+
 def sql_queries() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4}
+    return {"op4_exact_dedup": OP4, "op7_source_mixing": OP7}
