@@ -33,6 +33,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_report(read_documents(spark, sf_dir))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from carelake.llm.secrets import secret_report
+
+    return secret_report(read_documents(spark, sf_dir))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from carelake.llm.mixing import mix_report
 
