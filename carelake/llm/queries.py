@@ -51,6 +51,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(read_documents(spark, sf_dir))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from carelake.llm.pii import pii_report
+
+    return pii_report(read_documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from carelake.llm.quality import quality_report
 
