@@ -13,6 +13,32 @@ FROM d WINDOW w AS (PARTITION BY h)
 """
 
 
+OP5 = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(floor(turn / 256.0), 0)::BIGINT AS part, turn, role,
+         replace(coalesce(text, ''), '<|im_', '<| im_') AS text, row_number() OVER () AS n
+  FROM conversations
+), p AS (
+  SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
+), h AS (
+  SELECT t.*, perspective, coalesce(role = perspective, false) AS own,
+         '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant'
+           ELSE 'user name=' || regexp_replace(coalesce(role, 'unknown'), '[^\p{L}\p{N}_-]', '_', 'g') END
+         || chr(10) AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), o AS (
+  SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+              + length(head) AS begin
+  FROM h WINDOW w AS (PARTITION BY conv_id, perspective, part
+                      ORDER BY turn NULLS FIRST, role NULLS FIRST, text, n)
+)
+SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
+       string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY begin) AS rendered,
+       coalesce(string_agg(CASE WHEN own THEN begin || ':' || begin + length(text) + 10 END, ',' ORDER BY begin), '')
+         AS mask
+FROM o GROUP BY conv_id, perspective, part
+"""
+
 OP7 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -60,4 +86,4 @@ FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source AND r.block = b.block
 
 
 def sql_queries() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4, "op7_source_mixing": OP7}
+    return {"op4_exact_dedup": OP4, "op5_chat_rotation": OP5, "op7_source_mixing": OP7}

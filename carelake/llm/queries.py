@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from carelake.llm.common import read_documents
+from carelake.sources.tables import table_path
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_report(read_documents(spark, sf_dir))
 
 
+def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from carelake.llm.chat import chat_report
+
+    return chat_report(spark.read.parquet(table_path(sf_dir, "conversations")))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from carelake.llm.secrets import secret_report
 
