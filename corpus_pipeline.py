@@ -27,7 +27,34 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_duplicates(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup)]
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: one document of each group of linked texts stays (the smallest doc_id)."""
+    from carelake.llm.ngram_join import keep_representatives
+
+    return keep_representatives(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: the sources meet their target weights; a document drawn twice is there twice."""
+    from carelake.llm.mixing import draw_documents
+
+    return draw_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: every document of the mix in sequences of at most 2048 tokens."""
+    from carelake.llm.packing import packing_report
+
+    return packing_report(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("ngram_join", ngram_join),
+    ("source_mixing", source_mixing),
+    ("packing", packing),
+]
 
 # Packing and near-duplicate components are not expressible in SQL over whole tables.
 ORACLE_SQL = None
