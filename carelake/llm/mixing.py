@@ -138,7 +138,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     names = tuple(spare_name(docs, n) for n in ("draw", "block", "size", "origin"))
     shard, epoch, order = (spare_name(docs, n) for n in ("shard", "epoch", "order_key"))
     rows = keyed(docs, key, text, source, names)
-    draw, block, _, origin = (F.col(n) for n in names)
+    draw, block, _, origin = (F.col(f"d.`{n}`") for n in names)
     joined = rows.alias("d").join(draws.alias("m"), origin.eqNullSafe(F.col("m.source"))
                                   & (block == F.col("m.block")) & (draw <= F.col("m.cut")))
     return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("m.shard").alias(shard),

@@ -156,7 +156,8 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
                     .join(classes.select("node", "first.*"), "node"), f"{label}-wanted")
     texts = docs.join(wanted, docs["key"].eqNullSafe(wanted["doc"]) & (F.xxhash64(docs["text"]) == wanted["hash"]))
-    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    # Texts are larger than their compressed size suggests: never broadcast them.
+    texts = texts.groupBy("node").agg(F.first("text").alias("text")).hint("merge")
     checked = (pairs.join(texts.withColumnRenamed("node", "b").withColumnRenamed("text", "text_b"), "b")
                .join(texts.withColumnRenamed("node", "a").withColumnRenamed("text", "text_a"), "a"))
     return stored(checked.select("a", "b", similar(F.col("text_a"), F.col("text_b"), percent).alias("ok")), label)
