@@ -188,19 +188,19 @@ def replace_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", s
            .when(F.col("type").isin("card", "phone", "ssn"), _regrouped(F.col("core1"), F.col("entity")))
            .otherwise(F.col("core1")))
     one = joined.select("key", "hash", F.struct("pos", new.alias("new"), "type").alias("e"))
-    per_text = one.groupBy(F.col("key").alias("key_"), F.col("hash").alias("hash_")).agg(
-        F.array_sort(F.collect_list("e")).alias("e_"))
+    key_, hash_, all_, mark = (spare_name(docs, n) for n in ("own_key", "own_hash", "own_entities", "text_hash"))
+    per_text = one.groupBy(F.col("key").alias(key_), F.col("hash").alias(hash_)).agg(
+        F.array_sort(F.collect_list("e")).alias(all_))
 
     def held(kind: str) -> Column:
-        return F.size(F.filter("e_", lambda x: x["type"] == kind))
+        return F.size(F.filter(all_, lambda x: x["type"] == kind))
 
     counts = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*map(held, KINDS)))
     between = F.split(body, ENTITY, -1)
     put = F.array_join(F.transform(between, lambda s, i: F.concat(
-        s, F.coalesce(F.get(F.col("e_"), i)["new"], F.lit("")))), "")
-    mark = spare_name(docs, "text_hash")
-    met = some.withColumn(mark, F.xxhash64(body)).join(per_text, F.col(key).eqNullSafe(F.col("key_"))
-                                                       & (F.col(mark) == F.col("hash_")))
+        s, F.coalesce(F.get(F.col(all_), i)["new"], F.lit("")))), "")
+    met = some.withColumn(mark, F.xxhash64(body)).join(per_text, F.col(key).eqNullSafe(F.col(key_))
+                                                       & (F.col(mark) == F.col(hash_)))
     done = met.select(*[put.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], counts.alias(out))
     empty = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*[F.lit(0) for _ in KINDS]))
     rest = docs.where(~F.coalesce(body.rlike(ENTITY), F.lit(False))).withColumn(out, empty)
