@@ -4,10 +4,16 @@ The tokenizers library encodes every distinct part of the texts once per worker:
 texts are cut only where the tokenizer itself always cuts, so the ids of the
 parts in order are the ids of the text, and parts seen before come from a cache
 of at most ``CACHE_PARTS`` entries.
+
+Where the same vocabulary is also given as ranks, tiktoken gives the same ids at
+a fifth of the time.  It is used for texts of ``PLAIN`` characters, whose classes
+(letter, number, white space) both libraries' patterns agree on; any other text
+goes to the tokenizers library.
 """
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 from itertools import chain
@@ -64,14 +70,35 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+PLAIN = r"[\t\n\r -~\u00a1-\u024f]*"
+
+
+class RankEncoder:
+    """Encodes with tiktoken over a rank file of the vocabulary of ``other``."""
+
+    def __init__(self, ranks: str, other: Encoder):
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(ranks, "rb") as lines:
+            own = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.ids = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=own, special_tokens={}).encode_to_numpy
+        self.plain, self.other = re.compile(PLAIN).fullmatch, other
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [self.ids(x, disallowed_special=()).astype("<u4").tobytes() if self.plain(x)
+                else self.other.encode([x])[0] for x in texts]
+
+
+_encoders: dict[tuple[str, str, str | None], Encoder | RankEncoder] = {}
 
 
-def encode(texts: pa.Array, path: str, cut: str) -> list[bytes]:
+def encode(texts: pa.Array, path: str, cut: str, ranks: str | None = None) -> list[bytes]:
     """Packed ids of every text; one encoder and cache per Python worker."""
-    if (path, cut) not in _encoders:
-        _encoders[path, cut] = Encoder(path, cut)
-    return _encoders[path, cut].encode(texts.to_pylist())
+    if (path, cut, ranks) not in _encoders:
+        plain = Encoder(path, cut)
+        _encoders[path, cut, ranks] = RankEncoder(ranks, plain) if ranks else plain
+    return _encoders[path, cut, ranks].encode(texts.to_pylist())
 
 
 def tokenizer_path(name: str) -> str:
