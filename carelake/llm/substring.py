@@ -8,10 +8,12 @@ dictionary, and equal substrings get the same symbols except near their ends:
 with each symbol goes the span of words that its formation depends on, and any
 text that holds those words has the symbol there.
 
-A window of ``WINDOW`` words is anchored at its highest-level, leftmost symbol
-whose span lies inside it, so equal windows have equal anchors.  Consecutive
-windows with one anchor form a range, named by the anchor and by the hash of all
-its words.  Spark then works in rounds:
+A window of ``WINDOW`` words is anchored at the leftmost symbol, of the highest
+level that has one, whose span lies inside the window, so equal windows have
+equal anchors; an anchor is named by its symbol and by all words of its span
+(some 25), so texts share anchors where they share passages, hardly by chance.
+(A window without such a symbol is its own anchor.)  Consecutive windows with
+one anchor form a range, named by the hash of all its words.  Spark then works in rounds:
 
 1. anchors that occur in more than one document are kept, with their ranges;
 2. per range, the smallest document that has it: in larger documents all its
@@ -27,6 +29,7 @@ Only anchors and verdicts shuffle, and the texts of documents that have some.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ from carelake.llm.common import CHUNK_BYTES, U64, Words, mix, perhaps_in, powers
 
 WINDOW = 50
 ROUNDS = 7  # symbols of about 7 words, whose spans mostly fit a window
+ANCHOR_ROUNDS = 3  # the last rounds, whose symbols anchor windows
 FAR = 1 << 40
 
 
@@ -114,24 +118,28 @@ class Ranges:
     def __init__(self, w: Words, window: int = WINDOW, rounds: int = ROUNDS):
         self.w, self.window = w, window
         text, n = w.text_of(), len(w.hashes)
+        self.sums = np.zeros(n + 1, U64)
+        np.cumsum(w.hashes * powers(n)[0][:n], out=self.sums[1:])
         at = np.arange(max(0, n - window + 1))
         at = at[text[at] == text[at + window - 1]] if len(at) else at
+        anchor, place = self.span_names(at, at + window), at.copy()
         parse = Parse(w.hashes, text, w.first)
-        anchor, place = w.hashes[at], at.copy()
         for r in range(1, rounds + 1 if len(at) else 1):
             parse.runs()
             parse.pairs(r)
-            j = np.searchsorted(parse.lo, at)
-            fits = j < len(parse.hi)
-            fits[fits] = parse.hi[j[fits]] <= at[fits] + window - 1
-            anchor[fits], place[fits] = parse.name[j[fits]], parse.first[j[fits]] + r * FAR
+            if r > rounds - ANCHOR_ROUNDS:
+                inside = np.concatenate([[0], np.cumsum(np.bincount(parse.lo + 1, minlength=n + 2))])
+                j = inside[at + 1]  # symbols whose span begins before the window
+                fits = j < len(parse.hi)
+                fits[fits] = parse.hi[j[fits]] <= at[fits] + window - 1
+                j = j[fits]
+                anchor[fits] = mix(parse.name[j] ^ self.span_names(parse.lo[j], parse.hi[j] + 1))
+                place[fits] = parse.first[j] + r * FAR
         change = np.ones(len(at), bool)
         change[1:] = (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
         head = np.flatnonzero(change)
         tail = np.append(head[1:], len(at)) - 1
         self.begin, self.end, self.anchor, self.text = at[head], at[tail], anchor[head], text[at[head]]
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(w.hashes * powers(n)[0][:n], out=self.sums[1:])
         self.name = self.span_names(self.begin, self.end + window)
 
     def span_names(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -140,19 +148,14 @@ class Ranges:
                    + (b - a).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def _kept_digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
-
-
 def _anchors(texts: pa.Array) -> pa.Array:
     w = Words(texts)
     r = Ranges(w)
     keep = np.sort(np.unique(mix(r.name ^ mix(r.text.astype(U64))), return_index=True)[1])
     at = np.searchsorted(r.text[keep], np.arange(w.n_texts + 1)).astype(np.int32)
-    data, digests = w.data.tobytes(), []
-    spans = list(zip(w.starts.tolist(), w.ends.tolist()))
-    for a, b in zip(w.first.tolist(), w.first[1:].tolist()):
-        digests.append(_kept_digest([data[x:y] for x, y in spans[a:b]]))
+    # bytes.split() cuts at exactly the white space between words.
+    data, ends = w.data.tobytes(), w.offsets.tolist()
+    digests = [hashlib.sha256(b" ".join(data[a:b].split())).hexdigest() for a, b in zip(ends, ends[1:])]
     pairs = pa.StructArray.from_arrays([pa.array(r.anchor[keep].view(np.int64)), pa.array(r.name[keep].view(np.int64))],
                                        ["anchor", "name"])
     return pa.StructArray.from_arrays([pa.array(np.diff(w.first), pa.int64()), pa.array(digests, pa.string()),
@@ -217,13 +220,12 @@ def _marked(text: Column, verdicts: Column) -> Column:
                 n = np.repeat(nth, hi - lo)
                 np.add.at(marks, r.begin[of] + np.maximum(n, 0), 1)
                 np.add.at(marks, np.where(n < 0, r.end[of], r.begin[of] + n) + r.window, -1)
-            gone = np.cumsum(marks[:-1]) > 0
-            data = w.data.tobytes()
-            for a, b in zip(w.first.tolist(), w.first[1:].tolist()):
-                stay = np.flatnonzero(~gone[a:b]) + a
-                removed.append(b - a - len(stay))
-                kept.append(b" ".join(data[x:y] for x, y in zip(w.starts[stay].tolist(), w.ends[stay].tolist()))
-                            .decode("utf-8"))
+            stays = np.cumsum(marks[:-1]) <= 0
+            data, ends = w.data.tobytes(), w.offsets.tolist()
+            for i, (a, b) in enumerate(zip(w.first.tolist(), w.first[1:].tolist())):
+                removed.append(int(b - a - stays[a:b].sum()))
+                own = data[ends[i]:ends[i + 1]].split()
+                kept.append(b" ".join(compress(own, stays[a:b].tolist())).decode("utf-8"))
         return pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
                                           ["n_removed", "kept_text"])
 
