@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.messages import LEAVE_MESSAGES
 from .accounts import safe_role
 from .ordinals import ordinal_among
-from .records import emergency_names_at, leave_for, phone_error
+from .records import emergency_on_duty, leave_for, phone_error
+
+# A calendar date, optionally with a time and an offset.
+ISO_TEXT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
 
 # Display order of probability bars.
 BAR_ORDER = ["Low", "Moderate", "High", "Critical"]
@@ -66,14 +69,13 @@ def lookup_users(requests: DataFrame, users: DataFrame) -> DataFrame:
 
 def leave_check(checks: DataFrame, ref: DataFrame, leaves: DataFrame, key: str, doctor_col: str,
                 when_col: str) -> DataFrame:
-    """Leave flag, leave row, emergency availability and message per check."""
+    """Leave flag, leave row, message and all emergency doctors on duty (file order) per check."""
     r = leave_for(checks, leaves, key, doctor_col, when_col)
-    names = emergency_names_at(r, key, when_col, ref, leaves)
-    r = r.join(names, key, "left")
+    r = r.join(emergency_on_duty(checks, key, when_col, ref, leaves), key, "left")
     msg = F.when(F.col("on_leave"), LEAVE_MESSAGES["on_leave"]).otherwise(LEAVE_MESSAGES["available"])
     return r.select(key, "on_leave", "leave_id", "leave_start", "leave_end",
-                    F.coalesce("emergency_names", F.lit("")).alias("emergency_doctors"), "emergency_available",
-                    F.array_join("busy_emergency", ", ").alias("busy_emergency"), msg.alias("message"))
+                    F.array_join("on_duty", ", ").alias("emergency_doctors"),
+                    F.size("on_duty").cast("bigint").alias("emergency_available"), msg.alias("message"))
 
 
 def leaves_newest_first(leaves: DataFrame) -> DataFrame:
@@ -125,8 +127,9 @@ def patient_directory(users: DataFrame, query: str | None = None) -> DataFrame:
 
 
 def parse_iso_utc(text: Column) -> Column:
-    """ISO text with Z, offset or none (= UTC) -> UTC timestamp; junk -> NULL."""
-    return F.trim(text).try_cast("timestamp")
+    """ISO text with Z, offset or none (= UTC) -> UTC timestamp; anything else -> NULL
+    (Spark's cast alone would also take a bare time, as of today, a year or a month)."""
+    return F.when(F.trim(text).rlike(ISO_TEXT), F.trim(text).try_cast("timestamp"))
 
 
 def search_top(df: DataFrame, query: str, n: int, order: list[Column]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.messages import ACCOUNT_ERRORS as AE
 from ..functions.messages import BOOKING_ERRORS as BE
-from .ordinals import last_non_null_in_key, ordinal_among, previous_in_key
+from .ordinals import last_non_null_in_key, previous_in_key
 from .scoring import parse_details
 
 
@@ -27,9 +27,14 @@ def latest_per_key(df: DataFrame, key: str | list[str], order: list[str], cols:
     return df.groupBy(*keys).agg(best.alias("__best")).select(*keys, *[F.col(f"__best.{c}").alias(c) for c in cols])
 
 
+def email_key(c: str) -> Column:
+    """Addresses are compared trimmed and in lower case."""
+    return F.lower(F.trim(F.col(c)))
+
+
 def latest_details(submissions: DataFrame) -> DataFrame:
     """J12 / T2 batch twin: latest submission per email by (submitted_at, id)."""
-    subs = submissions.filter(F.trim(F.col("email")) != "")
+    subs = submissions.withColumn("email", email_key("email")).filter(F.col("email") != "")
     return latest_per_key(subs, "email", ["submitted_at", "id"], ["id", "submitted_at", "payload_json"])
 
 
@@ -59,27 +64,43 @@ def users_with_details(users: DataFrame, details: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------- leaves
 
-LEAVE_BUCKET_SECONDS = 86400
+DAY_SECONDS = 86400
+LEAVE_LEVELS = 4  # cells of 1, 64, 64^2 and 64^3 days
 
 
-def _day(c: Column) -> Column:
-    return F.floor(F.unix_seconds(c) / LEAVE_BUCKET_SECONDS).cast("bigint")
+def _cell(when: Column, level: Column | int) -> Column:
+    width = DAY_SECONDS * (64 ** level if isinstance(level, int) else F.pow(F.lit(64), level).cast("bigint"))
+    return F.floor(F.unix_seconds(when) / width).cast("bigint")
 
 
-def leave_days(leaves: DataFrame) -> DataFrame:
-    """Expand each valid leave into the day buckets it covers (closed interval).
+def leave_cells(leaves: DataFrame) -> DataFrame:
+    """Valid leaves (closed interval) with the time cells they cover.
 
-    Turns the range join into an equi-join on (doctor, day) plus a residual
-    ``between``: per-key work is bounded by the leaves overlapping one day, so
-    a doctor with very many leaves or appointments is not an all-pairs group.
-    Rows whose bounds do not parse (NULL or end < start) are skipped.
+    A leave enters cells as wide as its own length asks for (64 times wider from
+    level to level), so it has at most 66 of them however long it is.  The range
+    join becomes an equi-join on (doctor, level, cell) plus a residual
+    ``between``.  Rows whose bounds do not parse (NULL or end < start) are skipped.
     """
     ok = leaves.filter(F.col("start_at").isNotNull() & F.col("end_at").isNotNull()
                        & (F.col("end_at") >= F.col("start_at")))
+    days = (F.unix_seconds("end_at") - F.unix_seconds("start_at")) / DAY_SECONDS
+    level = F.lit(LEAVE_LEVELS - 1)
+    for k in reversed(range(LEAVE_LEVELS - 1)):
+        level = F.when(days <= 64 ** (k + 1), k).otherwise(level)
+    ok = ok.withColumn("lv_level", level)
     return ok.select(
         F.lower(F.trim("doctor_email")).alias("lv_doctor"), F.col("id").alias("leave_id"),
-        F.col("start_at").alias("leave_start"), F.col("end_at").alias("leave_end"),
-        F.explode(F.sequence(_day(F.col("start_at")), _day(F.col("end_at")))).alias("lv_day"))
+        F.col("start_at").alias("leave_start"), F.col("end_at").alias("leave_end"), "lv_level",
+        F.explode(F.sequence(_cell(F.col("start_at"), F.col("lv_level")), _cell(F.col("end_at"), F.col("lv_level"))))
+        .alias("lv_cell"))
+
+
+def _at_all_levels(df: DataFrame, when: str) -> DataFrame:
+    """One row per level with the cell of ``when`` on it."""
+    cells = F.array(*[F.struct(F.lit(k).alias("level"), _cell(F.col(when), k).alias("cell"))
+                      for k in range(LEAVE_LEVELS)])
+    return df.select("*", F.explode(cells).alias("__c")).select("*", F.col("__c.level").alias("__level"),
+                                                               F.col("__c.cell").alias("__cell")).drop("__c")
 
 
 def leave_for(events: DataFrame, leaves: DataFrame, key: str, doctor_col: str, when_col: str) -> DataFrame:
@@ -88,9 +109,9 @@ def leave_for(events: DataFrame, leaves: DataFrame, key: str, doctor_col: str, w
     """
     ev = events.select(F.col(key).alias("__k"), F.lower(F.trim(F.col(doctor_col))).alias("__doc"),
                        F.col(when_col).alias("__when")).filter(F.col("__doc").isNotNull() & F.col("__when").isNotNull())
-    ev = ev.withColumn("__day", _day(F.col("__when")))
-    lv = leave_days(leaves)
-    hits = ev.join(lv, (ev["__doc"] == lv["lv_doctor"]) & (ev["__day"] == lv["lv_day"])
+    ev, lv = _at_all_levels(ev, "__when"), leave_cells(leaves)
+    hits = ev.join(lv, (ev["__doc"] == lv["lv_doctor"]) & (ev["__level"] == lv["lv_level"])
+                   & (ev["__cell"] == lv["lv_cell"])
                    & ev["__when"].between(lv["leave_start"], lv["leave_end"]), "inner")
     best = hits.groupBy("__k").agg(F.max_by(F.struct("leave_id", "leave_start", "leave_end"),
                                             F.struct("leave_start", "leave_id")).alias("__b"))
@@ -113,9 +134,10 @@ TRUTHY = ["yes", "true", "1", "y"]
 
 
 def doctors_reference(ref: DataFrame) -> DataFrame:
-    """Skip blank ids, name falls back to id, truthy emergency flag."""
+    """Skip blank ids, name falls back to id, truthy emergency flag; ``seq`` is the place in the file."""
     did = F.trim("doctor_id")
     return ref.filter(did != "").select(
+        F.col("seq") if "seq" in ref.columns else F.lit(0).cast("bigint").alias("seq"),
         did.alias("doctor_id"),
         F.coalesce(F.when(F.trim("doctor_name") != "", F.trim("doctor_name")), did).alias("doctor_name"),
         F.trim(F.coalesce("specialization", F.lit(""))).alias("specialization"),
@@ -182,54 +204,50 @@ def role_error(role: Column) -> Column:
                   AE["role"])
 
 
-def emergency_names_at(requests: DataFrame, key: str, when_col: str, ref: DataFrame, leaves: DataFrame,
-                       k: int = 3) -> DataFrame:
-    """First ``k`` emergency doctors (reference order) not on leave at each request time.
+def emergency_on_duty(requests: DataFrame, key: str, when_col: str, ref: DataFrame, leaves: DataFrame) -> DataFrame:
+    """key and ``on_duty``: names, in file order, of the emergency doctors not on leave at each request's time.
 
-    Exact and without a requests x doctors product: a request whose time is
-    covered by L leaves of emergency doctors needs only the first k + L
-    doctors in order; those are joined by ordinal, the busy ones removed.
+    The leaves of emergency doctors are gathered per time cell (the leaves that
+    touch one day, not per request), and a request meets the few cells of its
+    time; the roster itself is one value, a row per doctor.  So what shuffles is
+    leaves and requests, never requests x doctors.
     """
     docs = doctors_reference(ref).filter("emergency_doctor")
-    # reference order = file order; the fixture's file order is doctor_id's numeric part
-    docs = docs.withColumn("__num", F.regexp_extract("doctor_id", r"(\d+)", 1).try_cast("bigint"))
-    docs = ordinal_among(docs.fillna({"__num": 0}), "__num", F.lit(True), "__o", tiebreak=["doctor_id"])
-    req = requests.select(F.col(key).alias("__k"), F.col(when_col).alias("__when"))
+    entry = F.struct("seq", "doctor_id", F.lower("doctor_id").alias("busy_key"), "doctor_name")
+    roster = docs.agg(F.array_sort(F.collect_list(entry))).scalar()
     eleaves = leaves.join(docs.select(F.lower("doctor_id").alias("__d")),
                           F.lower(F.trim(leaves["doctor_email"])) == F.col("__d"), "left_semi")
-    ld = leave_days(eleaves)
-    rq = req.withColumn("__day", _day(F.col("__when")))
-    pairs = rq.join(ld, (rq["__day"] == ld["lv_day"]) & rq["__when"].between(ld["leave_start"], ld["leave_end"]),
-                    "inner").select("__k", F.col("lv_doctor").alias("__busy")).distinct()
-    n_busy = pairs.groupBy("__k").agg(F.count(F.lit(1)).alias("__nb"))
-    need = rq.join(n_busy, "__k", "left").select("__k", (F.lit(k) + F.coalesce("__nb", F.lit(0))).alias("__need"))
-    cand = need.select("__k", F.explode(F.sequence(F.lit(1), F.col("__need").cast("int"))).alias("__o"))
-    cand = cand.join(docs.select("__o", "doctor_id", "doctor_name"), "__o", "inner")
-    cand = cand.join(pairs, (cand["__k"] == pairs["__k"]) & (F.lower(cand["doctor_id"]) == pairs["__busy"]),
-                     "left_anti")
-    names = cand.groupBy("__k").agg(F.sort_array(F.collect_list(F.struct("__o", "doctor_name"))).alias("__l"))
-    busy_list = pairs.groupBy("__k").agg(F.array_sort(F.collect_set("__busy")).alias("busy_emergency"))
-    total = docs.agg(F.count(F.lit(1))).scalar()  # roster size, one value
-    out = rq.select("__k").join(names, "__k", "left").join(busy_list, "__k", "left")
-    return out.select(
-        F.col("__k").alias(key),
-        F.coalesce(F.array_join(F.transform(F.slice("__l", 1, k), lambda x: x["doctor_name"]), ", "), F.lit(""))
-        .alias("emergency_names"),
-        F.coalesce("busy_emergency", F.array().cast("array<string>")).alias("busy_emergency"),
-        (total - F.coalesce(F.size("busy_emergency"), F.lit(0))).cast("bigint").alias("emergency_available"))
-
-
-def booking_admission(requests: DataFrame, users: DataFrame, ref: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Accept or reject booking requests; accepted rows get Pending + defaults.
+    cells = leave_cells(eleaves).groupBy("lv_level", "lv_cell").agg(
+        F.collect_set(F.struct("lv_doctor", "leave_start", "leave_end")).alias("away"))
+    when = requests.select(F.col(when_col).alias("__when")).filter("__when IS NOT NULL").distinct()
+    met = _at_all_levels(when, "__when").join(
+        cells, (F.col("__level") == F.col("lv_level")) & (F.col("__cell") == F.col("lv_cell")))
+    busy = F.transform(F.filter("away", lambda x: F.col("__when").between(x["leave_start"], x["leave_end"])),
+                       lambda x: x["lv_doctor"])
+    busy = met.select("__when", busy.alias("busy")).groupBy("__when").agg(F.flatten(F.collect_list("busy")).alias("busy"))
+    free = F.transform(F.filter("__roster", lambda d: ~F.array_contains("__busy", d["busy_key"])),
+                       lambda d: d["doctor_name"])
+    lists = when.join(busy, "__when", "left").select(
+        "__when", roster.alias("__roster"), F.array_distinct(
+            F.coalesce("busy", F.array().cast("array<string>"))).alias("__busy")).select("__when", free.alias("on_duty"))
+    out = requests.select(F.col(key), F.col(when_col).alias("__when")).join(lists, "__when", "left")
+    return out.select(key, F.coalesce("on_duty", F.array().cast("array<string>")).alias("on_duty"))
+
+
+def booking_admission(requests: DataFrame, users: DataFrame, ref: DataFrame, leaves: DataFrame,
+                      created_at: Column) -> DataFrame:
+    """Accept or reject booking requests; accepted ones as the rows to store.
 
     ``requests``: request_id, patient_email, scheduled_for, appointment_type,
-    doctor_email, reason, notes, contact_info.
+    doctor_email, reason, notes, contact_info.  A rejection because of leave
+    names the first three emergency doctors on duty, in file order.
     """
     u = users.select(F.lower(F.trim("email")).alias("__pe"), F.col("role").alias("__prole"))
     r = requests.withColumn("__pe", F.lower(F.trim("patient_email")))
     r = r.join(u, "__pe", "left")
     r = leave_for(r, leaves, "request_id", "doctor_email", "scheduled_for")
-    emer = emergency_names_at(r.filter("on_leave"), "request_id", "scheduled_for", ref, leaves)
+    emer = emergency_on_duty(r.filter("on_leave"), "request_id", "scheduled_for", ref, leaves).select(
+        "request_id", F.array_join(F.slice("on_duty", 1, 3), ", ").alias("emergency_names"))
     r = r.join(emer, "request_id", "left")
     perr = phone_error(F.col("contact_info"))
     reason = (F.when(F.col("__prole").isNull() | (F.col("__prole") != "patient"), F.lit(BE["no_patient"]))
@@ -247,6 +265,12 @@ def booking_admission(requests: DataFrame, users: DataFrame, ref: DataFrame, lea
                                            F.col("appointment_type")))).alias("reason"),
         F.when(accepted, F.trim("contact_info")).alias("contact_info"),
         F.when(accepted, F.lower(F.trim("doctor_email"))).alias("doctor_email"),
+        F.when(accepted, F.col("__pe")).alias("patient_email"),
+        F.when(accepted, F.col("scheduled_for")).alias("scheduled_for"),
+        F.when(accepted, F.trim("appointment_type")).alias("appointment_type"),
+        F.lit(None).cast("string").alias("priority"),
+        F.when(accepted & (F.col("notes") != ""), F.trim("notes")).alias("notes"),
+        F.when(accepted, created_at).alias("created_at"),
     )
 
 
@@ -259,7 +283,7 @@ def cancel_admission(requests: DataFrame, appointments: DataFrame, users: DataFr
     u = users.select(F.lower(F.trim("email")).alias("__pe"), F.col("role").alias("__prole"))
     a = appointments.select(F.col("id").alias("appointment_id"), F.col("patient_email").alias("__owner"),
                             F.col("status").alias("__status"), F.col("scheduled_for").alias("__when"),
-                            F.lit(None).cast("string").alias("__notes"))
+                            F.col("notes").alias("__notes"))
     r = requests.withColumn("__pe", F.lower(F.trim("patient_email"))).join(u, "__pe", "left")
     r = r.join(a, "appointment_id", "left")
     st = F.lower(F.coalesce("__status", F.lit("Pending")))
@@ -280,6 +304,22 @@ def cancel_admission(requests: DataFrame, appointments: DataFrame, users: DataFr
         F.when(accepted, F.coalesce(new_notes, F.col("__notes"))).otherwise(F.col("__notes")).alias("notes"))
 
 
+def update_status(appointments: DataFrame, updates: DataFrame) -> DataFrame:
+    """The stored table after status updates (id, status, notes, update_id).
+
+    Updates of one appointment apply in ``update_id`` order: the last status
+    stands, and a NULL note leaves the stored one as it is.
+    """
+    order = F.col("update_id")
+    last = updates.groupBy(F.col("id").alias("__id")).agg(
+        F.max_by("status", order).alias("__status"),
+        F.max_by("notes", F.when(F.col("notes").isNotNull(), order)).alias("__notes"), F.lit(True).alias("__hit"))
+    out = appointments.join(last, appointments["id"] == last["__id"], "left")
+    new = {"status": F.when(F.col("__hit"), F.col("__status")).otherwise(F.col("status")),
+           "notes": F.coalesce("__notes", "notes")}
+    return out.withColumns(new).select(*appointments.columns)
+
+
 # ------------------------------------------------- history
 
 # The 15 tracked health-detail fields, in audit order.
@@ -333,7 +373,7 @@ def record_changes(submissions: DataFrame) -> DataFrame:
     submissions with at least one change produce an event.  The previous
     version comes from ``previous_in_key`` (skew-safe distributed lag).
     """
-    d = parse_details(submissions.filter(F.trim("email") != ""))
+    d = parse_details(submissions.withColumn("email", email_key("email")).filter(F.col("email") != ""))
     # distributed lag (see ordinals.previous_in_key): no window per patient
     d = previous_in_key(d, "email", "submitted_at", "id", ["d", "id"]).withColumnRenamed("prev_d", "prev")
     d = d.withColumn("changes", F.when(F.col("prev").isNull(), field_changes(None, "d"))
@@ -364,43 +404,48 @@ def change_lines(events: DataFrame, n_events: int = 10, n_changes: int = 20) ->
                      F.concat(F.lit("  - "), F.col("c.field"), F.lit(": "), text).alias("line"))
 
 
-def merge_patch(current: DataFrame, patches: DataFrame) -> DataFrame:
-    """Clinical updates merged into the stored document, in (submitted_at, id) order.
+def merge_patch(current: DataFrame, patches: DataFrame, users: DataFrame) -> DataFrame:
+    """Clinical updates merged into the whole stored document, in (submitted_at, id) order.
 
     Sequential "non-null overwrites" equals, per field, the latest non-null
-    patch value (else the current one); ``max_by`` with a NULL ordering key for
+    patch value (else the stored one); ``max_by`` with a NULL ordering key for
     NULL values computes it as a partial aggregate.  ``current``: email + ``d``;
-    ``patches``: email, submitted_at, id and patch columns.
+    ``patches``: email, submitted_at, id and patch columns.  Accounts without a
+    stored document start from an empty one; patches without an account are
+    refused.  ``changed_fields``: tracked fields whose audit values differ.
     """
     order = F.struct("submitted_at", "id")
     sym = F.trim(F.col("p_symptoms"))
     p = patches.select(
-        "email", "submitted_at", "id",
+        email_key("email").alias("email"), "submitted_at", "id",
         F.col("p_age").alias("age"),
         F.when(F.trim("p_gender") != "", F.trim("p_gender")).alias("gender"),
         sym.alias("symptoms"),
         F.when(sym.isNotNull(), F.size(F.filter(F.transform(F.split(sym, "[,;|\\n]+"), lambda x: F.trim(x)),
                                                 lambda x: x != ""))).alias("symptom_count"),
+        F.col("p_height_cm").alias("height_cm"), F.col("p_weight_kg").alias("weight_kg"),
         F.col("p_bmi").alias("bmi"), F.col("p_glucose").alias("glucose"),
         F.col("p_glucose_type").alias("glucose_type"),
         F.when(F.col("p_systolic").isNotNull() & F.col("p_diastolic").isNotNull(),
                F.concat(F.bround("p_systolic").cast("bigint").cast("string"), F.lit("/"),
                         F.bround("p_diastolic").cast("bigint").cast("string"))).alias("blood_pressure"),
     )
-    fields = ["age", "gender", "symptoms", "symptom_count", "bmi", "glucose", "glucose_type", "blood_pressure"]
+    patched = [c for c in p.columns if c not in ("email", "submitted_at", "id")]
     agg = p.groupBy("email").agg(
-        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), order)).alias(f"__p_{f}") for f in fields],
-        F.max("submitted_at").alias("__updated_at"))
-    cur = current.select("email", "d")
-    out = cur.join(agg, "email", "inner")
-    cols = []
-    for f in fields:
-        c = F.coalesce(F.col(f"__p_{f}"), F.col(f"d.{f}"))
-        cols.append(c.alias(f))
-    out = out.select("email", "d", *cols, F.col("__updated_at").alias("updated_at"))
+        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), order)).alias(f"__p_{f}") for f in patched],
+        F.min("submitted_at").alias("__first_at"), F.max("submitted_at").alias("__updated_at"))
+    agg = agg.join(users.select(email_key("email").alias("email")).distinct(), "email", "left_semi")
+    out = agg.join(current.select("email", "d"), "email", "left")
+    cols = [(F.coalesce(F.col(f"__p_{f}"), F.col(f"d.{f}")) if f in patched else F.col(f"d.{f}")).alias(f)
+            for f in TRACKED_FIELDS]
+    stored = F.trim(F.col("d.submitted_at"))
+    out = out.select("email", "d", F.struct(*cols).alias("after"),
+                     F.when(stored != "", F.col("d.submitted_at")).otherwise(F.date_format(
+                         "__first_at", "yyyy-MM-dd'T'HH:mm:ss")).alias("submitted_at"),
+                     F.col("__updated_at").alias("updated_at"))
     changed = F.array_compact(F.array(*[
-        F.when(~F.col(f).cast("string").eqNullSafe(F.col(f"d.{f}").cast("string")), F.lit(f)) for f in fields]))
-    return out.withColumn("changed_fields", changed).drop("d")
+        F.when(~audit_value("after", f).eqNullSafe(audit_value("d", f)), F.lit(f)) for f in TRACKED_FIELDS]))
+    return out.select("email", "after.*", "submitted_at", "updated_at", changed.alias("changed_fields"))
 
 
 def protected_form_fold(feed: DataFrame) -> DataFrame:
@@ -414,7 +459,7 @@ def protected_form_fold(feed: DataFrame) -> DataFrame:
     """
     clinical = F.col("source") == "clinical_update"
     out = last_non_null_in_key(
-        feed, "email", "submitted_at", "id",
+        feed.withColumn("email", email_key("email")), "email", "submitted_at", "id",
         {"stored_glucose": F.when(clinical, F.col("glucose")),
          "stored_blood_pressure": F.when(clinical, F.col("blood_pressure"))})
     return out.select("email", "submitted_at", "id", "source", "stored_glucose", "stored_blood_pressure")

@@ -29,7 +29,7 @@ c1 AS (
   FROM {src}),
 cstats AS (
   SELECT median(age) AS m_age, median(glucose) AS m_glu, median(bp) AS m_bp, median(bmi) AS m_bmi,
-         max(pid) AS max_id FROM c1),
+         floor(max(pid)) AS max_id FROM c1),
 cmode AS (
   SELECT disease AS mode_disease FROM c1 WHERE disease IS NOT NULL
   GROUP BY disease ORDER BY count(*) DESC, disease LIMIT 1),
@@ -46,11 +46,11 @@ clean_pre AS (
          seq
   FROM cids CROSS JOIN cstats),
 clean AS (
-  SELECT DISTINCT Patient_ID, Age, Gender,
+  SELECT Patient_ID, Age, Gender,
          CAST(CASE Gender WHEN 'Female' THEN 0 WHEN 'Male' THEN 1 ELSE 2 END AS INTEGER) AS Gender_Encoded,
          Symptoms, CAST({S.count_std('Symptoms')} AS INTEGER) AS Symptom_Count, Disease, Glucose, BloodPressure,
-         BMI, seq
-  FROM clean_pre)"""
+         BMI, min(seq) AS seq
+  FROM clean_pre GROUP BY Patient_ID, Age, Gender, Symptoms, Disease, Glucose, BloodPressure, BMI)"""
 
 
 def feature_ctes() -> str:

@@ -50,18 +50,16 @@ c AS (SELECT id, doctor_email, scheduled_for FROM appointments WHERE doctor_emai
 b AS ({OR.best_leave('c', 'c.id', 'c.doctor_email', 'c.scheduled_for')}),
 busy AS (SELECT DISTINCT c.id, l.doc FROM c JOIN vleaves l ON c.scheduled_for BETWEEN l.start_at AND l.end_at
          WHERE l.doc IN (SELECT lower(doctor_id) FROM docs WHERE emergency)),
-cand AS (SELECT c.id, d.doctor_name, d.o, row_number() OVER (PARTITION BY c.id ORDER BY d.o) AS rn
+cand AS (SELECT c.id, d.doctor_name, d.o
          FROM c CROSS JOIN (SELECT * FROM docs WHERE emergency) d
          WHERE NOT EXISTS (SELECT 1 FROM busy x WHERE x.id = c.id AND x.doc = lower(d.doctor_id))),
-names AS (SELECT id, string_agg(doctor_name, ', ' ORDER BY o) AS nm FROM cand WHERE rn <= 3 GROUP BY id),
-bl AS (SELECT id, array_to_string(list_sort(list(doc)), ', ') AS busy, count(*) AS nb FROM busy GROUP BY id)
+names AS (SELECT id, string_agg(doctor_name, ', ' ORDER BY o) AS nm, count(*) AS free FROM cand GROUP BY id)
 SELECT c.id, b.leave_id IS NOT NULL AS on_leave, b.leave_id, b.leave_start, b.leave_end,
        coalesce(n.nm, '') AS emergency_doctors,
-       (SELECT count(*) FROM docs WHERE emergency) - coalesce(bl.nb, 0) AS emergency_available,
-       coalesce(bl.busy, '') AS busy_emergency,
+       coalesce(n.free, 0) AS emergency_available,
        CASE WHEN b.leave_id IS NOT NULL THEN 'Doctor is on leave for the selected date.'
             ELSE 'Doctor is available.' END AS message
-FROM c LEFT JOIN b ON b.k = c.id LEFT JOIN names n ON n.id = c.id LEFT JOIN bl ON bl.id = c.id""",
+FROM c LEFT JOIN b ON b.k = c.id LEFT JOIN names n ON n.id = c.id""",
         "appointments", "doctors_ref", "doctor_leaves")
     q["doctor_leaves_list"] = with_views(
         "SELECT id, doctor_email, start_at, end_at, row_number() OVER (PARTITION BY doctor_email "
@@ -81,7 +79,7 @@ SELECT request_id, why IS NULL AS accepted, why AS reject_reason,
        lower(trim(doctor_email)) AS doctor_email, start_at, end_at
 FROM d""", "doctor_leaves")
     q["protected_fold"] = with_views("""
-WITH f AS (SELECT email, submitted_at, id, CASE WHEN id % 4 = 0 THEN 'clinical_update' ELSE 'patient_form' END AS source,
+WITH f AS (SELECT lower(trim(email)) AS email, submitted_at, id, CASE WHEN id % 4 = 0 THEN 'clinical_update' ELSE 'patient_form' END AS source,
                   TRY_CAST(json_extract(payload_json, '$.glucose') AS DOUBLE) AS glucose,
                   json_extract_string(payload_json, '$.blood_pressure') AS blood_pressure FROM submissions)
 SELECT email, submitted_at, id, source,
@@ -96,9 +94,11 @@ FROM f WINDOW w AS (PARTITION BY email ORDER BY submitted_at, id ROWS BETWEEN UN
     base = "strftime(scheduled_for, '%Y-%m-%dT%H:%M:%S')"
     shifted = "strftime(scheduled_for + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S')"
     q["parse_times"] = with_views(
-        f"WITH t AS (SELECT id, CASE WHEN id % 17 = 0 THEN 'not a time' WHEN id % 3 = 0 THEN {base} || 'Z' "
+        f"WITH t AS (SELECT id, CASE WHEN id % 17 = 0 THEN 'not a time' WHEN id % 19 = 0 THEN '12:30' "
+        f"WHEN id % 23 = 0 THEN '2024-01' WHEN id % 29 = 0 THEN '2024' WHEN id % 31 = 0 THEN '2024-01-05' WHEN id % 3 = 0 THEN {base} || 'Z' "
         f"WHEN id % 3 = 1 THEN {shifted} || '+05:30' ELSE {base} END AS text FROM appointments) "
-        "SELECT id, text, CAST(TRY_CAST(trim(text) AS TIMESTAMPTZ) AS TIMESTAMP) AS parsed FROM t", "appointments")
+        "SELECT id, text, CASE WHEN regexp_matches(trim(text), '^[0-9]{4}-[0-9]{2}-[0-9]{2}') "
+        "THEN CAST(TRY_CAST(trim(text) AS TIMESTAMPTZ) AS TIMESTAMP) END AS parsed FROM t", "appointments")
     RT = f"WITH {OR.risk_and_triage_prefix()},{OR.DASH_CTE}\n"
     q["nurse_search"] = with_views(
         RT + "SELECT id, patient_email, patient_name, triage_level, scheduled_for FROM dash WHERE bucket = 'upcoming' "

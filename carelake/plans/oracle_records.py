@@ -72,7 +72,7 @@ docs AS (
   SELECT trim(doctor_id) AS doctor_id, coalesce(nullif(trim(doctor_name), ''), trim(doctor_id)) AS doctor_name,
          trim(coalesce(specialization, '')) AS specialization, trim(coalesce(available_time, '')) AS available_time,
          lower(trim(coalesce(emergency_doctor, ''))) IN ('yes', 'true', '1', 'y') AS emergency,
-         row_number() OVER (ORDER BY CAST(regexp_extract(doctor_id, '(\\d+)', 1) AS BIGINT), doctor_id) AS o
+         row_number() OVER (ORDER BY seq, doctor_id) AS o
   FROM doctors_ref WHERE trim(doctor_id) <> '')"""
 
 VALID_LEAVES = """
@@ -134,8 +134,9 @@ def changes_cte() -> str:
     lst = "[" + ", ".join(items) + "]"
     return f"""
 sub0 AS (
-  SELECT *, lag(payload_json) OVER (PARTITION BY email ORDER BY submitted_at, id) AS prev_json,
-         lag(id) OVER (PARTITION BY email ORDER BY submitted_at, id) AS prev_id
+  SELECT * REPLACE (lower(trim(email)) AS email),
+         lag(payload_json) OVER (PARTITION BY lower(trim(email)) ORDER BY submitted_at, id) AS prev_json,
+         lag(id) OVER (PARTITION BY lower(trim(email)) ORDER BY submitted_at, id) AS prev_id
   FROM submissions WHERE trim(email) <> ''),
 ev0 AS (SELECT email AS patient_email, id AS event_id, prev_id, submitted_at AS changed_at, payload_json, prev_json,
                list_filter({lst}, lambda c: c IS NOT NULL) AS ch FROM sub0),
@@ -177,7 +178,8 @@ def sql_queries() -> dict[str, str]:
         "coalesce(a.status, 'Pending') AS status, a.appointment_type, a.doctor_email, "
         "p.risk_level AS predicted_risk_level, p.risk_source AS predicted_risk_source, "
         "p.risk_booking_priority AS booking_priority, l.submitted_at AS health_details_submitted_at, "
-        "coalesce(nullif(a.reason, ''), nullif(a.appointment_type, ''), '') AS reason "
+        "coalesce(nullif(a.reason, ''), nullif(a.appointment_type, ''), '') AS reason, "
+        "a.contact_info, a.priority, a.notes, a.created_at "
         "FROM appointments a LEFT JOIN users u ON u.email = a.patient_email "
         "LEFT JOIN prisk p ON p.email = a.patient_email LEFT JOIN latest l ON l.email = a.patient_email",
         "appointments", "users", "submissions", "patients_raw")
@@ -203,7 +205,7 @@ def sql_queries() -> dict[str, str]:
     q["booking_admission"] = with_views(f"""
 WITH {DOCS_CTE}, {VALID_LEAVES},
 req AS (SELECT a.id AS request_id, a.patient_email, a.scheduled_for, a.appointment_type, a.doctor_email,
-               nullif(a.reason, '') AS reason, u.phone AS contact_info
+               nullif(a.reason, '') AS reason, a.notes, u.phone AS contact_info
         FROM appointments a LEFT JOIN users u ON u.email = a.patient_email),
 b AS ({best_leave('req r', 'r.request_id', 'r.doctor_email', 'r.scheduled_for')}),
 onl AS (SELECT r.* FROM req r JOIN b ON b.k = r.request_id),
@@ -226,20 +228,32 @@ SELECT request_id, why IS NULL AS accepted, why AS reject_reason,
        CASE WHEN why IS NULL THEN 'Pending' END AS status,
        CASE WHEN why IS NULL THEN trim(coalesce(reason, appointment_type)) END AS reason,
        CASE WHEN why IS NULL THEN trim(contact_info) END AS contact_info,
-       CASE WHEN why IS NULL THEN lower(trim(doctor_email)) END AS doctor_email
+       CASE WHEN why IS NULL THEN lower(trim(doctor_email)) END AS doctor_email,
+       CASE WHEN why IS NULL THEN lower(trim(patient_email)) END AS patient_email,
+       CASE WHEN why IS NULL THEN scheduled_for END AS scheduled_for,
+       CASE WHEN why IS NULL THEN trim(appointment_type) END AS appointment_type,
+       CAST(NULL AS VARCHAR) AS priority,
+       CASE WHEN why IS NULL AND notes <> '' THEN trim(notes) END AS notes,
+       CASE WHEN why IS NULL THEN {AS_OF} END AS created_at
 FROM dec""", "appointments", "users", "doctors_ref", "doctor_leaves")
-    q["cancel_admission"] = with_views(f"""
-WITH dec AS (
-  SELECT a.id, a.status, CASE
+    cancelled = f"""dec AS (
+  SELECT a.id, a.patient_email, a.status, a.notes AS stored, CASE
     WHEN u.role IS NULL OR u.role <> 'patient' THEN 'Patient account not found.'
     WHEN lower(coalesce(a.status, 'Pending')) IN ('cancelled', 'canceled', 'completed')
       THEN 'This appointment cannot be cancelled.'
     WHEN a.scheduled_for < {AS_OF} THEN 'Past appointments cannot be cancelled.' END AS why
-  FROM appointments a LEFT JOIN users u ON lower(trim(u.email)) = lower(trim(a.patient_email)))
+  FROM appointments a LEFT JOIN users u ON lower(trim(u.email)) = lower(trim(a.patient_email))),
+can AS (
+  SELECT *, CASE WHEN why IS NULL THEN 'Cancelled' ELSE status END AS new_status,
+         CASE WHEN why IS NULL AND id % 2 = 0 THEN left(concat_ws(chr(10), nullif(trim(stored), ''),
+              'Cancelled: Schedule conflict'), 1000) ELSE stored END AS new_notes FROM dec)"""
+    q["cancel_admission"] = with_views(f"""
+WITH {cancelled}
 SELECT id AS request_id, id AS appointment_id, why IS NULL AS accepted, why AS reject_reason,
-       CASE WHEN why IS NULL THEN 'Cancelled' ELSE status END AS status,
-       CASE WHEN why IS NULL AND id % 2 = 0 THEN 'Cancelled: Schedule conflict' END AS notes
-FROM dec""", "appointments", "users")
+       new_status AS status, new_notes AS notes FROM can""", "appointments", "users")
+    q["status_updates"] = with_views(f"""
+WITH {cancelled}
+SELECT id, patient_email, new_status AS status, new_notes AS notes FROM can""", "appointments", "users")
     ev = changes_cte()
     q["record_changes"] = with_views(
         f"WITH {ev} SELECT patient_email, event_id, prev_id, changed_at, "
@@ -264,7 +278,7 @@ FROM dec""", "appointments", "users")
         "y AS (SELECT patient_email, event_id, rn, CAST(pos AS INTEGER) AS pos, ch[pos] AS c FROM x) "
         f"SELECT patient_email, event_id, rn, pos, '  - ' || c.field || ': ' || ({disp}) AS line FROM y",
         "submissions")
-    q["merge_patch"] = with_views(merge_patch_sql(), "submissions")
+    q["merge_patch"] = with_views(merge_patch_sql(), "submissions", "users")
     q["doctor_appointments"] = with_views(
         "SELECT id, doctor_email, scheduled_for, status, row_number() OVER (PARTITION BY doctor_email "
         "ORDER BY scheduled_for DESC, id DESC) AS rank_in_key FROM appointments WHERE doctor_email IS NOT NULL",
@@ -446,6 +460,8 @@ def merge_patch_sql() -> str:
         "symptoms": f"CASE WHEN id % 5 <> 0 THEN {sym} END",
         "symptom_count": f"CASE WHEN id % 5 <> 0 AND {sym} IS NOT NULL THEN CAST({cnt} AS INTEGER) END",
         "bmi": "CASE WHEN id % 2 = 1 THEN TRY_CAST(json_extract(payload_json, '$.bmi') AS DOUBLE) END",
+        "height_cm": "CASE WHEN id % 4 = 1 THEN TRY_CAST(json_extract(payload_json, '$.height_cm') AS DOUBLE) + 1 END",
+        "weight_kg": "CASE WHEN id % 3 = 1 THEN TRY_CAST(json_extract(payload_json, '$.weight_kg') AS DOUBLE) END",
         "glucose": "TRY_CAST(json_extract(payload_json, '$.glucose') AS DOUBLE)",
         "glucose_type": "CASE WHEN id % 6 = 3 THEN 'random' END",
         "blood_pressure": (f"CASE WHEN ({s}) IS NOT NULL AND ({d}) IS NOT NULL THEN "
@@ -454,25 +470,29 @@ def merge_patch_sql() -> str:
     }
     pcols = ", ".join(f"{v} AS {k}" for k, v in fields.items())
     aggs = ", ".join(f"max_by({k}, (submitted_at, id)) FILTER (WHERE {k} IS NOT NULL) AS p_{k}" for k in fields)
-    cur = {
-        "age": "TRY_CAST(json_extract(l.payload_json, '$.age') AS INTEGER)",
-        "gender": "json_extract_string(l.payload_json, '$.gender')",
-        "symptoms": "json_extract_string(l.payload_json, '$.symptoms')",
-        "symptom_count": "TRY_CAST(json_extract(l.payload_json, '$.symptom_count') AS INTEGER)",
-        "bmi": "TRY_CAST(json_extract(l.payload_json, '$.bmi') AS DOUBLE)",
-        "glucose": "TRY_CAST(json_extract(l.payload_json, '$.glucose') AS DOUBLE)",
-        "glucose_type": "json_extract_string(l.payload_json, '$.glucose_type')",
-        "blood_pressure": "json_extract_string(l.payload_json, '$.blood_pressure')",
-    }
-    merged = ", ".join(f"coalesce(a.p_{k}, {v}) AS {k}" for k, v in cur.items())
+    text = ("gender", "symptoms", "smoking_habit", "alcohol_habit", "medical_history",
+            "family_history_major_chronic_disease", "glucose_type", "blood_pressure")
+    whole = ("age", "symptom_count")
+    cur = {}
+    for f in TRACKED_FIELDS:
+        if f in text:
+            cur[f] = f"json_extract_string(l.payload_json, '$.{f}')"
+        else:
+            cur[f] = f"TRY_CAST(json_extract(l.payload_json, '$.{f}') AS {'INTEGER' if f in whole else 'DOUBLE'})"
+    merged = ", ".join((f"coalesce(a.p_{k}, {v})" if k in fields else v) + f" AS {k}" for k, v in cur.items())
     olds = ", ".join(f"{v} AS o_{k}" for k, v in cur.items())
+    audit = lambda k, c: f"nullif(trim({c}), '')" if k in text else f"CAST({c} AS DOUBLE)"
     changed = ("list_filter([" + ", ".join(
-        f"CASE WHEN CAST({k} AS VARCHAR) IS DISTINCT FROM CAST(o_{k} AS VARCHAR) THEN '{k}' END" for k in cur)
+        f"CASE WHEN {audit(k, k)} IS DISTINCT FROM {audit(k, 'o_' + k)} THEN '{k}' END" for k in cur)
         + "]::VARCHAR[], lambda v: v IS NOT NULL)")
+    first = {k: "NULL" for k in fields} | {"age": "40", "height_cm": "170.0"}
+    fcols = ", ".join(f"{v} AS {k}" for k, v in first.items())
     return f"""
 WITH {OS.LATEST_CTE},
-p AS (SELECT email, submitted_at, id, {pcols} FROM submissions WHERE id % 3 = 0),
-a AS (SELECT email, {aggs}, max(submitted_at) AS updated_at FROM p GROUP BY email),
-m AS (SELECT l.email, {merged}, {olds}, a.updated_at FROM latest l JOIN a ON a.email = l.email)
-SELECT email, age, gender, symptoms, symptom_count, bmi, glucose, glucose_type, blood_pressure, updated_at,
+p AS (SELECT lower(trim(email)) AS email, submitted_at, id, {pcols} FROM submissions
+      UNION ALL SELECT email, {AS_OF}, id, {fcols} FROM users WHERE role = 'patient' AND id % 7 = 0),
+a AS (SELECT email, {aggs}, min(submitted_at) AS first_at, max(submitted_at) AS updated_at FROM p
+      WHERE email IN (SELECT lower(trim(email)) FROM users) GROUP BY email),
+m AS (SELECT a.email, {merged}, {olds}, a.first_at, a.updated_at FROM a LEFT JOIN latest l ON a.email = l.email)
+SELECT email, {", ".join(cur)}, strftime(first_at, '%Y-%m-%dT%H:%M:%S') AS submitted_at, updated_at,
        array_to_string({changed}, ', ') AS changed_fields FROM m"""

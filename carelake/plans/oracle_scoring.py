@@ -176,9 +176,9 @@ DETAILS_COLS = """
 
 LATEST_CTE = """
 latest AS (
-  SELECT email, max_by(id, (submitted_at, id)) AS id, max(submitted_at) AS submitted_at,
+  SELECT lower(trim(email)) AS email, max_by(id, (submitted_at, id)) AS id, max(submitted_at) AS submitted_at,
          max_by(payload_json, (submitted_at, id)) AS payload_json
-  FROM submissions WHERE trim(email) <> '' GROUP BY email)"""
+  FROM submissions WHERE trim(email) <> '' GROUP BY lower(trim(email)))"""
 
 
 def bp_parse(text: str):
@@ -348,7 +348,7 @@ def patient_risk_prefix(per_submission: bool = False) -> str:
     """WITH body (no WITH keyword) computing ``prisk`` from submissions: the
     latest document per patient, or every submission (T4 stream twin)."""
     if per_submission:
-        src = ("latest AS (SELECT email, id, submitted_at, payload_json FROM submissions "
+        src = ("latest AS (SELECT lower(trim(email)) AS email, id, submitted_at, payload_json FROM submissions "
                "WHERE trim(email) <> '')")
         key = "sub_id"
     else:

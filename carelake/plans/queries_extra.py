@@ -83,7 +83,8 @@ def q_parse_times(spark, sf):
     i = F.col("id")
     base = F.date_format("scheduled_for", "yyyy-MM-dd'T'HH:mm:ss")
     shifted = F.date_format(F.col("scheduled_for") + F.expr("INTERVAL 5 HOURS 30 MINUTES"), "yyyy-MM-dd'T'HH:mm:ss")
-    text = (F.when(i % 17 == 0, F.lit("not a time")).when(i % 3 == 0, F.concat(base, F.lit("Z")))
+    text = (F.when(i % 17 == 0, F.lit("not a time")).when(i % 19 == 0, F.lit("12:30")).when(i % 23 == 0, F.lit("2024-01"))
+            .when(i % 29 == 0, F.lit("2024")).when(i % 31 == 0, F.lit("2024-01-05")).when(i % 3 == 0, F.concat(base, F.lit("Z")))
             .when(i % 3 == 1, F.concat(shifted, F.lit("+05:30"))).otherwise(base))
     t = a.select("id", text.alias("text"))
     return t.select("id", "text", P.parse_iso_utc(F.col("text")).alias("parsed"))

@@ -55,7 +55,7 @@ def enriched_appointments(spark, sf, ref=None, details=None) -> DataFrame:
         F.col("details_submitted_at").alias("health_details_submitted_at"),
         F.coalesce(F.when(F.col("reason") != "", F.col("reason")), F.when(F.col("appointment_type") != "",
                    F.col("appointment_type")), F.lit("")).alias("reason"),
-        F.lit(None).cast("timestamp").alias("created_at"))
+        "contact_info", "priority", "notes", "created_at")
 
 
 def dashboard_rows(spark, sf) -> DataFrame:
@@ -76,7 +76,7 @@ def q_users_with_details(spark, sf):
 
 
 def q_appointment_enriched(spark, sf):
-    return enriched_appointments(spark, sf).drop("created_at")
+    return enriched_appointments(spark, sf)
 
 
 def q_leave_match(spark, sf):
@@ -97,16 +97,15 @@ def q_directory(spark, sf):
 
 def booking_requests(spark, sf) -> DataFrame:
     a = VW.appointments(spark, sf)
-    u = VW.users(spark, sf).select(F.col("email").alias("__u"), F.col("phone").alias("contact_info"))
+    u = VW.users(spark, sf).select(F.col("email").alias("__u"), F.col("phone").alias("phone"))
     return a.join(u, a["patient_email"] == u["__u"], "left").select(
         F.col("id").alias("request_id"), "patient_email", "scheduled_for", "appointment_type", "doctor_email",
-        F.when(F.col("reason") != "", F.col("reason")).alias("reason"), F.lit(None).cast("string").alias("notes"),
-        "contact_info")
+        F.when(F.col("reason") != "", F.col("reason")).alias("reason"), "notes", F.col("phone").alias("contact_info"))
 
 
 def q_booking_admission(spark, sf):
     return RC.booking_admission(booking_requests(spark, sf), VW.users(spark, sf), VW.doctors_ref(spark, sf),
-                                VW.doctor_leaves(spark, sf))
+                                VW.doctor_leaves(spark, sf), F.lit(AS_OF).cast("timestamp"))
 
 
 def q_cancel_admission(spark, sf):
@@ -116,6 +115,13 @@ def q_cancel_admission(spark, sf):
     return RC.cancel_admission(req, a, VW.users(spark, sf), AS_OF)
 
 
+def q_status_updates(spark, sf):
+    """The appointment table after the accepted cancellations."""
+    done = q_cancel_admission(spark, sf).filter("accepted").select(
+        F.col("appointment_id").alias("id"), "status", "notes", F.col("request_id").alias("update_id"))
+    return RC.update_status(VW.appointments(spark, sf), done).select("id", "patient_email", "status", "notes")
+
+
 def _events(spark, sf):
     return RC.record_changes(VW.submissions(spark, sf))
 
@@ -137,14 +143,22 @@ def q_changes_exploded(spark, sf):
 
 
 def patch_rows(spark, sf) -> DataFrame:
-    """Clinical updates derived from every third submission, some fields nulled."""
-    s = SC.parse_details(VW.submissions(spark, sf).filter(F.col("id") % 3 == 0))
+    """Clinical updates derived from the submissions, some fields nulled, and first
+    updates of accounts that may have no document yet."""
+    s = SC.parse_details(VW.submissions(spark, sf))
     bp = F.col("d.blood_pressure")
     from ..functions import vitals as V
 
     p = V.parse_bp(bp)
     i = F.col("id")
-    return s.select(
+    none = F.lit(None)
+    first = VW.users(spark, sf).filter((F.col("role") == "patient") & (F.col("id") % 7 == 0)).select(
+        "email", F.lit(AS_OF).cast("timestamp").alias("submitted_at"), F.col("id"), F.lit(40).alias("p_age"),
+        none.cast("string").alias("p_gender"), none.cast("string").alias("p_symptoms"),
+        none.cast("double").alias("p_bmi"), none.cast("double").alias("p_glucose"),
+        none.cast("string").alias("p_glucose_type"), none.cast("double").alias("p_systolic"),
+        none.cast("double").alias("p_diastolic"), F.lit(170.0).alias("p_height_cm"), none.cast("double").alias("p_weight_kg"))
+    return first.unionByName(s.select(
         "email", "submitted_at", "id",
         F.when(i % 2 == 0, F.col("d.age")).alias("p_age"),
         F.when(i % 4 != 0, F.col("d.gender")).alias("p_gender"),
@@ -152,13 +166,14 @@ def patch_rows(spark, sf) -> DataFrame:
         F.when(i % 2 == 1, F.col("d.bmi")).alias("p_bmi"),
         F.col("d.glucose").alias("p_glucose"),
         F.when(i % 6 == 3, F.lit("random")).alias("p_glucose_type"),
-        p["systolic"].alias("p_systolic"), p["diastolic"].alias("p_diastolic"))
+        p["systolic"].alias("p_systolic"), p["diastolic"].alias("p_diastolic"),
+        F.when(i % 4 == 1, F.col("d.height_cm") + 1).alias("p_height_cm"),
+        F.when(i % 3 == 1, F.col("d.weight_kg")).alias("p_weight_kg")))
 
 
 def q_merge_patch(spark, sf):
-    m = RC.merge_patch(_details(spark, sf), patch_rows(spark, sf))
-    return m.select("email", "age", "gender", "symptoms", "symptom_count", "bmi", "glucose", "glucose_type",
-                    "blood_pressure", "updated_at", _j(F.col("changed_fields"), ", ").alias("changed_fields"))
+    m = RC.merge_patch(_details(spark, sf), patch_rows(spark, sf), VW.users(spark, sf))
+    return m.withColumn("changed_fields", _j(F.col("changed_fields"), ", "))
 
 
 def q_doctor_appointments(spark, sf):
@@ -338,6 +353,7 @@ def registry_records():
         "directory": q_directory,
         "booking_admission": q_booking_admission,
         "cancel_admission": q_cancel_admission,
+        "status_updates": q_status_updates,
         "history_topn": q_history_topn,
         "record_changes": q_record_changes,
         "changes_exploded": q_changes_exploded,

@@ -78,9 +78,9 @@ def patients_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patients_raw_with_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw patients plus an exact copy of every 50th row (dedup input)."""
+    """Raw patients plus a copy of every 50th row under a ``seq`` of its own (dedup input)."""
     raw = patients_raw(spark, sf_dir)
-    return raw.unionByName(raw.filter(F.col("seq") % 50 == 0))
+    return raw.unionByName(raw.filter(F.col("seq") % 50 == 0).withColumn("seq", F.col("seq") + 1_000_000_000))
 
 
 def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,11 +145,14 @@ def submissions_from(events: DataFrame) -> DataFrame:
         F.lit(', "blood_pressure": '),
         F.when(eid % 5 == 0, F.lit("null")).otherwise(
             F.concat(F.lit('"'), s(80 + eid % 120), F.lit("/"), s(45 + eid % 80), F.lit('"'))),
-        F.lit(', "bmi": '), s((150 + uid % 300).cast("double") / 10), F.lit("}"),
+        F.lit(', "bmi": '), s((150 + uid % 300).cast("double") / 10),
+        F.lit(', "height_cm": '), s(140 + uid % 60), F.lit(', "weight_kg": '), s(45 + eid % 70),
+        F.lit(', "smoking_habit": "'), F.when(uid % 3 == 0, "never").otherwise("daily"), F.lit('"}'),
     )
     return e.select(
         eid.alias("id"),
-        F.concat(F.lit("c"), s(uid), F.lit("@example.com")).alias("email"),
+        F.when(eid % 9 == 0, F.concat(F.lit("C"), s(uid), F.lit("@Example.com"))).otherwise(
+            F.concat(F.lit("c"), s(uid), F.lit("@example.com"))).alias("email"),
         F.col("ts").alias("submitted_at"),
         payload.alias("payload_json"),
     )
@@ -170,16 +173,21 @@ def appointments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ok % 2 == 0, "General checkup").otherwise("Follow-up").alias("appointment_type"),
         F.when(ok % 7 == 0, F.lit(None).cast("string")).otherwise(
             F.concat(F.lit("s"), (ok % n_sup).cast("string"), F.lit("@example.com"))).alias("doctor_email"),
+        (F.lit(5550000000) + ok % 10000000).cast("string").alias("contact_info"),
+        F.when(ok % 5 == 0, "High").otherwise(F.lit(None).cast("string")).alias("priority"),
+        F.when(ok % 6 == 0, " call first ").when(ok % 6 == 1, "").when(ok % 6 == 2, F.concat(F.lit("bring "), F.repeat(F.lit("x"), 990)))
+        .otherwise(F.lit(None).cast("string")).alias("notes"),
+        (F.col("o_orderdate") - F.make_dt_interval(hours=(ok % 240 + 1).cast("int"))).alias("created_at"),
     )
 
 
 def doctor_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_quantity")
-    return li.filter((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 10 == 0)).select(
-        F.col("l_orderkey").alias("id"),
+    return li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("id"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("@example.com")).alias("doctor_email"),
         F.col("l_shipdate").alias("start_at"),
-        (F.col("l_shipdate") + F.make_dt_interval(days=F.col("l_quantity").cast("int"))).alias("end_at"),
+        (F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_quantity").cast("int"))).alias("end_at"),
     )
 
 
@@ -188,6 +196,7 @@ def doctors_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     sk = F.col("s_suppkey")
     m = sk % 4
     return s.filter(sk % 5 != 0).select(
+        (sk * 37 % 100003).alias("seq"),  # place in the file
         F.concat(F.lit("s"), sk.cast("string"), F.lit("@example.com")).alias("doctor_id"),
         F.when(sk % 6 == 0, F.lit("")).otherwise(F.col("s_name")).alias("doctor_name"),
         F.lit("General Medicine").alias("specialization"),
@@ -209,15 +218,3 @@ def access_log_from(events: DataFrame) -> DataFrame:
         F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("ip"),
         F.col("ts"),
     )
-
-
-VIEWS = {
-    "patients_raw": patients_raw,
-    "score_requests": score_requests,
-    "users": users,
-    "submissions": submissions,
-    "appointments": appointments,
-    "doctor_leaves": doctor_leaves,
-    "doctors_ref": doctors_ref,
-    "access_log": access_log,
-}

@@ -23,7 +23,7 @@ LAST_DOC_SCHEMA = "last_id BIGINT, last_ts TIMESTAMP, last_json STRING"
 
 def latest_details_stream(subs: DataFrame) -> DataFrame:
     """Latest submission per email (update mode)."""
-    s = subs.filter(F.trim("email") != "")
+    s = subs.withColumn("email", RC.email_key("email")).filter(F.col("email") != "")
     return s.groupBy("email").agg(F.max_by(F.struct("id", "submitted_at", "payload_json"),
                                            F.struct("submitted_at", "id")).alias("b")).select(
         "email", F.col("b.id").alias("id"), F.col("b.submitted_at").alias("submitted_at"),
@@ -58,7 +58,7 @@ def _pair_fn(key, pdfs, state):
 
 def consecutive_pairs_stream(subs: DataFrame) -> DataFrame:
     """Pair each submission with the patient's previous document (state: last doc)."""
-    s = subs.filter(F.trim("email") != "")
+    s = subs.withColumn("email", RC.email_key("email")).filter(F.col("email") != "")
     return s.groupBy("email").applyInPandasWithState(_pair_fn, PAIR_SCHEMA, LAST_DOC_SCHEMA, "append", "NoTimeout")
 
 
@@ -81,6 +81,6 @@ def audit_events_stream(subs: DataFrame) -> DataFrame:
 
 def scoring_stream(subs: DataFrame, ref: DataFrame) -> DataFrame:
     """T4: every submission scored as it arrives (stateless + stream-static joins)."""
-    d = SC.parse_details(subs.filter(F.trim("email") != ""))
+    d = SC.parse_details(subs.withColumn("email", RC.email_key("email")).filter(F.col("email") != ""))
     r = SC.patient_risk(d, ref)
     return r.select("email", "id", "submitted_at", "risk_level", "risk_source", "risk_booking_priority")
