@@ -235,7 +235,7 @@ def emergency_on_duty(requests: DataFrame, key: str, when_col: str, ref: DataFra
 
 
 def booking_admission(requests: DataFrame, users: DataFrame, ref: DataFrame, leaves: DataFrame,
-                      created_at: Column) -> DataFrame:
+                      created_at: Column | None = None) -> DataFrame:
     """Accept or reject booking requests; accepted ones as the rows to store.
 
     ``requests``: request_id, patient_email, scheduled_for, appointment_type,
@@ -270,7 +270,7 @@ def booking_admission(requests: DataFrame, users: DataFrame, ref: DataFrame, lea
         F.when(accepted, F.trim("appointment_type")).alias("appointment_type"),
         F.lit(None).cast("string").alias("priority"),
         F.when(accepted & (F.col("notes") != ""), F.trim("notes")).alias("notes"),
-        F.when(accepted, created_at).alias("created_at"),
+        F.when(accepted, F.current_timestamp() if created_at is None else created_at).alias("created_at"),
     )
 
 
