@@ -9,19 +9,19 @@ from ..operators import scoring as SC
 from ..sources import views as VW
 from ..streaming import rate_limit as RL
 from ..streaming import records as SR
-from ..streaming.sources import run_to_table, table_stream
+from ..streaming.sources import run_to_table, table_feed
 from .queries import _featured, _j
 from .queries_records import RATE_LIMIT, RATE_WINDOW_SECONDS
 
 
 def q_stream_rate_limit(spark, sf):
-    log = VW.access_log_from(table_stream(spark, sf, "events"))
+    log = VW.access_log_from(table_feed(spark, sf, "events", "ts"))
     out = run_to_table(spark, RL.rate_limit_stream(log, RATE_WINDOW_SECONDS, RATE_LIMIT))
-    return out.select("event_id", "scope", "ip", "ts", "hits", "breach")
+    return RL.final_counts(out)
 
 
 def q_stream_latest_details(spark, sf):
-    subs = VW.submissions_from(table_stream(spark, sf, "events"))
+    subs = VW.submissions_from(table_feed(spark, sf, "events", "ts"))
     out = run_to_table(spark, SR.latest_details_stream(subs), output_mode="update")
     # update mode may emit a key more than once across epochs: keep the last version
     from ..operators.records import latest_per_key
@@ -30,7 +30,7 @@ def q_stream_latest_details(spark, sf):
 
 
 def q_stream_audit_events(spark, sf):
-    subs = VW.submissions_from(table_stream(spark, sf, "events"))
+    subs = VW.submissions_from(table_feed(spark, sf, "events", "ts"))
     out = run_to_table(spark, SR.audit_events_stream(subs))
     return out.select("patient_email", "event_id", "prev_id", "changed_at",
                       _j(F.transform("changes", lambda c: c["field"]), ", ").alias("changed_fields"),
@@ -38,7 +38,7 @@ def q_stream_audit_events(spark, sf):
 
 
 def q_stream_scoring(spark, sf):
-    subs = VW.submissions_from(table_stream(spark, sf, "events"))
+    subs = VW.submissions_from(table_feed(spark, sf, "events", "ts"))
     ref = SC.reference_frequencies(_featured(spark, sf))
     return run_to_table(spark, SR.scoring_stream(subs, ref))
 

@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.autoBroadcastJoinThreshold": "10MB",
+    # Python tasks get small Arrow batches: rows may hold long texts
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8MB",
     "spark.ui.enabled": "false",
 }
 

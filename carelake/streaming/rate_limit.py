@@ -32,51 +32,72 @@ def rate_limit_batch(log: DataFrame, window_seconds: int = 300, limit: int = 20,
 
 # ---------------------------------------------------------------- streaming
 
-RATE_OUTPUT_SCHEMA = "event_id BIGINT, scope STRING, ip STRING, ts TIMESTAMP, hits BIGINT, breach BOOLEAN"
-RATE_STATE_SCHEMA = "stamps ARRAY<BIGINT>"
+RATE_OUTPUT_SCHEMA = "event_id BIGINT, scope STRING, ip STRING, ts TIMESTAMP, hits BIGINT, breach BOOLEAN, late BOOLEAN"
+RATE_STATE_SCHEMA = "stamps ARRAY<BIGINT>, ids ARRAY<BIGINT>"
 
 
-def _rate_limit_fn(window_seconds: int, limit: int):
+def _rate_limit_fn(window_seconds: int, limit: int, delay_seconds: int):
     import numpy as np
     import pandas as pd
 
-    w_us = window_seconds * 1_000_000
+    window, delay = window_seconds * 1_000_000, delay_seconds * 1_000_000
 
     def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        prev = list(state.get[0]) if state.exists else []
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        if batch.empty:
-            return
-        us = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        order = np.lexsort((batch["event_id"].to_numpy(), us))
-        batch, us = batch.iloc[order].reset_index(drop=True), us[order]
-        prev_sorted = np.sort(np.array(prev, dtype="int64"))
-        lo = us - w_us
-        # arrivals inside [t - window, t]: earlier batches (state) + this batch up to the hit
-        from_prev = len(prev_sorted) - np.searchsorted(prev_sorted, lo, side="left")
-        from_batch = np.arange(1, len(us) + 1) - np.searchsorted(us, lo, side="left")
-        hits = (from_prev + from_batch).astype("int64")
-        ordered = np.concatenate([prev_sorted, us])
-        newest = int(ordered.max())
-        keep = np.sort(ordered[ordered >= newest - w_us])
-        state.update((keep.tolist(),))
-        # drop the key's state once the watermark passes its last hit + window
-        state.setTimeoutTimestamp(int(newest // 1000) + window_seconds * 1000)
-        batch["hits"] = hits
-        batch["breach"] = batch["hits"] > limit
-        yield batch[["event_id", "scope", "ip", "ts", "hits", "breach"]]
+        stamps, ids = (np.array(x, dtype="int64") for x in (state.get if state.exists else ((), ())))
+        for pdf in pdfs:  # one Arrow batch after the other: a hot key is never one frame
+            if pdf.empty:
+                continue
+            us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            late = us < (stamps.max() if len(stamps) else us.min()) - delay
+            if late.any():
+                yield pdf[late].assign(hits=pd.array([None] * int(late.sum()), dtype="Int64"), breach=None, late=True)[
+                    ["event_id", "scope", "ip", "ts", "hits", "breach", "late"]]
+            new, new_ids = us[~late], pdf["event_id"].to_numpy()[~late]
+            if not len(new):
+                continue
+            stamps, ids = np.concatenate([stamps, new]), np.concatenate([ids, new_ids])
+            order = np.lexsort((ids, stamps))
+            stamps, ids = stamps[order], ids[order]
+            hits = np.searchsorted(stamps, stamps, "right") - np.searchsorted(stamps, stamps - window, "left")
+            # counts that a new hit changes: hits from its own time to a window later
+            arrived = np.sort(new)
+            changed = np.searchsorted(arrived, stamps, "right") > np.searchsorted(arrived, stamps - window, "left")
+            yield pd.DataFrame({"event_id": ids[changed], "scope": key[0], "ip": key[1],
+                                "ts": pd.to_datetime(stamps[changed], unit="us"), "hits": hits[changed],
+                                "breach": hits[changed] > limit, "late": False})
+            keep = stamps >= stamps[-1] - window - delay
+            stamps, ids = stamps[keep], ids[keep]
+        state.update((stamps.tolist(), ids.tolist()))
 
     return fn
 
 
+def _counted_hits(log: DataFrame, window_seconds: int, limit: int, delay_seconds: int) -> DataFrame:
+    fn = _rate_limit_fn(window_seconds, limit, delay_seconds)
+    return log.groupBy("scope", "ip").applyInPandasWithState(
+        fn, RATE_OUTPUT_SCHEMA, RATE_STATE_SCHEMA, "append", "NoTimeout")
+
+
 def rate_limit_stream(log: DataFrame, window_seconds: int = 300, limit: int = 20,
-                      watermark: str = "10 minutes") -> DataFrame:
-    """T1 streaming: per (scope, ip) state holds only the hits inside the window
-    (bounded by limit + burst), expired by an event-time timeout.  Hits arriving
-    later than the watermark are dropped (our late-data policy)."""
-    fn = _rate_limit_fn(window_seconds, limit)
-    return (log.withWatermark("ts", watermark).groupBy("scope", "ip")
-            .applyInPandasWithState(fn, RATE_OUTPUT_SCHEMA, RATE_STATE_SCHEMA, "append", "EventTimeTimeout"))
+                      delay_seconds: int = 600) -> DataFrame:
+    """T1 streaming: hits in [ts - window, ts] of the same client, ties included.
+
+    Per (scope, ip) the state holds the hits of the last window plus delay.  It is
+    kept while the query runs: an event-time timeout would need a watermark, and
+    Spark drops rows behind one before any late sink sees them.  A hit up to ``delay_seconds`` behind its
+    client's newest one counts in full, and the later hits whose windows hold it
+    are given again with their larger counts, so the last (largest) count of each
+    event equals the batch twin's.  Older hits are in ``late_hits_stream``.
+    """
+    return _counted_hits(log, window_seconds, limit, delay_seconds).filter("NOT late").drop("late")
+
+
+def late_hits_stream(log: DataFrame, window_seconds: int = 300, limit: int = 20, delay_seconds: int = 600) -> DataFrame:
+    """T1 late sink: hits more than the delay behind their client's newest hit."""
+    return _counted_hits(log, window_seconds, limit, delay_seconds).filter("late").select("event_id", "scope", "ip", "ts")
+
+
+def final_counts(rows: DataFrame) -> DataFrame:
+    """The last count of every event of ``rate_limit_stream`` (counts only grow)."""
+    return rows.groupBy("event_id", "scope", "ip", "ts").agg(F.max("hits").alias("hits"),
+                                                             F.max("breach").alias("breach"))

@@ -5,18 +5,34 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import table_path
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+MAX_FILES = 64  # files of one micro-batch
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = MAX_FILES) -> DataFrame:
     """``readStream`` over one driver table (schema taken from the batch reader)."""
     schema = spark.read.parquet(table_path(sf_dir, name)).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+
+
+def table_feed(spark: SparkSession, sf_dir: str, name: str, time_col: str, slices: int = 4) -> DataFrame:
+    """A driver table as it would arrive: equal time slices appended one after the
+    other to a feed folder, and streamed in micro-batches of one slice or less."""
+    rows = spark.read.parquet(table_path(sf_dir, name))
+    at = F.unix_micros(F.col(time_col).cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    feed = scratch_path(spark, "stream-feed")
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // slices))
+    for k in range(slices):
+        own = F.coalesce(F.floor((at - (low or 0)) / width), F.lit(0)) == k
+        rows.filter(own).coalesce(1).write.mode("append").parquet(feed)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(feed)
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
@@ -38,7 +54,7 @@ def run_to_table(spark: SparkSession, stream_df: DataFrame, output_mode: str = "
         return spark.read.format(fmt).load(out)
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").format(fmt).save(f"{out}/epoch={epoch}")
+        batch.write.mode("overwrite").format(fmt).save(f"{out}/epoch={epoch}")  # a retried epoch replaces itself
 
     q = (stream_df.writeStream.foreachBatch(upsert).option("checkpointLocation", ckpt).outputMode(output_mode)
          .trigger(availableNow=True).start())

@@ -1,11 +1,11 @@
 """Streaming behaviour beyond the batch twins: state across micro-batches and
-the late-data policy (hits older than the watermark are dropped in T1)."""
+the late-data policy (hits behind the delay go to the late sink in T1)."""
 
 import datetime as dt
 
 from pyspark.sql import functions as F
 
-from carelake.streaming.rate_limit import rate_limit_stream
+from carelake.streaming.rate_limit import final_counts, late_hits_stream, rate_limit_batch, rate_limit_stream
 from carelake.streaming.records import latest_details_stream
 
 SCHEMA = "event_id long, scope string, ip string, ts timestamp"
@@ -35,11 +35,36 @@ def test_rate_limit_state_and_late_hits(spark, tmp_dir):
     _run(spark, src, out, ckpt)
     _write(spark, [(5, "login", "1.1.1.1", t0 + dt.timedelta(seconds=150))], src)
     _run(spark, src, out, ckpt)
-    got = {r.event_id: (r.hits, r.breach) for r in spark.read.parquet(out).collect()}
+    got = {r.event_id: (r.hits, r.breach) for r in final_counts(spark.read.parquet(out)).collect()}
     assert got[1] == (1, False) and got[2] == (2, False)
     assert got[3] == (3, True)  # the state carried hits 1 and 2 across micro-batches
     assert got[4] == (1, False)
-    assert 5 not in got  # later than the watermark: dropped
+    assert 5 not in got  # more than the delay behind: in the late sink only
+    log = spark.readStream.schema(SCHEMA).parquet(src)
+    late = (late_hits_stream(log, 300, 2).writeStream.format("memory").queryName("late_hits").outputMode("append")
+            .trigger(availableNow=True).start())
+    late.awaitTermination()
+    assert spark.table("late_hits").columns == ["event_id", "scope", "ip", "ts"]
+
+
+def test_rate_limit_out_of_order_and_ties_equal_the_batch(spark, tmp_dir):
+    import random
+
+    rng, t0 = random.Random(1), dt.datetime(2024, 1, 1, 12)
+    rows, n = [], 0
+    for batch in range(5):  # each up to 400 s behind the one before, with many ties
+        part = []
+        for _ in range(60):
+            at = t0 + dt.timedelta(seconds=batch * 200 - rng.choice([0, 10, 100, 400]) + rng.randrange(0, 60, 10))
+            part.append((n, "login", rng.choice(["1.1.1.1", "2.2.2.2"]), at))
+            n += 1
+        rows.append(part)
+        _write(spark, part, f"{tmp_dir}/src")
+        _run(spark, f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ckpt")
+    whole = spark.createDataFrame([r for part in rows for r in part], SCHEMA)
+    want = {r.event_id: (r.hits, r.breach) for r in rate_limit_batch(whole, 300, 2).collect()}
+    got = {r.event_id: (r.hits, r.breach) for r in final_counts(spark.read.parquet(f"{tmp_dir}/out")).collect()}
+    assert got == want
 
 
 def test_latest_details_stream_update(spark, tmp_dir):
