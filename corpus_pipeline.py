@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from carelake.llm.common import read_documents, stored
+from carelake.session import apply_defaults
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that the repetition rules reject go."""
     from carelake.llm.quality import keep_quality
 
+    apply_defaults(spark)  # the first stage; the settings stay with the session
     return keep_quality(docs)
 
 
