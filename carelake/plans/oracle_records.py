@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import re
 
-from ..operators.records import NUMERIC_FIELDS, TRACKED_FIELDS
 from . import oracle_scoring as OS
 from .fixture_sql import with_views
 
+# The tracked fields in audit order, written out for the SQL side.
+TRACKED_FIELDS = [
+    "age", "gender", "symptoms", "symptom_count", "height_cm", "weight_kg", "bmi", "smoking_habit", "alcohol_habit",
+    "average_sleep_hours", "medical_history", "family_history_major_chronic_disease", "glucose", "glucose_type",
+    "blood_pressure",
+]
+NUMERIC_FIELDS = ("age", "symptom_count", "height_cm", "weight_kg", "bmi", "average_sleep_hours", "glucose")
+
 AS_OF = "TIMESTAMP '1998-06-01 00:00:00'"
 AS_OF_DATE = "CAST(DATE '1998-06-01' AS TIMESTAMP)"
 

@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from ..functions.keywords import HIGH_KEYWORDS, LOW_KEYWORDS, MEDIUM_KEYWORDS, keyword_words
 from . import sqlparts as S
 from .fixture_sql import with_views
 from .oracle import clean_ctes, feature_ctes
 
+# The keyword lists of the rules, written out for the SQL side.
+HIGH_KEYWORDS = [
+    "chest pain", "difficulty breathing", "unconsciousness", "unconscious", "severe bleeding", "seizure",
+    "seizures", "slurred speech", "confusion", "bluish lips", "bluish face", "blue lips", "blue face",
+    "severe head injury", "head injury", "uncontrolled vomiting", "sudden weakness", "one side weakness",
+    "weakness one side", "stroke",
+]
+MEDIUM_KEYWORDS = [
+    "moderate fever", "persistent cough", "shortness of breath", "dehydration", "abdominal pain", "dizziness",
+    "extreme fatigue", "fatigue (extreme)", "swelling", "rash with fever", "frequent vomiting",
+    "painful urination",
+]
+LOW_KEYWORDS = [
+    "mild fever", "runny nose", "sore throat", "mild cough", "headache", "body aches", "mild fatigue", "sneezing",
+    "slight nausea", "minor cuts", "bruises", "minor cuts/bruises",
+]
+STOP_LIST = "['in', 'on', 'of', 'the', 'a', 'an', 'and', 'with', 'to', 'for', 'at']"
+
 
 def tokens_quick(x: str) -> str:
     return (f"list_filter(list_transform(string_split_regex(coalesce({x}, ''), '[,;|\\n]+'), "
@@ -19,11 +36,8 @@ def tokens_nurse(x: str) -> str:
 
 
 def has_any(tokens: str, kw: str) -> str:
-    words = keyword_words(kw)
-    cond = f"contains(t, '{kw}')"
-    if words:
-        allw = " AND ".join(f"list_contains(regexp_extract_all(t, '[a-z0-9]+'), '{w}')" for w in words)
-        cond = f"({cond} OR ({allw}))"
+    words = f"list_filter(regexp_extract_all('{kw}', '[a-z0-9]+'), lambda w: NOT list_contains({STOP_LIST}, w))"
+    cond = f"(contains(t, '{kw}') OR list_has_all(regexp_extract_all(t, '[a-z0-9]+'), {words}))"
     return f"(len(list_filter({tokens}, lambda t: t <> '' AND {cond})) > 0)"
 
 

@@ -67,14 +67,14 @@ def q_top_symptom_pairs(spark, sf_dir):
 
 def q_symptom_flags(spark, sf_dir):
     f = _featured(spark, sf_dir)
-    vocab = FE.vocabulary_names(FE.top_symptoms(f), ["symptom"])  # <= 15 names, as for SYM_ columns
-    return FE.flags_long(f, vocab, "symptom").select("seq", "Patient_ID", "feature", "flag")
+    vocab = FE.vocabulary_names(FE.top_symptoms(f), "SYM_", ["symptom"])  # <= 15 names, as for SYM_ columns
+    return FE.flags_long(f, vocab).select("seq", "Patient_ID", "feature", "flag")
 
 
 def q_pair_flags(spark, sf_dir):
     f = _featured(spark, sf_dir)
-    vocab = FE.vocabulary_names(FE.top_symptom_pairs(f), ["first_symptom", "second_symptom"])  # <= 10 pairs
-    return FE.flags_long(f, vocab, "pair").select("seq", "Patient_ID", "feature", "flag")
+    vocab = FE.vocabulary_names(FE.top_symptom_pairs(f), "PAIR_", ["first_symptom", "second_symptom"])  # <= 10 pairs
+    return FE.flags_long(f, vocab).select("seq", "Patient_ID", "feature", "flag")
 
 
 def q_profile_frequency(spark, sf_dir):
