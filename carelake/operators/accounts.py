@@ -50,10 +50,68 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     checks.append(F.when(~F.coalesce(F.col("glucose_type").isin("fasting", "random"), F.lit(False)),
                          F.lit("glucose_type")))
     checks.append(F.when(F.col("gender").isNull(), F.lit("gender")))
+    checks.append(F.when(F.col("symptoms").isNull(), F.lit("symptoms")))
     v = F.array_compact(F.array(*checks))
     return requests.select("request_id", v.alias("violations"), (F.size(v) == 0).alias("valid"))
 
 
+# Fixed values (J36): the fields of each form with kind, whether required, least and
+# largest value (numbers) or length (texts); "above" excludes the least value.
+FORM_RULES = {
+    "health_details": [
+        ("email", "text", True, 5, 254), ("age", "number", True, 0, 120), ("gender", "text", True, 1, 50),
+        ("symptoms", "text", True, 1, 1000), ("symptom_count", "number", True, 0, 100),
+        ("glucose", "number", False, 0, None), ("blood_pressure", "text", False, None, 30),
+        ("height_cm", "above", True, 0, 300), ("weight_kg", "above", True, 0, 500), ("bmi", "above", True, 0, 100),
+        ("smoking_habit", "text", True, 1, 50), ("alcohol_habit", "text", True, 1, 50),
+        ("average_sleep_hours", "number", True, 0, 24), ("medical_history", "text", False, None, 2000),
+        ("family_history_major_chronic_disease", "text", True, 1, 100),
+    ],
+    "record_update": [
+        ("patient_email", "text", True, 5, 254), ("updated_by_email", "text", True, 5, 254),
+        ("age", "number", False, 0, 120), ("gender", "text", False, None, 50), ("height_cm", "above", False, 0, 300),
+        ("weight_kg", "above", False, 0, 500), ("bmi", "above", False, 0, 100), ("glucose", "number", False, 0, None),
+        ("systolic_bp", "number", False, 0, None), ("diastolic_bp", "number", False, 0, None),
+    ],
+    "booking": [
+        ("patient_email", "text", True, 5, 254), ("scheduled_for", "text", True, 10, 64),
+        ("appointment_type", "text", True, 2, 100), ("contact_info", "text", True, 3, 200),
+        ("doctor_email", "text", False, None, 254), ("reason", "text", False, 2, 200), ("notes", "text", False, None, 1000),
+    ],
+    "cancel": [
+        ("patient_email", "text", True, 5, 254), ("appointment_id", "number", True, 1, None),
+        ("cancel_reason", "text", False, None, 200),
+    ],
+    "leave": [
+        ("doctor_email", "text", True, 5, 254), ("start_at", "text", True, 10, 64), ("end_at", "text", True, 10, 64),
+        ("reason", "text", False, None, 200),
+    ],
+}
+# Fields that must be one of a few words when given.
+FORM_CHOICES = {"record_update": {"updated_by_role": ("nurse", "doctor"), "glucose_type": ("fasting", "random")}}
+
+
+def validate_form(rows: DataFrame, form: str, key: str = "request_id") -> DataFrame:
+    """Violations of a form's model as an array of field names; absent columns count as missing."""
+    checks = []
+    for field, kind, required, low, high in FORM_RULES[form]:
+        if field not in rows.columns:
+            checks += [F.lit(field)] if required else []
+            continue
+        value = F.length(F.col(field).cast("string")) if kind == "text" else F.col(field).cast("double")
+        bad = F.col(field).isNull() & F.lit(required)
+        if low is not None:
+            bad = bad | (value <= low if kind == "above" else value < low)
+        if high is not None:
+            bad = bad | (value > high)
+        checks.append(F.when(bad, F.lit(field)))
+    for field, words in FORM_CHOICES.get(form, {}).items():
+        if field in rows.columns:
+            checks.append(F.when(F.col(field).isNotNull() & ~F.col(field).isin(*words), F.lit(field)))
+    v = F.array_compact(F.array(*checks))
+    return rows.select(key, v.alias("violations"), (F.size(v) == 0).alias("valid"))
+
+
 def registration_uniqueness(batch: DataFrame, store: DataFrame, order_col: str = "id") -> DataFrame:
     """Registration batch, first wins within the batch, unique against the store.
 

@@ -43,12 +43,6 @@ def health_details(submissions: DataFrame) -> DataFrame:
     return parse_details(latest_details(submissions))
 
 
-def top_n_per_key(df: DataFrame, key: str | list[str], order: list[Column], n: int, rank_col: str = "rn") -> DataFrame:
-    keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
-
-
 # ------------------------------------------------------------ users
 
 def users_with_details(users: DataFrame, details: DataFrame) -> DataFrame:

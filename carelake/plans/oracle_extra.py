@@ -105,6 +105,18 @@ FROM f WINDOW w AS (PARTITION BY email ORDER BY submitted_at, id ROWS BETWEEN UN
         "AND (contains(lower(coalesce(patient_name, '')), 'c1') OR contains(lower(coalesce(patient_email, '')), 'c1')) "
         "ORDER BY show_on_top DESC, level_rank, scheduled_for, id LIMIT 12",
         "appointments", "users", "submissions", "patients_raw")
+    q["nurse_search_booked"] = with_views(
+        RT + "SELECT id, patient_email, patient_name, triage_level, scheduled_for FROM dash WHERE bucket = 'past' "
+        "AND (contains(lower(coalesce(patient_name, '')), 'c1') OR contains(lower(coalesce(patient_email, '')), 'c1')) "
+        "ORDER BY scheduled_for, id LIMIT 16", "appointments", "users", "submissions", "patients_raw")
+    q["nurse_search_patients"] = with_views(
+        f"SELECT id, full_name, email AS patient_email FROM users WHERE {OR.safe_role('role')} = 'patient' AND "
+        "(contains(lower(coalesce(full_name, '')), 'c1') OR contains(lower(coalesce(email, '')), 'c1')) "
+        "ORDER BY lower(trim(full_name)), id LIMIT 12", "users")
+    q["file_round_trip"] = with_views(
+        "SELECT f.form, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum, CAST(sum(length(email) + length(full_name) + "
+        "length(role)) AS BIGINT) AS text_length, count(*) FILTER (coalesce(phone, '') <> '') AS phones FROM users, "
+        "(VALUES ('typed_csv'), ('csv_rows'), ('json_array'), ('users_csv'), ('export')) f(form) GROUP BY f.form", "users")
     q["doctor_choices"] = with_views(
         f"WITH {OR.DOCS_CTE}, {OR.VALID_LEAVES}, du AS (SELECT * FROM users WHERE role = 'doctor'), "
         f"b AS ({OR.best_leave('du', 'lower(trim(du.email))', 'du.email', OR.AS_OF)})\n"

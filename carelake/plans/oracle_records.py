@@ -378,10 +378,49 @@ SELECT id, e AS email, p AS phone, why IS NULL AS accepted, why AS reject_reason
             "CASE WHEN diastolic_bp IS NULL OR diastolic_bp < 0 THEN 'diastolic_bp' END, "
             "CASE WHEN bmi IS NULL OR bmi < 0 THEN 'bmi' END, "
             "CASE WHEN NOT coalesce(glucose_type IN ('fasting', 'random'), false) THEN 'glucose_type' END, "
-            "CASE WHEN gender IS NULL THEN 'gender' END]::VARCHAR[], lambda v: v IS NOT NULL)")
+            "CASE WHEN gender IS NULL THEN 'gender' END, "
+            "CASE WHEN symptoms IS NULL THEN 'symptoms' END]::VARCHAR[], lambda v: v IS NOT NULL)")
     q["request_validation"] = with_views(
         f"SELECT request_id, array_to_string({viol}, ', ') AS violations, len({viol}) = 0 AS valid "
         "FROM score_requests", "score_requests")
+    pu = merge_patch_sql().split("a AS (SELECT email,")[0].rstrip().rstrip(",")
+    j = lambda f: f"TRY_CAST(json_extract(payload_json, '$.{f}') AS DOUBLE)"
+    t = lambda f: f"json_extract_string(payload_json, '$.{f}')"
+    forms = {
+        "health_details": ("submissions", "id", [
+            ("email", "NOT length(email) BETWEEN 5 AND 254"),
+            ("age", f"coalesce({j('age')} + CASE WHEN id % 10 = 0 THEN 60 ELSE 0 END NOT BETWEEN 0 AND 120, true)"),
+            ("gender", f"coalesce(length({t('gender')}) NOT BETWEEN 1 AND 50, true)"),
+            ("symptoms", f"id % 8 = 0 OR coalesce(length({t('symptoms')}) NOT BETWEEN 1 AND 1000, true)"),
+            ("symptom_count", "id % 120 > 100"), ("glucose", f"{j('glucose')} < 0"),
+            ("blood_pressure", f"length({t('blood_pressure')}) > 30"),
+            ("height_cm", f"id % 9 = 0 OR coalesce({j('height_cm')} <= 0 OR {j('height_cm')} > 300, true)"),
+            ("weight_kg", f"coalesce({j('weight_kg')} * CASE WHEN id % 7 = 0 THEN 10 ELSE 1 END NOT BETWEEN 0.001 AND 500, true)"),
+            ("bmi", f"coalesce({j('bmi')} <= 0 OR {j('bmi')} > 100, true)"),
+            ("smoking_habit", f"coalesce(length({t('smoking_habit')}) NOT BETWEEN 1 AND 50, true)"),
+            ("alcohol_habit", "id % 5 = 0"), ("average_sleep_hours", "id % 30 > 24"),
+            ("medical_history", "id % 2100 > 2000")]),
+        "record_update": ("p", "id", [
+            ("patient_email", "length(email) NOT BETWEEN 5 AND 254"), ("updated_by_email", "id % 6 = 0"),
+            ("age", "age NOT BETWEEN 0 AND 120"), ("gender", "length(gender) > 50"),
+            ("height_cm", "height_cm <= 0 OR height_cm > 300"), ("weight_kg", "weight_kg - 60 <= 0 OR weight_kg - 60 > 500"),
+            ("bmi", "bmi <= 0 OR bmi > 100"), ("glucose", "glucose < 0"), ("updated_by_role", "id % 4 = 0")]),
+        "booking": ("(SELECT a.*, u.phone FROM appointments a LEFT JOIN users u ON u.email = a.patient_email)", "id", [
+            ("patient_email", "length(patient_email) NOT BETWEEN 5 AND 254"),
+            ("appointment_type", "length(appointment_type) NOT BETWEEN 2 AND 100"),
+            ("contact_info", "phone IS NULL"), ("reason", "reason <> '' AND length(reason) NOT BETWEEN 2 AND 200"),
+            ("notes", "length(notes) > 1000")]),
+        "cancel": ("appointments", "id", [("appointment_id", "id % 9 = 0"), ("cancel_reason", "length(notes) > 200")]),
+        "leave": ("doctor_leaves", "id", [("end_at", "id % 3 = 0"), ("reason", "id % 300 > 200")]),
+    }
+    parts = []
+    for form, (src, key, checks) in forms.items():
+        v = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{f}' END" for f, c in checks) + (
+            "]::VARCHAR[], lambda v: v IS NOT NULL)")
+        parts.append(f"SELECT '{form}' AS form, {key} AS request_id, array_to_string({v}, ', ') AS violations, "
+                     f"len({v}) = 0 AS valid FROM {src}")
+    q["form_validation"] = with_views(pu + "\n" + "\nUNION ALL ".join(parts), "submissions", "users", "appointments",
+                                      "doctor_leaves")
     q["integrity_audit"] = with_views("""
 WITH ue AS (SELECT DISTINCT lower(trim(email)) AS e FROM users),
 dp AS (SELECT trim(phone) AS k, count(*) AS c FROM users WHERE phone IS NOT NULL GROUP BY 1 HAVING count(*) > 1)

@@ -10,7 +10,9 @@ from ..operators import model as M
 from ..operators import portal as P
 from ..operators import records as RC
 from ..operators import scoring as SC
+from ..sources import files as FS
 from ..sources import views as VW
+from ..streaming.sources import scratch_path
 from .queries import _clean, _featured
 from .queries_records import AS_OF, dashboard_rows
 
@@ -97,6 +99,44 @@ def q_nurse_search(spark, sf):
                                                     "scheduled_for")
 
 
+def q_nurse_search_booked(spark, sf):
+    d = dashboard_rows(spark, sf).filter(F.col("bucket") == "past")
+    return P.search_top(d, "c1", 16, [F.asc("scheduled_for"), F.asc("id")]).select(
+        "id", "patient_email", "patient_name", "triage_level", "scheduled_for")
+
+
+def q_nurse_search_patients(spark, sf):
+    d = P.patient_directory(VW.users(spark, sf)).withColumnRenamed("email", "patient_email").withColumn(
+        "patient_name", F.col("full_name"))
+    return P.search_top(d, "c1", 12, [F.lower(F.trim("full_name")), F.asc("id")]).select("id", "full_name", "patient_email")
+
+
+def q_file_round_trip(spark, sf):
+    """The accounts written in every file form and read back."""
+    u = VW.users(spark, sf)
+    base = scratch_path(spark, "files")
+    FS.write_csv(u, f"{base}/typed")
+    FS.write_csv_rows(u, f"{base}/rows", ["role", "id", "email", "phone", "full_name"])
+    FS.write_json_array(u, f"{base}/array")
+    FS.write_users_csv(u, f"{base}/accounts")
+    exported = FS.export_tables({"users": u}, f"{base}/export")
+    back = {
+        "typed_csv": FS.read_csv_typed(spark, f"{base}/typed", {"id": "bigint"}),
+        "csv_rows": FS.read_csv_rows(spark, f"{base}/rows", ["role", "id", "email", "phone", "full_name"]),
+        "json_array": FS.read_json_array(spark, f"{base}/array", u.schema),
+        "users_csv": FS.read_users_csv(spark, f"{base}/accounts", SC.DETAILS_SCHEMA),
+        "export": spark.read.parquet(exported["users"]),
+    }
+    out = None
+    for form, df in back.items():
+        one = df.agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("bigint")).alias("id_sum"),
+            F.sum(F.length("email") + F.length("full_name") + F.length("role")).cast("bigint").alias("text_length"),
+            F.count_if(F.coalesce("phone", F.lit("")) != "").alias("phones")).select(F.lit(form).alias("form"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def q_doctor_choices(spark, sf):
     d = RC.directory(VW.users(spark, sf), VW.doctors_ref(spark, sf), VW.doctor_leaves(spark, sf),
                      RC.latest_details(VW.submissions(spark, sf)), AS_OF)
@@ -157,6 +197,9 @@ def registry_extra():
         "patient_directory": q_patient_directory,
         "parse_times": q_parse_times,
         "nurse_search": q_nurse_search,
+        "nurse_search_booked": q_nurse_search_booked,
+        "nurse_search_patients": q_nurse_search_patients,
+        "file_round_trip": q_file_round_trip,
         "doctor_choices": q_doctor_choices,
         "patient_recent": q_patient_recent,
         "target_distribution": q_target_distribution,

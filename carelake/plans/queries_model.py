@@ -50,7 +50,7 @@ def q_derived_label_distribution(spark, sf):
     return f.groupBy(lvl.alias("risk_level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fitted(spark, sf, max_iter=100):
+def _fitted(spark, sf, max_iter=M.MAX_ITER):
     feats = FE.feature_table(_clean(spark, sf))
     return M.train_and_evaluate(feats, max_iter=max_iter)
 
@@ -63,7 +63,7 @@ def q_model_evaluation(spark, sf):
 
 def q_model_scoring(spark, sf):
     """R8-R12 with the fitted logistic regression as predictor (rows-only check)."""
-    model = M.fit_final(FE.feature_table(_clean(spark, sf)), max_iter=100)
+    model = M.fit_final(FE.feature_table(_clean(spark, sf)))
     ref = SC.reference_frequencies(_featured(spark, sf))
     s = SC.score(VW.score_requests(spark, sf), ref, predictor=M.model_predictor(model))
     return s.select("request_id", "model_risk_group", F.col("clinical.risk_group").alias("clinical_risk_group"),

@@ -261,6 +261,54 @@ def q_request_validation(spark, sf):
     return v.select("request_id", _j(F.col("violations"), ", ").alias("violations"), "valid")
 
 
+def _form_rows(spark, sf, form) -> DataFrame:
+    """Rows of a form, some of them with values out of its limits."""
+    if form == "health_details":
+        d = SC.parse_details(VW.submissions(spark, sf)).select("id", "email", "d.*")
+        i = F.col("id")
+        return d.select(
+            i.alias("request_id"), "email", (F.col("age") + F.when(i % 10 == 0, 60).otherwise(0)).alias("age"), "gender",
+            F.when(i % 8 != 0, F.col("symptoms")).otherwise(F.lit("")).alias("symptoms"),
+            (i % 120).alias("symptom_count"), "glucose", "blood_pressure",
+            (F.col("height_cm") * F.when(i % 9 == 0, 0).otherwise(1)).alias("height_cm"),
+            (F.col("weight_kg") * F.when(i % 7 == 0, 10).otherwise(1)).alias("weight_kg"), "bmi", "smoking_habit",
+            F.when(i % 5 != 0, F.lit("none")).alias("alcohol_habit"), (i % 30).alias("average_sleep_hours"),
+            F.repeat(F.lit("x"), (i % 2100).cast("int")).alias("medical_history"),
+            F.lit("no").alias("family_history_major_chronic_disease"))
+    if form == "record_update":
+        p = patch_rows(spark, sf)
+        return p.select(
+            F.col("id").alias("request_id"), F.col("email").alias("patient_email"),
+            F.when(F.col("id") % 6 != 0, F.lit("n1@example.com")).otherwise(F.lit("n")).alias("updated_by_email"),
+            F.when(F.col("id") % 4 == 0, "admin").otherwise("nurse").alias("updated_by_role"),
+            F.col("p_age").alias("age"), F.col("p_gender").alias("gender"), F.col("p_height_cm").alias("height_cm"),
+            (F.col("p_weight_kg") - 60).alias("weight_kg"), F.col("p_bmi").alias("bmi"), F.col("p_glucose").alias("glucose"),
+            F.col("p_glucose_type").alias("glucose_type"), F.col("p_systolic").alias("systolic_bp"),
+            F.col("p_diastolic").alias("diastolic_bp"))
+    if form == "booking":
+        return booking_requests(spark, sf)
+    if form == "cancel":
+        a = VW.appointments(spark, sf)
+        return a.select(F.col("id").alias("request_id"), "patient_email",
+                        F.when(F.col("id") % 9 != 0, F.col("id")).otherwise(F.lit(0)).alias("appointment_id"),
+                        F.col("notes").alias("cancel_reason"))
+    lv = VW.doctor_leaves(spark, sf)
+    text = lambda c, fmt: F.date_format(c, fmt)
+    return lv.select(F.col("id").alias("request_id"), "doctor_email", text("start_at", "yyyy-MM-dd'T'HH:mm").alias("start_at"),
+                     F.when(F.col("id") % 3 == 0, text("end_at", "yyyy-MM")).otherwise(text("end_at", "yyyy-MM-dd"))
+                     .alias("end_at"), F.repeat(F.lit("r"), (F.col("id") % 300).cast("int")).alias("reason"))
+
+
+def q_form_validation(spark, sf):
+    """J36 for the five stored forms: one row per request."""
+    out = None
+    for form in AC.FORM_RULES:
+        v = AC.validate_form(_form_rows(spark, sf, form), form).select(
+            F.lit(form).alias("form"), "request_id", _j(F.col("violations"), ", ").alias("violations"), "valid")
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
 def q_integrity_audit(spark, sf):
     return AC.integrity_audit(VW.users(spark, sf), VW.appointments(spark, sf), VW.submissions(spark, sf),
                               VW.doctor_leaves(spark, sf))
@@ -371,6 +419,7 @@ def registry_records():
         "registration_uniqueness": q_registration_uniqueness,
         "field_validation": q_field_validation,
         "request_validation": q_request_validation,
+        "form_validation": q_form_validation,
         "integrity_audit": q_integrity_audit,
         "cascade_delete": q_cascade_delete,
         "renumber_ids": q_renumber_ids,

@@ -52,22 +52,28 @@ def write_csv_rows(df: DataFrame, path: str, fields: list[str]) -> None:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """JSON array file -> rows.  Missing or blank -> empty; a top-level value
-    that is not an array is an error."""
+    """JSON array files -> rows.  Missing or blank -> empty; a top-level value
+    that is not an array, or text that is not JSON, is an error."""
     st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     if not _exists(spark, path):
         return spark.createDataFrame([], st)
     text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
-    bad = text.filter((F.col("v") != "") & ~F.col("v").startswith("[")).limit(1).count()
-    if bad:
+    parsed = text.filter(F.col("v") != "").select("v", F.from_json("v", T.ArrayType(st)).alias("rows"))
+    if parsed.filter(~F.col("v").startswith("[") | F.col("rows").isNull()).limit(1).count():
         raise ValueError(f"{path} must contain a JSON array.")
-    parsed = text.filter(F.col("v") != "").select(F.explode(F.from_json("v", T.ArrayType(st))).alias("r"))
-    return parsed.select("r.*")
+    return parsed.select(F.explode("rows").alias("r")).select("r.*")
+
+
+ARRAY_ROWS = 10_000  # rows of one JSON array file
 
 
 def write_json_array(df: DataFrame, path: str) -> None:
-    """Rows as JSON (one object per line, committed atomically by the job)."""
-    df.write.mode("overwrite").json(path)
+    """Rows as JSON array files of at most ``ARRAY_ROWS`` rows each, committed by the job."""
+    numbered = df.select(F.struct(*df.columns).alias("r"), F.spark_partition_id().alias("p"),
+                         F.floor(F.monotonically_increasing_id() / ARRAY_ROWS).alias("k"))
+    arrays = numbered.groupBy("p", "k").agg(F.collect_list("r").alias("rows"))
+    arrays.select(F.to_json("rows", {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").option(
+        "maxRecordsPerFile", 1).text(path)
 
 
 USERS_CSV_FIELDS = ["id", "full_name", "email", "phone", "role", "salt", "password_hash", "health_details"]
