@@ -3,7 +3,7 @@ and word windows, scratch tables in the shared folder, distributed components.
 
 Text functions run as Arrow UDFs: one Arrow array of texts in, one array (often
 of structs) out, so the other columns of a row never travel to Python.  Inside,
-a batch is cut into chunks of a few MB and handled with numpy over the raw
+a batch is cut into chunks of half a MB and handled with numpy over the raw
 UTF-8 bytes; a single text larger than a chunk forms a chunk of its own.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from carelake.session import ensure_checkpoint_dir
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 
 # Fixed value: the white space of the pattern [^\x20\x09-\x0D]+.

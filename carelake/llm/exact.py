@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import spare_name, stored, text_udf, utf8
+from carelake.llm.common import spare_name, stored, text_chunks, text_udf, utf8
 
 BITS_PER_ROW = 16
 MIN_FILTER_BITS = 1 << 16
@@ -41,14 +41,19 @@ def text_digest(text: str) -> Column:
     return text_udf(_digests, "binary")(F.col(text))
 
 
+def _parts(column: pa.Array):
+    """A column of digests as it is, one of texts in chunks."""
+    return [column] if pa.types.is_binary(column.type) else text_chunks(column)
+
+
 def _positions(digests: pa.Array, bits: int) -> np.ndarray:
     """(rows, PROBES) bit positions, taken from the digest itself."""
     raw = np.frombuffer(b"".join(digests.to_pylist()), "<u4").reshape(-1, 8)[:, :PROBES]
     return (raw & np.uint32(bits - 1)).astype(np.int64)
 
 
-def repeated_filter(digests: DataFrame, bits: int) -> np.ndarray:
-    """Pass 1: packed bits set by at least two of the rows of ``digests`` (one column).
+def repeated_filter(rows: DataFrame, bits: int) -> np.ndarray:
+    """Pass 1: packed bits set by at least two of the rows (one column of digests, or of texts).
 
     A task keeps two bit sets of ``bits`` bits and emits their non-empty
     segments; the segments of one place merge as ``again |= again' | seen & seen'``.
@@ -58,8 +63,10 @@ def repeated_filter(digests: DataFrame, bits: int) -> np.ndarray:
 
     def build(batches):
         seen, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            at = _positions(batch.column(0), bits)
+        found = (c if pa.types.is_binary(c.type) else _digests(c)
+                 for batch in batches for c in _parts(batch.column(0)))
+        for digests in found:
+            at = _positions(digests, bits)
             for probe in range(PROBES):
                 place, count = np.unique(at[:, probe], return_counts=True)
                 byte, bit = place >> 3, (128 >> (place & 7)).astype(np.uint8)
@@ -84,7 +91,7 @@ def repeated_filter(digests: DataFrame, bits: int) -> np.ndarray:
             [pa.array(list(again), pa.int32()), pa.array([x.tobytes() for x in again.values()], pa.binary())],
             ["segment", "again"])
 
-    pieces = digests.mapInArrow(build, "segment int, seen binary, again binary")
+    pieces = rows.mapInArrow(build, "segment int, seen binary, again binary")
     merged = pieces.repartition("segment").mapInArrow(merge, "segment int, again binary")
     out = np.zeros((bits // SEGMENT_BITS, SEGMENT_BITS // 8), np.uint8)
     for row in merged.toLocalIterator():
@@ -97,16 +104,21 @@ def filter_bits(rows: int) -> int:
     return min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, 1 << (max(1, rows) * BITS_PER_ROW - 1).bit_length()))
 
 
-def maybe_repeated(digest: Column, repeated) -> Column:
-    """Pass 2: whether all bits of a digest were set twice; ``repeated`` is a broadcast filter."""
+def tested(column: Column, repeated) -> Column:
+    """Pass 2: struct of the digest and of whether all its bits were set twice, from
+    a column of digests or of texts; ``repeated`` is a broadcast filter."""
 
-    def probe(digests: pa.Array) -> pa.Array:
-        packed = repeated.value
-        at = _positions(digests, len(packed) * 8)
-        return pa.array(((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1), pa.bool_())
+    def probe(values: pa.Array) -> pa.Array:
+        packed, out = repeated.value, []
+        for part in _parts(values):
+            digests = part if pa.types.is_binary(part.type) else _digests(part)
+            at = _positions(digests, len(packed) * 8)
+            maybe = ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+            out.append(pa.StructArray.from_arrays([digests, pa.array(maybe, pa.bool_())], ["digest", "maybe"]))
+        return pa.concat_arrays(out)
 
-    probe.__annotations__ = {"digests": pa.Array, "return": pa.Array}
-    return F.arrow_udf(probe, "boolean").asNondeterministic()(digest)
+    probe.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(probe, "struct<digest: binary, maybe: boolean>").asNondeterministic()(column)
 
 
 def group_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,11 +134,11 @@ def group_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                                 text_digest(text).alias("digest")), "op4-digests")
     bits = filter_bits(hashed.count())
     repeated = docs.sparkSession.sparkContext.broadcast(repeated_filter(hashed.select("digest"), bits))
-    tested = hashed.withColumn("maybe", maybe_repeated(F.col("digest"), repeated))
-    alone = tested.where(~F.col("maybe")).select("key", F.col("key").alias("keep_key"),
+    rows = hashed.select("key", "row", tested(F.col("digest"), repeated).alias("t")).select("key", "row", "t.*")
+    alone = rows.where(~F.col("maybe")).select("key", F.col("key").alias("keep_key"),
                                                  F.lit(1).cast("bigint").alias("group_size"),
                                                  F.lit(True).alias("kept"), "digest", "row")
-    shuffled = stored(tested.where("maybe").drop("maybe"), "op4-repeats")
+    shuffled = stored(rows.where("maybe").drop("maybe"), "op4-repeats")
     groups = shuffled.groupBy("digest").agg(
         F.max(F.struct(F.col("key"), F.col("row"))).alias("stays"), F.count("*").alias("group_size"))
     joined = shuffled.join(groups, "digest").select(
@@ -147,15 +159,15 @@ def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Rows whose digest cannot be repeated pass straight through; only possibly
     repeated rows shuffle: they are numbered within their digest by key.
     """
-    names = [spare_name(docs, n) for n in ("digest", "maybe", "row")]
-    digest, maybe, row = names
+    test, row = (spare_name(docs, n) for n in ("test", "row"))
     bits = filter_bits(docs.count())
-    hashed = docs.withColumn(digest, text_digest(text))
-    repeated = docs.sparkSession.sparkContext.broadcast(repeated_filter(hashed.select(digest), bits))
-    tested = hashed.withColumn(maybe, maybe_repeated(F.col(digest), repeated))
-    alone = tested.where(~F.col(maybe))
-    again = stored(tested.where(F.col(maybe)).withColumn(row, F.monotonically_increasing_id()), "op4-again")
-    stays = again.groupBy(digest).agg(F.max(F.struct(F.col(key), F.col(row))).alias(maybe)).select(
-        F.col(f"{maybe}.{row}").alias(row))
+    repeated = docs.sparkSession.sparkContext.broadcast(
+        repeated_filter(docs.select(F.col(text).cast("string").alias("text")), bits))
+    rows = docs.withColumn(test, tested(F.col(text), repeated))
+    alone = rows.where(~F.col(test)["maybe"])
+    again = stored(rows.where(F.col(test)["maybe"]).withColumn(row, F.monotonically_increasing_id()), "op4-again")
+    last = F.max(F.struct(F.col(key).alias("key"), F.col(row).alias("row")))
+    stays = again.groupBy(F.col(test)["digest"].alias("digest")).agg(last.alias("last")).select(
+        F.col("last.row").alias(row))
     kept = again.join(stays, row, "left_semi")
-    return alone.drop(digest, maybe).unionByName(kept.drop(*names))
+    return alone.drop(test).unionByName(kept.drop(test, row))

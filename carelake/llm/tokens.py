@@ -21,7 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-CACHE_PARTS = 600_000
+CACHE_PARTS = 400_000
 BATCH_TEXTS = 256
 
 # Where a tokenizer always starts a new word, so that its ids do not depend on
@@ -76,29 +76,32 @@ PLAIN = r"[\t\n\r -~\u00a1-\u024f]*"
 class RankEncoder:
     """Encodes with tiktoken over a rank file of the vocabulary of ``other``."""
 
-    def __init__(self, ranks: str, other: Encoder):
+    def __init__(self, ranks: str, path: str, cut: str):
         import tiktoken
         from public_tokenizers import PATTERN
 
         with open(ranks, "rb") as lines:
             own = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.ids = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=own, special_tokens={}).encode_to_numpy
-        self.plain, self.other = re.compile(PLAIN).fullmatch, other
+        self.plain, self.other = re.compile(PLAIN).fullmatch, (path, cut)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self.ids(x, disallowed_special=()).astype("<u4").tobytes() if self.plain(x)
-                else self.other.encode([x])[0] for x in texts]
+                else _encoder(*self.other).encode([x])[0] for x in texts]
 
 
 _encoders: dict[tuple[str, str, str | None], Encoder | RankEncoder] = {}
 
 
+def _encoder(path: str, cut: str, ranks: str | None = None) -> Encoder | RankEncoder:
+    if (path, cut, ranks) not in _encoders:
+        _encoders[path, cut, ranks] = RankEncoder(ranks, path, cut) if ranks else Encoder(path, cut)
+    return _encoders[path, cut, ranks]
+
+
 def encode(texts: pa.Array, path: str, cut: str, ranks: str | None = None) -> list[bytes]:
     """Packed ids of every text; one encoder and cache per Python worker."""
-    if (path, cut, ranks) not in _encoders:
-        plain = Encoder(path, cut)
-        _encoders[path, cut, ranks] = RankEncoder(ranks, plain) if ranks else plain
-    return _encoders[path, cut, ranks].encode(texts.to_pylist())
+    return _encoder(path, cut, ranks).encode(texts.to_pylist())
 
 
 def tokenizer_path(name: str) -> str:
