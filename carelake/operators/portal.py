@@ -129,7 +129,8 @@ def patient_directory(users: DataFrame, query: str | None = None) -> DataFrame:
 def parse_iso_utc(text: Column) -> Column:
     """ISO text with Z, offset or none (= UTC) -> UTC timestamp; anything else -> NULL
     (Spark's cast alone would also take a bare time, as of today, a year or a month)."""
-    return F.when(F.trim(text).rlike(ISO_TEXT), F.trim(text).try_cast("timestamp"))
+    seconds = F.regexp_replace(F.trim(text), r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})($|Z|[+-])", "$1:00$2")
+    return F.when(F.trim(text).rlike(ISO_TEXT), seconds.try_cast("timestamp"))
 
 
 def search_top(df: DataFrame, query: str, n: int, order: list[Column]) -> DataFrame:

@@ -42,6 +42,20 @@ def test_json_array(spark, tmp_dir):
     assert FS.read_json_array(spark, f"{tmp_dir}/missing.json", "id long").count() == 0
 
 
+def test_json_array_round_trip_and_malformed(spark, tmp_dir):
+    df = spark.createDataFrame([(i, None if i % 3 else f"é \"{i}\"\n") for i in range(25)], "id long, s string")
+    FS.write_json_array(df.repartition(3), f"{tmp_dir}/arr")
+    back = FS.read_json_array(spark, f"{tmp_dir}/arr", "id long, s string")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    with open(f"{tmp_dir}/broken.json", "w") as fh:
+        fh.write('[{"id": 1}, {"id": ')
+    try:
+        FS.read_json_array(spark, f"{tmp_dir}/broken.json", "id long").collect()
+        raise AssertionError("expected an error")
+    except ValueError:
+        pass
+
+
 def test_users_csv(spark, tmp_dir):
     p = f"{tmp_dir}/users.csv"
     with open(p, "w") as fh:
