@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as C
 from ..operators import features as FE
+from ..operators import scoring as SC
 from ..sources import views as VW
+from ..sources.tables import table_path
+from ..streaming.sources import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +30,22 @@ def _featured(spark, sf_dir):
     return FE.row_features(_clean(spark, sf_dir))
 
 
+_reference_paths: dict[tuple, str] = {}
+
+
+def reference_table(spark, sf_dir) -> DataFrame:
+    """R6 as a stored table: the profile counts of the training data, written to the
+    shared folder once per session and version of the data, and read by all scoring."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, "orders"))
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, str(path), status.getModificationTime(), status.getLen())
+    if key not in _reference_paths:
+        out = scratch_path(spark, "reference")
+        SC.reference_frequencies(_featured(spark, sf_dir)).write.parquet(out)
+        _reference_paths[key] = out
+    return spark.read.parquet(_reference_paths[key])
+
+
 def q_clean_patients(spark, sf_dir):
     return _clean(spark, sf_dir, dup=True)
 
@@ -121,7 +140,6 @@ def registry_base() -> dict[str, Query]:
 from ..functions import keywords as K  # noqa: E402
 from ..functions import vitals as V  # noqa: E402
 from ..operators import records as RC  # noqa: E402
-from ..operators import scoring as SC  # noqa: E402
 
 
 def _j(c, sep=" | "):
@@ -130,7 +148,7 @@ def _j(c, sep=" | "):
 
 def _reference(spark, sf_dir):
     """R6 reference frequency tables from the training feature table."""
-    return SC.reference_frequencies(_featured(spark, sf_dir))
+    return reference_table(spark, sf_dir)
 
 
 def q_bp_assessment(spark, sf_dir):

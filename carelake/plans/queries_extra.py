@@ -13,17 +13,17 @@ from ..operators import scoring as SC
 from ..sources import files as FS
 from ..sources import views as VW
 from ..streaming.sources import scratch_path
-from .queries import _clean, _featured
+from .queries import _clean, _featured, reference_table
 from .queries_records import AS_OF, dashboard_rows
 
 
 def q_probability_bars(spark, sf):
-    s = SC.score(VW.score_requests(spark, sf), SC.reference_frequencies(_featured(spark, sf)))
+    s = SC.score(VW.score_requests(spark, sf), reference_table(spark, sf))
     return P.probability_bars(s, "request_id", "risk_probabilities")
 
 
 def q_final_group_display(spark, sf):
-    s = SC.score(VW.score_requests(spark, sf), SC.reference_frequencies(_featured(spark, sf)))
+    s = SC.score(VW.score_requests(spark, sf), reference_table(spark, sf))
     m = P.final_probability_map(F.col("risk_group"))
     return s.select("request_id", P.normalize_final_group(F.col("risk_group")).alias("final_group"),
                     P.appointment_kind(F.col("booking_priority"), F.col("risk_group")).alias("appointment_kind"),

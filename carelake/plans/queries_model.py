@@ -8,7 +8,7 @@ from ..operators import features as FE
 from ..operators import model as M
 from ..operators import scoring as SC
 from ..sources import views as VW
-from .queries import _clean, _featured
+from .queries import _clean, _featured, reference_table
 
 
 def _baseline_pairs(spark, sf):
@@ -64,7 +64,7 @@ def q_model_evaluation(spark, sf):
 def q_model_scoring(spark, sf):
     """R8-R12 with the fitted logistic regression as predictor (rows-only check)."""
     model = M.fit_final(FE.feature_table(_clean(spark, sf)))
-    ref = SC.reference_frequencies(_featured(spark, sf))
+    ref = reference_table(spark, sf)
     s = SC.score(VW.score_requests(spark, sf), ref, predictor=M.model_predictor(model))
     return s.select("request_id", "model_risk_group", F.col("clinical.risk_group").alias("clinical_risk_group"),
                     "risk_group", "booking_priority",

@@ -11,13 +11,13 @@ from ..operators import records as RC
 from ..operators import scoring as SC
 from ..sources import views as VW
 from ..streaming import rate_limit as RL
-from .queries import _featured, _j
+from .queries import _j, reference_table
 
 AS_OF = VW.AS_OF
 
 
 def _ref(spark, sf):
-    return SC.reference_frequencies(_featured(spark, sf))
+    return reference_table(spark, sf)
 
 
 def _details(spark, sf):

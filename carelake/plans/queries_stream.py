@@ -10,7 +10,7 @@ from ..sources import views as VW
 from ..streaming import rate_limit as RL
 from ..streaming import records as SR
 from ..streaming.sources import run_to_table, table_feed
-from .queries import _featured, _j
+from .queries import _j, reference_table
 from .queries_records import RATE_LIMIT, RATE_WINDOW_SECONDS
 
 
@@ -39,7 +39,7 @@ def q_stream_audit_events(spark, sf):
 
 def q_stream_scoring(spark, sf):
     subs = VW.submissions_from(table_feed(spark, sf, "events", "ts"))
-    ref = SC.reference_frequencies(_featured(spark, sf))
+    ref = reference_table(spark, sf)  # read in every micro-batch, never rebuilt
     return run_to_table(spark, SR.scoring_stream(subs, ref))
 
 
