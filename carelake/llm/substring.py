@@ -258,14 +258,16 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     # Round 2.
     firsts = stored(common.groupBy("anchor", "name").agg(F.min("key").alias("first"), F.max("key").alias("last")),
                     "op8-firsts")
-    whole = common.join(firsts.where("first < last").select("anchor", "name", "first"), ["anchor", "name"]).where(
+    whole = common.join(firsts.where("first < last").select("anchor", "name", "first").hint("merge"),
+                        ["anchor", "name"]).where(
         "key > first").select("key", "name", F.lit(-1).alias("nth"))
     # Round 3.
     differ = firsts.groupBy("anchor").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b")
     asked = stored(firsts.join(differ.select("anchor"), "anchor", "left_semi").groupBy(F.col("first").alias("of"))
                    .agg(F.collect_set("name").alias("names")), "op8-asked")
     some = rows.where(perhaps_in(asked.select("of"))(F.col("key")))
-    named = some.join(asked, F.col("key") == F.col("of")).select(
+    # Texts meet their requests by a shuffle at every size, so that growth shows in small runs too.
+    named = some.join(asked.hint("merge"), F.col("key") == F.col("of")).select(
         "key", F.explode(_window_names(F.col("text"), F.col("names"))).alias("w")).select("key", "w.*")
     named = stored(named, "op8-windows")
     earliest = named.groupBy("anchor", "window").agg(F.min("key").alias("first"), F.max("key").alias("last"))
@@ -274,7 +276,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     # Round 4.
     verdicts = stored(whole.unionByName(single).groupBy(F.col("key").alias("of")).agg(
         F.collect_set(F.struct("name", "nth")).alias("verdicts")), "op8-verdicts")
-    losing = rows.where(perhaps_in(verdicts.select("of"))(F.col("key"))).join(verdicts, F.col("key") == F.col("of"))
+    losing = rows.where(perhaps_in(verdicts.select("of"))(F.col("key"))).join(
+        verdicts.hint("merge"), F.col("key") == F.col("of"))
     changed = losing.select("key", F.xxhash64("text").alias("text_hash"),
                             _marked(F.col("text"), F.col("verdicts")).alias("m")).select("key", "text_hash", "m.*")
     return parsed.select("key", "text_hash", "n_words", "whole"), changed
