@@ -98,7 +98,7 @@ GROUP BY {key}"""
 DASH_CTE = f"""
 dash AS (
   SELECT a.id, a.patient_email, coalesce(u.full_name, a.patient_email) AS patient_name, a.scheduled_for,
-         coalesce(a.status, 'Pending') AS status, a.doctor_email,
+         coalesce(a.status, 'Pending') AS status, a.doctor_email, a.created_at,
          p.risk_level AS predicted_risk_level, t.level AS triage_level, coalesce(t.show_on_top, false) AS show_on_top,
          CASE WHEN a.scheduled_for >= {AS_OF} AND coalesce(a.status, 'Pending') IN ('Pending', 'Confirmed')
               THEN 'upcoming' ELSE 'past' END AS bucket,
@@ -319,11 +319,12 @@ SELECT id, patient_email, new_status AS status, new_notes AS notes FROM can""",
         "ELSE 0.0 END, 4) AS low_deg FROM k", *views_rt)
     q["doctor_insights"] = with_views(
         RT.rstrip("\n") + f""",
-u2 AS (SELECT lower(doctor_email) AS doctor_email, id, patient_email, scheduled_for, {nr} AS r,
+u2 AS (SELECT lower(doctor_email) AS doctor_email, id, patient_email, scheduled_for, created_at, {nr} AS r,
               {_fwd('scheduled_for', 1)} AS is_today FROM up),
 h AS (SELECT *, row_number() OVER (PARTITION BY doctor_email ORDER BY scheduled_for, id) AS rn FROM u2 WHERE r = 'high'),
 t AS (SELECT *, row_number() OVER (PARTITION BY doctor_email ORDER BY scheduled_for, id) AS rn FROM u2 WHERE is_today),
-c AS (SELECT *, row_number() OVER (PARTITION BY doctor_email ORDER BY scheduled_for DESC, id DESC) AS rn FROM u2)
+c AS (SELECT *, row_number() OVER (PARTITION BY doctor_email ORDER BY coalesce(created_at, scheduled_for) DESC, id DESC)
+      AS rn FROM u2)
 SELECT doctor_email, 'high' AS list, CAST(rn AS INTEGER) AS rn, id, patient_email, scheduled_for FROM h WHERE rn <= 5
 UNION ALL SELECT doctor_email, 'today', CAST(rn AS INTEGER), id, patient_email, scheduled_for FROM t WHERE rn <= 5
 UNION ALL SELECT doctor_email, 'recent', CAST(rn AS INTEGER), id, patient_email, scheduled_for FROM c WHERE rn <= 6""",
