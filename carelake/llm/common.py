@@ -60,10 +60,18 @@ def spare_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def text_udf(fn: Callable[[pa.Array], pa.Array], ddl: str) -> Callable[..., Column]:
-    """Arrow UDF evaluated once per row (Catalyst does not duplicate it)."""
+# What a Python worker keeps between batches, such as a tokenizer.  Workers serve one
+# operator after the other, so it goes when another function takes over.
+kept_in_worker: dict = {}
+
+
+def text_udf(fn: Callable[[pa.Array], pa.Array], ddl: str, keeps: bool = False) -> Callable[..., Column]:
+    """Arrow UDF evaluated once per row (Catalyst does not duplicate it); only a
+    function that ``keeps`` finds ``kept_in_worker`` as it left it."""
 
     def run(texts: pa.Array) -> pa.Array:
+        if not keeps:
+            kept_in_worker.clear()
         parts = [fn(c) for c in text_chunks(texts)]
         return pa.concat_arrays(parts) if parts else fn(pa.array([], pa.string()))
 

@@ -237,7 +237,7 @@ def similarity_groups(docs: DataFrame, percent: int = MIN_PERCENT, key: str = "d
 def join_report(docs: DataFrame) -> DataFrame:
     """Contract of op3: one row per document with its set size and component."""
     return similarity_groups(docs).select(F.col("key").alias("doc_id"), "n_shingles",
-                                          F.col("component").alias("component_id"), F.col("class").alias("class_id"))
+                                          F.col("component").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:

@@ -85,5 +85,91 @@ FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source AND r.block = b.block
 """
 
 
+OP3 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * shared >= 90 * (i.n + j.n - shared)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT doc_id AS root, doc_id FROM documents UNION SELECT r.root, e.y FROM r JOIN e ON e.x = r.doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""
+
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), k AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS pos, w FROM d WHERE len(w) >= 50
+), h AS (
+  SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 49], ' ')) AS h FROM k
+), f AS (
+  SELECT h, min(doc_id) AS first FROM h GROUP BY h
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM h JOIN f USING (h) WHERE first < doc_id
+), l AS (
+  SELECT doc_id, list(pos) AS gone FROM g GROUP BY doc_id
+), r AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN w ELSE
+         list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(gone, x[2])),
+                        lambda x: x[1]) END AS kept
+  FROM d LEFT JOIN l USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM r
+"""
+
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), k AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos, w FROM d, (SELECT unnest(range(5, 11)) AS n)
+  WHERE len(w) >= n
+), h AS (
+  SELECT doc_id, n, pos, count(*) OVER (PARTITION BY doc_id, n, md5(array_to_string(w[pos:pos + n - 1], ' '))) AS times FROM k
+), c AS (
+  SELECT DISTINCT doc_id, n, unnest(range(pos, pos + n)) AS pos FROM h WHERE times > 1
+), m AS (
+  SELECT doc_id, count(*) FILTER (n = 5) AS n_repeat_words, FIELDS
+  FROM c JOIN d USING (doc_id) GROUP BY doc_id
+), x AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d
+), y AS (
+  SELECT doc_id, line, count(*) - 1 AS extra, list_sum(list_transform(
+         regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda z: length(z))) AS chars
+  FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line
+), z AS (
+  SELECT doc_id, sum(extra) AS n_dup_lines, sum(extra * chars) AS dup_line_chars FROM y GROUP BY doc_id
+), a AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda z: length(z))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars, coalesce(n_repeat_words, 0) AS n_repeat_words, COALESCED
+  FROM d LEFT JOIN m USING (doc_id) LEFT JOIN z USING (doc_id)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * dup_line_chars > 30 * word_chars
+            OR LIMITS) AS kept
+FROM a
+"""
+# Limits of the coverage, written out for the SQL side: 20 % for 5-word windows down to 15 % for 10-word windows.
+for name, item, glue in (
+    ("FIELDS", "sum(length(w[pos])) FILTER (n = {n}) AS repeat_chars_{n}", ", "),
+    ("COALESCED", "coalesce(repeat_chars_{n}, 0)::BIGINT AS repeat_chars_{n}", ", "),
+    ("LIMITS", "100 * repeat_chars_{n} > {most} * word_chars", " OR "),
+):
+    OP10 = OP10.replace(name, glue.join(item.format(n=n, most=25 - n) for n in range(5, 11)))
+
+
 def sql_queries() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4, "op5_chat_rotation": OP5, "op7_source_mixing": OP7}
+    return {"op3_ngram_join": OP3, "op8_substring_dedup": OP8, "op10_quality_rules": OP10, "op4_exact_dedup": OP4, "op5_chat_rotation": OP5, "op7_source_mixing": OP7}

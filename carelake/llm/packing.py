@@ -172,7 +172,7 @@ def _pieces(path: str, cut: str, ranks: str | None, end_id: int, capacity: int):
         flat = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(ids, pa.binary())], ["start", "ids"])
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)
 
-    return text_udf(run, "array<struct<start: bigint, ids: binary>>")
+    return text_udf(run, "array<struct<start: bigint, ids: binary>>", keeps=True)
 
 
 def token_pieces(docs: DataFrame, path: str, cut: str = "keeps_space", ranks: str | None = None, end_id: int = 0,

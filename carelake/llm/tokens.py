@@ -21,6 +21,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from carelake.llm.common import kept_in_worker
+
 CACHE_PARTS = 400_000
 BATCH_TEXTS = 256
 
@@ -90,13 +92,10 @@ class RankEncoder:
                 else _encoder(*self.other).encode([x])[0] for x in texts]
 
 
-_encoders: dict[tuple[str, str, str | None], Encoder | RankEncoder] = {}
-
-
 def _encoder(path: str, cut: str, ranks: str | None = None) -> Encoder | RankEncoder:
-    if (path, cut, ranks) not in _encoders:
-        _encoders[path, cut, ranks] = RankEncoder(ranks, path, cut) if ranks else Encoder(path, cut)
-    return _encoders[path, cut, ranks]
+    if (path, cut, ranks) not in kept_in_worker:
+        kept_in_worker[path, cut, ranks] = RankEncoder(ranks, path, cut) if ranks else Encoder(path, cut)
+    return kept_in_worker[path, cut, ranks]
 
 
 def encode(texts: pa.Array, path: str, cut: str, ranks: str | None = None) -> list[bytes]:
