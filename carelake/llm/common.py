@@ -65,13 +65,18 @@ def spare_name(df: DataFrame, name: str) -> str:
 kept_in_worker: dict = {}
 
 
+def release() -> None:
+    """Empties ``kept_in_worker`` (called by name, so it reaches the worker's own)."""
+    kept_in_worker.clear()
+
+
 def text_udf(fn: Callable[[pa.Array], pa.Array], ddl: str, keeps: bool = False) -> Callable[..., Column]:
     """Arrow UDF evaluated once per row (Catalyst does not duplicate it); only a
     function that ``keeps`` finds ``kept_in_worker`` as it left it."""
 
     def run(texts: pa.Array) -> pa.Array:
         if not keeps:
-            kept_in_worker.clear()
+            release()
         parts = [fn(c) for c in text_chunks(texts)]
         return pa.concat_arrays(parts) if parts else fn(pa.array([], pa.string()))
 
