@@ -133,16 +133,19 @@ SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sh
 OP10 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), u AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(list_transform(w, lambda z: length(z))) AS chars FROM d
 ), k AS (
-  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos, w FROM d, (SELECT unnest(range(5, 11)) AS n)
-  WHERE len(w) >= n
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos, unnest(list_transform(range(1, len(w) - n + 2),
+         lambda i: md5(array_to_string(w[i:i + n - 1], ' ')))) AS gram
+  FROM d, (SELECT unnest(range(5, 11)) AS n) WHERE len(w) >= n
 ), h AS (
-  SELECT doc_id, n, pos, count(*) OVER (PARTITION BY doc_id, n, md5(array_to_string(w[pos:pos + n - 1], ' '))) AS times FROM k
+  SELECT doc_id, n, pos, count(*) OVER (PARTITION BY doc_id, n, gram) AS times FROM k
 ), c AS (
   SELECT DISTINCT doc_id, n, unnest(range(pos, pos + n)) AS pos FROM h WHERE times > 1
 ), m AS (
   SELECT doc_id, count(*) FILTER (n = 5) AS n_repeat_words, FIELDS
-  FROM c JOIN d USING (doc_id) GROUP BY doc_id
+  FROM c JOIN u USING (doc_id, pos) GROUP BY doc_id
 ), x AS (
   SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d
 ), y AS (
@@ -164,7 +167,7 @@ FROM a
 """
 # Limits of the coverage, written out for the SQL side: 20 % for 5-word windows down to 15 % for 10-word windows.
 for name, item, glue in (
-    ("FIELDS", "sum(length(w[pos])) FILTER (n = {n}) AS repeat_chars_{n}", ", "),
+    ("FIELDS", "sum(chars) FILTER (n = {n}) AS repeat_chars_{n}", ", "),
     ("COALESCED", "coalesce(repeat_chars_{n}, 0)::BIGINT AS repeat_chars_{n}", ", "),
     ("LIMITS", "100 * repeat_chars_{n} > {most} * word_chars", " OR "),
 ):
