@@ -34,6 +34,7 @@ def rate_limit_batch(log: DataFrame, window_seconds: int = 300, limit: int = 20,
 
 RATE_OUTPUT_SCHEMA = "event_id BIGINT, scope STRING, ip STRING, ts TIMESTAMP, hits BIGINT, breach BOOLEAN, late BOOLEAN"
 RATE_STATE_SCHEMA = "stamps ARRAY<BIGINT>, ids ARRAY<BIGINT>"
+OUT_ROWS = 8192  # rows of one output frame
 
 
 def _rate_limit_fn(window_seconds: int, limit: int, delay_seconds: int):
@@ -44,30 +45,34 @@ def _rate_limit_fn(window_seconds: int, limit: int, delay_seconds: int):
 
     def fn(key, pdfs, state):
         stamps, ids = (np.array(x, dtype="int64") for x in (state.get if state.exists else ((), ())))
-        for pdf in pdfs:  # one Arrow batch after the other: a hot key is never one frame
+        mark = stamps.max() - delay if len(stamps) else None  # one mark for the whole micro-batch
+        arrived, arrived_ids = [], []
+        for pdf in pdfs:  # only stamps and ids are kept of each Arrow batch
             if pdf.empty:
                 continue
             us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-            late = us < (stamps.max() if len(stamps) else us.min()) - delay
+            late = us < mark if mark is not None else np.zeros(len(us), dtype=bool)
             if late.any():
                 yield pdf[late].assign(hits=pd.array([None] * int(late.sum()), dtype="Int64"), breach=None, late=True)[
                     ["event_id", "scope", "ip", "ts", "hits", "breach", "late"]]
-            new, new_ids = us[~late], pdf["event_id"].to_numpy()[~late]
-            if not len(new):
-                continue
-            stamps, ids = np.concatenate([stamps, new]), np.concatenate([ids, new_ids])
-            order = np.lexsort((ids, stamps))
-            stamps, ids = stamps[order], ids[order]
-            hits = np.searchsorted(stamps, stamps, "right") - np.searchsorted(stamps, stamps - window, "left")
-            # counts that a new hit changes: hits from its own time to a window later
-            arrived = np.sort(new)
-            changed = np.searchsorted(arrived, stamps, "right") > np.searchsorted(arrived, stamps - window, "left")
-            yield pd.DataFrame({"event_id": ids[changed], "scope": key[0], "ip": key[1],
-                                "ts": pd.to_datetime(stamps[changed], unit="us"), "hits": hits[changed],
-                                "breach": hits[changed] > limit, "late": False})
-            keep = stamps >= stamps[-1] - window - delay
-            stamps, ids = stamps[keep], ids[keep]
-        state.update((stamps.tolist(), ids.tolist()))
+            arrived.append(us[~late])
+            arrived_ids.append(pdf["event_id"].to_numpy()[~late])
+        new = np.sort(np.concatenate([*arrived, np.zeros(0, dtype="int64")]))
+        if not len(new):
+            return  # the state stays as it was
+        stamps, ids = np.concatenate([stamps, *arrived]), np.concatenate([ids, *arrived_ids])
+        order = np.lexsort((ids, stamps))
+        stamps, ids = stamps[order], ids[order]
+        hits = np.searchsorted(stamps, stamps, "right") - np.searchsorted(stamps, stamps - window, "left")
+        # counts that a new hit changes: hits from its own time to a window later
+        changed = np.flatnonzero(np.searchsorted(new, stamps, "right") > np.searchsorted(new, stamps - window, "left"))
+        for at in range(0, len(changed), OUT_ROWS):
+            c = changed[at:at + OUT_ROWS]
+            yield pd.DataFrame({"event_id": ids[c], "scope": key[0], "ip": key[1],
+                                "ts": pd.to_datetime(stamps[c], unit="us"), "hits": hits[c],
+                                "breach": hits[c] > limit, "late": False})
+        keep = stamps >= stamps[-1] - window - delay
+        state.update((stamps[keep].tolist(), ids[keep].tolist()))
 
     return fn
 
@@ -85,7 +90,7 @@ def rate_limit_stream(log: DataFrame, window_seconds: int = 300, limit: int = 20
     Per (scope, ip) the state holds the hits of the last window plus delay.  It is
     kept while the query runs: an event-time timeout would need a watermark, and
     Spark drops rows behind one before any late sink sees them.  A hit up to ``delay_seconds`` behind its
-    client's newest one counts in full, and the later hits whose windows hold it
+    client's newest one of the micro-batches before counts in full, and the later hits whose windows hold it
     are given again with their larger counts, so the last (largest) count of each
     event equals the batch twin's.  Older hits are in ``late_hits_stream``.
     """
@@ -93,7 +98,7 @@ def rate_limit_stream(log: DataFrame, window_seconds: int = 300, limit: int = 20
 
 
 def late_hits_stream(log: DataFrame, window_seconds: int = 300, limit: int = 20, delay_seconds: int = 600) -> DataFrame:
-    """T1 late sink: hits more than the delay behind their client's newest hit."""
+    """T1 late sink: hits more than the delay behind their client's newest hit of the micro-batches before."""
     return _counted_hits(log, window_seconds, limit, delay_seconds).filter("late").select("event_id", "scope", "ip", "ts")
 
 
