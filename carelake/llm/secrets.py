@@ -38,7 +38,7 @@ WEAK_KINDS = ("identifier", "value", "endpoint")
 IDENTIFIER = (r"(?i:user(?:name)?|login|account(?:_?id)?|client_?id|tenant(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?"
               r"[A-Za-z0-9@._-]{3,}")
 IDENTIFIER_WORDS = ("user", "login", "account", "client", "tenant")
-VALUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])"
+VALUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{4,}|(?:[a-z0-9-]+\.)+(?:com|net|org|io|internal)(?::\d{2,5})"
 REACH = 200
 KINDS = BASE_KINDS + WEAK_KINDS
