@@ -34,7 +34,10 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = r"(?<![\p{L}\p{N}_.+%-])[\p{L}\p{N}_.+%-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?!\d)"
+MARK = "\ufdd0\ufdd1\ufdd0"  # noncharacters: no card starts behind it; only inside this module
+CARD = rf"(?<![\d-])(?<!{MARK})\d(?:[ -]?\d){{12,18}}(?!\d)"
+CARD_FORM = r"\d(?:[ -]?\d){12,18}"
+USUAL_CARD = r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}"
 PHONE = (r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
          r"|(?<![\d+])\+\d{8,15}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])")
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
@@ -77,6 +80,55 @@ def kind_of(entity: Column) -> Column:
             .when(whole(NAME), "name").when(whole(CARD), F.when(is_card(entity), F.lit("card"))).when(whole(PHONE), "phone"))
 
 
+def settled_cards(text: Column) -> Column:
+    """``text`` with a MARK wherever a match of CARD is no card as a whole.
+
+    A match is no card if it fails the Luhn check, or begins as a phone or social
+    security number or behind a failed start and has no usual card grouping.  The
+    longest shorter prefix at a group boundary that is a card gets a MARK behind it,
+    so it matches alone and the digits after it are scanned afresh; without one
+    the MARK goes in front, so other kinds and later groups are tried.  Of
+    neighbouring matches one is settled a round; a round with nothing left to settle
+    ends the work."""
+    number = r"^(?:\d{3}-\d{2}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\d-])"
+    usual = lambda e: e.rlike(rf"^(?:{USUAL_CARD})$")
+
+    def shorter(e: Column, late: Column) -> Column:
+        ends = [F.regexp_extract(e, rf"^(\d(?:[ -]?\d){{{n - 1}}})[ -]", 1) for n in range(18, 12, -1)]
+        other = ~late & ~e.rlike(number)
+        fits = F.filter(F.array(*ends), lambda p: (p != "") & is_card(p) & (usual(p) | other))
+        return F.get(fits, F.lit(0))
+
+    def step(state: Column) -> Column:
+        every = F.regexp_extract_all(state["text"], F.lit(ENTITY), 0)
+        gaps = F.split(state["text"], ENTITY, -1)
+
+        def judged(e: Column, i: Column) -> Column:
+            late = F.get(gaps, i).rlike(rf"{MARK}\d[\d -]*$")
+            wrong = e.rlike(rf"^{CARD_FORM}$") & (~is_card(e) | (~usual(e) & (late | e.rlike(number))))
+            return F.struct(wrong.alias("wrong"), F.when(wrong, shorter(e, late)).alias("card"))
+
+        def put(found: Column) -> Column:
+            def piece(gap: Column, i: Column) -> Column:
+                e, own, before = F.get(every, i), F.get(found, i), F.get(found, F.greatest(i - 1, F.lit(0)))
+                waits = (i > 0) & before["wrong"] & gap.rlike("^[ -]?$")
+                settled = F.when(own["card"].isNull(), F.concat(F.lit(MARK), e)).otherwise(
+                    F.concat(own["card"], F.lit(MARK), F.substr(e, F.length(own["card"]) + 1)))
+                return F.concat(gap, F.coalesce(F.when(own["wrong"] & ~waits, settled).otherwise(e), F.lit("")))
+
+            return F.array_join(F.transform(gaps, piece), "")
+
+        # the judgements once a round: bound as the only element of an array
+        return F.get(F.transform(F.array(F.transform(every, judged)), lambda found: F.struct(
+            F.when(F.exists(found, lambda x: x["wrong"]), put(found)).otherwise(state["text"]).alias("text"),
+            F.exists(found, lambda x: x["wrong"]).alias("open"))), F.lit(0))
+
+    rounds = F.sequence(F.lit(1), F.length(text))  # at least one digit is settled a round
+    done = F.aggregate(rounds, F.struct(text.alias("text"), F.lit(True).alias("open")),
+                       lambda state, _: F.when(state["open"], step(state)).otherwise(state))["text"]
+    return F.when(text.rlike(CARD), done).otherwise(text)
+
+
 def _numbers(hashed: Column, norm: Column, kept: int) -> Column:
     """Digits for the digits of ``norm``; the first ``kept`` stay."""
     n = F.length(norm)
@@ -163,8 +215,8 @@ def replace_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     holds = F.coalesce(body.rlike(HINT) & body.rlike(ENTITY), F.lit(False))  # the cheap pattern first
     some = docs.where(holds)
     found = some.select(F.col(key).alias("key"), F.xxhash64(body).alias("hash"),
-                        F.regexp_extract_all(body, F.lit(ENTITY), 0).alias("all")).dropDuplicates(["key", "hash"])
-    rows = found.select("key", "hash", F.posexplode("all").alias("pos", "entity")).withColumn("type", kind_of(F.col("entity")))
+                        F.regexp_extract_all(settled_cards(body), F.lit(ENTITY), 0).alias("all")).dropDuplicates(["key", "hash"])
+    rows = found.select("key", "hash", F.posexplode_outer("all").alias("pos", "entity")).withColumn("type", kind_of(F.col("entity")))
     words = F.split(F.col("entity"), " ")
     title = F.regexp_replace(words[0], r"\.$", "")
     gender = F.when(title.isin(*MALE_TITLES), "male").when(title.isin(*FEMALE_TITLES), "female").otherwise("given")
@@ -199,9 +251,9 @@ def replace_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", s
         return F.size(F.filter(all_, lambda x: x["type"] == kind))
 
     counts = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*map(held, KINDS)))
-    between = F.split(body, ENTITY, -1)
-    put = F.array_join(F.transform(between, lambda s, i: F.concat(
-        s, F.coalesce(F.get(F.col(all_), i)["new"], F.lit("")))), "")
+    between = F.split(settled_cards(body), ENTITY, -1)
+    put = F.replace(F.array_join(F.transform(between, lambda s, i: F.concat(
+        s, F.coalesce(F.get(F.col(all_), i)["new"], F.lit("")))), ""), F.lit(MARK), F.lit(""))
     met = some.withColumn(mark, F.xxhash64(body)).join(per_text, F.col(key).eqNullSafe(F.col(key_))
                                                        & (F.col(mark) == F.col(hash_)))
     done = met.select(*[put.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], counts.alias(out))
