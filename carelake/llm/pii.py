@@ -6,7 +6,8 @@ numbers their grouping and country code, addresses their dotted or user@host
 form, names their script, case and the gender of the title before them.  Equal
 entities (whatever their grouping or case) get equal surrogates in all texts;
 the words of a name are replaced one by one, so "Mrs Anna Lopez" and "Mrs Lopez"
-still share their surname.
+still share their surname.  A name is all initials, particles and capitalised words
+behind its title; the last is the surname, and an initial becomes a word with its dot.
 
 Distinctness is checked, not hoped for: a surrogate that two entities would
 share stays with the first of them, one that equals a real entity is refused,
@@ -40,10 +41,12 @@ CARD_FORM = r"\d(?:[ -]?\d){12,18}"
 USUAL_CARD = r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}"
 PHONE = (r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
          r"|(?<![\d+])\+\d{8,15}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])")
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+PARTICLES = r"(?:de|del|della|der|den|di|da|do|dos|du|la|las|le|los|van|von|vom|zu|zum|y|e|el|al|bin|ibn|ter|ten) "
+_WORD = r"(?:(?:\p{Lu}\.[ -]?)*\p{Lu}[\p{L}'-]+|\p{Lu}(?= \p{Lu})|(?:\p{Lu}\.-?)+)"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? (?:{PARTICLES})*+{_WORD}(?: (?:{PARTICLES})*+{_WORD})*"
 ENTITY = "|".join([EMAIL, IP, SSN, CARD, PHONE, NAME])
 # What every entity has: an @, a digit, or a word that may be a title before a capital.
-HINT = rf"[@0-9]|[{''.join(sorted({t[0] for t in MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES}))}]\p{{L}}{{1,8}}\.? \p{{Lu}}"
+HINT = rf"[@0-9]|[{''.join(sorted({t[0] for t in MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES}))}]\p{{L}}{{1,8}}\.? (?:{PARTICLES})*\p{{Lu}}"
 
 KINDS = ("email", "ip", "ssn", "card", "phone", "name")
 
@@ -192,7 +195,9 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def _dressed(core: Column, original: Column) -> Column:
     """A name's core in the case of the original word."""
-    return F.when((F.upper(original) == original) & (F.length(original) > 1), F.upper(core)).otherwise(F.initcap(core))
+    return (F.when(original.endswith("."), F.concat(F.initcap(core), F.lit(".")))
+            .when((F.upper(original) == original) & (F.length(original) > 1), F.upper(core))
+            .when(F.lower(original) == original, core).otherwise(F.initcap(core)))
 
 
 def _regrouped(core: Column, entity: Column) -> Column:
@@ -220,40 +225,38 @@ def replace_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     words = F.split(F.col("entity"), " ")
     title = F.regexp_replace(words[0], r"\.$", "")
     gender = F.when(title.isin(*MALE_TITLES), "male").when(title.isin(*FEMALE_TITLES), "female").otherwise("given")
-    is_name, two = F.col("type") == "name", F.size(words) > 2
+    is_name = F.col("type") == "name"
     norm = (F.when(F.col("type").isin("card", "phone", "ssn"), _digits(F.col("entity"))).otherwise(F.lower("entity")))
-    rows = stored(rows.select(
-        "key", "hash", "pos", "entity", "type",
-        F.when(is_name & two, gender).when(is_name, "surname").otherwise(F.col("type")).alias("kind1"),
-        F.when(is_name, F.lower(words[1])).otherwise(norm).alias("norm1"),
-        F.when(is_name & two, F.lit("surname")).alias("kind2"),
-        F.when(is_name & two, F.lower(F.get(words, F.lit(2)))).alias("norm2")), "op9-found")
-    entities = rows.select(F.explode(F.array(F.struct(F.col("kind1").alias("kind"), F.col("norm1").alias("norm")),
-                                             F.struct(F.col("kind2").alias("kind"), F.col("norm2").alias("norm"))))
-                           .alias("e")).select("e.*").where("kind is not null").distinct()
-    names = stored(assign(entities, secret), "op9-surrogates")
-    a, b = (names.select(F.col("kind").alias(f"k{i}"), F.col("norm").alias(f"n{i}"), F.col("surrogate").alias(f"core{i}"))
-            for i in (1, 2))
-    joined = (rows.join(a, (F.col("kind1") == F.col("k1")) & (F.col("norm1") == F.col("n1")), "left")
-              .join(b, (F.col("kind2") == F.col("k2")) & (F.col("norm2") == F.col("n2")), "left"))
-    words = F.split(F.col("entity"), " ")
+    # the words of a name behind its title: the last is the surname, all others have the title's gender
+    parts = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda w, i: F.struct(
+        F.when(i == F.size(words) - 2, F.lit("surname")).otherwise(gender).alias("kind"),
+        F.rtrim(F.lower(w), F.lit(".")).alias("norm"), w.alias("word")))
+    whole = F.array(F.struct(F.col("type").alias("kind"), norm.alias("norm"), F.col("entity").alias("word")))
+    rows = stored(rows.select("key", "hash", "pos", "entity", "type", words[0].alias("title"),
+                              F.posexplode(F.when(is_name, parts).otherwise(whole)).alias("part", "own"))
+                  .select("key", "hash", "pos", "entity", "type", "title", "part", "own.*"), "op9-found")
+    entities = rows.where("kind is not null").select("kind", "norm").distinct()
+    names = stored(assign(entities, secret), "op9-surrogates").select(
+        F.col("kind").alias("k"), F.col("norm").alias("n"), F.col("surrogate").alias("core"))
+    joined = rows.join(names, (F.col("kind") == F.col("k")) & (F.col("norm") == F.col("n")), "left")
+    lead = F.when(F.col("part") == 0, F.concat("title", F.lit(" "))).otherwise(" ")
     new = (F.when(F.col("type").isNull(), F.col("entity"))
-           .when(F.col("type") == "name", F.concat_ws(" ", words[0], _dressed(F.col("core1"), words[1]),
-                                                      _dressed(F.col("core2"), F.get(words, F.lit(2)))))
-           .when(F.col("type").isin("card", "phone", "ssn"), _regrouped(F.col("core1"), F.col("entity")))
-           .otherwise(F.col("core1")))
-    one = joined.select("key", "hash", F.struct("pos", new.alias("new"), "type").alias("e"))
+           .when(F.col("type") == "name", F.concat(lead, _dressed(F.col("core"), F.col("word"))))
+           .when(F.col("type").isin("card", "phone", "ssn"), _regrouped(F.col("core"), F.col("entity")))
+           .otherwise(F.col("core")))
+    one = joined.select("key", "hash", F.struct("pos", "part", new.alias("new"), "type").alias("e"))
     key_, hash_, all_, mark = (spare_name(docs, n) for n in ("own_key", "own_hash", "own_entities", "text_hash"))
     per_text = one.groupBy(F.col("key").alias(key_), F.col("hash").alias(hash_)).agg(
         F.array_sort(F.collect_list("e")).alias(all_))
 
     def held(kind: str) -> Column:
-        return F.size(F.filter(all_, lambda x: x["type"] == kind))
+        return F.size(F.filter(all_, lambda x: (x["type"] == kind) & (x["part"] == 0)))
 
     counts = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*map(held, KINDS)))
     between = F.split(settled_cards(body), ENTITY, -1)
-    put = F.replace(F.array_join(F.transform(between, lambda s, i: F.concat(
-        s, F.coalesce(F.get(F.col(all_), i)["new"], F.lit("")))), ""), F.lit(MARK), F.lit(""))
+    put = F.replace(F.concat(F.array_join(F.transform(F.filter(all_, lambda x: x["pos"].isNotNull()), lambda x: F.concat(
+        F.when(x["part"] == 0, F.get(between, x["pos"])).otherwise(""), x["new"])), ""), F.element_at(between, -1)),
+        F.lit(MARK), F.lit(""))
     met = some.withColumn(mark, F.xxhash64(body)).join(per_text, F.col(key).eqNullSafe(F.col(key_))
                                                        & (F.col(mark) == F.col(hash_)))
     done = met.select(*[put.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], counts.alias(out))
