@@ -32,6 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
 BLOCK_DIGITS = 3  # hexadecimal digits of a block's number: 4096 blocks a source
 BLOCKS = 16 ** BLOCK_DIGITS
+LEAD_CHARS = 3  # hexadecimal digits of a lot that part a shard's draws for ranking
 SHARD_LEVELS = 3  # 8 output shards
 LAST = "g"  # above every hexadecimal digit
 
@@ -101,6 +102,20 @@ def quota(narrow: DataFrame, wanted: DataFrame) -> DataFrame:
     return repeats.unionByName(full).unionByName(last)
 
 
+def ranked(node: DataFrame) -> DataFrame:
+    """``node`` with ``rank``, a draw's place by lot among its shard's, and ``held``, how many
+    there are: ranks inside (shard, prefix of the lot) and offsets of the prefixes, so no
+    window holds a whole shard."""
+    lead = node.withColumn("lead", F.substring("lot", 1, LEAD_CHARS))
+    order = Window.partitionBy("shard").orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = lead.groupBy("shard", "lead").agg(F.count("*").alias("n")).select(
+        "shard", "lead", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"),
+        F.sum("n").over(Window.partitionBy("shard")).alias("held"))
+    own = F.row_number().over(Window.partitionBy("shard", "lead").orderBy("lot", "source", "block", "epoch"))
+    return (lead.withColumn("own", own).join(offsets, ["shard", "lead"])
+            .withColumn("rank", F.col("before") + F.col("own")).drop("lead", "own", "before"))
+
+
 def split(draws: DataFrame, levels: int = SHARD_LEVELS) -> DataFrame:
     """``draws`` with their shard: level by level, half of each node's draws, in
     the order of a keyed hash, goes to the left child."""
@@ -108,11 +123,9 @@ def split(draws: DataFrame, levels: int = SHARD_LEVELS) -> DataFrame:
     for level in range(levels):
         lot = F.md5(F.concat_ws(":", F.lit(f"{SEED}-{level}"), F.coalesce("source", F.lit("")),
                                 F.col("source").isNull().cast("string"), "block", F.col("epoch").cast("string")))
-        rank = F.row_number().over(Window.partitionBy("shard").orderBy(lot, "source", "block", "epoch"))
-        held = F.count("*").over(Window.partitionBy("shard"))
-        node = node.withColumn("rank", rank).withColumn("held", held).withColumn(
-            "shard", F.col("shard") * 2 + F.when(F.col("rank") * 2 <= F.col("held") + 1, 0).otherwise(1)).drop(
-            "rank", "held")
+        node = ranked(stored(node.withColumn("lot", lot), "op7-lots")).withColumn(
+            "shard", F.col("shard") * 2 + F.when(F.col("rank") * 2 <= F.col("held") + 1, 0).otherwise(1)).select(
+            *draws.columns, "shard")
     return node
 
 
