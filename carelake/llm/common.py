@@ -31,11 +31,9 @@ _IS_LEAD = (np.arange(256) & 0xC0) != 0x80  # first byte of a code point
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
-_BYTE_LOWER = _BYTE[_LOWER]
-_BASE = U64(0x9E3779B97F4A7C15)
-_BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_FACTOR = U64(0x9E3779B97F4A7C15)
+_STEP = U64(0xD6E8FEB86659FD93)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -107,20 +105,6 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0]:at[-1]], at - at[0]
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least n + 1."""
-    size = max(1 << 16, 1 << int(n + 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        up, down = np.full(size, _BASE, U64), np.full(size, _BASE_INV, U64)
-        up[0] = down[0] = 1
-        _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit values."""
     x = x ^ (x >> U64(30))
@@ -150,13 +134,26 @@ class Words:
         begin[full], end[last] = inside[full], inside[last]
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, off)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * powers(n)[0][:n], out=self.sums[1:])
+        padded = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+        self.blocks = np.ndarray((n + 1,), "<u8", padded, 0, (1,))  # the 8 bytes from every place on
         self.hashes = self.span_hashes(self.starts, self.ends)
 
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of byte spans; equal bytes have equal hashes wherever they stand."""
-        return mix((self.sums[ends] - self.sums[starts]) * powers(len(self.data))[1][starts])
+        """Hashes of byte spans; equal bytes have equal hashes wherever they stand.
+        Every block of 8 bytes is scrambled with its number before they are summed,
+        so that no pattern of a text cancels out."""
+        size = ends - starts
+        total = mix((self.blocks[starts] & _MASK[np.minimum(size, 8)]) + _STEP)
+        more = np.flatnonzero(size > 8)
+        if len(more):
+            count = (size[more] - 1) >> 3
+            first = np.cumsum(count) - count
+            nth = np.arange(int(count.sum())) - np.repeat(first, count) + 1
+            at = np.repeat(starts[more], count) + 8 * nth
+            left = np.minimum(np.repeat(ends[more], count) - at, 8)
+            scrambled = mix((self.blocks[at] & _MASK[left]) ^ mix((nth + 1).astype(U64) * _STEP))
+            total[more] += np.add.reduceat(scrambled, first)
+        return mix(total + size.astype(U64) * _FACTOR)
 
     def counts(self, flags: np.ndarray) -> np.ndarray:
         """Per text, how many of its bytes are flagged."""
@@ -175,15 +172,49 @@ class Words:
         return np.repeat(np.arange(self.n_texts), np.diff(self.first))
 
 
+class Spans:
+    """Names of spans of consecutive hashes (also across texts).  Level k names all
+    2**k consecutive entries by scrambling the names of their halves; a span is
+    joined from the levels in its length's binary digits, lowest first."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.levels = [hashes]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            below, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(_joined(below[:-half], below[half:]) if len(below) > half else below[:0])
+        return self.levels[k]
+
+    def windows(self, n: int) -> np.ndarray:
+        """Names of all n consecutive entries."""
+        size = max(0, len(self.levels[0]) - n + 1)
+        out, done = np.full(size, mix(np.array([n], U64))[0]), 0
+        for k in range(n.bit_length() if size else 0):
+            if n >> k & 1:
+                out = _joined(out, self._level(k)[done:done + size])
+                done += 1 << k
+        return out
+
+    def names(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Names of the spans a..b-1, those of ``windows`` for the same entries."""
+        size, at = b - a, a.copy()
+        out = mix(size.astype(U64))
+        for k in range(int(size.max()).bit_length() if len(size) else 0):
+            i = np.flatnonzero(size >> k & 1)
+            if len(i):
+                out[i] = _joined(out[i], self._level(k)[at[i]])
+                at[i] += 1 << k
+        return out
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _FACTOR + right)
+
+
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Rolling hashes of all n consecutive entries (also across texts)."""
-    m = len(hashes)
-    if m < n:
-        return np.zeros(0, U64)
-    up, down = powers(m)
-    total = np.zeros(m + 1, U64)
-    np.cumsum(hashes * up[:m], out=total[1:])
-    return mix((total[n:] - total[:-n]) * down[:m - n + 1] + U64(n))
+    """Names of all n consecutive entries (also across texts)."""
+    return Spans(hashes).windows(n)
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import U64, Words, mix, spare_name, text_udf, windows
+from carelake.llm.common import U64, Spans, Words, mix, spare_name, text_udf
 
 # Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -40,10 +40,10 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return np.isin(keys, twice) if len(twice) else np.zeros(len(keys), bool)
 
 
-def _covered(w: Words, n: int) -> np.ndarray:
+def _covered(w: Words, spans: Spans, n: int) -> np.ndarray:
     """Flags of the words inside an n-word window found twice or more in their text."""
     marks = np.zeros(len(w.hashes) + 1, np.int64)
-    key = windows(w.hashes, n)
+    key = spans.windows(n)
     if len(key):
         text = w.text_of()
         own = np.flatnonzero(text[n - 1:] == text[:len(key)])
@@ -82,7 +82,8 @@ def _dup_lines(w: Words) -> tuple[np.ndarray, np.ndarray]:
 def _signals(texts: pa.Array) -> pa.Array:
     w = Words(texts)
     lengths = w.lengths()
-    covered = {n: _covered(w, n) for n in sorted({BASE_WINDOW, *MAX_COVERAGE_PERCENT})}
+    spans = Spans(w.hashes)
+    covered = {n: _covered(w, spans, n) for n in sorted({BASE_WINDOW, *MAX_COVERAGE_PERCENT})}
     n_dup, dup_chars = _dup_lines(w)
     columns = [np.diff(w.first), _per_text(w, lengths), w.counts(_SYMBOL[w.data]), n_dup, dup_chars,
                _per_text(w, covered[BASE_WINDOW])] + [_per_text(w, lengths * covered[n]) for n in MAX_COVERAGE_PERCENT]

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import CHUNK_BYTES, U64, Words, mix, perhaps_in, powers, stored, text_chunks, text_udf
+from carelake.llm.common import CHUNK_BYTES, U64, Spans, Words, mix, perhaps_in, stored, text_chunks, text_udf
 
 WINDOW = 50
 ROUNDS = 7  # symbols of about 7 words, whose spans mostly fit a window
@@ -118,8 +118,7 @@ class Ranges:
     def __init__(self, w: Words, window: int = WINDOW, rounds: int = ROUNDS):
         self.w, self.window = w, window
         text, n = w.text_of(), len(w.hashes)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(w.hashes * powers(n)[0][:n], out=self.sums[1:])
+        self.span_names = Spans(w.hashes).names
         at = np.arange(max(0, n - window + 1))
         at = at[text[at] == text[at + window - 1]] if len(at) else at
         anchor, place = self.span_names(at, at + window), at.copy()
@@ -142,11 +141,6 @@ class Ranges:
         self.begin, self.end, self.anchor, self.text = at[head], at[tail], anchor[head], text[at[head]]
         self.name = self.span_names(self.begin, self.end + window)
 
-    def span_names(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hashes of the words a..b-1 and of their number."""
-        return mix((self.sums[b] - self.sums[a]) * powers(len(self.w.hashes))[1][a]
-                   + (b - a).astype(U64) * U64(0xD6E8FEB86659FD93))
-
 
 def _anchors(texts: pa.Array) -> pa.Array:
     w = Words(texts)
