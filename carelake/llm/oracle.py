@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from carelake.llm.oracle_turns import REPAIR, TRIE
+
 OP4 = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
@@ -175,4 +177,6 @@ for name, item, glue in (
 
 
 def sql_queries() -> dict[str, str]:
-    return {"op3_ngram_join": OP3, "op8_substring_dedup": OP8, "op10_quality_rules": OP10, "op4_exact_dedup": OP4, "op5_chat_rotation": OP5, "op7_source_mixing": OP7}
+    return {"op3_ngram_join": OP3, "op8_substring_dedup": OP8, "op10_quality_rules": OP10, "op4_exact_dedup": OP4,
+            "op5_chat_rotation": OP5, "op7_source_mixing": OP7, "op11_prefix_trie": TRIE,
+            "op13_structure_repair": REPAIR}

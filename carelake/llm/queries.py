@@ -70,5 +70,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read_documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from carelake.llm.prefix_trie import trie_report
+
+    return trie_report(spark.read.parquet(table_path(sf_dir, "conversations")))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from carelake.llm.sketches import sketch_report
+
+    return sketch_report(read_documents(spark, sf_dir))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from carelake.llm.repair import repair_report
+
+    return repair_report(spark.read.parquet(table_path(sf_dir, "conversations")))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
