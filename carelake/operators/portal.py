@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.messages import LEAVE_MESSAGES
 from .accounts import safe_role
 from .ordinals import ordinal_among
-from .records import emergency_on_duty, leave_for, phone_error
+from .records import EmergencyRoster, leave_for, phone_error
 
 # A calendar date, optionally with a time and an offset.
 ISO_TEXT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
@@ -71,11 +71,15 @@ def leave_check(checks: DataFrame, ref: DataFrame, leaves: DataFrame, key: str,
                 when_col: str) -> DataFrame:
     """Leave flag, leave row, message and all emergency doctors on duty (file order) per check."""
     r = leave_for(checks, leaves, key, doctor_col, when_col)
-    r = r.join(emergency_on_duty(checks, key, when_col, ref, leaves), key, "left")
+    roster = EmergencyRoster(ref, leaves)
+    segments = roster.segments(checks, when_col).checkpoint(eager=True)
+    lists = segments.withColumnRenamed(when_col, "__when").join(
+        roster.lists(segments.select("__segment").distinct()), "__segment", "left")
+    r = r.join(lists, F.col(when_col) == F.col("__when"), "left")
     msg = F.when(F.col("on_leave"), LEAVE_MESSAGES["on_leave"]).otherwise(LEAVE_MESSAGES["available"])
     return r.select(key, "on_leave", "leave_id", "leave_start", "leave_end",
-                    F.array_join("on_duty", ", ").alias("emergency_doctors"),
-                    F.size("on_duty").cast("bigint").alias("emergency_available"), msg.alias("message"))
+                    F.coalesce("on_duty", F.lit("")).alias("emergency_doctors"),
+                    F.coalesce("n_on_duty", F.lit(0).cast("bigint")).alias("emergency_available"), msg.alias("message"))
 
 
 def leaves_newest_first(leaves: DataFrame) -> DataFrame:

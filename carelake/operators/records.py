@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.messages import ACCOUNT_ERRORS as AE
 from ..functions.messages import BOOKING_ERRORS as BE
-from .ordinals import last_non_null_in_key, previous_in_key
+from .ordinals import last_non_null_in_key, ordinal_among, previous_in_key
 from .scoring import parse_details
 
 
@@ -67,8 +67,8 @@ def _cell(when: Column, level: Column | int) -> Column:
     return F.floor(F.unix_seconds(when) / width).cast("bigint")
 
 
-def leave_cells(leaves: DataFrame) -> DataFrame:
-    """Valid leaves (closed interval) with the time cells they cover.
+def leave_cells(leaves: DataFrame, *more: str) -> DataFrame:
+    """Valid leaves (closed interval) with the time cells they cover, and the columns ``more``.
 
     A leave enters cells as wide as its own length asks for (64 times wider from
     level to level), so it has at most 66 of them however long it is.  The range
@@ -84,7 +84,7 @@ def leave_cells(leaves: DataFrame) -> DataFrame:
     ok = ok.withColumn("lv_level", level)
     return ok.select(
         F.lower(F.trim("doctor_email")).alias("lv_doctor"), F.col("id").alias("leave_id"),
-        F.col("start_at").alias("leave_start"), F.col("end_at").alias("leave_end"), "lv_level",
+        F.col("start_at").alias("leave_start"), F.col("end_at").alias("leave_end"), "lv_level", *more,
         F.explode(F.sequence(_cell(F.col("start_at"), F.col("lv_level")), _cell(F.col("end_at"), F.col("lv_level"))))
         .alias("lv_cell"))
 
@@ -198,34 +198,99 @@ def role_error(role: Column) -> Column:
                   AE["role"])
 
 
-def emergency_on_duty(requests: DataFrame, key: str, when_col: str, ref: DataFrame, leaves: DataFrame) -> DataFrame:
-    """key and ``on_duty``: names, in file order, of the emergency doctors not on leave at each request's time.
+WORD_BITS = 64  # doctors of one bitmap word
+NO_LEAVE_YET = "0001-01-01 00:00:00"
 
-    The leaves of emergency doctors are gathered per time cell (the leaves that
-    touch one day, not per request), and a request meets the few cells of its
-    time; the roster itself is one value, a row per doctor.  So what shuffles is
-    leaves and requests, never requests x doctors.
+
+class EmergencyRoster:
+    """Who of the emergency doctors is on duty, per time segment.
+
+    The starts of leaves and the instants after their ends cut the time line into
+    segments in which nobody's leave begins or ends, so one list serves all instants of a
+    segment.  A doctor is a bit: the place in the file gives word and bit, and a
+    segment's busy doctors are one 64-bit word each, built by ``bit_or`` (partial
+    before the shuffle).  What shuffles is leaves, instants and words; a list is
+    made once per segment that is asked for, from as many names as it shows.
     """
-    docs = doctors_reference(ref).filter("emergency_doctor")
-    entry = F.struct("seq", "doctor_id", F.lower("doctor_id").alias("busy_key"), "doctor_name")
-    roster = docs.agg(F.array_sort(F.collect_list(entry))).scalar()
-    eleaves = leaves.join(docs.select(F.lower("doctor_id").alias("__d")),
-                          F.lower(F.trim(leaves["doctor_email"])) == F.col("__d"), "left_semi")
-    cells = leave_cells(eleaves).groupBy("lv_level", "lv_cell").agg(
-        F.collect_set(F.struct("lv_doctor", "leave_start", "leave_end")).alias("away"))
-    when = requests.select(F.col(when_col).alias("__when")).filter("__when IS NOT NULL").distinct()
-    met = _at_all_levels(when, "__when").join(
-        cells, (F.col("__level") == F.col("lv_level")) & (F.col("__cell") == F.col("lv_cell")))
-    busy = F.transform(F.filter("away", lambda x: F.col("__when").between(x["leave_start"], x["leave_end"])),
-                       lambda x: x["lv_doctor"])
-    busy = met.select("__when", busy.alias("busy")).groupBy("__when").agg(F.flatten(F.collect_list("busy")).alias("busy"))
-    free = F.transform(F.filter("__roster", lambda d: ~F.array_contains("__busy", d["busy_key"])),
-                       lambda d: d["doctor_name"])
-    lists = when.join(busy, "__when", "left").select(
-        "__when", roster.alias("__roster"), F.array_distinct(
-            F.coalesce("busy", F.array().cast("array<string>"))).alias("__busy")).select("__when", free.alias("on_duty"))
-    out = requests.select(F.col(key), F.col(when_col).alias("__when")).join(lists, "__when", "left")
-    return out.select(key, F.coalesce("on_duty", F.array().cast("array<string>")).alias("on_duty"))
+
+    def __init__(self, ref: DataFrame, leaves: DataFrame):
+        docs = doctors_reference(ref).filter("emergency_doctor")
+        docs = ordinal_among(docs, "seq", F.lit(True), "__place", tiebreak=["doctor_id", "doctor_name"])
+        docs = docs.select(F.lower("doctor_id").alias("__busy_key"), "doctor_name",
+                           F.expr(f"(__place - 1) div {WORD_BITS}").alias("__word"),
+                           ((F.col("__place") - 1) % WORD_BITS).cast("int").alias("__bit"))
+        self.words = docs.groupBy("__word").agg(
+            F.array_sort(F.collect_list(F.struct("__bit", "doctor_name"))).alias("__names"))
+        self.n_words = docs.agg(F.coalesce(F.max("__word") + 1, F.lit(0))).scalar()
+        # A leave per place of its doctor in the file.
+        own = leaves.withColumn("__busy_key", F.lower(F.trim("doctor_email"))).join(docs, "__busy_key")
+        self.leaves = own.filter("start_at <= end_at").select("id", "doctor_email", "start_at", "end_at", "__word", "__bit")
+
+    def segments(self, instants: DataFrame, when: str) -> DataFrame:
+        """The distinct non-null ``when`` and ``__segment``, the instant at which each one's segment begins."""
+        after = F.timestamp_micros(F.unix_micros("end_at") + 1)
+        cuts = self.leaves.select(F.explode(F.array("start_at", after)).alias("__at")).distinct()
+        both = cuts.select("__at", F.col("__at").alias("__cut"), F.lit(0).alias("__kind")).unionByName(
+            instants.filter(F.col(when).isNotNull()).select(F.col(when).alias("__at")).distinct().select(
+                "__at", F.lit(None).cast("timestamp").alias("__cut"), F.lit(1).alias("__kind")))
+        swept = last_non_null_in_key(both.withColumn("__line", F.lit(0)), "__line", "__at", "__kind",
+                                     {"__segment": F.col("__cut")}, block_seconds=DAY_SECONDS)
+        return swept.filter("__kind = 1").select(
+            F.col("__at").alias(when),
+            F.coalesce("__segment", F.lit(NO_LEAVE_YET).cast("timestamp")).alias("__segment"))
+
+    def busy(self, segments: DataFrame, leaves: DataFrame) -> DataFrame:
+        """Per segment and word, the bits of the doctors on leave."""
+        cells = leave_cells(leaves, "__word", "__bit")
+        at = _at_all_levels(segments, "__segment")
+        hits = at.join(cells, (F.col("__level") == F.col("lv_level")) & (F.col("__cell") == F.col("lv_cell"))
+                       & F.col("__segment").between(F.col("leave_start"), F.col("leave_end")))
+        return hits.groupBy("__segment", "__word").agg(
+            F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__busy"))
+
+    def free(self, wanted: DataFrame, leaves: DataFrame) -> DataFrame:
+        """``wanted`` (segment, word) and ``__free``: names of the word's doctors on duty, in file order."""
+        busy = self.busy(wanted.select("__segment").distinct(), leaves)
+        met = wanted.join(busy, ["__segment", "__word"], "left").join(self.words, "__word")
+        free = F.filter("__names", lambda d: F.coalesce(F.getbit("__busy", d["__bit"]), F.lit(0)) == 0)
+        return met.select("__segment", "__word", F.transform(free, lambda d: d["doctor_name"]).alias("__free"))
+
+    def lists(self, segments: DataFrame) -> DataFrame:
+        """Per segment: ``on_duty``, all names on duty joined by ", ", and ``n_on_duty``."""
+        whole = F.when(self.n_words > 0, F.sequence(F.lit(0).cast("bigint"), self.n_words - 1))
+        wanted = segments.select("__segment", F.explode(whole).alias("__word"))
+        pieces = self.free(wanted, self.leaves).select(
+            "__segment", F.size("__free").alias("__n"),
+            F.when(F.size("__free") > 0, F.struct("__word", F.array_join("__free", ", ").alias("__text"))).alias("__p"))
+        return pieces.groupBy("__segment").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list("__p")), lambda p: p["__text"]), ", ").alias("on_duty"),
+            F.sum("__n").cast("bigint").alias("n_on_duty"))
+
+    def first(self, segments: DataFrame, n: int) -> DataFrame:
+        """Per segment: ``on_duty``, the first ``n`` names on duty (fewer if there are fewer).
+
+        The file is walked word by word, twice as many words a step, and a segment
+        leaves the walk once it has its names, so long lists are not built."""
+        found, lo, hi = None, 0, 1
+        left = segments.select("__segment", F.array().cast("array<string>").alias("__so_far"))
+        total = segments.sparkSession.range(1).select(self.n_words.alias("n")).first().n
+        while lo < total:
+            some = self.leaves.filter((F.col("__word") >= lo) & (F.col("__word") < hi))
+            wanted = left.select("__segment", F.explode(F.sequence(F.lit(lo).cast("bigint"), F.lit(min(hi, total) - 1)
+                                                                   .cast("bigint"))).alias("__word"))
+            heads = self.free(wanted, some).select("__segment", F.struct(
+                "__word", F.slice("__free", 1, n).alias("__head")).alias("__p")).groupBy("__segment").agg(
+                F.flatten(F.transform(F.array_sort(F.collect_list("__p")), lambda p: p["__head"])).alias("__new"))
+            left = left.join(heads, "__segment", "left").select("__segment", F.slice(F.concat(
+                "__so_far", F.coalesce("__new", F.array().cast("array<string>"))), 1, n).alias("__so_far"))
+            left = left.checkpoint(eager=True)
+            done = left.filter(F.size("__so_far") >= n)
+            found = done if found is None else found.unionByName(done)
+            left, lo, hi = left.filter(F.size("__so_far") < n), hi, 2 * hi
+            if left.isEmpty():
+                break
+        found = left if found is None else found.unionByName(left)
+        return found.withColumnRenamed("__so_far", "on_duty")
 
 
 def booking_admission(requests: DataFrame, users: DataFrame, ref: DataFrame, leaves: DataFrame,
@@ -240,9 +305,11 @@ def booking_admission(requests: DataFrame, users: DataFrame, ref: DataFrame, lea
     r = requests.withColumn("__pe", F.lower(F.trim("patient_email")))
     r = r.join(u, "__pe", "left")
     r = leave_for(r, leaves, "request_id", "doctor_email", "scheduled_for")
-    emer = emergency_on_duty(r.filter("on_leave"), "request_id", "scheduled_for", ref, leaves).select(
-        "request_id", F.array_join(F.slice("on_duty", 1, 3), ", ").alias("emergency_names"))
-    r = r.join(emer, "request_id", "left")
+    roster = EmergencyRoster(ref, leaves)
+    segments = roster.segments(r.filter("on_leave"), "scheduled_for").checkpoint(eager=True)
+    names = segments.join(roster.first(segments.select("__segment").distinct(), 3), "__segment").select(
+        F.col("scheduled_for").alias("__when"), F.array_join("on_duty", ", ").alias("emergency_names"))
+    r = r.join(names, F.col("on_leave") & (F.col("scheduled_for") == F.col("__when")), "left")
     perr = phone_error(F.col("contact_info"))
     reason = (F.when(F.col("__prole").isNull() | (F.col("__prole") != "patient"), F.lit(BE["no_patient"]))
               .when(F.col("doctor_email").isNotNull() & F.col("on_leave"),
