@@ -13,12 +13,17 @@ it): sets that may link share a signature, sets far apart practically never do.
   as m spare parts agree as well, sets with at most m empty parts leave their
   empty signatures out, and only sets with more of them emit those too.
 
-Equal sets form classes first.  Every class in a shared bucket is then checked
-against the bucket's smallest class (a star, never all pairs); linked classes
-form components; what remains are buckets that still hold several components,
-and only pairs across components are checked there, behind an exact lower bound
-of the difference (parity sketch).  So no link between different components is
-lost, and copies are never expanded.
+Equal sets form classes first (two 64-bit names; sets that share only the first
+one are told apart).  Each class is then checked against one other: of the
+smallest buckets' hubs, the classes that meet most others, the busiest.  Around an
+original that is in the table this links its copies in one step, a pair a class.  What
+remains are buckets that still hold several components.  There the classes of different
+components are compared by sketches (an exact lower bound of the difference) inside
+the bucket's blocks, in numpy, and every class names only its nearest candidates; these
+pairs are checked, components merge, and the next round names eight times as many,
+until no class holds back any.  So no link between different components is lost, and
+neither copies nor buckets are ever expanded into pairs.  A pair links only
+by comparing the words of the two texts' shingles.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ PAIRED_K = 5
 BAND_RATIO = 2 ** 0.5
 SKETCH_LONGS = 8
 MAX_SET = 1 << 40
+BLOCK = 4096  # classes of a bucket that are compared at once
+FIRST_NEAREST, MORE_NEAREST = 1, 8
 
 
 def max_difference(total: int, percent: int) -> int:
@@ -113,37 +120,46 @@ def _sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view("<i8")
 
 
-SET_SCHEMA = ("struct<n_shingles: bigint, node: bigint, signs: array<bigint>, "
+SET_SCHEMA = ("struct<n_shingles: bigint, node: bigint, other: bigint, signs: array<bigint>, "
               + ", ".join(f"p{i}: bigint" for i in range(SKETCH_LONGS)) + ">")
 
 
-def _signed(percent: int):
+def _signed(percent: int, words: int, node_bits: int):
     def run(texts: pa.Array) -> pa.Array:
-        sets = shingle_sets(texts)
+        sets = shingle_sets(texts, words)
         sizes = np.array([len(s) for s in sets], np.int64)
-        nodes = np.array([int(mix(np.array([mix(s ^ U64(len(s))).sum()], U64))[0]) for s in sets], U64).view(np.int64)
+        sums = np.array([[mix(s ^ U64(len(s))).sum(), mix(s + U64(0xC2B2AE3D27D4EB4F)).sum()] for s in sets],
+                        U64).reshape(-1, 2)
+        names = mix(sums) >> U64(64 - node_bits)
         signs = [signatures(s, percent) if len(s) else np.zeros(0, U64) for s in sets]
         at = np.concatenate([[0], np.cumsum([len(s) for s in signs])]).astype(np.int32)
         flat = np.concatenate([*signs, np.zeros(0, U64)]).view(np.int64)
         cells = np.array([_sketch(s) for s in sets], np.int64).reshape(-1, SKETCH_LONGS)
-        columns = [pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.ListArray.from_arrays(at, pa.array(flat)),
+        columns = [pa.array(sizes), pa.array(names[:, 0].view(np.int64), mask=sizes == 0),
+                   pa.array(mix(sums[:, 1]).view(np.int64)), pa.ListArray.from_arrays(at, pa.array(flat)),
                    *(pa.array(np.ascontiguousarray(cells[:, i])) for i in range(SKETCH_LONGS))]
-        return pa.StructArray.from_arrays(columns, ["n_shingles", "node", "signs"]
+        return pa.StructArray.from_arrays(columns, ["n_shingles", "node", "other", "signs"]
                                           + [f"p{i}" for i in range(SKETCH_LONGS)])
 
     return text_udf(run, SET_SCHEMA)
 
 
-def similar(a: Column, b: Column, percent: int) -> Column:
-    """Whether two texts link, from their whole shingle sets."""
+def _shingles(text: str, words: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves: what a link is decided on."""
+    own = text.encode().lower().split()  # bytes: A-Z alone are lowered, and cut is at ASCII white space
+    return set(zip(*(own[i:] for i in range(words)))) if len(own) >= words else {tuple(own)} if own else set()
+
+
+def similar(a: Column, b: Column, percent: int, words: int = SHINGLE_WORDS) -> Column:
+    """Whether two texts link, from the words of their whole shingle sets."""
 
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        out, last, known = [], None, None
+        out, last, known = [], None, set()
         for x, y in zip(left.to_pylist(), right.to_pylist()):
             if x != last:
-                last, known = x, shingle_sets(pa.array([x]))[0]
-            other = shingle_sets(pa.array([y]))[0]
-            both = len(np.intersect1d(known, other, assume_unique=True))
+                last, known = x, _shingles(x, words)
+            other = _shingles(y, words)
+            both = len(known & other)
             out.append(100 * both >= percent * (len(known) + len(other) - both))
         return pa.array(out, pa.bool_())
 
@@ -151,20 +167,104 @@ def similar(a: Column, b: Column, percent: int) -> Column:
     return F.arrow_udf(run, "boolean").asNondeterministic()(a, b)
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, label: str) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int, label: str) -> DataFrame:
     """The pairs (a, b) of classes that link, checked on the texts of their first documents."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-                    .join(classes.select("node", "first.*"), "node"), f"{label}-wanted")
+    wanted = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+                    .join(classes.select(F.col("node").alias("a"), "first.*"), "a")
+                    .withColumnRenamed("a", "node"), f"{label}-wanted")
     texts = docs.join(wanted, docs["key"].eqNullSafe(wanted["doc"]) & (F.xxhash64(docs["text"]) == wanted["hash"]))
     # Texts are larger than their compressed size suggests: never broadcast them.
     texts = texts.groupBy("node").agg(F.first("text").alias("text")).hint("merge")
     checked = (pairs.join(texts.withColumnRenamed("node", "b").withColumnRenamed("text", "text_b"), "b")
                .join(texts.withColumnRenamed("node", "a").withColumnRenamed("text", "text_a"), "a"))
-    return stored(checked.select("a", "b", similar(F.col("text_a"), F.col("text_b"), percent).alias("ok")), label)
+    return stored(checked.select("a", "b", similar(F.col("text_a"), F.col("text_b"), percent, words).alias("ok")), label)
+
 
+def nearest(group: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, side: np.ndarray,
+            cells: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates among rows of equal ``group`` (adjacent rows): for every row the ``most`` nearest by sketch.
 
-def similarity_groups(docs: DataFrame, percent: int = MIN_PERCENT, key: str = "doc_id",
-                      text: str = "text") -> DataFrame:
+    Only rows of different components whose sizes and sketches allow a link, and of different
+    sides where both sides of a block pair are given (side 0 alone: all of one block).
+    Returns the candidates as two index arrays, and the rows that have more than that.
+    """
+    change = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    length = np.diff(np.append(change, len(group)))
+    place = np.arange(len(group)) - np.repeat(change, length)
+    left = np.repeat(length, length) - place  # rows of the group from this one on
+    two = np.repeat(np.maximum.reduceat(side, change), length) > 0
+    held = [np.zeros((3, 0), np.int64)]
+    more = np.zeros(len(group), bool)
+
+    def prune() -> None:
+        """The nearest of every row, from both ends' view."""
+        i, j, apart = np.concatenate(held, axis=1)
+        ends, where = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+        order = np.lexsort((where, np.concatenate([apart, apart]), ends))
+        ends, where = ends[order], where[order]
+        first = np.searchsorted(ends, ends)
+        kept = np.arange(len(ends)) - first < most
+        more[ends[~kept]] = True
+        use = np.unique(where[kept])
+        held[:] = [np.stack([i[use], j[use], apart[use]])]
+
+    active, d, count = np.flatnonzero(left > 1), 1, 0
+    while len(active):
+        i, j = active, active + d
+        fits = (root[i] != root[j]) & ((side[i] != side[j]) | ~two[i])
+        i, j = i[fits], j[fits]
+        fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+        i, j = i[fits], j[fits]
+        apart = np.bitwise_count(cells[i] ^ cells[j]).sum(axis=1, dtype=np.int64)
+        fits = (100 + percent) * apart <= (100 - percent) * (size[i] + size[j])
+        held.append(np.stack([i[fits], j[fits], apart[fits]]))
+        count += int(fits.sum())
+        if count > 1 << 20:
+            prune()
+            count = 0
+        d += 1
+        active = active[left[active] > d]
+    prune()
+    return held[0][0], held[0][1], more
+
+
+OPEN = ["sign", "part", "node", "root", "n", "side"] + [f"p{i}" for i in range(SKETCH_LONGS)]
+
+
+def _candidates(percent: int, most: int):
+    """Pairs (a, b) of whole groups of (sign, part), which arrive together; ``more`` marks a class with further ones."""
+    names = ["a", "b", "more"]
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        column = {x: table.column(x).to_numpy() for x in OPEN}
+        group = np.cumsum(np.concatenate([[0], (np.diff(column["sign"]) != 0) | (np.diff(column["part"]) != 0)]))
+        cells = np.stack([column[f"p{i}"] for i in range(SKETCH_LONGS)], axis=1)
+        i, j, more = nearest(group, column["node"], column["root"], column["n"], column["side"], cells, percent, most)
+        x, y = column["node"][i], column["node"][j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)),
+                                           pa.array(more[i] | more[j])], names)
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held, rows = held + [batch], rows + len(batch)
+            if rows < 4 * BLOCK:
+                continue
+            table = pa.Table.from_batches(held)
+            sign, part = table.column("sign").to_numpy(), table.column("part").to_numpy()
+            cut = np.flatnonzero((np.diff(sign) != 0) | (np.diff(part) != 0))
+            if len(cut):
+                yield found(table.slice(0, int(cut[-1]) + 1))
+                table = table.slice(int(cut[-1]) + 1)
+            held, rows = table.to_batches(), len(table)
+        if rows:
+            yield found(pa.Table.from_batches(held))
+
+    return run
+
+
+def similarity_groups(docs: DataFrame, percent: int = MIN_PERCENT, key: str = "doc_id", text: str = "text",
+                      words: int = SHINGLE_WORDS, node_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: key, hash of the text, n_shingles, class and
     component (its smallest key), and whether the row represents its component.
 
@@ -175,54 +275,65 @@ def similarity_groups(docs: DataFrame, percent: int = MIN_PERCENT, key: str = "d
     empty table.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    signed = stored(rows.select("key", F.xxhash64("text").alias("hash"), _signed(percent)(F.col("text")).alias("s"))
+    signed = stored(rows.select("key", F.xxhash64("text").alias("hash"),
+                                _signed(percent, words, node_bits)(F.col("text")).alias("s"))
                     .select("key", "hash", "s.*"), "op3-signed")
-    some = signed.where("n_shingles > 0")
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("doc"), F.col("hash").alias("hash"))
-    classes = stored(some.groupBy("node").agg(
-        F.min(order).alias("first"), F.first("n_shingles").alias("n"),
-        *[F.first(f"p{i}").alias(f"p{i}") for i in range(SKETCH_LONGS)]), "op3-classes")
-    signs = some.select("node", F.explode("signs").alias("sign"))
-    shared = signs.groupBy("sign").agg(F.min("node").alias("center"), F.max("node").alias("last"))
+
+    def classed(of: DataFrame) -> DataFrame:
+        return stored(of.where("n_shingles > 0").groupBy("node").agg(
+            F.min(order).alias("first"), F.first("n_shingles").alias("n"), F.min("other").alias("low"),
+            F.max("other").alias("high"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(SKETCH_LONGS)]), "op3-classes")
+
+    classes = classed(signed)
+    twins = classes.where("low <> high").select(F.col("node").alias("twin"))
+    if not twins.isEmpty():  # different sets under one name get names from both
+        signed = stored(signed.join(twins, F.col("node") == F.col("twin"), "left").withColumn(
+            "node", F.when(F.col("twin").isNull(), F.col("node")).otherwise(F.xxhash64("node", "other"))).drop("twin"),
+            "op3-renamed")
+        classes = classed(signed)
+    signs = signed.where("n_shingles > 0").select("node", F.explode("signs").alias("sign"))
+    shared = signs.groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     # Signatures are many more than their table's file size suggests: never broadcast them.
-    members = stored(signs.hint("merge").join(shared.where("center < last").select("sign", "center").hint("merge"),
-                                              "sign").distinct(), "op3-members")
-    stars = members.where("node > center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    seen = _linked(first, classes, rows, percent, "op3-first")
+    members = stored(signs.hint("merge").join(shared.select("sign").hint("merge"), "sign", "left_semi").distinct(),
+                     "op3-members")
+    # Hubs: a class meets as many others as its buckets hold; a bucket's hub is its busiest class.
+    filled = members.groupBy("sign").agg(F.count("*").alias("many"))
+    met = members.hint("merge").join(filled.hint("merge"), "sign").groupBy("node").agg(F.sum("many").alias("met"))
+    busy = members.hint("merge").join(met.hint("merge"), "node")
+    hubs = busy.groupBy("sign").agg(F.max(F.struct("met", "node")).alias("hub"))
+    star = members.hint("merge").join(hubs.hint("merge"), "sign").where(F.col("hub.node") != F.col("node"))
+    star = star.groupBy("node").agg(F.max("hub").alias("hub")).select(
+        F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    seen = _linked(stored(star, "op3-star"), classes, rows, percent, words, "op3-first")
     roots = components(seen.where("ok").select("a", "b"), "op3-roots")
 
-    def across(pairs: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs not checked yet whose ends are in different components."""
-        left, right = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-        return (pairs.join(done.select("a", "b"), ["a", "b"], "left_anti").join(left, "a", "left")
-                .join(right, "b", "left")
-                .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-
-    def widen(pairs: DataFrame, label: str) -> None:
-        nonlocal seen, roots
-        pairs = stored(pairs, f"{label}-pairs")
-        if pairs.isEmpty():
-            return
-        new = _linked(pairs, classes, rows, percent, label)
-        seen = seen.unionByName(new)
-        roots = components(seen.where("ok").select("a", "b"), f"{label}-roots")
-
-    widen(across(stars, seen), "op3-stars")
-    # What is left: buckets that still hold several components.
-    rooted = members.join(roots, "node", "left").select("sign", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    # What is left: buckets that hold several components, in blocks of about BLOCK classes.
     cells = [f"p{i}" for i in range(SKETCH_LONGS)]
-    open_ = stored(rooted.join(mixed.select("sign"), "sign").join(classes.select("node", "n", *cells), "node"),
-                   "op3-open")
-    a, b = open_.alias("x"), open_.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in cells), F.lit(0))
-    near = ((F.col("x.sign") == F.col("y.sign")) & (F.col("x.node") < F.col("y.node"))
-            & (F.col("x.root") != F.col("y.root"))
-            & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            & ((100 + percent) * differ <= (100 - percent) * (F.col("x.n") + F.col("y.n"))))
-    rest = a.join(b, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    widen(across(rest, seen), "op3-rest")
+    most = FIRST_NEAREST
+    while True:
+        rooted = members.hint("merge").join(roots.hint("merge"), "node", "left").select(
+            "sign", "node", F.coalesce("root", "node").alias("root"))
+        mixed = rooted.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high"),
+                                           F.count("*").alias("many")).where("low < high")
+        open_ = rooted.join(mixed.select("sign", F.expr(f"(many - 1) div {BLOCK} + 1").alias("blocks")).hint("merge"),
+                            "sign").join(classes.select("node", "n", *cells).hint("merge"), "node")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        # Block i meets block j under one part number, as side 0 (the smaller) or 1.
+        parts = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: F.struct(
+            (F.least(own, j) * F.col("blocks") + F.greatest(own, j)).alias("part"), (own > j).cast("int").alias("side")))
+        dealt = open_.select("sign", "node", "root", "n", *cells, F.explode(parts).alias("p")).select(
+            "sign", "p.part", "node", "root", "n", "p.side", *cells)
+        found = dealt.repartition("sign", "part").sortWithinPartitions("sign", "part").mapInArrow(
+            _candidates(percent, most), "a bigint, b bigint, more boolean")
+        found = stored(found.groupBy("a", "b").agg(F.max("more").alias("more")), "op3-candidates")
+        new = stored(found.select("a", "b").join(seen.select("a", "b"), ["a", "b"], "left_anti"), "op3-new")
+        if not new.isEmpty():
+            seen = seen.unionByName(_linked(new, classes, rows, percent, words, "op3-rest"))
+            roots = components(seen.where("ok").select("a", "b"), "op3-roots")
+        if found.where("more").isEmpty():
+            break
+        most *= MORE_NEAREST
 
     grouped = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     heads = grouped.groupBy("root").agg(F.min("first").alias("head"))
@@ -240,9 +351,9 @@ def join_report(docs: DataFrame) -> DataFrame:
                                           F.col("component").alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
+def keep_representatives(docs: DataFrame, percent: int = MIN_PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs`` that represent their component, with their own columns."""
-    gone = stored(similarity_groups(docs, percent).where(~F.col("kept")).select("key", "hash").distinct(), "op3-gone")
+    gone = stored(similarity_groups(docs, percent, words=words).where(~F.col("kept")).select("key", "hash").distinct(), "op3-gone")
     mark = spare_name(docs, "text_hash")
     hashed = docs.withColumn(mark, F.xxhash64("text"))
     return hashed.join(gone, hashed["doc_id"].eqNullSafe(gone["key"]) & (hashed[mark] == gone["hash"]),

@@ -30,10 +30,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: one document of each group of linked texts stays (the smallest doc_id)."""
+    """Operator 3: one document of each group of linked texts stays (the smallest doc_id).
+
+    Near duplicates share 80 % of their shingles of five words.  Null texts and texts
+    without words link with nothing and stay; null ids come after all others; an empty table and
+    columns of any name pass through."""
     from carelake.llm.ngram_join import keep_representatives
 
-    return keep_representatives(docs)
+    return keep_representatives(docs, percent=80, words=5)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

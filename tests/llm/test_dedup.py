@@ -42,17 +42,17 @@ def test_exact_stays_right_when_the_filter_is_full(spark, monkeypatch):
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == Counter(_exact(rows)[0])
 
 
-def _sets(rows):
+def _sets(rows, n=3):
     out = []
     for _, t, *_ in rows:
         w = words((t or "").translate(LOWER))
-        out.append(frozenset(tuple(w[i:i + 3]) for i in range(len(w) - 2)) if len(w) > 2
+        out.append(frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) if len(w) >= n
                    else frozenset([tuple(w)] if w else []))
     return out
 
 
-def _components(rows, percent=90):
-    sets, root = _sets(rows), list(range(len(rows)))
+def _components(rows, percent=90, n=3):
+    sets, root = _sets(rows, n), list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
@@ -77,15 +77,59 @@ def test_join_components(spark, rows):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == _components(rows)[0]
 
 
-def test_one_document_of_each_component_stays(spark):
-    rows = similar_copies()
+def _around_an_original(copies=150, length=60):
+    """Copies of one text, some beyond the limit from it but near each other, and far ones that share its parts."""
+    import random
+
+    from .cases import prose
+
+    rng = random.Random(21)
+    base = prose(rng, length, 10 ** 6).split(" ")
+    rows = [(0, " ".join(base), "en", "s")]
+    for i in range(1, copies):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 8])):
+            own[rng.randrange(length)] = f"z{rng.randrange(40)}"
+        rows.append((i, " ".join(own), "en", "s"))
+    return rows
+
+
+@pytest.mark.parametrize("percent, n", [(90, 3), (80, 5)])
+@pytest.mark.parametrize("rows", [similar_copies(), _around_an_original()], ids=["near", "star"])
+def test_one_document_of_each_component_stays(spark, rows, percent, n):
     docs = table(spark, rows)
-    kept = ngram_join.keep_representatives(docs)
+    kept = ngram_join.keep_representatives(docs, percent, n)
     assert kept.columns == docs.columns
-    want = {c for _, _, c in _components(rows)[0]}
+    want = {c for _, _, c in _components(rows, percent, n)[0]}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_sets_that_share_a_name_are_told_apart(spark):
+    rows = similar_copies()
+    got = ngram_join.similarity_groups(table(spark, rows), node_bits=3)
+    assert Counter((r.key, r.n_shingles, r.component) for r in got.collect()) == _components(rows)[0]
+
+
+def test_nearest_candidates_of_blocks():
+    rng = np.random.default_rng(8)
+    group, side = np.repeat([0, 1, 2], [40, 1, 30]), np.repeat([0, 0, 0, 1], [40, 1, 14, 16])
+    root = rng.integers(0, 9, 71)
+    size, cells = rng.integers(30, 34, 71), rng.integers(0, 4, (71, ngram_join.SKETCH_LONGS))
+    wanted = [(i, j, apart) for i in range(71) for j in range(i + 1, 71)
+              if group[i] == group[j] and root[i] != root[j] and (group[i] < 2 or side[i] != side[j])
+              and 100 * min(size[i], size[j]) >= 80 * max(size[i], size[j])
+              and 180 * (apart := int(np.bitwise_count(cells[i] ^ cells[j]).sum())) <= 20 * (size[i] + size[j])]
+    i, j, more = ngram_join.nearest(group, np.arange(71), root, size, side, cells, 80, 100)
+    assert {*zip(i.tolist(), j.tolist())} == {w[:2] for w in wanted} and not more.any()
+    i, j, more = ngram_join.nearest(group, np.arange(71), root, size, side, cells, 80, 2)
+    some = {*zip(i.tolist(), j.tolist())}
+    for r in range(71):
+        own = sorted(w[2] for w in wanted if r in w[:2])
+        assert more[r] == (len(own) > 2)
+        got = sorted(w[2] for w in wanted if r in w[:2] and w[:2] in some)
+        assert got[:2] == own[:2]
+
+
 def test_linked_sets_share_a_signature():
     """PartEnum's promise, over random pairs right at the limit, at many sizes."""
     rng = np.random.default_rng(5)

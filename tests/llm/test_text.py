@@ -217,7 +217,7 @@ def test_pipeline(spark):
         key = (r[1] or "").translate({c: c + 32 for c in range(65, 91)})
         last[key] = max(r, last.get(key, r), key=lambda x: x[0])
     left = list(last.values())
-    heads = {c for _, _, c in _components(left)[0]}
+    heads = {c for _, _, c in _components(left, 80, 5)[0]}
     left = [r for r in left if r[0] in heads]
     steps = [good, list(last.values()), left]
     now = docs
