@@ -228,6 +228,26 @@ def nearest(group: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndar
     return held[0][0], held[0][1], more
 
 
+def _shared(batches):
+    """Of rows (sign, node) sorted by both, the distinct ones whose sign has several nodes.  One row is held back."""
+    held, held_known = np.zeros((2, 0), np.int64), False
+    for batch in batches:
+        both = np.concatenate([held, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])], axis=1)
+        known = np.zeros(both.shape[1], bool)  # the row before has the same sign
+        known[:held.shape[1]] = held_known
+        new = np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(axis=0)])
+        both, known = both[:, new], known[new]
+        same = both[0, 1:] == both[0, :-1]
+        known[1:] |= same
+        keep = known.copy()
+        keep[:-1] |= same
+        done = both[:, :-1][:, keep[:-1]]
+        held, held_known = both[:, -1:], bool(known[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(done[0]), pa.array(done[1])], ["sign", "node"])
+    if held_known:
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["sign", "node"])
+
+
 OPEN = ["sign", "part", "node", "root", "n", "side"] + [f"p{i}" for i in range(SKETCH_LONGS)]
 
 
@@ -292,11 +312,10 @@ def similarity_groups(docs: DataFrame, percent: int = MIN_PERCENT, key: str = "d
             "node", F.when(F.col("twin").isNull(), F.col("node")).otherwise(F.xxhash64("node", "other"))).drop("twin"),
             "op3-renamed")
         classes = classed(signed)
-    signs = signed.where("n_shingles > 0").select("node", F.explode("signs").alias("sign"))
-    shared = signs.groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    # Signatures are many more than their table's file size suggests: never broadcast them.
-    members = stored(signs.hint("merge").join(shared.select("sign").hint("merge"), "sign", "left_semi").distinct(),
-                     "op3-members")
+    signs = signed.where("n_shingles > 0").select(F.explode("signs").alias("sign"), "node")
+    # One shuffle of all signatures: neighbours in sorted order tell which ones are shared.
+    members = stored(signs.repartition("sign").sortWithinPartitions("sign", "node")
+                     .mapInArrow(_shared, "sign bigint, node bigint"), "op3-members")
     # Hubs: a class meets as many others as its buckets hold; a bucket's hub is its busiest class.
     filled = members.groupBy("sign").agg(F.count("*").alias("many"))
     met = members.hint("merge").join(filled.hint("merge"), "sign").groupBy("node").agg(F.sum("many").alias("met"))

@@ -110,6 +110,18 @@ def test_sets_that_share_a_name_are_told_apart(spark):
     assert Counter((r.key, r.n_shingles, r.component) for r in got.collect()) == _components(rows)[0]
 
 
+@pytest.mark.parametrize("cut", [1, 2, 7, 1000])
+def test_shared_signatures_across_batches(cut):
+    rows = sorted(np.random.default_rng(cut).integers(0, 12, (200, 2)).tolist() + [[50, 1], [50, 1], [51, 2], [52, 3]])
+    batches = [ngram_join.pa.RecordBatch.from_arrays(
+        [ngram_join.pa.array(x) for x in zip(*rows[i:i + cut])], ["sign", "node"]) for i in range(0, len(rows), cut)]
+    got = [(r["sign"], r["node"]) for b in ngram_join._shared(iter(batches)) for r in b.to_pylist()]
+    nodes = defaultdict(set)
+    for sign, node in rows:
+        nodes[sign].add(node)
+    assert got == sorted((s, n) for s, x in nodes.items() if len(x) > 1 for n in x)
+
+
 def test_nearest_candidates_of_blocks():
     rng = np.random.default_rng(8)
     group, side = np.repeat([0, 1, 2], [40, 1, 30]), np.repeat([0, 0, 0, 1], [40, 1, 14, 16])
