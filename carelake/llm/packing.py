@@ -158,11 +158,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return ranges
 
 
-def _pieces(path: str, cut: str, ranks: str | None, end_id: int, capacity: int):
+def _pieces(path: str, cut: str, end_id: int, capacity: int):
     def run(texts: pa.Array) -> pa.Array:
         end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
         start, ids, at = [], [], [0]
-        for own in encode(texts, path, cut, ranks):
+        for own in encode(texts, path, cut):
             own += end
             head = len(own) % width or width
             cuts = [0, *range(head, len(own) + 1, width)]
@@ -175,7 +175,7 @@ def _pieces(path: str, cut: str, ranks: str | None, end_id: int, capacity: int):
     return text_udf(run, "array<struct<start: bigint, ids: binary>>", keeps=True)
 
 
-def token_pieces(docs: DataFrame, path: str, cut: str = "keeps_space", ranks: str | None = None, end_id: int = 0,
+def token_pieces(docs: DataFrame, path: str, cut: str = "keeps_space", end_id: int = 0,
                  capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A stored table of the pieces of every document: key, piece, start, length,
     ids (packed little-endian unsigned 32-bit) and the task that made them.
@@ -183,7 +183,7 @@ def token_pieces(docs: DataFrame, path: str, cut: str = "keeps_space", ranks: st
     A null text counts as empty and gives one piece with the end id; every row of
     ``docs`` is packed, also rows that repeat or have a null key.  Other columns
     are not read."""
-    cut_up = docs.select(F.col(key).alias("key"), _pieces(path, cut, ranks, end_id, capacity)(F.col(text)).alias("own"))
+    cut_up = docs.select(F.col(key).alias("key"), _pieces(path, cut, end_id, capacity)(F.col(text)).alias("own"))
     rows = cut_up.select("key", F.posexplode("own").alias("piece", "own"))
     return stored(rows.select("key", "piece", "own.start", (F.octet_length("own.ids") / 4).cast("bigint").alias("length"),
                               "own.ids", F.spark_partition_id().alias("task"),
@@ -220,7 +220,7 @@ def sequences(placed: DataFrame) -> DataFrame:
 
 def packing_report(docs: DataFrame) -> DataFrame:
     """Contract of op1: one row per piece with its ids' checksum and its place."""
-    pieces = token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), ranks=tokenizer_path("byte_bpe_50k.tiktoken"))
+    pieces = token_pieces(docs, tokenizer_path("byte_bpe_50k.json"))
     narrow = pieces.select("key", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "task", "row")
     return place(narrow).select(F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id",
                                 "offset")

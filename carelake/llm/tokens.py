@@ -5,15 +5,12 @@ texts are cut only where the tokenizer itself always cuts, so the ids of the
 parts in order are the ids of the text, and parts seen before come from a cache
 of at most ``CACHE_PARTS`` entries.
 
-Where the same vocabulary is also given as ranks, tiktoken gives the same ids at
-a fifth of the time.  It is used for texts of ``PLAIN`` characters, whose classes
-(letter, number, white space) both libraries' patterns agree on; any other text
-goes to the tokenizers library.
+A text that holds one of the tokenizer's special strings goes to the library whole,
+which gives such a string its own id, as ``Tokenizer.encode`` does by default.
 """
 
 from __future__ import annotations
 
-import base64
 import os
 import re
 from itertools import chain
@@ -33,14 +30,15 @@ CUTS = {"keeps_space": r"(?= \S)", "drops_space": r"[ \t\n\r]+"}
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, special strings as ordinary text."""
+    """Encodes texts to little-endian unsigned 32-bit ids, those of ``Tokenizer.encode`` without added tokens."""
 
     def __init__(self, path: str, cut: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or r"(?!)").search
         self.split = re.compile(CUTS[cut]).split
         self.known: dict[str, bytes] = {}
 
@@ -69,38 +67,17 @@ class Encoder:
                     if None in ids:
                         ids[:] = [self.known[p] if x is None else x for p, x in zip(parts, ids)]
             out += map(b"".join, found)
+        for i, x in enumerate(texts):
+            if self.special(x):
+                out[i] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
-PLAIN = r"[\t\n\r -~\u00a1-\u024f]*"
-
-
-class RankEncoder:
-    """Encodes with tiktoken over a rank file of the vocabulary of ``other``."""
-
-    def __init__(self, ranks: str, path: str, cut: str):
-        import tiktoken
-        from public_tokenizers import PATTERN
-
-        with open(ranks, "rb") as lines:
-            own = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.ids = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=own, special_tokens={}).encode_to_numpy
-        self.plain, self.other = re.compile(PLAIN).fullmatch, (path, cut)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.ids(x, disallowed_special=()).astype("<u4").tobytes() if self.plain(x)
-                else _encoder(*self.other).encode([x])[0] for x in texts]
-
-
-def _encoder(path: str, cut: str, ranks: str | None = None) -> Encoder | RankEncoder:
-    if (path, cut, ranks) not in kept_in_worker:
-        kept_in_worker[path, cut, ranks] = RankEncoder(ranks, path, cut) if ranks else Encoder(path, cut)
-    return kept_in_worker[path, cut, ranks]
-
-
-def encode(texts: pa.Array, path: str, cut: str, ranks: str | None = None) -> list[bytes]:
+def encode(texts: pa.Array, path: str, cut: str) -> list[bytes]:
     """Packed ids of every text; one encoder and cache per Python worker."""
-    return _encoder(path, cut, ranks).encode(texts.to_pylist())
+    if (path, cut) not in kept_in_worker:
+        kept_in_worker[path, cut] = Encoder(path, cut)
+    return kept_in_worker[path, cut].encode(texts.to_pylist())
 
 
 def tokenizer_path(name: str) -> str:

@@ -8,29 +8,30 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from tokenizers import Tokenizer
 
 from carelake.llm import packing, tokenfile
-from carelake.llm.tokens import Encoder, encode, tokenizer_path
+from carelake.llm.tokens import encode, tokenizer_path
 
 from .cases import odd_rows, table
 
-BYTE, RANKS, WORD = (tokenizer_path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
+BYTE, WORD = (tokenizer_path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ODD = ["", "<|endoftext|> a<|startoftext|>", "  two  spaces \n\n x\t", "漢字 is", "naïve café’s", "don't I'LL we've 12a3",
-       "\x1c\x85 z", "a" * 5000, " " * 300 + "b", "\xa0nb\xa0sp", "\n \n", " lead", "trail ", "x́ é", "ΑΣ ς", "…​!"]
+       "\x1c\x85 z", "a" * 5000, " " * 300 + "b", "\xa0nb\xa0sp", "\n \n", " lead", "trail ", "x́ é", "ΑΣ ς", "…​!",
+       "hello <|endoftext|> x", "a  <|endoftext|>  <|startoftext|>b", "<|endoftext|>" * 3, "A<|ENDOFTEXT|> <|endoftext |>"]
 
 
 def _ids(path, text):
-    t = Encoder(path, "drops_space").tokenizer
+    t = Tokenizer.from_file(path)
     return np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4")
 
 
-@pytest.mark.parametrize("path,cut,ranks", [(BYTE, "keeps_space", None), (BYTE, "keeps_space", RANKS),
-                                            (WORD, "drops_space", None)])
-def test_ids_are_the_librarys(spark, path, cut, ranks):
+@pytest.mark.parametrize("path,cut", [(BYTE, "keeps_space"), (WORD, "drops_space")])
+def test_ids_are_the_librarys(spark, path, cut):
     texts = ODD + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    t = Encoder(path, cut).tokenizer
+    t = Tokenizer.from_file(path)
     want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
-    assert encode(pa.array(texts), path, cut, ranks) == want
+    assert encode(pa.array(texts), path, cut) == want
 
 
 def _fill(ranges, capacity):
@@ -57,7 +58,7 @@ def test_plan_places_every_piece_once_and_tightly():
         placed, bins = _fill(packing.plan(counts), 2048)
         assert placed == Counter(counts)
         least = -(-sum(x * n for x, n in counts.items()) // 2048)
-        assert bins <= 1.25 * least + 2
+        assert bins <= 1.1 * least + 2
     lengths = np.clip(rng.lognormal(6.5, 0.9, 30000).astype(int), 1, 2048)
     counts = dict(Counter(lengths.tolist()))
     assert _fill(packing.plan(counts), 2048)[1] <= 1.01 * lengths.sum() / 2048 + 1
@@ -65,7 +66,7 @@ def test_plan_places_every_piece_once_and_tightly():
 
 def test_packing(spark):
     rows = odd_rows()
-    pieces = packing.token_pieces(table(spark, rows), BYTE, ranks=RANKS)
+    pieces = packing.token_pieces(table(spark, rows), BYTE)
     placed = packing.place(pieces).cache()
     got = placed.collect()
     want = Counter()
