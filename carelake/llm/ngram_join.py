@@ -120,7 +120,33 @@ def _sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view("<i8")
 
 
-SET_SCHEMA = ("struct<n_shingles: bigint, node: bigint, other: bigint, signs: array<bigint>, "
+def _wide_sketch(elements: np.ndarray, percent: int) -> bytes:
+    """Parities in four cells or more for each element in which a linked set may differ: as tight for long sets."""
+    most = max(16, max_difference(len(elements) + len(elements) * 100 // percent, percent))
+    cells = 1 << (4 * most - 1).bit_length()
+    odd = np.bincount((mix(elements + U64(1)) & U64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _may_link(percent: int):
+    """Whether sizes and wide sketches allow a link: sets differ in at least as many elements as cells."""
+
+    def run(left: pa.Array, n_left: pa.Array, right: pa.Array, n_right: pa.Array) -> pa.Array:
+        out = []
+        for x, n, y, m in zip(*(c.to_pylist() for c in (left, n_left, right, n_right))):
+            ok = 100 * min(n, m) >= percent * max(n, m)
+            if ok:
+                x, y = sorted((np.frombuffer(z, np.uint8) for z in (x, y)), key=len)
+                y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)  # cells are the low bits: halves fold
+                ok = (100 + percent) * int(np.bitwise_count(x ^ y).sum()) <= (100 - percent) * (n + m)
+            out.append(ok)
+        return pa.array(out, pa.bool_())
+
+    run.__annotations__ = dict.fromkeys(("left", "n_left", "right", "n_right", "return"), pa.Array)
+    return F.arrow_udf(run, "boolean")
+
+
+SET_SCHEMA = ("struct<n_shingles: bigint, node: bigint, other: bigint, wide: binary, signs: array<bigint>, "
               + ", ".join(f"p{i}: bigint" for i in range(SKETCH_LONGS)) + ">")
 
 
@@ -136,9 +162,10 @@ def _signed(percent: int, words: int, node_bits: int):
         flat = np.concatenate([*signs, np.zeros(0, U64)]).view(np.int64)
         cells = np.array([_sketch(s) for s in sets], np.int64).reshape(-1, SKETCH_LONGS)
         columns = [pa.array(sizes), pa.array(names[:, 0].view(np.int64), mask=sizes == 0),
-                   pa.array(mix(sums[:, 1]).view(np.int64)), pa.ListArray.from_arrays(at, pa.array(flat)),
+                   pa.array(mix(sums[:, 1]).view(np.int64)), pa.array([_wide_sketch(s, percent) for s in sets], pa.binary()),
+                   pa.ListArray.from_arrays(at, pa.array(flat)),
                    *(pa.array(np.ascontiguousarray(cells[:, i])) for i in range(SKETCH_LONGS))]
-        return pa.StructArray.from_arrays(columns, ["n_shingles", "node", "other", "signs"]
+        return pa.StructArray.from_arrays(columns, ["n_shingles", "node", "other", "wide", "signs"]
                                           + [f"p{i}" for i in range(SKETCH_LONGS)])
 
     return text_udf(run, SET_SCHEMA)
@@ -168,7 +195,14 @@ def similar(a: Column, b: Column, percent: int, words: int = SHINGLE_WORDS) -> C
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int, label: str) -> DataFrame:
-    """The pairs (a, b) of classes that link, checked on the texts of their first documents."""
+    """The pairs (a, b) of classes with ``ok``, whether they link: checked on the texts of their first documents,
+    which only the pairs meet that wide sketches allow."""
+    ends = [classes.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}"), F.col("n").alias(f"n_{x}"))
+            .hint("merge") for x in "ab"]
+    tried = stored(pairs.join(ends[0], "a").join(ends[1], "b").select(
+        "a", "b", _may_link(percent)(F.col("wide_a"), F.col("n_a"), F.col("wide_b"), F.col("n_b")).alias("may")),
+        f"{label}-tried")
+    pairs = tried.where("may").select("a", "b")
     wanted = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
                     .join(classes.select(F.col("node").alias("a"), "first.*"), "a")
                     .withColumnRenamed("a", "node"), f"{label}-wanted")
@@ -177,7 +211,8 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
     texts = texts.groupBy("node").agg(F.first("text").alias("text")).hint("merge")
     checked = (pairs.join(texts.withColumnRenamed("node", "b").withColumnRenamed("text", "text_b"), "b")
                .join(texts.withColumnRenamed("node", "a").withColumnRenamed("text", "text_a"), "a"))
-    return stored(checked.select("a", "b", similar(F.col("text_a"), F.col("text_b"), percent, words).alias("ok")), label)
+    checked = stored(checked.select("a", "b", similar(F.col("text_a"), F.col("text_b"), percent, words).alias("ok")), label)
+    return checked.unionByName(tried.where("not may").select("a", "b", F.col("may").alias("ok")))
 
 
 def nearest(group: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, side: np.ndarray,
@@ -303,7 +338,7 @@ def similarity_groups(docs: DataFrame, percent: int = MIN_PERCENT, key: str = "d
     def classed(of: DataFrame) -> DataFrame:
         return stored(of.where("n_shingles > 0").groupBy("node").agg(
             F.min(order).alias("first"), F.first("n_shingles").alias("n"), F.min("other").alias("low"),
-            F.max("other").alias("high"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(SKETCH_LONGS)]), "op3-classes")
+            F.max("other").alias("high"), F.first("wide").alias("wide"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(SKETCH_LONGS)]), "op3-classes")
 
     classes = classed(signed)
     twins = classes.where("low <> high").select(F.col("node").alias("twin"))

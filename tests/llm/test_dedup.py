@@ -110,6 +110,25 @@ def test_sets_that_share_a_name_are_told_apart(spark):
     assert Counter((r.key, r.n_shingles, r.component) for r in got.collect()) == _components(rows)[0]
 
 
+def test_wide_sketches_allow_every_link():
+    rng = np.random.default_rng(10)
+    pa, u64 = ngram_join.pa, np.uint64
+    for size in (3, 40, 150, 700, 5000):
+        for percent in (80, 90):
+            ok, a = [], np.unique(rng.integers(0, 1 << 63, size, dtype=u64))
+            for far in (0, 1, 2, 4):  # multiples of the largest difference
+                most = far * ngram_join.max_difference(2 * size, percent) // 2
+                b = np.unique(np.concatenate([a[most:], rng.integers(0, 1 << 63, most, dtype=u64)]))
+                wide = [pa.array([ngram_join._wide_sketch(x, percent)]) for x in (a, b)]
+                n = [pa.array([len(a)]), pa.array([len(b)])]
+                may = ngram_join._may_link(percent).func(wide[0], n[0], wide[1], n[1])[0].as_py()
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    assert may
+                ok.append(may)
+            assert size < 700 or not ok[3]
+
+
 @pytest.mark.parametrize("cut", [1, 2, 7, 1000])
 def test_shared_signatures_across_batches(cut):
     rows = sorted(np.random.default_rng(cut).integers(0, 12, (200, 2)).tolist() + [[50, 1], [50, 1], [51, 2], [52, 3]])
