@@ -262,6 +262,7 @@ SELECT id AS request_id, id AS appointment_id, why IS NULL AS accepted, why AS r
 WITH {cancelled}
 SELECT id, patient_email, new_status AS status, new_notes AS notes FROM can""", "appointments", "users")
     ev = changes_cte()
+    q["stored_cancellations"] = f"SELECT id, status, notes FROM ({q['status_updates']}) AS s"
     q["record_changes"] = with_views(
         f"WITH {ev} SELECT patient_email, event_id, prev_id, changed_at, "
         "array_to_string(list_transform(ch, lambda c: c.field), ', ') AS changed_fields, "

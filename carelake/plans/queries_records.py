@@ -9,8 +9,10 @@ from ..operators import accounts as AC
 from ..operators import analytics as AN
 from ..operators import records as RC
 from ..operators import scoring as SC
+from ..operators.stored_table import BucketedTable
 from ..sources import views as VW
 from ..streaming import rate_limit as RL
+from ..streaming.sources import scratch_path
 from .queries import _j, reference_table
 
 AS_OF = VW.AS_OF
@@ -122,6 +124,17 @@ def q_status_updates(spark, sf):
     return RC.update_status(VW.appointments(spark, sf), done).select("id", "patient_email", "status", "notes")
 
 
+def q_stored_cancellations(spark, sf):
+    """J11 applied: the stored appointments, changed in the buckets of the accepted cancellations, read back."""
+    a = VW.appointments(spark, sf)
+    table = BucketedTable(spark, scratch_path(spark, "appointments"), "id", a.schema).create(a)
+    done = q_cancel_admission(spark, sf).filter("accepted").select(
+        F.col("appointment_id").alias("id"), "status", "notes", F.col("request_id").alias("update_id"))
+    table.apply(done, RC.update_status)
+    return table.read().select("id", "status", "notes")
+
+
+
 def _events(spark, sf):
     return RC.record_changes(VW.submissions(spark, sf))
 
@@ -402,6 +415,7 @@ def registry_records():
         "booking_admission": q_booking_admission,
         "cancel_admission": q_cancel_admission,
         "status_updates": q_status_updates,
+        "stored_cancellations": q_stored_cancellations,
         "history_topn": q_history_topn,
         "record_changes": q_record_changes,
         "changes_exploded": q_changes_exploded,

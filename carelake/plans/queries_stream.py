@@ -22,11 +22,7 @@ def q_stream_rate_limit(spark, sf):
 
 def q_stream_latest_details(spark, sf):
     subs = VW.submissions_from(table_feed(spark, sf, "events", "ts"))
-    out = run_to_table(spark, SR.latest_details_stream(subs), output_mode="update")
-    # update mode may emit a key more than once across epochs: keep the last version
-    from ..operators.records import latest_per_key
-
-    return latest_per_key(out, "email", ["submitted_at", "id"], ["id", "submitted_at", "payload_json"])
+    return SR.run_latest_details(subs)[0].drop("epoch")
 
 
 def q_stream_audit_events(spark, sf):

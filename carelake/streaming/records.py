@@ -1,7 +1,7 @@
 """The submission feed as Structured Streaming jobs.
 
-T2 latest details: a streaming ``max_by`` aggregation keyed by email (state =
-one row per patient).  T3 audit events: a stateful step that pairs each
+T2 latest details: micro-batches merged into a bucketed table with one row per
+patient, submissions older than the stored one in a late sink.  T3 audit events: a stateful step that pairs each
 submission with the previous document of the same patient (state = last
 document), followed by the same diff expression as the batch twin.  T4
 continuous scoring: stateless rules plus stream-static joins to the reference
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..operators import records as RC
 from ..operators import scoring as SC
+from ..operators.stored_table import BucketedTable
+from .sources import scratch_path
 
 PAIR_SCHEMA = ("email STRING, id BIGINT, submitted_at TIMESTAMP, payload_json STRING, prev_id BIGINT, "
                "prev_json STRING, late BOOLEAN")
@@ -22,7 +24,7 @@ LAST_DOC_SCHEMA = "last_id BIGINT, last_ts TIMESTAMP, last_json STRING"
 
 
 def latest_details_stream(subs: DataFrame) -> DataFrame:
-    """Latest submission per email (update mode)."""
+    """T2 as a plain streaming aggregation: latest submission per email (update mode)."""
     s = subs.withColumn("email", RC.email_key("email")).filter(F.col("email") != "")
     return s.groupBy("email").agg(F.max_by(F.struct("id", "submitted_at", "payload_json"),
                                            F.struct("submitted_at", "id")).alias("b")).select(
@@ -30,6 +32,49 @@ def latest_details_stream(subs: DataFrame) -> DataFrame:
         F.col("b.payload_json").alias("payload_json"))
 
 
+LATEST_SCHEMA = "email string, id bigint, submitted_at timestamp, payload_json string, epoch bigint"
+LATEST_BUCKETS = 32
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """One row per email: the latest submission, ties by the larger id."""
+    cols = ("id", "submitted_at", "payload_json", "epoch")
+    return rows.groupBy("email").agg(F.max_by(F.struct(*cols), F.struct("submitted_at", "id")).alias("b")).select(
+        "email", *[F.col(f"b.{c}").alias(c) for c in cols])
+
+
+def merge_latest(table: BucketedTable, late_path: str, batch: DataFrame, epoch: int) -> None:
+    """One micro-batch of T2: submissions older than the stored one go to the late sink under their
+    epoch, the others replace it where they are newer.  A row keeps the epoch that wrote it.  Late rows
+    are written before the table changes, so a retried epoch that finds rows of its own has written them all; it
+    finds its submissions stored and changes nothing."""
+    rows = batch.withColumn("email", RC.email_key("email")).filter(F.col("email") != "").select(
+        "email", "id", "submitted_at", "payload_json").withColumn("epoch", F.lit(epoch).cast("bigint")).checkpoint(eager=True)
+    stored = table.read()
+    if stored.filter(F.col("epoch") == epoch).isEmpty():
+        known = stored.select(F.col("email").alias("__e"), F.struct("submitted_at", "id").alias("__at"))
+        older = rows.join(known, F.col("email") == F.col("__e")).filter(F.struct("submitted_at", "id") < F.col("__at"))
+        older.select("email", "id", "submitted_at", "payload_json").write.mode("overwrite").parquet(
+            f"{late_path}/epoch={epoch}")
+    # rows already stored are taken from the table, so that a retry does not claim them
+    table.apply(_newest(rows), lambda now, new: _newest(now.unionByName(new.join(
+        now.select("email", "id", "submitted_at"), ["email", "id", "submitted_at"], "left_anti"))))
+
+
+def run_latest_details(subs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """T2 over all available input: the current table (one row per email) and the late submissions."""
+    spark = subs.sparkSession
+    table = BucketedTable(spark, scratch_path(spark, "stream-latest"), "email", LATEST_SCHEMA, LATEST_BUCKETS)
+    late = scratch_path(spark, "stream-late")
+    query = (subs.writeStream.foreachBatch(lambda batch, epoch: merge_latest(table, late, batch, epoch))
+             .option("checkpointLocation", scratch_path(spark, "stream-ckpt")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    if query.lastProgress is None:  # an empty feed has no micro-batch
+        return table.read(), table.read().drop("epoch")
+    return table.read(), spark.read.schema("email string, id bigint, submitted_at timestamp, payload_json string").parquet(
+        f"{late}/epoch=*")
+
+
 def _pair_fn(key, pdfs, state):
     import pandas as pd
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,18 +22,31 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = M
             .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
 
 
-def table_feed(spark: SparkSession, sf_dir: str, name: str, time_col: str, slices: int = 4) -> DataFrame:
-    """A driver table as it would arrive: equal time slices appended one after the
-    other to a feed folder, and streamed in micro-batches of one slice or less."""
+FEED_ROWS = 250_000  # most rows of one file of a feed
+LEAST_FILES, MANY_FILES = 4, 8
+
+
+def table_feed(spark: SparkSession, sf_dir: str, name: str, time_col: str, id_col: str = "event_id") -> DataFrame:
+    """A driver table as it would arrive: bounded files in order of time, then id, streamed in micro-batches.
+
+    All tasks write the feed together, cut by range, so files and micro-batches
+    grow in number with the table, not in size.  The file source takes files by
+    their modification time, which is set to their order here (file metadata only).
+    """
     rows = spark.read.parquet(table_path(sf_dir, name))
-    at = F.unix_micros(F.col(time_col).cast("timestamp"))
-    low, high = rows.agg(F.min(at), F.max(at)).first()
+    files = max(LEAST_FILES, -(-rows.count() // FEED_ROWS))
     feed = scratch_path(spark, "stream-feed")
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // slices))
-    for k in range(slices):
-        own = F.coalesce(F.floor((at - (low or 0)) / width), F.lit(0)) == k
-        rows.filter(own).coalesce(1).write.mode("append").parquet(feed)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    (rows.repartitionByRange(files, time_col, id_col).sortWithinPartitions(time_col, id_col).write
+     .option("maxRecordsPerFile", FEED_ROWS).parquet(feed))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(feed)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    own = sorted((s for s in fs.listStatus(path) if s.getPath().getName().endswith(".parquet")),
+                 key=lambda s: s.getPath().getName())
+    begin = int(time.time()) * 1000 - 1000 * len(own)
+    for i, status in enumerate(own):
+        fs.setTimes(status.getPath(), begin + 1000 * i, -1)
+    at_once = 1 if len(own) <= MANY_FILES else MANY_FILES
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(feed)
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
