@@ -15,7 +15,10 @@ from carelake.session import apply_defaults
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents that the repetition rules reject go."""
+    """Operator 10: documents that the repetition rules reject go.
+
+    Null and empty texts have no words and go; every row is judged by itself, so repeated rows
+    share one fate; texts of any length are read whole; columns of any name pass through."""
     from carelake.llm.quality import keep_quality
 
     apply_defaults(spark)  # the first stage; the settings stay with the session
@@ -23,7 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of equal texts the row with the largest doc_id stays."""
+    """Operator 4: of equal texts the row with the largest doc_id stays.
+
+    Null equals empty; null ids come last; of rows equal in id and text one stays; an empty
+    table and columns of any name pass through."""
     from carelake.llm.exact import drop_duplicates
 
     return drop_duplicates(docs)
@@ -41,14 +47,20 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: the sources meet their target weights; a document drawn twice is there twice."""
+    """Operator 7: the sources meet their target weights; a document drawn twice is there twice.
+
+    A null source is a source of its own, the last one; documents without words take no part in the
+    targets; an empty table gives an empty table, columns of any name pass through."""
     from carelake.llm.mixing import draw_documents
 
     return draw_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: every document of the mix in sequences of at most 2048 tokens."""
+    """Operator 1: every document of the mix in sequences of at most 2048 tokens.
+
+    A null text is empty and is one end token; longer documents are cut into pieces; repeated rows are
+    packed each; an empty table gives no piece."""
     from carelake.llm.packing import packing_report
 
     return packing_report(docs)
