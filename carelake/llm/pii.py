@@ -36,7 +36,8 @@ EMAIL = r"(?<![\p{L}\p{N}_.+%-])[\p{L}\p{N}_.+%-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 MARK = "\ufdd0\ufdd1\ufdd0"  # noncharacters: no card starts behind it; only inside this module
-CARD = rf"(?<![\d-])(?<!{MARK})\d(?:[ -]?\d){{12,18}}(?!\d)"
+OWN, SAFE = "\ufdd0", "\ufdd0\ufdd2"  # the caller's own U+FDD0 meanwhile
+CARD = rf"(?<![\d-])(?<!\d\.)(?<!{MARK})\d(?:[ -]?\d){{12,18}}(?!\d)"
 CARD_FORM = r"\d(?:[ -]?\d){12,18}"
 USUAL_CARD = r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}"
 PHONE = (r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
@@ -45,6 +46,9 @@ PARTICLES = r"(?:de|del|della|der|den|di|da|do|dos|du|la|las|le|los|van|von|vom|
 _WORD = r"(?:(?:\p{Lu}\.[ -]?)*\p{Lu}[\p{L}'-]+|\p{Lu}(?= \p{Lu})|(?:\p{Lu}\.-?)+)"
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? (?:{PARTICLES})*+{_WORD}(?: (?:{PARTICLES})*+{_WORD})*"
 ENTITY = "|".join([EMAIL, IP, SSN, CARD, PHONE, NAME])
+RUN_END = r"(?:[ -]?\d)*+"
+REGION = "|".join([EMAIL, IP, SSN, CARD + RUN_END, PHONE, NAME])  # a card's match with the rest of its run of digits
+WALK = 512  # tokens of a run that are walked with one list
 # What every entity has: an @, a digit, or a word that may be a title before a capital.
 HINT = rf"[@0-9]|[{''.join(sorted({t[0] for t in MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES}))}]\p{{L}}{{1,8}}\.? (?:{PARTICLES})*\p{{Lu}}"
 
@@ -83,6 +87,89 @@ def kind_of(entity: Column) -> Column:
             .when(whole(NAME), "name").when(whole(CARD), F.when(is_card(entity), F.lit("card"))).when(whole(PHONE), "phone"))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: as the only element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _usual(e: Column) -> Column:
+    return e.rlike(rf"^(?:{USUAL_CARD})$")
+
+
+def _n_tokens(e: Column) -> Column:
+    return F.size(F.split(e, " "))
+
+
+def _outcomes(token: Column, ahead: Column) -> Column:
+    """What a scan that arrives at ``token`` does, ``fresh`` and ``late`` (behind a failed start).
+
+    ``ahead`` is the text from the token on.  ``n`` tokens are used up, ``mark`` is the place of a MARK
+    in the last of them (-1: none), ``open`` tells whether a failed start is open behind them."""
+    phone = token.rlike(r"^\d{3}-\d{3}-\d{4}$")
+
+    def used(n: Column, mark: Column, open_: Column) -> Column:
+        return F.struct(n.cast("int").alias("n"), mark.cast("int").alias("mark"), open_.alias("open"))
+
+    def judged(c: Column) -> Column:
+        ends = [F.regexp_extract(c, rf"^(\d(?:[ -]?\d){{{n - 1}}})[ -]", 1) for n in range(18, 12, -1)]
+        return F.struct(c.alias("card"), is_card(c).alias("ok"), _usual(c).alias("usual"),
+                        F.filter(F.array(*ends), lambda p: (p != "") & is_card(p)).alias("shorter"))
+
+    def outcome(own: Column, late: bool) -> Column:
+        strict = F.lit(late) | phone  # only cards of a usual grouping
+        short = F.get(F.when(strict, F.filter(own["shorter"], _usual)).otherwise(own["shorter"]), F.lit(0))
+        cut = _bound(short, lambda e: used(_n_tokens(e), F.length(F.element_at(F.split(e, " "), -1)), F.lit(False)))
+        return (F.when(own["ok"] & (own["usual"] | ~strict), used(_n_tokens(own["card"]), F.lit(-1), F.lit(False)))
+                .when(short.isNotNull(), cut).otherwise(used(F.lit(1), F.lit(0), ~phone)))
+
+    def both(own: Column) -> Column:
+        return F.struct(outcome(own, False).alias("fresh"), outcome(own, True).alias("late"))
+
+    def passed(late: bool) -> Column:
+        return used(F.lit(1), F.lit(-1), F.lit(late) & ~phone & ~token.rlike(rf"^(?:{SSN})$"))
+
+    card = F.when(token.rlike(rf"^(?:{SSN})$"), "").otherwise(F.regexp_extract(ahead, rf"^{CARD_FORM}(?!\d)", 0))
+    return _bound(card, lambda c: F.when(c == "", F.struct(passed(False).alias("fresh"), passed(True).alias("late")))
+                  .otherwise(_bound(judged(c), both)))
+
+
+def _settled_run(run: Column, late: Column) -> Column:
+    """A run of digit groups with its MARKs: every blank-parted token is judged once, by the 40 characters
+    ahead of it, and one walk from left to right (in pieces, whose lists stay short) takes what applies."""
+
+    def walk(state: Column, own: Column) -> Column:
+        use = F.when(state["late"], own["late"]).otherwise(own["fresh"])
+        skips = state["skip"] > 0
+        skip = F.when(skips, state["skip"] - 1).otherwise(use["n"] - 1)
+        mark = F.when(skips, state["mark"]).otherwise(use["mark"])
+        return F.struct(skip.alias("skip"), mark.alias("mark"), F.when(skips, state["late"]).otherwise(use["open"]).alias("late"),
+                        F.concat(state["out"], F.array(F.when(skip == 0, mark).otherwise(F.lit(-1)))).alias("out"))
+
+    def begin(skip: Column, mark: Column, late: Column) -> Column:
+        return F.struct(skip.alias("skip"), mark.alias("mark"), late.alias("late"), F.array().cast("array<int>").alias("out"))
+
+    def piece(state: Column, own: Column) -> Column:
+        return _bound(F.aggregate(own, begin(state["skip"], state["mark"], state["late"]), walk), lambda x: F.struct(
+            x["skip"].alias("skip"), x["mark"].alias("mark"), x["late"].alias("late"),
+            F.concat(state["out"], x["out"]).alias("out")))
+
+    def marks(tokens: Column) -> Column:
+        def at(i: Column) -> Column:  # no slices: each would copy the whole list
+            return _outcomes(F.get(tokens, i), F.substring(F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(19)]), 1, 40))
+
+        last = F.size(tokens) - 1
+        pieces = F.transform(F.sequence(F.lit(0), (last / WALK).cast("int")), lambda k: F.transform(
+            F.sequence(k * WALK, F.least(k * WALK + WALK - 1, last)), at))
+        return F.aggregate(pieces, begin(F.lit(0), F.lit(-1), late), piece)["out"]
+
+    def put(tokens: Column) -> Column:
+        return _bound(marks(tokens), lambda at: F.array_join(F.transform(tokens, lambda t, i: F.when(
+            F.get(at, i) < 0, t).otherwise(F.concat(F.substr(t, F.lit(1), F.get(at, i)), F.lit(MARK),
+                                                    F.substr(t, F.get(at, i) + 1)))), " "))
+
+    return _bound(F.split(run, " "), put)
+
+
 def settled_cards(text: Column) -> Column:
     """``text`` with a MARK wherever a match of CARD is no card as a whole.
 
@@ -90,45 +177,32 @@ def settled_cards(text: Column) -> Column:
     security number or behind a failed start and has no usual card grouping.  The
     longest shorter prefix at a group boundary that is a card gets a MARK behind it,
     so it matches alone and the digits after it are scanned afresh; without one
-    the MARK goes in front, so other kinds and later groups are tried.  Of
-    neighbouring matches one is settled a round; a round with nothing left to settle
-    ends the work."""
-    number = r"^(?:\d{3}-\d{2}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\d-])"
-    usual = lambda e: e.rlike(rf"^(?:{USUAL_CARD})$")
-
-    def shorter(e: Column, late: Column) -> Column:
-        ends = [F.regexp_extract(e, rf"^(\d(?:[ -]?\d){{{n - 1}}})[ -]", 1) for n in range(18, 12, -1)]
-        other = ~late & ~e.rlike(number)
-        fits = F.filter(F.array(*ends), lambda p: (p != "") & is_card(p) & (usual(p) | other))
-        return F.get(fits, F.lit(0))
+    the MARK goes in front, so other kinds and later groups are tried.  A run of
+    digit groups is settled from left to right at once (no card starts behind a decimal point); a further round over the
+    text runs while marks were set, as entities may then match elsewhere.  The work
+    grows with the text's length, also in texts that are one run."""
+
+    def settled(found: Column, gaps: Column) -> Column:
+        def one(gap: Column, i: Column) -> Column:
+            return F.concat(gap, F.coalesce(_bound(F.get(found, i), lambda e: F.when(e.rlike(
+                rf"^{CARD_FORM}{RUN_END}$"), _settled_run(e, gap.rlike(rf"{MARK}\d[\d -]*$"))).otherwise(e)), F.lit("")))
+
+        return F.array_join(F.transform(gaps, one), "")
 
     def step(state: Column) -> Column:
-        every = F.regexp_extract_all(state["text"], F.lit(ENTITY), 0)
-        gaps = F.split(state["text"], ENTITY, -1)
-
-        def judged(e: Column, i: Column) -> Column:
-            late = F.get(gaps, i).rlike(rf"{MARK}\d[\d -]*$")
-            wrong = e.rlike(rf"^{CARD_FORM}$") & (~is_card(e) | (~usual(e) & (late | e.rlike(number))))
-            return F.struct(wrong.alias("wrong"), F.when(wrong, shorter(e, late)).alias("card"))
-
-        def put(found: Column) -> Column:
-            def piece(gap: Column, i: Column) -> Column:
-                e, own, before = F.get(every, i), F.get(found, i), F.get(found, F.greatest(i - 1, F.lit(0)))
-                waits = (i > 0) & before["wrong"] & gap.rlike("^[ -]?$")
-                settled = F.when(own["card"].isNull(), F.concat(F.lit(MARK), e)).otherwise(
-                    F.concat(own["card"], F.lit(MARK), F.substr(e, F.length(own["card"]) + 1)))
-                return F.concat(gap, F.coalesce(F.when(own["wrong"] & ~waits, settled).otherwise(e), F.lit("")))
-
-            return F.array_join(F.transform(gaps, piece), "")
-
-        # the judgements once a round: bound as the only element of an array
-        return F.get(F.transform(F.array(F.transform(every, judged)), lambda found: F.struct(
-            F.when(F.exists(found, lambda x: x["wrong"]), put(found)).otherwise(state["text"]).alias("text"),
-            F.exists(found, lambda x: x["wrong"]).alias("open"))), F.lit(0))
-
-    rounds = F.sequence(F.lit(1), F.length(text))  # at least one digit is settled a round
-    done = F.aggregate(rounds, F.struct(text.alias("text"), F.lit(True).alias("open")),
-                       lambda state, _: F.when(state["open"], step(state)).otherwise(state))["text"]
+        cut = F.struct(F.regexp_extract_all(state["text"], F.lit(REGION), 0).alias("found"),
+                       F.split(state["text"], REGION, -1).alias("gaps"))
+        new = _bound(cut, lambda x: settled(x["found"], x["gaps"]))
+        return _bound(new, lambda x: F.struct(x.alias("text"), (x != state["text"]).alias("open")))
+
+    def rounds(state: Column, level: int) -> Column:
+        # 32 rounds of 32 rounds ...: more than a text has characters (a round sets at least one mark), and few
+        # steps once nothing is open, as every step of an aggregate copies its state
+        many = F.aggregate(F.sequence(F.lit(1), F.lit(32)), state, lambda x, _: rounds(x, level - 1)) if level else step(state)
+        return F.when(state["open"], many).otherwise(state)
+
+    begun = F.struct(text.alias("text"), F.lit(True).alias("open"))
+    done = F.aggregate(F.array(F.lit(0)), begun, lambda x, _: rounds(x, 6))["text"]
     return F.when(text.rlike(CARD), done).otherwise(text)
 
 
@@ -217,10 +291,11 @@ def replace_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has a column {out}")
     body = F.col(text)
+    safe = F.when(body.contains(OWN), F.replace(body, F.lit(OWN), F.lit(SAFE))).otherwise(body)
     holds = F.coalesce(body.rlike(HINT) & body.rlike(ENTITY), F.lit(False))  # the cheap pattern first
     some = docs.where(holds)
     found = some.select(F.col(key).alias("key"), F.xxhash64(body).alias("hash"),
-                        F.regexp_extract_all(settled_cards(body), F.lit(ENTITY), 0).alias("all")).dropDuplicates(["key", "hash"])
+                        F.regexp_extract_all(settled_cards(safe), F.lit(ENTITY), 0).alias("all")).dropDuplicates(["key", "hash"])
     rows = found.select("key", "hash", F.posexplode_outer("all").alias("pos", "entity")).withColumn("type", kind_of(F.col("entity")))
     words = F.split(F.col("entity"), " ")
     title = F.regexp_replace(words[0], r"\.$", "")
@@ -253,10 +328,11 @@ def replace_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", s
         return F.size(F.filter(all_, lambda x: (x["type"] == kind) & (x["part"] == 0)))
 
     counts = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*map(held, KINDS)))
-    between = F.split(settled_cards(body), ENTITY, -1)
-    put = F.replace(F.concat(F.array_join(F.transform(F.filter(all_, lambda x: x["pos"].isNotNull()), lambda x: F.concat(
-        F.when(x["part"] == 0, F.get(between, x["pos"])).otherwise(""), x["new"])), ""), F.element_at(between, -1)),
-        F.lit(MARK), F.lit(""))
+    pieces = F.filter(all_, lambda x: x["pos"].isNotNull())
+    put = _bound(F.split(settled_cards(safe), ENTITY, -1), lambda between: F.concat(F.array_join(F.transform(
+        pieces, lambda x: F.concat(F.when(x["part"] == 0, F.get(between, x["pos"])).otherwise(""), x["new"])), ""),
+        F.element_at(between, -1)))
+    put = F.replace(F.replace(put, F.lit(MARK), F.lit("")), F.lit(SAFE), F.lit(OWN))
     met = some.withColumn(mark, F.xxhash64(body)).join(per_text, F.col(key).eqNullSafe(F.col(key_))
                                                        & (F.col(mark) == F.col(hash_)))
     done = met.select(*[put.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], counts.alias(out))
