@@ -293,9 +293,12 @@ def replace_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     body = F.col(text)
     safe = F.when(body.contains(OWN), F.replace(body, F.lit(OWN), F.lit(SAFE))).otherwise(body)
     holds = F.coalesce(body.rlike(HINT) & body.rlike(ENTITY), F.lit(False))  # the cheap pattern first
-    some = docs.where(holds)
-    found = some.select(F.col(key).alias("key"), F.xxhash64(body).alias("hash"),
-                        F.regexp_extract_all(settled_cards(safe), F.lit(ENTITY), 0).alias("all")).dropDuplicates(["key", "hash"])
+    key_, hash_, all_, mark, settled = (spare_name(docs, n) for n in (
+        "own_key", "own_hash", "own_entities", "text_hash", "settled_text"))
+    # Texts with entities are settled once and stored; both uses below read them back.
+    some = stored(docs.where(holds).withColumns({mark: F.xxhash64(body), settled: settled_cards(safe)}), "op9-settled")
+    found = some.select(F.col(key).alias("key"), F.col(mark).alias("hash"),
+                        F.regexp_extract_all(settled, F.lit(ENTITY), 0).alias("all")).dropDuplicates(["key", "hash"])
     rows = found.select("key", "hash", F.posexplode_outer("all").alias("pos", "entity")).withColumn("type", kind_of(F.col("entity")))
     words = F.split(F.col("entity"), " ")
     title = F.regexp_replace(words[0], r"\.$", "")
@@ -320,7 +323,6 @@ def replace_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", s
            .when(F.col("type").isin("card", "phone", "ssn"), _regrouped(F.col("core"), F.col("entity")))
            .otherwise(F.col("core")))
     one = joined.select("key", "hash", F.struct("pos", "part", new.alias("new"), "type").alias("e"))
-    key_, hash_, all_, mark = (spare_name(docs, n) for n in ("own_key", "own_hash", "own_entities", "text_hash"))
     per_text = one.groupBy(F.col("key").alias(key_), F.col("hash").alias(hash_)).agg(
         F.array_sort(F.collect_list("e")).alias(all_))
 
@@ -329,12 +331,11 @@ def replace_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", s
 
     counts = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*map(held, KINDS)))
     pieces = F.filter(all_, lambda x: x["pos"].isNotNull())
-    put = _bound(F.split(settled_cards(safe), ENTITY, -1), lambda between: F.concat(F.array_join(F.transform(
+    put = _bound(F.split(settled, ENTITY, -1), lambda between: F.concat(F.array_join(F.transform(
         pieces, lambda x: F.concat(F.when(x["part"] == 0, F.get(between, x["pos"])).otherwise(""), x["new"])), ""),
         F.element_at(between, -1)))
     put = F.replace(F.replace(put, F.lit(MARK), F.lit("")), F.lit(SAFE), F.lit(OWN))
-    met = some.withColumn(mark, F.xxhash64(body)).join(per_text, F.col(key).eqNullSafe(F.col(key_))
-                                                       & (F.col(mark) == F.col(hash_)))
+    met = some.join(per_text, F.col(key).eqNullSafe(F.col(key_)) & (F.col(mark) == F.col(hash_)))
     done = met.select(*[put.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], counts.alias(out))
     empty = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*[F.lit(0) for _ in KINDS]))
     rest = docs.where(~holds).withColumn(out, empty)
