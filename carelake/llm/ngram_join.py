@@ -12,6 +12,8 @@ it): sets that may link share a signature, sets far apart practically never do.
 * above: k + 1 + m parts, one signature a part.  A part may be empty in a set;
   as m spare parts agree as well, sets with at most m empty parts leave their
   empty signatures out, and only sets with more of them emit those too.
+* A set near the next band is a guest there.  Two guests meet in their own band, so
+  buckets of guests alone are dropped and two guests of a bucket are not compared.
 
 Equal sets form classes first (two 64-bit names; sets that share only the first
 one are told apart).  Each class is then checked against one other: of the
@@ -89,15 +91,13 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE_WORDS) -> list[np.ndarray]:
     return out
 
 
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """PartEnum signatures of one sorted set."""
+def banded_signatures(elements: np.ndarray, percent: int) -> list[tuple[bool, np.ndarray]]:
+    """PartEnum signatures of one sorted set by band, and whether the set is a guest there."""
     starts, size = bands(percent), len(elements)
     band = int(np.searchsorted(starts, size, "right")) - 1
     own = [band] if band else []
     if 100 * size >= percent * starts[band + 1]:
         own.append(band + 1)
-    if not own:
-        return np.zeros(0, U64)
     sums = np.zeros(size + 1, U64)
     np.cumsum(mix(elements + U64(0xA0761D6478BD642F)), out=sums[1:])
     out = []
@@ -106,11 +106,22 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         at = np.concatenate([[0], np.searchsorted(elements, cuts), [size]])
         part, full = sums[at[1:]] - sums[at[:-1]], np.diff(at) > 0
         if subsets[0, 0] != subsets[0, 1]:
-            out.append(mix(part[subsets[:, 0]] + part[subsets[:, 1]] + tags))
+            signs = mix(part[subsets[:, 0]] + part[subsets[:, 1]] + tags)
         else:
             signs = mix(part + tags)
-            out.append(signs if parts - full.sum() > spare else signs[full])
-    return np.concatenate(out)
+            signs = signs if parts - full.sum() > spare else signs[full]
+        out.append((b > band, signs))
+    return out
+
+
+def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
+    """PartEnum signatures of one sorted set."""
+    return np.concatenate([np.zeros(0, U64), *(s for _, s in banded_signatures(elements, percent))])
+
+
+def _marked(elements: np.ndarray, percent: int) -> np.ndarray:
+    """The signatures, whose lowest bit tells whether the set is a guest."""
+    return np.concatenate([np.zeros(0, U64), *(s & ~U64(1) | U64(g) for g, s in banded_signatures(elements, percent))])
 
 
 def _sketch(elements: np.ndarray) -> np.ndarray:
@@ -157,7 +168,7 @@ def _signed(percent: int, words: int, node_bits: int):
         sums = np.array([[mix(s ^ U64(len(s))).sum(), mix(s + U64(0xC2B2AE3D27D4EB4F)).sum()] for s in sets],
                         U64).reshape(-1, 2)
         names = mix(sums) >> U64(64 - node_bits)
-        signs = [signatures(s, percent) if len(s) else np.zeros(0, U64) for s in sets]
+        signs = [_marked(s, percent) if len(s) else np.zeros(0, U64) for s in sets]
         at = np.concatenate([[0], np.cumsum([len(s) for s in signs])]).astype(np.int32)
         flat = np.concatenate([*signs, np.zeros(0, U64)]).view(np.int64)
         cells = np.array([_sketch(s) for s in sets], np.int64).reshape(-1, SKETCH_LONGS)
@@ -216,11 +227,11 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
 
 
 def nearest(group: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, side: np.ndarray,
-            cells: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            cells: np.ndarray, percent: int, most: int, guest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates among rows of equal ``group`` (adjacent rows): for every row the ``most`` nearest by sketch.
 
-    Only rows of different components whose sizes and sketches allow a link, and of different
-    sides where both sides of a block pair are given (side 0 alone: all of one block).
+    Only rows of different components whose sizes and sketches allow a link, not both of them
+    guests, and of different sides where both sides of a block pair are given (side 0 alone: all of one block).
     Returns the candidates as two index arrays, and the rows that have more than that.
     """
     change = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -230,6 +241,7 @@ def nearest(group: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndar
     two = np.repeat(np.maximum.reduceat(side, change), length) > 0
     held = [np.zeros((3, 0), np.int64)]
     more = np.zeros(len(group), bool)
+    guest = np.zeros(len(group), bool) if guest is None else guest
 
     def prune() -> None:
         """The nearest of every row, from both ends' view."""
@@ -246,7 +258,7 @@ def nearest(group: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndar
     active, d, count = np.flatnonzero(left > 1), 1, 0
     while len(active):
         i, j = active, active + d
-        fits = (root[i] != root[j]) & ((side[i] != side[j]) | ~two[i])
+        fits = (root[i] != root[j]) & ((side[i] != side[j]) | ~two[i]) & ~(guest[i] & guest[j])
         i, j = i[fits], j[fits]
         fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
         i, j = i[fits], j[fits]
@@ -264,26 +276,37 @@ def nearest(group: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndar
 
 
 def _shared(batches):
-    """Of rows (sign, node) sorted by both, the distinct ones whose sign has several nodes.  One row is held back."""
-    held, held_known = np.zeros((2, 0), np.int64), False
+    """Of rows (sign, node, guest) sorted by sign, guest and node, the distinct ones whose sign has several nodes, one
+    of them no guest: two guests meet in their own band.  Without a third column none is a guest.  One row is held back."""
+    names = ["sign", "node", "guest"]
+    held, held_known, held_own = np.zeros((3, 0), np.int64), False, False
+
+    def rows(of: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(of[0]), pa.array(of[1]), pa.array(of[2].astype(bool))], names)
+
     for batch in batches:
-        both = np.concatenate([held, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])], axis=1)
+        guest = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else np.zeros(len(batch))
+        both = np.concatenate([held, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(),
+                                               guest.astype(np.int64)])], axis=1)
         known = np.zeros(both.shape[1], bool)  # the row before has the same sign
         known[:held.shape[1]] = held_known
         new = np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(axis=0)])
         both, known = both[:, new], known[new]
         same = both[0, 1:] == both[0, :-1]
         known[1:] |= same
+        begin = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(both.shape[1]), 0))
+        own = both[2, begin] == 0  # guests come last
+        if held.shape[1]:
+            own[begin == 0] = held_own
         keep = known.copy()
         keep[:-1] |= same
-        done = both[:, :-1][:, keep[:-1]]
-        held, held_known = both[:, -1:], bool(known[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(done[0]), pa.array(done[1])], ["sign", "node"])
-    if held_known:
-        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["sign", "node"])
+        yield rows(both[:, :-1][:, (keep & own)[:-1]])
+        held, held_known, held_own = both[:, -1:], bool(known[-1]), bool(own[-1])
+    if held_known and held_own:
+        yield rows(held)
 
 
-OPEN = ["sign", "part", "node", "root", "n", "side"] + [f"p{i}" for i in range(SKETCH_LONGS)]
+OPEN = ["sign", "part", "node", "root", "n", "side", "guest"] + [f"p{i}" for i in range(SKETCH_LONGS)]
 
 
 def _candidates(percent: int, most: int):
@@ -291,10 +314,11 @@ def _candidates(percent: int, most: int):
     names = ["a", "b", "more"]
 
     def found(table: pa.Table) -> pa.RecordBatch:
-        column = {x: table.column(x).to_numpy() for x in OPEN}
+        column = {x: table.column(x).to_numpy(zero_copy_only=False) for x in OPEN}
         group = np.cumsum(np.concatenate([[0], (np.diff(column["sign"]) != 0) | (np.diff(column["part"]) != 0)]))
         cells = np.stack([column[f"p{i}"] for i in range(SKETCH_LONGS)], axis=1)
-        i, j, more = nearest(group, column["node"], column["root"], column["n"], column["side"], cells, percent, most)
+        i, j, more = nearest(group, column["node"], column["root"], column["n"], column["side"], cells, percent, most,
+                             column["guest"])
         x, y = column["node"][i], column["node"][j]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)),
                                            pa.array(more[i] | more[j])], names)
@@ -349,8 +373,9 @@ def similarity_groups(docs: DataFrame, percent: int = MIN_PERCENT, key: str = "d
         classes = classed(signed)
     signs = signed.where("n_shingles > 0").select(F.explode("signs").alias("sign"), "node")
     # One shuffle of all signatures: neighbours in sorted order tell which ones are shared.
-    members = stored(signs.repartition("sign").sortWithinPartitions("sign", "node")
-                     .mapInArrow(_shared, "sign bigint, node bigint"), "op3-members")
+    members = stored(signs.repartition(F.shiftright("sign", 1)).sortWithinPartitions("sign", "node")
+                     .select(F.shiftright("sign", 1).alias("sign"), "node", F.col("sign").bitwiseAND(1).alias("guest"))
+                     .mapInArrow(_shared, "sign bigint, node bigint, guest boolean"), "op3-members")
     # Hubs: a class meets as many others as its buckets hold; a bucket's hub is its busiest class.
     filled = members.groupBy("sign").agg(F.count("*").alias("many"))
     met = members.hint("merge").join(filled.hint("merge"), "sign").groupBy("node").agg(F.sum("many").alias("met"))
@@ -367,7 +392,7 @@ def similarity_groups(docs: DataFrame, percent: int = MIN_PERCENT, key: str = "d
     most = FIRST_NEAREST
     while True:
         rooted = members.hint("merge").join(roots.hint("merge"), "node", "left").select(
-            "sign", "node", F.coalesce("root", "node").alias("root"))
+            "sign", "node", "guest", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high"),
                                            F.count("*").alias("many")).where("low < high")
         open_ = rooted.join(mixed.select("sign", F.expr(f"(many - 1) div {BLOCK} + 1").alias("blocks")).hint("merge"),
@@ -376,8 +401,8 @@ def similarity_groups(docs: DataFrame, percent: int = MIN_PERCENT, key: str = "d
         # Block i meets block j under one part number, as side 0 (the smaller) or 1.
         parts = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: F.struct(
             (F.least(own, j) * F.col("blocks") + F.greatest(own, j)).alias("part"), (own > j).cast("int").alias("side")))
-        dealt = open_.select("sign", "node", "root", "n", *cells, F.explode(parts).alias("p")).select(
-            "sign", "p.part", "node", "root", "n", "p.side", *cells)
+        dealt = open_.select("sign", "node", "root", "n", "guest", *cells, F.explode(parts).alias("p")).select(
+            "sign", "p.part", "node", "root", "n", "p.side", "guest", *cells)
         found = dealt.repartition("sign", "part").sortWithinPartitions("sign", "part").mapInArrow(
             _candidates(percent, most), "a bigint, b bigint, more boolean")
         found = stored(found.groupBy("a", "b").agg(F.max("more").alias("more")), "op3-candidates")

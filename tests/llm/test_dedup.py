@@ -141,6 +141,42 @@ def test_shared_signatures_across_batches(cut):
     assert got == sorted((s, n) for s, x in nodes.items() if len(x) > 1 for n in x)
 
 
+@pytest.mark.parametrize("cut", [1, 2, 7, 1000])
+def test_shared_signatures_of_guests(cut):
+    rng = np.random.default_rng(cut)
+    rows = sorted([s, g, n] for s, n, g in zip(*rng.integers(0, 40, (2, 200)).tolist(), rng.random(200) < 0.6))
+    batches = [ngram_join.pa.RecordBatch.from_arrays(
+        [ngram_join.pa.array([r[c] for r in rows[i:i + cut]]) for c in (0, 2, 1)], ["sign", "node", "guest"])
+        for i in range(0, len(rows), cut)]
+    got = [(r["sign"], r["guest"], r["node"]) for b in ngram_join._shared(iter(batches)) for r in b.to_pylist()]
+    members = defaultdict(set)
+    for sign, guest, node in rows:
+        members[sign].add((guest, node))
+    assert got == sorted((s, g, n) for s, x in members.items() if len(x) > 1 and not min(x)[0] for g, n in x)
+
+
+def test_two_guests_are_no_candidates():
+    size, cells = np.full(4, 100), np.zeros((4, ngram_join.SKETCH_LONGS), np.int64)
+    guest = np.array([True, False, True, False])
+    i, j, more = ngram_join.nearest(np.zeros(4, np.int64), np.arange(4), np.arange(4), size, np.zeros(4, np.int64),
+                                    cells, 80, 9, guest)
+    assert {*zip(i.tolist(), j.tolist())} == {(0, 1), (0, 3), (1, 2), (1, 3), (2, 3)} and not more.any()
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_guests_meet_all_linked_sets(percent):
+    """Linked sets share a signature under which not both are guests."""
+    rng = np.random.default_rng(percent)
+    for size in (*range(1, 60), *rng.integers(60, 3000, 60).tolist()):
+        a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64) << np.uint64(1))
+        grown = np.unique(np.concatenate([a, rng.integers(0, 1 << 62, len(a) * (100 - percent) // percent).astype(np.uint64)]))
+        if 100 * len(a) < percent * len(grown):
+            continue
+        bands = [[(g, set(s.tolist())) for g, s in ngram_join.banded_signatures(x, percent)] for x in (a, grown)]
+        if len(grown) > len(a):
+            assert any(x & y and not (g and h) for g, x in bands[0] for h, y in bands[1])
+
+
 def test_nearest_candidates_of_blocks():
     rng = np.random.default_rng(8)
     group, side = np.repeat([0, 1, 2], [40, 1, 30]), np.repeat([0, 0, 0, 1], [40, 1, 14, 16])
