@@ -43,7 +43,7 @@ from carelake.llm.common import U64, Words, components, mix, spare_name, stored,
 SHINGLE_WORDS = 3
 MIN_PERCENT = 90
 PAIRED_K = 5
-BAND_RATIO = 2 ** 0.5
+BAND_RATIO = 1.25
 SKETCH_LONGS = 8
 MAX_SET = 1 << 40
 BLOCK = 4096  # classes of a bucket that are compared at once
@@ -73,7 +73,11 @@ def bands(percent: int) -> tuple[int, ...]:
 def scheme(band: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
     """Parts, spare parts, cuts of the domain, subsets (pairs of parts or single ones) and their tags."""
     k = max_difference(2 * (bands(percent)[band + 1] - 1), percent)
-    spare = 1 + k // 400
+    smallest, spare = bands(percent)[band] * percent / 100, 1
+    for _ in range(30):  # as many as the empty parts of nearly all sets of the band
+        parts = k + 1 + spare
+        empty = parts * np.exp(-smallest / parts)
+        spare = min(1 + k // 4, int(np.ceil(1 + empty + 4 * empty ** 0.5)))
     parts = k + 2 if k <= PAIRED_K else k + 1 + spare
     subsets = np.array(list(combinations(range(parts), 2)) if k <= PAIRED_K else [(i, i) for i in range(parts)])
     cuts = np.array([-(-(i << 64) // parts) for i in range(1, parts)], U64)
