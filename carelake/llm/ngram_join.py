@@ -161,31 +161,46 @@ def _may_link(percent: int):
     return F.arrow_udf(run, "boolean")
 
 
-SET_SCHEMA = ("struct<n_shingles: bigint, node: bigint, other: bigint, wide: binary, signs: array<bigint>, "
-              + ", ".join(f"p{i}: bigint" for i in range(SKETCH_LONGS)) + ">")
+NAME_SCHEMA = "struct<n_shingles: bigint, node: bigint, other: bigint"
+SET_SCHEMA = NAME_SCHEMA + ", wide: binary, " + ", ".join(f"p{i}: bigint" for i in range(SKETCH_LONGS)) + ">"
+SIGN_SCHEMA = NAME_SCHEMA + ", signs: array<bigint>>"
 
 
-def _signed(percent: int, words: int, node_bits: int):
+def _names(sets: list[np.ndarray], node_bits: int) -> list[pa.Array]:
+    """Size and two names of every set."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    sums = np.array([[mix(s ^ U64(len(s))).sum(), mix(s + U64(0xC2B2AE3D27D4EB4F)).sum()] for s in sets],
+                    U64).reshape(-1, 2)
+    names = mix(sums) >> U64(64 - node_bits)
+    return [pa.array(sizes), pa.array(names[:, 0].view(np.int64), mask=sizes == 0), pa.array(mix(sums[:, 1]).view(np.int64))]
+
+
+def _sketched(percent: int, words: int, node_bits: int):
     def run(texts: pa.Array) -> pa.Array:
         sets = shingle_sets(texts, words)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        sums = np.array([[mix(s ^ U64(len(s))).sum(), mix(s + U64(0xC2B2AE3D27D4EB4F)).sum()] for s in sets],
-                        U64).reshape(-1, 2)
-        names = mix(sums) >> U64(64 - node_bits)
-        signs = [_marked(s, percent) if len(s) else np.zeros(0, U64) for s in sets]
-        at = np.concatenate([[0], np.cumsum([len(s) for s in signs])]).astype(np.int32)
-        flat = np.concatenate([*signs, np.zeros(0, U64)]).view(np.int64)
         cells = np.array([_sketch(s) for s in sets], np.int64).reshape(-1, SKETCH_LONGS)
-        columns = [pa.array(sizes), pa.array(names[:, 0].view(np.int64), mask=sizes == 0),
-                   pa.array(mix(sums[:, 1]).view(np.int64)), pa.array([_wide_sketch(s, percent) for s in sets], pa.binary()),
-                   pa.ListArray.from_arrays(at, pa.array(flat)),
+        columns = [*_names(sets, node_bits), pa.array([_wide_sketch(s, percent) for s in sets], pa.binary()),
                    *(pa.array(np.ascontiguousarray(cells[:, i])) for i in range(SKETCH_LONGS))]
-        return pa.StructArray.from_arrays(columns, ["n_shingles", "node", "other", "wide", "signs"]
+        return pa.StructArray.from_arrays(columns, ["n_shingles", "node", "other", "wide"]
                                           + [f"p{i}" for i in range(SKETCH_LONGS)])
 
     return text_udf(run, SET_SCHEMA)
 
 
+def _signed(percent: int, words: int, node_bits: int):
+    """Signatures, which are many: made where they are shuffled, never stored."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        sets = shingle_sets(texts, words)
+        signs = [_marked(s, percent) if len(s) else np.zeros(0, U64) for s in sets]
+        at = np.concatenate([[0], np.cumsum([len(s) for s in signs])]).astype(np.int32)
+        flat = np.concatenate([*signs, np.zeros(0, U64)]).view(np.int64)
+        return pa.StructArray.from_arrays([*_names(sets, node_bits), pa.ListArray.from_arrays(at, pa.array(flat))],
+                                          ["n_shingles", "node", "other", "signs"])
+
+    return text_udf(run, SIGN_SCHEMA)
+
+
 def _shingles(text: str, words: int) -> set[tuple[bytes, ...]]:
     """The shingles themselves: what a link is decided on."""
     own = text.encode().lower().split()  # bytes: A-Z alone are lowered, and cut is at ASCII white space
@@ -359,7 +374,7 @@ def similarity_groups(docs: DataFrame, percent: int = MIN_PERCENT, key: str = "d
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     signed = stored(rows.select("key", F.xxhash64("text").alias("hash"),
-                                _signed(percent, words, node_bits)(F.col("text")).alias("s"))
+                                _sketched(percent, words, node_bits)(F.col("text")).alias("s"))
                     .select("key", "hash", "s.*"), "op3-signed")
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("doc"), F.col("hash").alias("hash"))
 
@@ -369,13 +384,17 @@ def similarity_groups(docs: DataFrame, percent: int = MIN_PERCENT, key: str = "d
             F.max("other").alias("high"), F.first("wide").alias("wide"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(SKETCH_LONGS)]), "op3-classes")
 
     classes = classed(signed)
+    signs = rows.select(_signed(percent, words, node_bits)(F.col("text")).alias("s")).select("s.*").where("n_shingles > 0")
     twins = classes.where("low <> high").select(F.col("node").alias("twin"))
     if not twins.isEmpty():  # different sets under one name get names from both
-        signed = stored(signed.join(twins, F.col("node") == F.col("twin"), "left").withColumn(
-            "node", F.when(F.col("twin").isNull(), F.col("node")).otherwise(F.xxhash64("node", "other"))).drop("twin"),
-            "op3-renamed")
+
+        def renamed(of: DataFrame) -> DataFrame:
+            return of.join(twins, F.col("node") == F.col("twin"), "left").withColumn("node", F.when(
+                F.col("twin").isNull(), F.col("node")).otherwise(F.xxhash64("node", "other"))).drop("twin")
+
+        signed, signs = stored(renamed(signed), "op3-renamed"), renamed(signs)
         classes = classed(signed)
-    signs = signed.where("n_shingles > 0").select(F.explode("signs").alias("sign"), "node")
+    signs = signs.select(F.explode("signs").alias("sign"), "node")
     # One shuffle of all signatures: neighbours in sorted order tell which ones are shared.
     members = stored(signs.repartition(F.shiftright("sign", 1)).sortWithinPartitions("sign", "node")
                      .select(F.shiftright("sign", 1).alias("sign"), "node", F.col("sign").bitwiseAND(1).alias("guest"))
