@@ -281,7 +281,7 @@ def nearest(group: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndar
         i, j = i[fits], j[fits]
         fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
         i, j = i[fits], j[fits]
-        apart = np.bitwise_count(cells[i] ^ cells[j]).sum(axis=1, dtype=np.int64)
+        apart = np.bitwise_count((cells[i] ^ cells[j]).view(U64)).sum(axis=1, dtype=np.int64)  # of signed ones: the absolute value's
         fits = (100 + percent) * apart <= (100 - percent) * (size[i] + size[j])
         held.append(np.stack([i[fits], j[fits], apart[fits]]))
         count += int(fits.sum())

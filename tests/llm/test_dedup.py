@@ -155,6 +155,16 @@ def test_shared_signatures_of_guests(cut):
     assert got == sorted((s, g, n) for s, x in members.items() if len(x) > 1 and not min(x)[0] for g, n in x)
 
 
+def test_sketches_with_the_sign_bit():
+    cells = np.full((2, ngram_join.SKETCH_LONGS), 7, np.int64)
+    cells[1, 0] ^= np.int64(-1 << 63)  # one cell apart; as absolute value of a signed number far more
+    cells[1, 1] ^= np.int64(-2)
+    zero = np.zeros(2, np.int64)
+    for size, linked in ((290, True), (280, False)):  # 64 cells: sets of 288 elements or more may link at 80 %
+        i, _, _ = ngram_join.nearest(zero, np.arange(2), np.arange(2), np.full(2, size), zero, cells, 80, 9)
+        assert bool(len(i)) == linked
+
+
 def test_two_guests_are_no_candidates():
     size, cells = np.full(4, 100), np.zeros((4, ngram_join.SKETCH_LONGS), np.int64)
     guest = np.array([True, False, True, False])
