@@ -28,8 +28,7 @@ GENDER_MAP = {
 # Gender codes used by the model features.
 GENDER_CODES = {"Female": 0, "Male": 1, "Other": 2}
 
-SYMPTOM_SPLIT = "[,;|]+"
-SYMPTOM_SPLIT_NL = "[,;|\\n]+"
+SYMPTOM_MARKS = ",;|"
 
 
 def _col(c) -> Column:
@@ -46,6 +45,12 @@ def normalize_text(c, lowercase: bool = False) -> Column:
     return F.when(~F.lower(t).isin(NULL_LIKE_VALUES), F.lower(t) if lowercase else t)
 
 
+def non_null(*items: Column) -> Column:
+    """The items that are not null, in order, equal ones once.  ``array_compact`` is a lambda, which Spark
+    interprets with all expressions below it; this stays in generated code."""
+    return F.array_except(F.array(*items), F.array(F.lit(None)))
+
+
 def _literal_map(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
@@ -61,10 +66,24 @@ def gender_code(gender) -> Column:
     return F.when(g == "Female", 0).when(g == "Male", 1).otherwise(2).cast("int")
 
 
-def split_trim(text: Column, pattern: str = SYMPTOM_SPLIT) -> Column:
-    """Split on ``pattern``, trim parts, drop empty parts (order kept)."""
-    parts = F.transform(F.split(text, pattern), lambda x: F.trim(x))
-    return F.filter(parts, lambda x: x != "")
+def _between(space: str, marks: str) -> str:
+    """Pattern of what parts two texts of a list: marks with the blanks around them.  Blanks are tried
+    from where their run begins only, so long runs without a mark stay linear."""
+    return f"(?:(?<![{space}])[{space}]+)?[{marks}][{space}{marks}]*"
+
+
+def split_bare(bare: Column, pattern: str) -> Column:
+    """Split a text that neither begins nor ends with a separator; empty text: no parts."""
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, pattern))
+
+
+def split_trim(text: Column, marks: str = SYMPTOM_MARKS) -> Column:
+    """Split at runs of ``marks``, trim parts, drop empty parts (order kept).
+
+    One pattern takes marks and the blanks around them together: a lambda over the
+    parts is interpreted, with all expressions below it, and keeps its stage out of generated code.
+    """
+    return split_bare(F.btrim(text, F.lit(" " + marks)), _between(" ", marks))
 
 
 def symptom_parts(c) -> Column:
@@ -74,8 +93,8 @@ def symptom_parts(c) -> Column:
 
 def standardize_symptoms(c) -> Column:
     """Order-keeping distinct parts joined by ', '; nothing -> 'unknown'."""
-    arr = F.array_distinct(symptom_parts(c))
-    return F.when(F.size(arr) > 0, F.array_join(arr, ", ")).otherwise(F.lit("unknown"))
+    joined = F.array_join(F.array_distinct(symptom_parts(c)), ", ")
+    return F.when(joined != "", joined).otherwise(F.lit("unknown"))
 
 
 def standardize_symptom_list(c) -> Column:
@@ -105,9 +124,8 @@ def safe_name(c) -> Column:
 
 def symptom_tokens(c) -> Column:
     """Q2: split on , ; | newline, collapse whitespace, lower, drop empty."""
-    parts = F.transform(F.split(F.coalesce(_col(c), F.lit("")), SYMPTOM_SPLIT_NL),
-                        lambda x: F.lower(collapse_ws(x)))
-    return F.filter(parts, lambda x: x != "")
+    text = F.regexp_replace(F.coalesce(_col(c), F.lit("")), "(?U)" + _between("\\s", ",;|\\n"), ",")
+    return split_bare(F.lower(F.btrim(collapse_ws(text), F.lit(" ,"))), ",")
 
 
 # The whitespace Python's str.strip() removes (Latin-1 part).
@@ -119,8 +137,15 @@ def strip_ws(c) -> Column:
     return F.btrim(_col(c), F.lit(STRIP_CHARS))
 
 
+STRIP_CLASS = "".join(f"\\x{ord(x):02x}" for x in STRIP_CHARS)
+
+
+def quick_parts(text: Column) -> Column:
+    """Q1: split on , ; | newline, strip, drop empty."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(STRIP_CHARS + ",;|"))
+    return split_bare(bare, _between(STRIP_CLASS, ",;|\\n"))
+
+
 def quick_tokens(c) -> Column:
     """Q1 + lower: tokens used by the keyword scan (split, strip, lower)."""
-    parts = F.transform(F.split(F.coalesce(_col(c), F.lit("")), SYMPTOM_SPLIT_NL),
-                        lambda x: F.lower(strip_ws(x)))
-    return F.filter(parts, lambda x: x != "")
+    return quick_parts(F.lower(_col(c)))

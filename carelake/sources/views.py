@@ -52,9 +52,8 @@ def _symptom_text(ok: Column, ck: Column) -> Column:
         F.when(ok % 11 == 0, _vocab((ok * 17 + 9) % 20 + 1)),
     ]
     # concat_ws skips nulls; the separator depends on the row (one of three).
-    arr = F.array_compact(F.array(*parts))
-    return (F.when(ok % 3 == 0, F.array_join(arr, ", ")).when(ok % 3 == 1, F.array_join(arr, ";"))
-            .otherwise(F.array_join(arr, " | ")))
+    sep = F.when(ok % 3 == 0, ", ").when(ok % 3 == 1, ";").otherwise(" | ")
+    return F.call_function("concat_ws", sep, *parts)
 
 
 def patients_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
