@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import keywords as K
 from ..functions import messages as MSG
 from ..functions import vitals as V
-from ..functions.text import GENDER_CODES, split_symptoms, standardize_gender, standardize_symptoms, symptom_tokens
+from ..functions.text import GENDER_CODES, non_null, split_symptoms, standardize_gender, standardize_symptoms, symptom_tokens
 
 # Rank of the combined risk groups (model vs clinical).
 RISK_RANK = {"Low": 0, "Moderate": 1, "High": 2, "Critical": 3}
@@ -198,7 +198,7 @@ def nurse_triage(inputs: DataFrame, ref: DataFrame | None) -> DataFrame:
     toks = F.col("n_tokens")
     has = lambda p: K.symptom_has(F.col("n_joined"), p)
     age, s, dia, g, b = (F.col(c) for c in ("age", "systolic_bp", "diastolic_bp", "glucose", "bmi"))
-    errors = F.array_compact(F.array(
+    errors = non_null(
         F.when((age <= 0) | (age > 120), F.lit(NV["age"])),
         F.when(s.isNull() | dia.isNull(), F.lit(NV["bp_missing"])),
         F.when(s.isNotNull() & dia.isNotNull() & ((s < 50) | (s > 250)), F.lit(NV["systolic"])),
@@ -208,14 +208,14 @@ def nurse_triage(inputs: DataFrame, ref: DataFrame | None) -> DataFrame:
         F.when(g > 1200, F.lit(NV["glucose_high"])),
         F.when(b.isNull(), F.lit(NV["bmi_missing"])),
         F.when((b <= 10) | (b > 60), F.lit(NV["bmi"])),
-    ))
+    )
     n_sym = F.size(toks)
     kw_high = F.col("nq_risk_level") == "High"
-    sym_alerts = F.array_compact(F.array(
+    sym_alerts = non_null(
         F.when(has("unconscious") | has("unconsciousness"), F.lit(EA["unconscious"])),
         F.when(has("chest pain") & has("shortness of breath"), F.lit(EA["heart"])),
         F.when(n_sym >= 5, F.lit(EA["load"])),
-    ))
+    )
     d = d.select("*", errors.alias("validation_errors"), n_sym.cast("int").alias("n_symptom_count"),
                  kw_high.alias("keyword_high"), sym_alerts.alias("symptom_alerts"),
                  (has("fever") & has("cough")).alias("infection"), has("headache").alias("has_headache"),
@@ -225,11 +225,11 @@ def nurse_triage(inputs: DataFrame, ref: DataFrame | None) -> DataFrame:
     full_in = d.withColumn("glucose_type", F.coalesce(F.col("glucose_type"), F.lit("fasting")))
     full = live_features(full_in, ref)
     bp_cat, glu_cat = F.col("bp.clinical_category"), F.col("glu.clinical_category")
-    vital_alerts = F.array_compact(F.array(
+    vital_alerts = non_null(
         F.when((s > 180) | (dia > 120), F.lit(EA["crisis"])),
         F.when(g < 54, F.lit(EA["hypo"])),
         F.when(g > 300, F.lit(EA["hyper"])),
-    ))
+    )
     alerts_valid = F.concat(F.col("symptom_alerts"), vital_alerts)
     lvl_valid = (F.when(F.size(alerts_valid) > 0, "Critical")
                  .when(bp_cat.isin("Stage 2 Hypertension", "Severe Hypertension") | (glu_cat == "Diabetes Range")
@@ -239,13 +239,13 @@ def nurse_triage(inputs: DataFrame, ref: DataFrame | None) -> DataFrame:
                    .otherwise("Needs vitals"))
     level = F.when(valid, lvl_valid).otherwise(lvl_invalid)
     stage = bp_cat.isin("Stage 1 Hypertension", "Stage 2 Hypertension", "Severe Hypertension")
-    tags_valid = F.array_sort(F.array_distinct(F.array_compact(F.array(
+    tags_valid = F.array_sort(F.array_distinct(non_null(
         F.when(F.col("infection"), F.lit(MSG.TAGS["infection"])),
         F.when(F.col("has_headache") & stage, F.lit(MSG.TAGS["hypertension"])),
         F.when(F.col("has_fatigue") & (glu_cat == "Diabetes Range"), F.lit(MSG.TAGS["diabetes"])),
         F.when(F.col("n_symptom_count") >= 4, F.lit(MSG.TAGS["multi"])),
-    ))))
-    tags_invalid = F.array_compact(F.array(F.when(F.col("infection"), F.lit(MSG.TAGS["infection"]))))
+    )))
+    tags_invalid = non_null(F.when(F.col("infection"), F.lit(MSG.TAGS["infection"])))
     lv = F.col("triage_level")
 
     def by_level(texts: dict, levels: tuple) -> Column:
@@ -261,16 +261,16 @@ def nurse_triage(inputs: DataFrame, ref: DataFrame | None) -> DataFrame:
     pri_invalid = by_level(MSG.PRIORITY_INVALID, ("Critical", "High"))
     com_invalid = by_level(MSG.COMMENT_INVALID, ("Critical", "High"))
     sg = MSG.SUGGESTIONS_VALID
-    sugg_valid = F.array_compact(F.array(
+    sugg_valid = non_null(
         F.when(g < 70, F.lit(sg["low_glucose"])),
         F.when(F.col("has_fever"), F.lit(sg["fever"])),
         F.when(stage, F.lit(sg["bp"])),
-    ))
+    )
     sugg_invalid = F.array(*[F.lit(x) for x in MSG.SUGGESTIONS_INVALID])
-    notes = F.array_compact(F.array(
+    notes = non_null(
         F.when(F.col("f_repeated_pattern") == 1, F.lit(MSG.NOTES["repeated"])),
         F.when(F.col("f_historical_score") >= 2, F.lit(MSG.NOTES["chronic"])),
-    ))
+    )
     v = F.col("valid")
     res = full.select(
         *inputs.columns,
