@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.messages import ACCOUNT_ERRORS as AE
 from ..functions.messages import BOOKING_ERRORS as BE
+from ..functions.text import non_null
 from .ordinals import last_non_null_in_key, ordinal_among, previous_in_key
 from .scoring import parse_details
 
@@ -67,6 +68,17 @@ def _cell(when: Column, level: Column | int) -> Column:
     return F.floor(F.unix_seconds(when) / width).cast("bigint")
 
 
+def _leveled(leaves: DataFrame) -> DataFrame:
+    """The valid leaves with the level of their cells."""
+    ok = leaves.filter(F.col("start_at").isNotNull() & F.col("end_at").isNotNull()
+                       & (F.col("end_at") >= F.col("start_at")))
+    days = (F.unix_seconds("end_at") - F.unix_seconds("start_at")) / DAY_SECONDS
+    level = F.lit(LEAVE_LEVELS - 1)
+    for k in reversed(range(LEAVE_LEVELS - 1)):
+        level = F.when(days <= 64 ** (k + 1), k).otherwise(level)
+    return ok.withColumn("lv_level", level)
+
+
 def leave_cells(leaves: DataFrame, *more: str) -> DataFrame:
     """Valid leaves (closed interval) with the time cells they cover, and the columns ``more``.
 
@@ -75,24 +87,19 @@ def leave_cells(leaves: DataFrame, *more: str) -> DataFrame:
     join becomes an equi-join on (doctor, level, cell) plus a residual
     ``between``.  Rows whose bounds do not parse (NULL or end < start) are skipped.
     """
-    ok = leaves.filter(F.col("start_at").isNotNull() & F.col("end_at").isNotNull()
-                       & (F.col("end_at") >= F.col("start_at")))
-    days = (F.unix_seconds("end_at") - F.unix_seconds("start_at")) / DAY_SECONDS
-    level = F.lit(LEAVE_LEVELS - 1)
-    for k in reversed(range(LEAVE_LEVELS - 1)):
-        level = F.when(days <= 64 ** (k + 1), k).otherwise(level)
-    ok = ok.withColumn("lv_level", level)
-    return ok.select(
+    return _leveled(leaves).select(
         F.lower(F.trim("doctor_email")).alias("lv_doctor"), F.col("id").alias("leave_id"),
         F.col("start_at").alias("leave_start"), F.col("end_at").alias("leave_end"), "lv_level", *more,
         F.explode(F.sequence(_cell(F.col("start_at"), F.col("lv_level")), _cell(F.col("end_at"), F.col("lv_level"))))
         .alias("lv_cell"))
 
 
-def _at_all_levels(df: DataFrame, when: str) -> DataFrame:
-    """One row per level with the cell of ``when`` on it."""
-    cells = F.array(*[F.struct(F.lit(k).alias("level"), _cell(F.col(when), k).alias("cell"))
-                      for k in range(LEAVE_LEVELS)])
+def _at_levels(df: DataFrame, when: str, leaves: DataFrame) -> DataFrame:
+    """One row per level that some leave has, with the cell of ``when`` on it; an instant shuffles once
+    per level of the leaves there are."""
+    levels = _leveled(leaves).agg(F.collect_set("lv_level")).scalar()  # at most LEAVE_LEVELS numbers
+    cells = non_null(*[F.when(F.array_contains(levels, F.lit(k)), F.struct(
+        F.lit(k).alias("level"), _cell(F.col(when), k).alias("cell"))) for k in range(LEAVE_LEVELS)])
     return df.select("*", F.explode(cells).alias("__c")).select("*", F.col("__c.level").alias("__level"),
                                                                F.col("__c.cell").alias("__cell")).drop("__c")
 
@@ -103,7 +110,7 @@ def leave_for(events: DataFrame, leaves: DataFrame, key: str, doctor_col: str, w
     """
     ev = events.select(F.col(key).alias("__k"), F.lower(F.trim(F.col(doctor_col))).alias("__doc"),
                        F.col(when_col).alias("__when")).filter(F.col("__doc").isNotNull() & F.col("__when").isNotNull())
-    ev, lv = _at_all_levels(ev, "__when"), leave_cells(leaves)
+    ev, lv = _at_levels(ev, "__when", leaves), leave_cells(leaves)
     hits = ev.join(lv, (ev["__doc"] == lv["lv_doctor"]) & (ev["__level"] == lv["lv_level"])
                    & (ev["__cell"] == lv["lv_cell"])
                    & ev["__when"].between(lv["leave_start"], lv["leave_end"]), "inner")
@@ -242,7 +249,7 @@ class EmergencyRoster:
     def busy(self, segments: DataFrame, leaves: DataFrame) -> DataFrame:
         """Per segment and word, the bits of the doctors on leave."""
         cells = leave_cells(leaves, "__word", "__bit")
-        at = _at_all_levels(segments, "__segment")
+        at = _at_levels(segments, "__segment", leaves)
         hits = at.join(cells, (F.col("__level") == F.col("lv_level")) & (F.col("__cell") == F.col("lv_cell"))
                        & F.col("__segment").between(F.col("leave_start"), F.col("leave_end")))
         return hits.groupBy("__segment", "__word").agg(
@@ -417,7 +424,7 @@ def field_changes(before: str, after: str) -> Column:
         new = audit_value(after, f)
         items.append(F.when(~old.eqNullSafe(new), F.struct(F.lit(f).alias("field"), old.alias("from"),
                                                              new.alias("to"))))
-    return F.array_compact(F.array(*items))
+    return non_null(*items)  # fields differ, so no two items are equal
 
 
 def snapshot(struct_col: str) -> Column:

@@ -142,7 +142,7 @@ def _events(spark, sf):
 def q_record_changes(spark, sf):
     e = _events(spark, sf)
     return e.select("patient_email", "event_id", "prev_id", "changed_at",
-                    _j(F.transform("changes", lambda c: c["field"]), ", ").alias("changed_fields"),
+                    _j(F.col("changes.field"), ", ").alias("changed_fields"),
                     F.size("changes").alias("n_changes"))
 
 

@@ -29,7 +29,7 @@ def q_stream_audit_events(spark, sf):
     subs = VW.submissions_from(table_feed(spark, sf, "events", "ts"))
     out = run_to_table(spark, SR.audit_events_stream(subs))
     return out.select("patient_email", "event_id", "prev_id", "changed_at",
-                      _j(F.transform("changes", lambda c: c["field"]), ", ").alias("changed_fields"),
+                      _j(F.col("changes.field"), ", ").alias("changed_fields"),
                       F.size("changes").alias("n_changes"))
 
 
