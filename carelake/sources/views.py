@@ -45,7 +45,7 @@ def _gender_token(key: Column) -> Column:
 
 def _symptom_text(ok: Column, ck: Column) -> Column:
     parts = [
-        _vocab(ck % 20 + 1),
+        F.when(ck.isNotNull(), _vocab(ck % 20 + 1)),  # generated code takes a null index for -1
         F.when(ck % 3 > 0, _vocab((ck * 7) % 20 + 1)),
         F.when(ck % 5 > 1, _vocab((ck * 11 + 3) % 20 + 1)),
         F.when(ok % 13 == 0, _vocab((ok * 13 + 5) % 20 + 1)),
