@@ -33,53 +33,84 @@ def rate_limit_batch(log: DataFrame, window_seconds: int = 300, limit: int = 20,
 # ---------------------------------------------------------------- streaming
 
 RATE_OUTPUT_SCHEMA = "event_id BIGINT, scope STRING, ip STRING, ts TIMESTAMP, hits BIGINT, breach BOOLEAN, late BOOLEAN"
-RATE_STATE_SCHEMA = "stamps ARRAY<BIGINT>, ids ARRAY<BIGINT>"
+RATE_STATE_SCHEMA = ("scopes ARRAY<STRING>, ips ARRAY<STRING>, clients ARRAY<BIGINT>, stamps ARRAY<BIGINT>, "
+                     "ids ARRAY<BIGINT>")
 OUT_ROWS = 8192  # rows of one output frame
+CLIENT_BUCKETS = 1024  # groups of clients; as long as a checkpoint is used it stays as it is
 
 
 def _rate_limit_fn(window_seconds: int, limit: int, delay_seconds: int):
+    """The stateful step of one bucket of clients.  A call costs milliseconds however few hits it gets, so
+    clients share calls; inside, all of them are counted by one sort."""
     import numpy as np
     import pandas as pd
 
     window, delay = window_seconds * 1_000_000, delay_seconds * 1_000_000
+    lowest = np.iinfo("int64").min
+
+    def texts(column):
+        return column.astype(object).where(column.notna(), None)
+
+    def newest(n, of, stamps):
+        top = np.full(n, lowest)
+        np.maximum.at(top, of, stamps)
+        return top
 
     def fn(key, pdfs, state):
-        stamps, ids = (np.array(x, dtype="int64") for x in (state.get if state.exists else ((), ())))
-        mark = stamps.max() - delay if len(stamps) else None  # one mark for the whole micro-batch
-        arrived, arrived_ids = [], []
-        for pdf in pdfs:  # only stamps and ids are kept of each Arrow batch
+        scopes, ips, *kept = state.get if state.exists else ((),) * 5
+        clients = {c: i for i, c in enumerate(zip(scopes, ips))}
+        known = len(clients)
+        of, stamps = (np.array(x, dtype="int64") for x in kept[:2])
+        # one mark per client for the whole micro-batch; the last place stands for clients without hits before
+        marks = np.append(newest(known, of, stamps) - delay, lowest)
+        old, parts = len(of), [(of, stamps, pd.Series(kept[2], dtype="Int64"))]
+        for pdf in pdfs:  # only clients' numbers, stamps and ids are kept of each Arrow batch
             if pdf.empty:
                 continue
             us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-            late = us < mark if mark is not None else np.zeros(len(us), dtype=bool)
+            pairs = zip(texts(pdf["scope"]), texts(pdf["ip"]))
+            who = np.fromiter((clients.setdefault(c, len(clients)) for c in pairs), "int64", len(us))
+            late = us < marks[np.minimum(who, known)]
             if late.any():
                 yield pdf[late].assign(hits=pd.array([None] * int(late.sum()), dtype="Int64"), breach=None, late=True)[
                     ["event_id", "scope", "ip", "ts", "hits", "breach", "late"]]
-            arrived.append(us[~late])
-            arrived_ids.append(pdf["event_id"].to_numpy()[~late])
-        new = np.sort(np.concatenate([*arrived, np.zeros(0, dtype="int64")]))
-        if not len(new):
+            parts.append((who[~late], us[~late], pdf["event_id"][~late].astype("Int64")))
+        of, stamps = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        if len(of) == old:
             return  # the state stays as it was
-        stamps, ids = np.concatenate([stamps, *arrived]), np.concatenate([ids, *arrived_ids])
-        order = np.lexsort((ids, stamps))
-        stamps, ids = stamps[order], ids[order]
-        hits = np.searchsorted(stamps, stamps, "right") - np.searchsorted(stamps, stamps - window, "left")
+        ids = pd.concat([p[2] for p in parts], ignore_index=True)
+        # per client in order of time: where each hit's window begins, the hits, where each window ends
+        n = len(of)
+        kind = np.repeat([0, 1, 2], n)
+        order = np.lexsort((kind, np.concatenate([stamps - window, stamps, stamps]), np.tile(of, 3)))
+
+        def in_window(counted):
+            at = np.empty(3 * n, dtype="int64")
+            at[order] = np.cumsum((kind == 1)[order] & np.tile(counted, 3)[order])
+            return at[2 * n:] - at[:n]
+
+        hits = in_window(np.ones(n, dtype=bool))
         # counts that a new hit changes: hits from its own time to a window later
-        changed = np.flatnonzero(np.searchsorted(new, stamps, "right") > np.searchsorted(new, stamps - window, "left"))
+        changed = np.flatnonzero(in_window(np.arange(n) >= old) > 0)
+        names = np.empty((len(clients), 2), dtype=object)
+        names[:] = list(clients)
         for at in range(0, len(changed), OUT_ROWS):
             c = changed[at:at + OUT_ROWS]
-            yield pd.DataFrame({"event_id": ids[c], "scope": key[0], "ip": key[1],
+            yield pd.DataFrame({"event_id": ids.iloc[c].array, "scope": names[of[c], 0], "ip": names[of[c], 1],
                                 "ts": pd.to_datetime(stamps[c], unit="us"), "hits": hits[c],
                                 "breach": hits[c] > limit, "late": False})
-        keep = stamps >= stamps[-1] - window - delay
-        state.update((stamps[keep].tolist(), ids[keep].tolist()))
+        keep = stamps >= newest(len(clients), of, stamps)[of] - window - delay
+        own, of = np.unique(of[keep], return_inverse=True)
+        state.update((names[own, 0].tolist(), names[own, 1].tolist(), of.tolist(), stamps[keep].tolist(),
+                      [None if x is pd.NA else x for x in ids[keep].tolist()]))
 
     return fn
 
 
 def _counted_hits(log: DataFrame, window_seconds: int, limit: int, delay_seconds: int) -> DataFrame:
     fn = _rate_limit_fn(window_seconds, limit, delay_seconds)
-    return log.groupBy("scope", "ip").applyInPandasWithState(
+    bucket = F.pmod(F.xxhash64("scope", "ip"), F.lit(CLIENT_BUCKETS))
+    return log.withColumn("__bucket", bucket).groupBy("__bucket").applyInPandasWithState(
         fn, RATE_OUTPUT_SCHEMA, RATE_STATE_SCHEMA, "append", "NoTimeout")
 
 
@@ -87,7 +118,8 @@ def rate_limit_stream(log: DataFrame, window_seconds: int = 300, limit: int = 20
                       delay_seconds: int = 600) -> DataFrame:
     """T1 streaming: hits in [ts - window, ts] of the same client, ties included.
 
-    Per (scope, ip) the state holds the hits of the last window plus delay.  It is
+    Per (scope, ip) the state holds the hits of the last window plus delay; clients are kept in
+    ``CLIENT_BUCKETS`` buckets, so calls and state rows do not grow with their number.  It is
     kept while the query runs: an event-time timeout would need a watermark, and
     Spark drops rows behind one before any late sink sees them.  A hit up to ``delay_seconds`` behind its
     client's newest one of the micro-batches before counts in full, and the later hits whose windows hold it

@@ -22,8 +22,8 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = M
             .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
 
 
-FEED_ROWS = 250_000  # most rows of one file of a feed
-LEAST_FILES, MANY_FILES = 4, 8
+FEED_ROWS = 62_500  # most rows of one file of a feed; a file is read by one task
+LEAST_FILES, MANY_FILES = 4, 32  # files of a feed at least, of a micro-batch at most
 
 
 def table_feed(spark: SparkSession, sf_dir: str, name: str, time_col: str, id_col: str = "event_id") -> DataFrame:
@@ -45,7 +45,7 @@ def table_feed(spark: SparkSession, sf_dir: str, name: str, time_col: str, id_co
     begin = int(time.time()) * 1000 - 1000 * len(own)
     for i, status in enumerate(own):
         fs.setTimes(status.getPath(), begin + 1000 * i, -1)
-    at_once = 1 if len(own) <= MANY_FILES else MANY_FILES
+    at_once = max(1, min(MANY_FILES, len(own) // LEAST_FILES))
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(feed)
 
 
