@@ -37,7 +37,9 @@ def final_probability_map(c: Column) -> Column:
 
 def probability_bars(df: DataFrame, key: str, probs: str) -> DataFrame:
     """One row per map entry, fixed group order, clamped whole percent (half up)."""
-    e = df.select(key, F.explode(probs).alias("label", "p"))
+    # A plain explode adds a filter on the map, which is pushed below all that makes the map and repeats it
+    # there many times over; the outer form adds none.  Labels are null for missing and empty maps only.
+    e = df.select(key, F.explode_outer(probs).alias("label", "p")).filter(F.col("label").isNotNull())
     order = F.array_position(F.array(*[F.lit(x) for x in BAR_ORDER]), F.col("label")) - 1
     pct = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.col("p") * 100 + 0.5))).cast("int")
     return e.select(key, "label", order.cast("int").alias("pos"), pct.alias("pct"))

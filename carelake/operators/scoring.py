@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ..functions import keywords as K
 from ..functions import messages as MSG
 from ..functions import vitals as V
-from ..functions.text import GENDER_CODES, non_null, split_symptoms, standardize_gender, standardize_symptoms, symptom_tokens
+from ..functions.text import (GENDER_CODES, non_null, normalize_text, split_symptoms, standardize_gender,
+                              standardize_symptoms, symptom_tokens)
 
 # Rank of the combined risk groups (model vs clinical).
 RISK_RANK = {"Low": 0, "Moderate": 1, "High": 2, "Critical": 3}
@@ -62,6 +63,7 @@ def live_features(inputs: DataFrame, ref: DataFrame | None) -> DataFrame:
         "*",
         standardize_gender("gender").alias("std_gender"),
         standardize_symptoms("symptoms").alias("std_symptoms"),
+        normalize_text("glucose_type", True).alias("std_glucose_type"),
     )
     d = d.withColumn("symptom_list", split_symptoms("std_symptoms"))
     d = d.select(
@@ -70,9 +72,9 @@ def live_features(inputs: DataFrame, ref: DataFrame | None) -> DataFrame:
         F.size(F.array_distinct("symptom_list")).cast("int").alias("f_unique_symptom_count"),
         V.age_group("age", live=True).alias("f_age_group"),
         V.bp_assessment("systolic_bp", "diastolic_bp").alias("bp"),
-        V.glucose_assessment("glucose", "glucose_type").alias("glu"),
+        V.glucose_assessment("glucose", "std_glucose_type", normal=True).alias("glu"),
         V.bmi_assessment("bmi").alias("bmia"),
-    )
+    ).drop("std_glucose_type")
     d = d.select(
         "*",
         V.symptom_load_group("f_symptom_count").alias("f_symptom_load_group"),
@@ -150,10 +152,7 @@ Predictor = Callable[[DataFrame], DataFrame]
 
 
 def _rank(c: Column) -> Column:
-    expr = None
-    for k, v in RISK_RANK.items():
-        expr = F.when(c == k, v) if expr is None else expr.when(c == k, v)
-    return expr
+    return V.score_of(RISK_RANK, c)
 
 
 def combine_groups(df: DataFrame) -> DataFrame:
