@@ -68,14 +68,16 @@ def release() -> None:
     kept_in_worker.clear()
 
 
-def text_udf(fn: Callable[[pa.Array], pa.Array], ddl: str, keeps: bool = False) -> Callable[..., Column]:
-    """Arrow UDF evaluated once per row (Catalyst does not duplicate it); only a
-    function that ``keeps`` finds ``kept_in_worker`` as it left it."""
+def text_udf(fn: Callable[[pa.Array], pa.Array], ddl: str, keeps: bool = False,
+             limit: int = CHUNK_BYTES) -> Callable[..., Column]:
+    """Arrow UDF evaluated once per row (Catalyst does not duplicate it), called for
+    chunks of about ``limit`` bytes; only a function that ``keeps`` finds
+    ``kept_in_worker`` as it left it."""
 
     def run(texts: pa.Array) -> pa.Array:
         if not keeps:
             release()
-        parts = [fn(c) for c in text_chunks(texts)]
+        parts = [fn(c) for c in text_chunks(texts, limit)]
         return pa.concat_arrays(parts) if parts else fn(pa.array([], pa.string()))
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}

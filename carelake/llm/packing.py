@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelake.llm.common import stored, text_udf
-from carelake.llm.tokens import encode, tokenizer_path
+from carelake.llm.tokens import TOKEN_CHUNK_BYTES, encode, tokenizer_path
 
 CAPACITY = 2048
 LARGE_SHARE = 0.45
@@ -172,7 +172,7 @@ def _pieces(path: str, cut: str, end_id: int, capacity: int):
         flat = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(ids, pa.binary())], ["start", "ids"])
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)
 
-    return text_udf(run, "array<struct<start: bigint, ids: binary>>", keeps=True)
+    return text_udf(run, "array<struct<start: bigint, ids: binary>>", keeps=True, limit=TOKEN_CHUNK_BYTES)
 
 
 def token_pieces(docs: DataFrame, path: str, cut: str = "keeps_space", end_id: int = 0,

@@ -1,6 +1,7 @@
 """Operators 1 and 2: ids against the tokenizers library, packing, file round trips."""
 
 import glob
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,8 @@ import pytest
 import zstandard
 from tokenizers import Tokenizer
 
-from carelake.llm import packing, tokenfile
+from carelake.llm import packing, tokenfile, tokens
+from carelake.llm.common import kept_in_worker
 from carelake.llm.tokens import encode, tokenizer_path
 
 from .cases import odd_rows, table
@@ -34,6 +36,34 @@ def test_ids_are_the_librarys(spark, path, cut):
     assert encode(pa.array(texts), path, cut) == want
 
 
+@pytest.mark.parametrize("path,cut", [(BYTE, "keeps_space"), (WORD, "drops_space")])
+def test_ids_of_odd_characters_are_the_librarys(path, cut):
+    rng, t = random.Random(4), Tokenizer.from_file(path)
+    signs = list("aAsStTJHWIéÜßſK 0 1  \n\n\t\r\v\f''.,-<|>()`=漢かж。、  Σς") + [
+        "\u0308", "\u0331", "\u030c", "\u0307", "\u0338", "\x85", "\xa0", "\u2003", "\u2028", "\u200b", "\ufeff",
+        "\x1c", "\x00", "\x7f", "\u2013", "\u201d", "\xb2", "क्षि", "가각", "\U0001f600", "'re", "'LL", "don't",
+        "<|endoftext|>"]
+    for _ in range(20):
+        texts = ["".join(rng.choices(signs, k=rng.choice([0, 1, 2, 3, 5, 9, 40]))) for _ in range(500)]
+        want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+        assert encode(pa.array(texts), path, cut) == want
+
+
+@pytest.mark.parametrize("path,cut", [(BYTE, "keeps_space"), (WORD, "drops_space")])
+def test_the_library_meets_a_word_once(monkeypatch, path, cut):
+    learned, learn, t = Counter(), tokens.Encoder._learn, Tokenizer.from_file(path)
+    monkeypatch.setattr(tokens, "CACHE_PARTS", 60)
+    monkeypatch.setattr(tokens.Encoder, "_learn", lambda self, parts: (learned.update(parts), learn(self, parts))[1])
+    kept_in_worker.clear()
+    for i in range(100):  # rare words fill the cache again and again
+        texts = [f"x often{sign} (often) usual{sign} often\nusual {'rare' * (i + 1)}{i}" for sign in ".,;:!?"]
+        want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+        assert encode(pa.array(texts), path, cut) == want
+    assert set(learned.values()) == {1}
+    assert len([p for p in learned if "often" in p or "usual" in p]) <= 4
+    kept_in_worker.clear()
+
+
 def _fill(ranges, capacity):
     bins, seen = defaultdict(list), Counter()
     for length, low, high, first, per, place in ranges:
