@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carelake.llm.common import fresh_path, read_documents, stored, text_chunks
-from carelake.llm.tokens import encode, tokenizer_path
+from carelake.llm.tokens import TOKEN_CHUNK_BYTES, encode, tokenizer_path
 
 FRAME_BYTES = 4 << 20
 SHARD_BYTES = 8 << 20
@@ -115,7 +115,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, cut: str, end_id:
 
         for batch in batches:
             keys, at = batch.column(0).to_pylist(), 0
-            for texts in text_chunks(batch.column(1)):
+            for texts in text_chunks(batch.column(1), TOKEN_CHUNK_BYTES):
                 for k, ids in zip(keys[at:at + len(texts)], encode(texts, path, cut)):
                     shard.add(k, ids + end)
                     if len(shard.body) >= SHARD_BYTES:
