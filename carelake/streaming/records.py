@@ -20,7 +20,9 @@ from .sources import scratch_path
 
 PAIR_SCHEMA = ("email STRING, id BIGINT, submitted_at TIMESTAMP, payload_json STRING, prev_id BIGINT, "
                "prev_json STRING, late BOOLEAN")
-LAST_DOC_SCHEMA = "last_id BIGINT, last_ts TIMESTAMP, last_json STRING"
+LAST_DOCS_SCHEMA = "docs BINARY"  # an Arrow table, a row per patient
+PATIENT_BUCKETS = 256  # groups of patients; as long as a checkpoint is used it stays as it is
+OUT_ROWS = 8192  # rows of one output frame
 
 
 def latest_details_stream(subs: DataFrame) -> DataFrame:
@@ -75,36 +77,69 @@ def run_latest_details(subs: DataFrame) -> tuple[DataFrame, DataFrame]:
         f"{late}/epoch=*")
 
 
+def _stored_docs(docs):
+    """The last documents of a bucket's patients, as written by ``_as_state``."""
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(pa.py_buffer(bytes(docs))).read_pandas()
+
+
+def _as_state(last) -> tuple:
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    schema = pa.schema([("email", pa.string()), ("id", pa.int64()), ("submitted_at", pa.timestamp("us")),
+                        ("payload_json", pa.string())])
+    table = pa.Table.from_pandas(last, schema=schema, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
 def _pair_fn(key, pdfs, state):
+    """The stateful step of one bucket of patients.  A call costs milliseconds however few submissions it
+    gets, so patients share calls; inside, all of them are paired by one sort."""
+    import numpy as np
     import pandas as pd
 
-    batch = pd.concat(list(pdfs), ignore_index=True)
+    cols = ["email", "id", "submitted_at", "payload_json"]
+    batch = pd.concat([pdf[cols] for pdf in pdfs], ignore_index=True)
     if batch.empty:
         return
-    batch = batch.sort_values(["submitted_at", "id"], kind="stable").reset_index(drop=True)
-    if state.exists:
-        last_id, last_ts, last_json = state.get
-    else:
-        last_id, last_ts, last_json = None, None, None
-    # a submission older than the stored latest version arrived too late to be
+    batch["id"] = batch["id"].astype("Int64")
+    batch["submitted_at"] = batch["submitted_at"].astype("datetime64[us]")
+    batch = batch.sort_values(["email", "submitted_at", "id"], kind="stable").reset_index(drop=True)
+    last = _stored_docs(state.get[0]) if state.exists else batch.iloc[:0]
+    last = last.astype({"id": "Int64", "submitted_at": "datetime64[us]"})
+    known = pd.Index(last["email"])
+    # a submission older than the patient's stored latest version arrived too late to be
     # diffed in order: it goes to the late output and leaves the state alone
-    late = (batch["submitted_at"] < pd.Timestamp(last_ts)) if last_ts is not None else pd.Series(False, index=batch.index)
+    stamps = np.append(last["submitted_at"].to_numpy(), np.datetime64("NaT"))
+    late = batch["submitted_at"].to_numpy() < stamps[known.get_indexer(batch["email"])]
+    parts = [batch[late].assign(prev_id=pd.array([None] * int(late.sum()), dtype="Int64"), prev_json=None, late=True)]
     on_time = batch[~late].reset_index(drop=True)
-    out = [batch[late].assign(prev_id=pd.array([None] * int(late.sum()), dtype="Int64"), prev_json=None, late=True)]
     if not on_time.empty:
-        on_time["prev_id"] = pd.array([last_id] + on_time["id"].iloc[:-1].tolist(), dtype="Int64")
-        on_time["prev_json"] = [last_json] + on_time["payload_json"].iloc[:-1].tolist()
-        on_time["late"] = False
-        state.update((int(on_time["id"].iloc[-1]), on_time["submitted_at"].iloc[-1], on_time["payload_json"].iloc[-1]))
-        out.append(on_time)
-    yield pd.concat(out, ignore_index=True)[["email", "id", "submitted_at", "payload_json", "prev_id", "prev_json",
-                                             "late"]]
+        before = on_time[["id", "payload_json"]].shift(1)
+        first = np.flatnonzero(on_time["email"].ne(on_time["email"].shift(1)))
+        place = known.get_indexer(on_time["email"].iloc[first])
+        stored = last[["id", "payload_json"]].reset_index(drop=True).reindex(place)  # no row is numbered -1
+        before.iloc[first, 0] = stored["id"].array
+        before.iloc[first, 1] = stored["payload_json"].astype(object).where(stored["payload_json"].notna(), None).array
+        parts.append(on_time.assign(prev_id=before["id"], prev_json=before["payload_json"], late=False))
+        newest = on_time[on_time["email"].ne(on_time["email"].shift(-1)).to_numpy()]
+        state.update(_as_state(pd.concat([last[~known.isin(newest["email"])], newest], ignore_index=True)))
+    for out in parts:
+        for at in range(0, len(out), OUT_ROWS):
+            yield out.iloc[at:at + OUT_ROWS][[*cols, "prev_id", "prev_json", "late"]]
 
 
 def consecutive_pairs_stream(subs: DataFrame) -> DataFrame:
-    """Pair each submission with the patient's previous document (state: last doc)."""
+    """Pair each submission with the patient's previous document (state: last doc of each patient, kept in
+    ``PATIENT_BUCKETS`` buckets, so calls and state rows do not grow with the number of patients)."""
     s = subs.withColumn("email", RC.email_key("email")).filter(F.col("email") != "")
-    return s.groupBy("email").applyInPandasWithState(_pair_fn, PAIR_SCHEMA, LAST_DOC_SCHEMA, "append", "NoTimeout")
+    bucket = F.pmod(F.xxhash64("email"), F.lit(PATIENT_BUCKETS))
+    return s.withColumn("__bucket", bucket).groupBy("__bucket").applyInPandasWithState(
+        _pair_fn, PAIR_SCHEMA, LAST_DOCS_SCHEMA, "append", "NoTimeout")
 
 
 def late_submissions_stream(subs: DataFrame) -> DataFrame:
