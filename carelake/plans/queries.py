@@ -33,15 +33,17 @@ def _featured(spark, sf_dir):
 _reference_paths: dict[tuple, str] = {}
 
 
-def reference_table(spark, sf_dir) -> DataFrame:
+def reference_table(spark, sf_dir, cleaned: DataFrame | None = None) -> DataFrame:
     """R6 as a stored table: the profile counts of the training data, written to the
-    shared folder once per session and version of the data, and read by all scoring."""
+    shared folder once per session and version of the data, and read by all scoring.
+    ``cleaned``: the cleaned patients, where a query has them stored."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, "orders"))
     status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
     key = (spark.sparkContext.applicationId, str(path), status.getModificationTime(), status.getLen())
     if key not in _reference_paths:
         out = scratch_path(spark, "reference")
-        SC.reference_frequencies(_featured(spark, sf_dir)).write.parquet(out)
+        featured = _featured(spark, sf_dir) if cleaned is None else FE.row_features(cleaned)
+        SC.reference_frequencies(featured).write.parquet(out)
         _reference_paths[key] = out
     return spark.read.parquet(_reference_paths[key])
 

@@ -62,8 +62,9 @@ def q_model_evaluation(spark, sf):
 
 def q_model_scoring(spark, sf):
     """R8-R12 with the fitted logistic regression as predictor (rows-only check)."""
-    model = M.fit_final(FE.feature_table(_clean(spark, sf).checkpoint(eager=True)))
-    ref = reference_table(spark, sf)
+    cleaned = _clean(spark, sf).checkpoint(eager=True)
+    model = M.fit_final(FE.feature_table(cleaned))
+    ref = reference_table(spark, sf, cleaned)
     s = SC.score(VW.score_requests(spark, sf), ref, predictor=M.model_predictor(model))
     return s.select("request_id", "model_risk_group", F.col("clinical.risk_group").alias("clinical_risk_group"),
                     "risk_group", "booking_priority",
